@@ -36,13 +36,15 @@ def r6(c) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, OUT_DIGITS)
 
 
-# DuckDB fragment: the fixture model as a latent table (same rule as
-# ``tracelab.operators.sae.fixture_params``).
-SQL_FIXTURE_LATENTS = """
+def sql_fixture_latents(sparse: bool = False) -> str:
+    """DuckDB fragment: the fixture model as a latent table (same rule as
+    ``tracelab.operators.sae.fixture_params``)."""
+    bias = "-0.6" if sparse else "((i*13) % 11 - 5) / 64.0"
+    return f"""
 lat AS (
   SELECT i AS latent_id,
          [((i*31 + j*17 + i*j*7) % 257 - 128) / 256.0 FOR j IN range(64)] AS w,
-         ((i*13) % 11 - 5) / 64.0 AS b
+         {bias} AS b
   FROM range(256) t(i)
 ),
 latd AS (
@@ -51,10 +53,13 @@ latd AS (
   FROM lat
 )"""
 
-# DuckDB fragment: top-8 features of every embedding under the fixture model.
-SQL_FIXTURE_FEATURES = (
-    SQL_FIXTURE_LATENTS
-    + """,
+
+def sql_fixture_features(sparse: bool = False) -> str:
+    """DuckDB fragment: relu(z) for every (embedding, latent) pair and the
+    top-8 features of every embedding under the fixture model."""
+    return (
+        sql_fixture_latents(sparse)
+        + """,
 z AS (
   SELECT e.vec_id, e.label, l.latent_id,
          greatest(list_dot_product(e.embedding::DOUBLE[], l.w) + l.b, 0) AS v
@@ -65,4 +70,25 @@ feats AS (
     SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, latent_id) - 1 AS rnk FROM z
   ) WHERE rnk < 8
 )"""
-)
+    )
+
+
+def sql_fixture_residuals() -> str:
+    """DuckDB fragment (after the features): decode, per-element residuals
+    and per-row sums."""
+    return """,
+dec AS (
+  SELECT vec_id, j, sum(v * w) AS xh FROM (
+    SELECT f.vec_id, f.v, unnest(l.wd) AS w, unnest(range(64)) AS j FROM feats f JOIN latd l USING (latent_id)
+  ) GROUP BY vec_id, j
+),
+xe AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS j FROM embeddings),
+res AS (SELECT xe.vec_id, xe.label, xe.j, xe.x, xe.x - coalesce(dec.xh, 0) AS r FROM xe LEFT JOIN dec USING (vec_id, j)),
+rowstats AS (
+  SELECT vec_id, label, sum(x) AS x_sum, sum(x * x) AS x_sq, sum(r) AS r_sum, sum(r * r) AS r_sq FROM res GROUP BY vec_id, label
+),
+l0s AS (SELECT vec_id, count_if(v > 0) AS l0 FROM feats GROUP BY vec_id)"""
+
+
+SQL_FIXTURE_LATENTS = sql_fixture_latents()
+SQL_FIXTURE_FEATURES = sql_fixture_features()
