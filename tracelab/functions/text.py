@@ -15,9 +15,13 @@ from pyspark.sql import types as T
 # Python's whitespace set as one regex character class.
 WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NOT_WS = r"[^\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# The same set as plain characters, for the character-set trim functions.
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 # Line boundaries of Python's str.splitlines.
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
+LINE_BREAK_CHARS = r"[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
 # Candidate column names, in priority order.
 COMBINED_TEXT_FIELDS = ("text", "content", "response", "output", "completion")
 QUERY_FIELDS = ("problem", "question", "query", "prompt", "instruction", "input")
@@ -39,21 +43,27 @@ def regex_quote(s: str) -> str:
 
 
 def py_strip(c) -> Column:
-    """``str.strip()``: remove leading/trailing Python whitespace."""
-    return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
+    """``str.strip()``: remove leading/trailing Python whitespace (codegen'd
+    character-set trim, no regex)."""
+    return F.trim(_c(c), F.lit(WS_CHARS))
+
+
+def py_rstrip(c) -> Column:
+    return F.rtrim(_c(c), F.lit(WS_CHARS))
 
 
 def lead_ws(c) -> Column:
     """Number of leading whitespace code points."""
-    return F.length(_c(c)) - F.length(F.regexp_replace(_c(c), f"^{WS}+", ""))
+    return F.length(_c(c)) - F.length(F.ltrim(_c(c), F.lit(WS_CHARS)))
 
 
 def trail_ws(c) -> Column:
-    return F.length(_c(c)) - F.length(F.regexp_replace(_c(c), f"{WS}+$", ""))
+    return F.length(_c(c)) - F.length(F.rtrim(_c(c), F.lit(WS_CHARS)))
 
 
 def is_blank(c) -> Column:
-    return F.coalesce(~_c(c).rlike(NOT_WS), F.lit(True))
+    """Null, empty or whitespace only."""
+    return F.coalesce(F.length(py_strip(c)) == 0, F.lit(True))
 
 
 def normalize_text(df_schema: T.StructType, name: str) -> Column:
@@ -94,10 +104,15 @@ def extract_final_answer(c) -> Column:
     """Text after the first ``Final Answer:``/``Answer:`` header (stripped),
     else the last non-blank stripped line; null for null/empty input."""
     c = _c(c)
-    header = c.rlike("(?is)" + FINAL_ANSWER_HEADER + ".")
+    # the header regex only runs on texts that contain "answer" at all
+    maybe = F.instr(F.lower(c), "answer") > 0
+    header = maybe & c.rlike("(?is)" + FINAL_ANSWER_HEADER + ".")
     tail = F.regexp_extract(c, "(?is)" + FINAL_ANSWER_HEADER + "(.+)", 1)
-    lines = F.filter(F.transform(F.split(c, LINE_BREAK, -1), lambda l: py_strip(l)), lambda l: l != "")
-    last_line = F.try_element_at(lines, F.lit(-1))
+    # last non-blank line: strip trailing whitespace, then take the text
+    # after the last line break (found from the end via reverse + split).
+    last_line = F.nullif(
+        py_strip(F.reverse(F.element_at(F.split(F.reverse(py_rstrip(c)), LINE_BREAK_CHARS, 2), 1))), F.lit("")
+    )
     return (
         F.when(c.isNull() | (c == ""), F.lit(None).cast("string"))
         .when(header, py_strip(tail))

@@ -112,24 +112,28 @@ def segment_steps(
 def tokenize_words(df: DataFrame, text_col: str, id_cols, max_len: int = 2048, keep=()) -> DataFrame:
     """X2 (default tokenizer): maximal non-whitespace runs with offsets.
 
-    Output: ids..., keep..., token_idx, tok_start, tok_end (BIGINT), token;
-    truncated to the first ``max_len`` tokens.
+    Tokens and the whitespace gaps before them come out of one
+    ``regexp_extract_all`` and one ``split``; both are cut to ``max_len``
+    inside the row before the explode, so a text never yields more than
+    ``max_len`` rows.  Offsets: running sum of gap + token lengths.
+    Output: ids..., keep..., token_idx, tok_start, tok_end (BIGINT), token.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    runs = F.regexp_extract_all(F.col(text_col), F.lit(f"({WS}+|{NOT_WS}+)"), 0)
-    ex = df.select(*ids, *keep, F.posexplode(runs).alias("_pos", "_run"))
+    toks = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({NOT_WS}+)"), 1), 1, max_len)
+    gaps = F.slice(F.split(F.col(text_col), f"{NOT_WS}+", -1), 1, max_len)
+    ex = df.select(*ids, *keep, F.posexplode(F.arrays_zip(toks.alias("t"), gaps.alias("g"))).alias("_pos", "_z")).select(
+        *ids, *keep, "_pos", F.col("_z.t").alias("_tok"), F.length("_z.g").alias("_gap"), F.length("_z.t").alias("_len")
+    )
     w = Window.partitionBy(*ids).orderBy("_pos")
-    start = F.coalesce(F.sum(F.length("_run")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    is_tok = F.col("_run").rlike(f"^{NOT_WS}")
-    idx = F.sum(is_tok.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    staged = ex.select(*ids, *keep, "_run", start.alias("_st"), is_tok.alias("_tok"), idx.alias("_idx"))
-    return staged.filter(F.col("_tok") & (F.col("_idx") < max_len)).select(
+    before = F.coalesce(F.sum(F.col("_gap") + F.col("_len")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = before + F.col("_gap")
+    return ex.filter(F.col("_tok").isNotNull()).select(
         *ids,
         *keep,
-        F.col("_idx").cast("long").alias("token_idx"),
-        F.col("_st").cast("long").alias("tok_start"),
-        (F.col("_st") + F.length("_run")).cast("long").alias("tok_end"),
-        F.col("_run").alias("token"),
+        F.col("_pos").cast("long").alias("token_idx"),
+        start.cast("long").alias("tok_start"),
+        (start + F.col("_len")).cast("long").alias("tok_end"),
+        F.col("_tok").alias("token"),
     )
 
 

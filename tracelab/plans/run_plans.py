@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelab.functions.cues import cue_label, sql_cue_label
-from tracelab.functions.judge import JUDGE_USER_TEMPLATE, judge_request, judge_response_text, parse_judge_output
+from tracelab.functions.judge import JUDGE_USER_TEMPLATE, judge_request, judge_response_text, parse_judge_outputs
 from tracelab.functions.text import NOT_WS, is_blank, py_strip, render_prompt
 from tracelab.operators.runs import (
     cross_conditions,
@@ -50,7 +50,7 @@ def judge_raw(steps):
 
 def _x14(spark, sf_dir):
     raw = judge_raw(trace_steps(spark, sf_dir))
-    p = raw.select("doc_id", "step_id", parse_judge_output("raw").alias("p"))
+    p = parse_judge_outputs(raw, "raw", "p")
     return p.select("doc_id", "step_id", F.col("p.label").alias("label"), F.col("p.parse_path").alias("parse_path"))
 
 
@@ -128,7 +128,7 @@ register("x14_parse_judge_output", _sql_x14())(_x14)
 
 def _x14_rat(spark, sf_dir):
     raw = judge_raw(trace_steps(spark, sf_dir))
-    p = raw.select("doc_id", "step_id", parse_judge_output("raw").alias("p"))
+    p = parse_judge_outputs(raw, "raw", "p")
     return p.select("doc_id", "step_id", "p.*")
 
 
