@@ -262,7 +262,9 @@ def question_fallback(df: DataFrame, id_col: str, p: float = 0.1, seed: int = 42
     stable across partitioning and retries."""
     sch = df.schema
     fb = F.coalesce(first_text(sch, QUERY_FIELDS), first_text(sch, COMBINED_TEXT_FIELDS))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000)) < F.lit(int(p * 1_000_000))
+    from tracelab.operators.sampling import hash_uniform
+
+    draw = hash_uniform([id_col], seed) < F.lit(float(p))
     return df.select(F.col(id_col), fb.alias("text")).filter(F.col("text").isNotNull() & draw)
 
 
