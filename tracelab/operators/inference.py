@@ -1,0 +1,65 @@
+"""Batch-inference hooks: user-supplied model functions run per Arrow batch
+(E1, E3).  Nothing here loads a model; callers pass a factory that returns
+a function from numpy arrays to numpy arrays (the ``predict_batch_udf``
+contract), executed once per Python worker."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def extract_activations(points: DataFrame, make_predict_fn: Callable, d_model: int, token_col: str = "token", batch_size: int = 1024) -> DataFrame:
+    """One vector per selected point.  ``make_predict_fn()`` returns
+    ``fn(tokens: np.ndarray[str]) -> np.ndarray[n, d_model]``; it is built
+    once per worker and called on Arrow batches (``predict_batch_udf``).
+    Filters (P12) belong *before* this call: Catalyst cannot push a filter
+    through a Python UDF."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[[]])
+    return points.withColumn("x", udf(F.col(token_col)))
+
+
+def hash_encoder_factory(d_model: int, seed: int = 0):
+    """Deterministic test encoder: a unit vector per token from its hash."""
+
+    def make():
+        import hashlib
+
+        def predict(tokens: np.ndarray) -> np.ndarray:
+            out = np.empty((len(tokens), d_model), dtype=np.float32)
+            for i, t in enumerate(tokens):
+                h = hashlib.blake2b(f"{seed}|{t}".encode(), digest_size=8).digest()
+                rng = np.random.default_rng(int.from_bytes(h, "little"))
+                v = rng.standard_normal(d_model)
+                out[i] = v / max(np.linalg.norm(v), 1e-12)
+            return out
+
+        return predict
+
+    return make
+
+
+def generate_responses(samples: DataFrame, cache: DataFrame | None, generate_fn: Callable[[pd.DataFrame], pd.Series], keys=("sample_id",)) -> tuple[DataFrame, DataFrame]:
+    """Only samples missing from the cache reach ``generate_fn`` (anti
+    join), which maps a pandas batch of samples to response strings.
+    Returns (new cache rows, all responses = cache ∪ new)."""
+    todo = samples if cache is None else samples.join(cache.select(*keys), list(keys), "left_anti")
+    out_schema = T.StructType(list(todo.schema.fields) + [T.StructField("response", T.StringType())])
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf.copy()
+            pdf["response"] = list(generate_fn(pdf))
+            yield pdf
+
+    fresh = todo.mapInPandas(run, out_schema)
+    if cache is None:
+        return fresh, fresh
+    return fresh, cache.unionByName(fresh, allowMissingColumns=True)

@@ -228,11 +228,11 @@ def parse_reasoning(df: DataFrame, id_col: str, retain_query: bool = True, delim
             F.transform("regions", lambda r: py_strip(F.substring("text", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")))),
             lambda x: x != "",
         )
-        joined = F.array_join(chunks, delim)
-        parsed = parsed.select(
+        # (two projections: the new text must not shadow the old one)
+        parsed = parsed.select(id_col, F.array_join(chunks, delim).alias("_joined"), "branch").select(
             id_col,
-            joined.alias("text"),
-            F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length(joined).cast("long").alias("end"))).alias("regions"),
+            F.col("_joined").alias("text"),
+            F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("_joined").cast("long").alias("end"))).alias("regions"),
             "branch",
         ).filter(F.length("text") > 0)
     return parsed.select(id_col, "text", "branch", F.posexplode("regions").alias("region_idx", "r")).select(

@@ -226,3 +226,37 @@ def batch_losses(df: DataFrame, params: SaeParams, batch_col: str, x_col: str, a
         )
 
     return df.select(F.col(batch_col).cast("long").alias(batch_col), x_col).groupBy(batch_col).applyInPandas(per_batch, AUX_SCHEMA)
+
+
+def feature_cooccurrence(features: DataFrame, id_col: str, min_support: int = 1) -> DataFrame:
+    """Jaccard similarity of latent activation sets (rows where f > 0).
+
+    Pairs are formed *inside a row* from its sorted active latents (at most
+    k(k-1)/2 per row, k being the model's top-k), never by a self-join;
+    pair counts use map-side partial aggregation, so a pair present in a
+    third of all rows still shuffles one partial count per task.
+    Output: latent_a < latent_b, n_both, jaccard (pairs with n_both >= min_support).
+    """
+    act = features.filter(F.col("value") > 0)
+    per_latent = act.groupBy("latent_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = act.groupBy(id_col).agg(F.array_sort(F.collect_list("latent_id")).alias("ids"))
+    n = F.size("ids")
+    pairs = rows.select(
+        F.explode(
+            F.flatten(
+                F.transform(
+                    F.when(n >= 2, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")),
+                    lambda i: F.transform(
+                        F.slice("ids", i + 2, F.greatest(n - i - 1, F.lit(0))),
+                        lambda b: F.struct(F.element_at("ids", i + 1).alias("a"), b.alias("b")),
+                    ),
+                )
+            )
+        ).alias("p")
+    ).select(F.col("p.a").alias("latent_a"), F.col("p.b").alias("latent_b"))
+    counts = pairs.groupBy("latent_a", "latent_b").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= min_support)
+    na = per_latent.select(F.col("latent_id").alias("latent_a"), F.col("n").alias("n_a"))
+    nb = per_latent.select(F.col("latent_id").alias("latent_b"), F.col("n").alias("n_b"))
+    return counts.join(na, "latent_a").join(nb, "latent_b").select(
+        "latent_a", "latent_b", "n_both", (F.col("n_both") / (F.col("n_a") + F.col("n_b") - F.col("n_both"))).alias("jaccard")
+    )
