@@ -206,7 +206,7 @@ def sae_features(
     """
     spark = df.sparkSession
     keep = tuple(c for c in keep if c != id_col)
-    in_cols = [id_col, *keep, x_col]
+    in_cols = [id_col, *keep] + ([x_col] if x_col not in keep else [])
     out_schema = T.StructType(
         _schema_fields(df, (*keep, id_col))
         + [
@@ -330,7 +330,8 @@ def sae_forward_rows(
                 ]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
 
-    return df.select(id_col, *keep, x_col).mapInArrow(fn, out_schema)
+    in_cols = [id_col, *keep] + ([x_col] if x_col not in keep else [])
+    return df.select(*in_cols).mapInArrow(fn, out_schema)
 
 
 def _decode_partial(feats_rows: DataFrame, params: SaeParams, id_col: str, budget: int) -> DataFrame:
@@ -380,7 +381,7 @@ def _forward_rows_blockwise(df, feats, params, id_col, x_col, keep, with_x_hat,
         F.sort_array(F.collect_list(F.struct("rank", "latent_id", "value"))).alias("s")
     ).select(id_col, F.col("s.latent_id").alias("topk_ids"), F.col("s.value").alias("topk_values"))
     x_hat = _decode_partial(rows, params, id_col, budget)
-    base = df.select(id_col, *keep, x_col).join(rows, id_col).join(x_hat, id_col)
+    base = df.select(id_col, *keep, *([x_col] if x_col not in keep else [])).join(rows, id_col).join(x_hat, id_col)
     r = F.zip_with(F.col(x_col), F.col("x_hat"), lambda a, b: a.cast("double") - b)
     out = base.select(
         *keep,

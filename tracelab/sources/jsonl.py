@@ -63,6 +63,9 @@ def append_results(df: DataFrame, path: str, keys: list[str], mode: str = "new")
     spark = df.sparkSession
     if mode not in ("new", "resume", "overwrite"):
         raise ValueError("mode must be new, resume or overwrite (resume and overwrite are exclusive)")
+    absent = [k for k in keys if k not in df.columns]
+    if absent:
+        raise ValueError(f"records have no key fields {absent}")
     exists = _exists(spark, path)
     if mode == "new" and exists:
         raise FileExistsError(f"Output already exists: {path}. Use resume or overwrite.")
