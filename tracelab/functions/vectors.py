@@ -26,19 +26,26 @@ def sq_norm(v) -> Column:
     return F.aggregate(as_double(v), F.lit(0.0), lambda acc, x: acc + x * x)
 
 
+def per_element(v, scalar) -> Column:
+    """The per-row scalar repeated to the array's length.  A lambda that
+    referenced ``scalar`` directly would re-evaluate it for every element
+    (O(d^2) per row); zipping with the repeated value evaluates it once."""
+    return F.array_repeat(scalar, F.size(v))
+
+
 def unit_norm(v) -> Column:
     """V / max(||v||, 1e-12)."""
     v = as_double(v)
     n = F.greatest(F.sqrt(sq_norm(v)), F.lit(1e-12))
-    return F.transform(v, lambda x: x / n)
+    return F.zip_with(v, per_element(v, n), lambda x, d: x / d)
 
 
 def remove_projection(h, v, alpha) -> Column:
     """H - alpha·(h·v)·v; alpha 0 leaves h unchanged."""
     h, v = as_double(h), as_double(v)
     a = _c(alpha) if not isinstance(alpha, (int, float)) else F.lit(float(alpha))
-    s = dot(h, v) * a
-    return F.zip_with(h, v, lambda x, y: x - s * y)
+    sv = F.zip_with(v, per_element(v, dot(h, v) * a), lambda y, s: s * y)
+    return F.zip_with(h, sv, lambda x, y: x - y)
 
 
 def ends_with_tokens(ids, suffix) -> Column:

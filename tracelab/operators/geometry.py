@@ -105,11 +105,13 @@ def behavior_vectors(top: DataFrame, latents: DataFrame, n: int = 8, label_col:
 
 def softmax(scores, temperature: float = 1.0) -> Column:
     """X11: softmax of an array of scores / temperature (inside the row)."""
+    from tracelab.functions.vectors import per_element
+
     s = as_double(scores)
-    m = F.array_max(s)
-    e = F.transform(s, lambda v: F.exp((v - m) / F.lit(float(temperature))))
+    t = F.lit(float(temperature))
+    e = F.zip_with(s, per_element(s, F.array_max(s)), lambda v, m: F.exp((v - m) / t))
     tot = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / tot)
+    return F.zip_with(e, per_element(e, tot), lambda v, z: v / z)
 
 
 def top_mass_cut(probs: DataFrame, group_cols, id_col: str, prob_col: str = "p", top_p: float = 0.9) -> DataFrame:

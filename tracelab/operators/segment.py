@@ -26,6 +26,7 @@ from tracelab.functions.text import (
     regex_quote,
     trail_ws,
 )
+from tracelab.functions.text import WS_CHARS
 
 STEP_COLUMNS = ("step_id", "step_start", "step_end", "delim_start", "delim_end")
 
@@ -112,28 +113,31 @@ def segment_steps(
 def tokenize_words(df: DataFrame, text_col: str, id_cols, max_len: int = 2048, keep=()) -> DataFrame:
     """X2 (default tokenizer): maximal non-whitespace runs with offsets.
 
-    Tokens and the whitespace gaps before them come out of one
-    ``regexp_extract_all`` and one ``split``; both are cut to ``max_len``
-    inside the row before the explode, so a text never yields more than
-    ``max_len`` rows.  Offsets: running sum of gap + token lengths.
+    Every whitespace character is mapped to a space (``translate``, one
+    character-map pass), the text is split on that single character, and
+    each piece's offset is the running sum of piece lengths + 1.  Empty
+    pieces are whitespace; the others are the tokens (their text is the
+    original text, since only whitespace was mapped).  The offset window is
+    partitioned by the text id (a text is one bounded group).  Truncated to
+    the first ``max_len`` tokens.
     Output: ids..., keep..., token_idx, tok_start, tok_end (BIGINT), token.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    toks = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({NOT_WS}+)"), 1), 1, max_len)
-    gaps = F.slice(F.split(F.col(text_col), f"{NOT_WS}+", -1), 1, max_len)
-    ex = df.select(*ids, *keep, F.posexplode(F.arrays_zip(toks.alias("t"), gaps.alias("g"))).alias("_pos", "_z")).select(
-        *ids, *keep, "_pos", F.col("_z.t").alias("_tok"), F.length("_z.g").alias("_gap"), F.length("_z.t").alias("_len")
-    )
+    mapped = F.translate(F.col(text_col), WS_CHARS, " " * len(WS_CHARS))
+    ex = df.select(*ids, *keep, F.posexplode(F.split(mapped, " ", -1)).alias("_pos", "_piece"))
     w = Window.partitionBy(*ids).orderBy("_pos")
-    before = F.coalesce(F.sum(F.col("_gap") + F.col("_len")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = before + F.col("_gap")
-    return ex.filter(F.col("_tok").isNotNull()).select(
+    plen = F.length("_piece")
+    start = F.coalesce(F.sum(plen + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    is_tok = (plen > 0).cast("int")
+    idx = F.sum(is_tok).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    staged = ex.select(*ids, *keep, "_piece", plen.alias("_len"), start.alias("_st"), is_tok.alias("_tok"), idx.alias("_idx"))
+    return staged.filter((F.col("_tok") == 1) & (F.col("_idx") < max_len)).select(
         *ids,
         *keep,
-        F.col("_pos").cast("long").alias("token_idx"),
-        start.cast("long").alias("tok_start"),
-        (start + F.col("_len")).cast("long").alias("tok_end"),
-        F.col("_tok").alias("token"),
+        F.col("_idx").cast("long").alias("token_idx"),
+        F.col("_st").cast("long").alias("tok_start"),
+        (F.col("_st") + F.col("_len")).cast("long").alias("tok_end"),
+        F.col("_piece").alias("token"),
     )
 
 
