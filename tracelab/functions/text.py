@@ -37,6 +37,13 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, fn) -> Column:
+    """Bind ``value`` once and use it several times in ``fn(v)``: a
+    one-element lambda keeps the optimizer from copying an expensive
+    expression into each place that reads it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def regex_quote(s: str) -> str:
     """Quote a literal for Java regex and RE2 alike."""
     return "".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in s)
@@ -104,20 +111,17 @@ def extract_final_answer(c) -> Column:
     """Text after the first ``Final Answer:``/``Answer:`` header (stripped),
     else the last non-blank stripped line; null for null/empty input."""
     c = _c(c)
-    # the header regex only runs on texts that contain "answer" at all
+    # one regex pass, and only on texts that contain "answer" at all; the
+    # captured tail is never empty when the header matches
     maybe = F.instr(F.lower(c), "answer") > 0
-    header = maybe & c.rlike("(?is)" + FINAL_ANSWER_HEADER + ".")
-    tail = F.regexp_extract(c, "(?is)" + FINAL_ANSWER_HEADER + "(.+)", 1)
+    tail = F.when(maybe, F.regexp_extract(c, "(?is)" + FINAL_ANSWER_HEADER + "(.+)", 1)).otherwise(F.lit(""))
     # last non-blank line: strip trailing whitespace, then take the text
     # after the last line break (found from the end via reverse + split).
     last_line = F.nullif(
         py_strip(F.reverse(F.element_at(F.split(F.reverse(py_rstrip(c)), LINE_BREAK_CHARS, 2), 1))), F.lit("")
     )
-    return (
-        F.when(c.isNull() | (c == ""), F.lit(None).cast("string"))
-        .when(header, py_strip(tail))
-        .otherwise(last_line)
-    )
+    picked = let(tail, lambda t: F.when(t != "", py_strip(t)).otherwise(last_line))
+    return F.when(c.isNull() | (c == ""), F.lit(None).cast("string")).otherwise(picked)
 
 
 def normalize_answer(c) -> Column:

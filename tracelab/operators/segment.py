@@ -182,6 +182,13 @@ def think_regions(text_col: str) -> Column:
     return F.when(F.size(inner) > 0, F.transform(idx, span)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
 
 
+def evaluate_once(df: DataFrame) -> DataFrame:
+    """Keep the optimizer from inlining the expensive columns of ``df`` into
+    every expression that reads them (a generator is a projection barrier;
+    the row count is unchanged)."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def parse_reasoning(df: DataFrame, id_col: str, retain_query: bool = True, delim: str = "\n\n") -> DataFrame:
     """P3 branches (a)-(c): text plus reasoning regions, one row per region.
 
@@ -191,42 +198,39 @@ def parse_reasoning(df: DataFrame, id_col: str, retain_query: bool = True, delim
     branch are left out here (branch (d) is :func:`question_fallback`).
     With ``retain_query=False`` the regions are stripped, blank ones dropped,
     joined by the delimiter (P4) and the whole new text is the region.
-    Output: id, text, region_start, region_end, branch.
+    One pass: the branch is chosen per row with CASE; the tag and header
+    regexes only run on texts that contain a tag / keyword at all.
+    Output: id, text, branch, region_idx, region_start, region_end.
     """
     sch = df.schema
     q, s, comb = first_text(sch, QUERY_FIELDS), first_text(sch, SOLUTION_FIELDS), first_text(sch, COMBINED_TEXT_FIELDS)
     base = df.select(F.col(id_col), q.alias("_q"), s.alias("_s"), comb.alias("_c"))
-    full_a = F.concat(F.lit("Problem:\n"), F.col("_q"), F.lit("\n\nSolution:\n"), F.col("_s"))
-    hdr = F.regexp_instr(F.col("_c"), F.lit("(?i)" + SOLUTION_HEADER), 0)
-    hdr_text = F.regexp_extract(F.col("_c"), "(?i)(" + SOLUTION_HEADER + ")", 1)
+    c = F.col("_c")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
     staged = base.select(
         id_col,
         "_q",
         "_s",
         "_c",
-        think_regions("_c").alias("_think"),
-        hdr.alias("_hdr"),
-        hdr_text.alias("_hdr_text"),
-    )
-    a = staged.filter(F.col("_q").isNotNull() & F.col("_s").isNotNull()).select(
-        id_col,
-        full_a.alias("text"),
-        F.array(F.struct((F.length(full_a) - F.length("_s")).cast("long").alias("start"), F.length(full_a).cast("long").alias("end"))).alias("regions"),
-        F.lit("qa").alias("branch"),
+        F.when(F.instr(c, "<think>") > 0, think_regions("_c")).otherwise(empty).alias("_think"),
+        F.regexp_extract(c, "(?i)(" + SOLUTION_HEADER + ")", 1).alias("_hdr_text"),
     )
-    not_a = staged.filter(~(F.col("_q").isNotNull() & F.col("_s").isNotNull()) & F.col("_c").isNotNull())
-    b = not_a.filter(F.size("_think") > 0).select(id_col, F.col("_c").alias("text"), F.col("_think").alias("regions"), F.lit("think").alias("branch"))
-    c = not_a.filter((F.size("_think") == 0) & (F.col("_hdr") > 0)).select(
+    staged = evaluate_once(staged)
+    full_a = F.concat(F.lit("Problem:\n"), F.col("_q"), F.lit("\n\nSolution:\n"), F.col("_s"))
+    is_a = F.col("_q").isNotNull() & F.col("_s").isNotNull()
+    is_b = ~is_a & c.isNotNull() & (F.size("_think") > 0)
+    is_c = ~is_a & c.isNotNull() & (F.size("_think") == 0) & (F.col("_hdr_text") != "")
+    # first header occurrence == first regex match (an earlier occurrence of
+    # the matched text would itself be an earlier match)
+    hdr_end = (F.instr(c, F.col("_hdr_text")) - 1 + F.length("_hdr_text")).cast("long")
+    region_a = F.array(F.struct((F.length(full_a) - F.length("_s")).cast("long").alias("start"), F.length(full_a).cast("long").alias("end")))
+    region_c = F.array(F.struct(hdr_end.alias("start"), F.length(c).cast("long").alias("end")))
+    parsed = staged.select(
         id_col,
-        F.col("_c").alias("text"),
-        F.array(
-            F.struct(
-                (F.col("_hdr") - 1 + F.length("_hdr_text")).cast("long").alias("start"), F.length("_c").cast("long").alias("end")
-            )
-        ).alias("regions"),
-        F.lit("header").alias("branch"),
-    )
-    parsed = a.unionByName(b).unionByName(c)
+        F.when(is_a, full_a).otherwise(c).alias("text"),
+        F.when(is_a, region_a).when(is_b, F.col("_think")).when(is_c, region_c).alias("regions"),
+        F.when(is_a, F.lit("qa")).when(is_b, F.lit("think")).when(is_c, F.lit("header")).alias("branch"),
+    ).filter(F.col("branch").isNotNull())
     if not retain_query:
         chunks = F.filter(
             F.transform("regions", lambda r: py_strip(F.substring("text", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")))),
