@@ -65,14 +65,10 @@ def segment_steps(
     )
     region = F.when((F.length(text) if end is None else _c(end)) > s0, region).otherwise(F.lit(""))
     dlen = len(delim)
-    pieces = F.split(region, regex_quote(delim), -1)
-    exploded = df.select(
-        *ids,
-        *keep,
-        s0.cast("long").alias("_s0"),
-        F.size(pieces).alias("_n"),
-        F.posexplode(pieces).alias("_pos", "_piece"),
-    )
+    # split once per text (the barrier keeps the optimizer from rebuilding
+    # the text and the split for each column that reads them)
+    split_df = evaluate_once(df.select(*ids, *keep, s0.cast("long").alias("_s0"), F.split(region, regex_quote(delim), -1).alias("_pieces")))
+    exploded = split_df.select(*ids, *keep, "_s0", F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("_pos", "_piece"))
     w = Window.partitionBy(*ids).orderBy("_pos")
     before = F.coalesce(
         F.sum(F.length("_piece") + F.lit(dlen)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelab.operators.segment import evaluate_once
+
 # Cue prefixes of the derived traces, chosen by (doc_id*7 + line) % 5.
 TRACE_PREFIXES = ("Wait, let me verify. ", "Alternatively, ", "Wait, instead ")
 # Intervention conditions (name:alpha).
@@ -34,7 +36,8 @@ def derived_traces(documents: DataFrame) -> DataFrame:
         (F.col("doc_id") % 10).cast("string"),
     )
     ref = F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 10).cast("string"))
-    return documents.select("doc_id", resp.alias("response"), ref.alias("reference_answer"))
+    # built once per row, whatever reads the response later
+    return evaluate_once(documents.select("doc_id", resp.alias("response"), ref.alias("reference_answer")))
 
 
 def conversation_pairs(conversations: DataFrame) -> DataFrame:

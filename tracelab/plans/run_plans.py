@@ -22,7 +22,7 @@ from tracelab.operators.runs import (
     score_runs,
     with_cached_responses,
 )
-from tracelab.operators.segment import reasoning_samples, segment_steps, tokenize_words
+from tracelab.operators.segment import evaluate_once, reasoning_samples, segment_steps, tokenize_words
 from tracelab.plans import sqlfrag as S
 from tracelab.plans.common import r6, register, table
 from tracelab.plans.fixtures import DEFAULT_CONDITIONS, derived_traces
@@ -358,7 +358,7 @@ def derived_runs(spark, sf_dir):
     resp = F.when(F.col("condition") == "vanilla", F.col("response")).otherwise(
         F.concat(body, F.lit("\n\nFinal Answer: "), (F.col("doc_id") % 9).cast("string"))
     )
-    return runs.withColumn("response", resp)
+    return evaluate_once(runs.withColumn("response", resp))
 
 
 def _runs_scored(spark, sf_dir):
