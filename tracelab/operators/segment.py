@@ -103,7 +103,7 @@ def segment_steps(
                 "step_text"
             )
         )
-    return staged.select(*out)
+    return evaluate_once(staged.select(*out))
 
 
 def tokenize_words(df: DataFrame, text_col: str, id_cols, max_len: int = 2048, keep=()) -> DataFrame:
