@@ -140,8 +140,9 @@ def max_activating(features: DataFrame, id_col: str, n: int = 20) -> DataFrame:
 
 
 def utilization_histogram(freq: DataFrame, bins: int = 10) -> DataFrame:
-    """D3: latents per activation-frequency bucket (width_bucket over [0, 1])."""
-    b = F.least(F.expr(f"width_bucket(freq, 0.0, 1.0, {bins})"), F.lit(bins))
+    """D3: latents per activation-frequency bucket: equal-width buckets
+    1..bins over [0, 1], frequency 1.0 in the last bucket."""
+    b = F.least(F.floor(F.col("freq") * bins) + 1, F.lit(bins))
     return freq.groupBy(b.cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n_latents"))
 
 

@@ -87,6 +87,7 @@ from tracelab.operators.stats import (  # noqa: E402
     max_activating,
     recon_metrics,
     unused_latents,
+    utilization_histogram,
 )
 from tracelab.plans.common import sql_fixture_features, sql_fixture_residuals  # noqa: E402
 
@@ -239,9 +240,7 @@ FROM freq""",
 
 def _d3(spark, sf_dir):
     params, feats = sparse_features(spark, sf_dir)
-    fr = feature_frequency(feats, params.d_sae)
-    b = F.least(F.floor(F.col("freq") * 10) + 1, F.lit(10)).cast("long")
-    return fr.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n_latents"))
+    return utilization_histogram(feature_frequency(feats, params.d_sae), 10).select("bucket", F.col("n_latents").cast("long"))
 
 
 register(
