@@ -96,3 +96,15 @@ def test_step_label_records_load_strictly(spark, tmp_path):
     p.write_text('{"sample_id":"0","step_id":1,"label":"other","label_source":"heuristic"}\n')
     df = read_step_labels(spark, str(p))
     assert len(df.columns) == 15 and df.first().step_id == 1
+
+
+def test_cached_question_clash_raises(spark):
+    from tracelab.operators.runs import with_cached_responses
+
+    samples = spark.createDataFrame([(1, "q1", "r1", "a"), (2, "q2", "r2", "b")], "sample_id long, question string, response string, reference_answer string")
+    cache = spark.createDataFrame([(1, 0, "q1", "c1", "x"), (1, 1, "", "c2", None)], "sample_id long, seq int, question string, response string, reference_answer string")
+    got = {r.sample_id: (r.question, r.response, r.from_cache) for r in with_cached_responses(samples, cache, "seq").collect()}
+    assert got == {1: ("q1", "c2", True), 2: ("q2", "r2", False)}
+    bad = spark.createDataFrame([(2, 0, "other question", "c", None)], "sample_id long, seq int, question string, response string, reference_answer string")
+    with pytest.raises(Exception):
+        with_cached_responses(samples, bad, "seq").collect()

@@ -154,14 +154,15 @@ def with_cached_responses(samples: DataFrame, cache: DataFrame, order_col: str,
             F.coalesce("_cached", "_pf").alias("_cached"),
         )
     j = samples.join(c, "sample_id", "left")
+    # the check sits in a filter so the optimizer cannot prune it away
     clash = (
         F.col("_cached").isNotNull()
         & (F.coalesce(F.col("question"), F.lit("")) != "")
         & (F.coalesce(F.col("_cq"), F.lit("")) != "")
         & (F.col("question") != F.col("_cq"))
     )
-    checked = F.when(clash, F.raise_error(F.concat(F.lit("cached question differs for sample "), F.col("sample_id").cast("string"))))
-    return j.select(
+    err = F.raise_error(F.concat(F.lit("cached question differs for sample "), F.col("sample_id").cast("string")))
+    return j.filter(F.when(clash, err).otherwise(F.lit(True))).select(
         "sample_id",
         F.when(F.col("_cached").isNotNull() & (F.coalesce(F.col("_cq"), F.lit("")) != ""), F.col("_cq"))
         .otherwise(F.col("question"))
@@ -169,8 +170,7 @@ def with_cached_responses(samples: DataFrame, cache: DataFrame, order_col: str,
         F.when(F.col("_cached").isNotNull(), F.col("_cr")).otherwise(F.col("response")).alias("response"),
         F.when(F.col("_cached").isNotNull(), F.col("_ca")).otherwise(F.col("reference_answer")).alias("reference_answer"),
         F.col("_cached").isNotNull().alias("from_cache"),
-        checked.alias("_check"),
-    ).drop("_check")
+    )
 
 
 def parse_conditions(spec: str) -> list[tuple[str, float]]:
@@ -215,8 +215,10 @@ def intervention_summary(runs: DataFrame) -> DataFrame:
 
 def score_runs(runs: DataFrame) -> DataFrame:
     """P7 + P9 on generated responses: predicted answer and correctness."""
-    pred = extract_final_answer("response")
-    return runs.withColumn("predicted_answer", pred).withColumn("is_correct", answer_match("predicted_answer", "reference_answer"))
+    from tracelab.operators.segment import evaluate_once
+
+    scored = evaluate_once(runs.withColumn("predicted_answer", extract_final_answer("response")))
+    return scored.withColumn("is_correct", answer_match("predicted_answer", "reference_answer"))
 
 
 def perplexity(losses: DataFrame, by=(), loss_col: str = "loss", tokens_col: str = "n_tokens") -> DataFrame:

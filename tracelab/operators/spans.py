@@ -35,19 +35,28 @@ def activation_points(tokens: DataFrame, steps: DataFrame, id_cols, strategy: st
         F.col("tok_end").cast("long").alias("_tend"),
     )
 
-    def events(which, s, e):
-        return steps.filter(F.col(e).isNotNull()).select(
+    # both lookups of a step (delimiter span, step span) from one pass
+    ev = F.explode(
+        F.array(
+            F.struct(F.lit("d").alias("w"), F.col("delim_end").cast("long").alias("k"), F.col("delim_start").cast("long").alias("s")),
+            F.struct(F.lit("s").alias("w"), F.col("step_end").cast("long").alias("k"), F.col("step_start").cast("long").alias("s")),
+        )
+    )
+    events = (
+        steps.select(*ids, F.col("step_id").cast("long").alias("step_id"), ev.alias("_e"))
+        .filter(F.col("_e.k").isNotNull())
+        .select(
             *ids,
-            F.col(e).cast("long").alias("_key"),
+            F.col("_e.k").alias("_key"),
             F.lit(0).alias("_kind"),
-            F.col("step_id").cast("long"),
-            F.lit(which).alias("_which"),
-            F.col(s).cast("long").alias("_span_start"),
+            "step_id",
+            F.col("_e.w").alias("_which"),
+            F.col("_e.s").alias("_span_start"),
             F.lit(None).cast("long").alias("_tidx"),
             F.lit(None).cast("long").alias("_tend"),
         )
-
-    allrows = tok.unionByName(events("d", "delim_start", "delim_end")).unionByName(events("s", "step_start", "step_end"))
+    )
+    allrows = tok.unionByName(events)
     w = Window.partitionBy(*ids).orderBy("_key", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     looked = allrows.select(
         *ids,

@@ -362,8 +362,9 @@ def derived_runs(spark, sf_dir):
 
 
 def _runs_scored(spark, sf_dir):
-    runs = score_runs(derived_runs(spark, sf_dir))
-    st = segment_steps(runs.select("doc_id", "condition", "response"), "response", ["doc_id", "condition"], "\n\n")
+    raw = derived_runs(spark, sf_dir)
+    runs = score_runs(raw)
+    st = segment_steps(raw.select("doc_id", "condition", "response"), "response", ["doc_id", "condition"], "\n\n")
     lab = st.select("doc_id", "condition", cue_label("step_text").alias("label"))
     counts = lab.groupBy("doc_id", "condition").agg(
         F.count_if(F.col("label") == "reflection").alias("reflection_steps"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracelab.functions.cues import cue_label, sql_cue_label
 from tracelab.functions.text import SOLUTION_HEADER, answer_match, extract_final_answer, normalize_answer
 from tracelab.operators.segment import (
+    evaluate_once,
     extract_question_response,
     parse_reasoning,
     reasoning_samples,
@@ -95,13 +96,21 @@ def _answers(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     tr = derived_traces(docs).withColumnRenamed("doc_id", "tid")
     j = docs.select("doc_id", "text").join(tr, F.col("doc_id") == F.col("tid"))
-    pred = extract_final_answer("response")
-    return j.select(
+    # each answer is extracted once; normalising / matching read the result
+    ans = evaluate_once(
+        j.select(
+            "doc_id",
+            "reference_answer",
+            extract_final_answer("response").alias("predicted_answer"),
+            extract_final_answer("text").alias("last_line_answer"),
+        )
+    )
+    return ans.select(
         "doc_id",
-        pred.alias("predicted_answer"),
-        extract_final_answer("text").alias("last_line_answer"),
-        normalize_answer(extract_final_answer("text")).alias("normalized_last_line"),
-        answer_match(pred, "reference_answer").alias("is_correct"),
+        "predicted_answer",
+        "last_line_answer",
+        normalize_answer("last_line_answer").alias("normalized_last_line"),
+        answer_match("predicted_answer", "reference_answer").alias("is_correct"),
         answer_match(F.lit(" 5 "), "reference_answer").alias("is_five"),
     )
 
