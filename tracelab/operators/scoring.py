@@ -22,21 +22,26 @@ def label_means(features: DataFrame, d_sae: int, label_col: str = "label") -> Da
 
     ``features`` is the sparse top-k table; ``rank = 0`` marks exactly one
     entry per input row, so row counts per label come out of the same
-    aggregate.  The latent grid is generated per label (no join with a
-    ``range`` table and no cross join).
+    aggregate.  The plan reads the features once: one aggregate per
+    (label, latent), then one row per label holding its latent sums as a
+    map (at most d_sae entries), from which the full latent grid is
+    generated (no join with a ``range`` table, no cross join).
     Output: label, latent_id, mean_activation, num_steps.
     """
     sums = features.groupBy(label_col, "latent_id").agg(
         F.sum("value").alias("s"), F.count_if(F.col("rank") == 0).alias("c0")
     )
-    counts = sums.groupBy(label_col).agg(F.sum("c0").alias("num_steps"))
-    grid = counts.select(
-        label_col, "num_steps", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(d_sae - 1).cast("long"))).alias("latent_id")
+    per_label = sums.groupBy(label_col).agg(
+        F.sum("c0").alias("num_steps"), F.map_from_entries(F.collect_list(F.struct("latent_id", "s"))).alias("_m")
     )
-    return grid.join(sums.select(label_col, "latent_id", "s"), [label_col, "latent_id"], "left").select(
+    grid = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(d_sae - 1).cast("long")),
+        lambda i: F.struct(i.alias("latent_id"), F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)).alias("s")),
+    )
+    return per_label.select(label_col, "num_steps", F.explode(grid).alias("_g")).select(
         label_col,
-        "latent_id",
-        (F.coalesce(F.col("s"), F.lit(0.0)) / F.col("num_steps")).alias("mean_activation"),
+        F.col("_g.latent_id").alias("latent_id"),
+        (F.col("_g.s") / F.col("num_steps")).alias("mean_activation"),
         F.col("num_steps").cast("long").alias("num_steps"),
     )
 
@@ -90,17 +95,16 @@ def score_behavior(features: DataFrame, d_sae: int, n_top: int = 20, label_col:
     return {"means": means, "specificity": spec, "top": top, "assignments": assigned}
 
 
-def behavior_summary(top: DataFrame, assigned: DataFrame, label_col: str = "label") -> DataFrame:
-    """E6 flat summary: one row per (label, rank) with the assignment flag."""
-    a = assigned.select(
-        F.col("feature_index").alias("latent_id"), F.col("assigned_label").alias("_assigned")
-    )
-    return top.join(a, "latent_id", "left").select(
+def behavior_summary(top: DataFrame, label_col: str = "label") -> DataFrame:
+    """E6 flat summary: one row per (label, rank) with the assignment flag
+    (A9 as a window over the top rows, so the top list is read once)."""
+    w = Window.partitionBy("latent_id").orderBy(F.round("specificity", ORDER_DIGITS).desc(), F.col(label_col).asc())
+    return top.select(
         F.col(label_col),
         F.col("num_steps"),
         F.col("rank").cast("long").alias("rank"),
         F.col("latent_id").alias("feature_index"),
         "specificity",
         "mean_activation",
-        F.coalesce(F.col("_assigned") == F.col(label_col), F.lit(False)).alias("is_assigned"),
+        (F.first(label_col).over(w) == F.col(label_col)).alias("is_assigned"),
     )

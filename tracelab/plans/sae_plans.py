@@ -18,7 +18,7 @@ def fixture_features(spark, sf_dir, sparse: bool = False):
 def _flagship(spark, sf_dir):
     params, feats = fixture_features(spark, sf_dir)
     st = score_behavior(feats, params.d_sae, n_top=20)
-    out = behavior_summary(st["top"], st["assignments"])
+    out = behavior_summary(st["top"])
     return out.select(
         F.col("label").cast("long").alias("label"),
         "num_steps",
