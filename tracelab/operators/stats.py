@@ -151,23 +151,43 @@ def browse_features(features: DataFrame, sample_col: str, pos_col: str, position
     for each the n_pos positions with the highest value (zeros included,
     value desc then position asc).
 
-    ``positions`` lists (sample, position) of all rows.  Zero-valued
+    The features are read once: a window per (sample, latent) gives the
+    total, a window per sample ranks the latents, and each top latent's hits
+    are gathered into one row (bounded by the sample's length).  Zero-valued
     positions only matter when a latent is active at fewer than n_pos
-    positions; the lowest n_pos positions of a sample always cover them, so
-    the candidate set is (active positions) ∪ (first n_pos positions) —
-    at most k·(hits + n_pos) rows per sample, never positions × latents.
+    positions; the sample's lowest n_pos positions (from ``positions``, a
+    cheap scan) always cover them and are merged inside the row.
     """
-    tot = features.groupBy(sample_col, "latent_id").agg(F.sum("value").alias("total_activation"))
-    w = Window.partitionBy(sample_col).orderBy(F.col("total_activation").desc(), F.col("latent_id").asc())
-    top = tot.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    wpos = Window.partitionBy(sample_col).orderBy(pos_col)
-    first = positions.withColumn("_r", F.row_number().over(wpos)).filter(F.col("_r") <= n_pos).drop("_r")
-    zero = top.join(first, sample_col).select(sample_col, "latent_id", pos_col, F.lit(0.0).alias("value"))
-    hits = features.join(top.select(sample_col, "latent_id"), [sample_col, "latent_id"]).select(sample_col, "latent_id", pos_col, "value")
-    cand = hits.unionByName(zero).groupBy(sample_col, "latent_id", pos_col).agg(F.max("value").alias("value"))
-    wp = Window.partitionBy(sample_col, "latent_id").orderBy(F.col("value").desc(), F.col(pos_col).asc())
-    best = cand.withColumn("pos_rank", F.row_number().over(wp)).filter(F.col("pos_rank") <= n_pos)
-    return top.join(best, [sample_col, "latent_id"])
+    wl = Window.partitionBy(sample_col, "latent_id")
+    f = features.select(sample_col, pos_col, "latent_id", "value", F.sum("value").over(wl).alias("total_activation"))
+    ws = Window.partitionBy(sample_col).orderBy(F.round("total_activation", 9).desc(), F.col("latent_id").asc())
+    ranked = f.withColumn("rank", F.dense_rank().over(ws)).filter(F.col("rank") <= k)
+    per = ranked.groupBy(sample_col, "latent_id").agg(
+        F.first("rank").alias("rank"),
+        F.first("total_activation").alias("total_activation"),
+        F.collect_list(F.struct((-F.col("value")).alias("nv"), F.col(pos_col).alias("p"))).alias("hits"),
+    )
+    wp = Window.partitionBy(sample_col).orderBy(pos_col)
+    first = (
+        positions.withColumn("_r", F.row_number().over(wp))
+        .filter(F.col("_r") <= n_pos)
+        .groupBy(sample_col)
+        .agg(F.collect_list(F.struct(F.lit(-0.0).alias("nv"), F.col(pos_col).alias("p"))).alias("zeros"))
+    )
+    j = per.join(first, sample_col, "left")
+    hit_pos = F.transform("hits", lambda h: h["p"])
+    zeros = F.filter(F.coalesce("zeros", F.array().cast("array<struct<nv:double,p:bigint>>")), lambda z: ~F.array_contains(hit_pos, z["p"]))
+    best = F.slice(F.array_sort(F.concat(F.col("hits"), zeros)), 1, n_pos)
+    out = j.select(sample_col, "latent_id", "rank", "total_activation", F.posexplode(best).alias("_i", "_b"))
+    return out.select(
+        sample_col,
+        "latent_id",
+        "rank",
+        "total_activation",
+        (F.col("_i") + 1).alias("pos_rank"),
+        F.col("_b.p").alias(pos_col),
+        (-F.col("_b.nv") + F.lit(0.0)).alias("value"),
+    )
 
 
 # ---------------------------------------------------------------------------
@@ -233,31 +253,39 @@ def feature_cooccurrence(features: DataFrame, id_col: str, min_support: int = 1)
     """Jaccard similarity of latent activation sets (rows where f > 0).
 
     Pairs are formed *inside a row* from its sorted active latents (at most
-    k(k-1)/2 per row, k being the model's top-k), never by a self-join;
-    pair counts use map-side partial aggregation, so a pair present in a
-    third of all rows still shuffles one partial count per task.
+    k(k+1)/2 per row, k being the model's top-k, self-pairs included to
+    count each latent), never by a self-join.  One aggregate counts pairs
+    (map-side partial aggregation, so a pair present in a third of all rows
+    ships one partial per task); the per-latent counts are the self-pairs,
+    brought to each pair by two windows over the small aggregated table, so
+    the features are read once.
     Output: latent_a < latent_b, n_both, jaccard (pairs with n_both >= min_support).
     """
     act = features.filter(F.col("value") > 0)
-    per_latent = act.groupBy("latent_id").agg(F.count(F.lit(1)).alias("n"))
     rows = act.groupBy(id_col).agg(F.array_sort(F.collect_list("latent_id")).alias("ids"))
     n = F.size("ids")
     pairs = rows.select(
         F.explode(
             F.flatten(
                 F.transform(
-                    F.when(n >= 2, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")),
+                    F.sequence(F.lit(0), n - 1),
                     lambda i: F.transform(
-                        F.slice("ids", i + 2, F.greatest(n - i - 1, F.lit(0))),
+                        F.slice("ids", i + 1, n - i),
                         lambda b: F.struct(F.element_at("ids", i + 1).alias("a"), b.alias("b")),
                     ),
                 )
             )
         ).alias("p")
     ).select(F.col("p.a").alias("latent_a"), F.col("p.b").alias("latent_b"))
-    counts = pairs.groupBy("latent_a", "latent_b").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= min_support)
-    na = per_latent.select(F.col("latent_id").alias("latent_a"), F.col("n").alias("n_a"))
-    nb = per_latent.select(F.col("latent_id").alias("latent_b"), F.col("n").alias("n_b"))
-    return counts.join(na, "latent_a").join(nb, "latent_b").select(
+    counts = pairs.groupBy("latent_a", "latent_b").agg(F.count(F.lit(1)).alias("n_both"))
+    self_n = F.when(F.col("latent_a") == F.col("latent_b"), F.col("n_both"))
+    with_n = counts.select(
+        "latent_a",
+        "latent_b",
+        "n_both",
+        F.max(self_n).over(Window.partitionBy("latent_a")).alias("n_a"),
+        F.max(self_n).over(Window.partitionBy("latent_b")).alias("n_b"),
+    )
+    return with_n.filter((F.col("latent_a") < F.col("latent_b")) & (F.col("n_both") >= min_support)).select(
         "latent_a", "latent_b", "n_both", (F.col("n_both") / (F.col("n_a") + F.col("n_b") - F.col("n_both"))).alias("jaccard")
     )
