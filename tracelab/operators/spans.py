@@ -14,16 +14,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def activation_points(tokens: DataFrame, steps: DataFrame, id_cols, strategy: str = "step_delimiter") -> DataFrame:
+def activation_points(tokens: DataFrame, steps: DataFrame, id_cols, strategy: str = "step_delimiter", details: bool = False) -> DataFrame:
     """J1 + J2: token index per step (delimiter first, else step, else null).
 
-    tokens: ids..., token_idx, tok_start, tok_end
+    tokens: ids..., token_idx, tok_start, tok_end [, token]
     steps:  ids..., step_id, step_start, step_end, delim_start, delim_end
-    Output: ids..., step_id, token_idx (nullable).
+    Output: ids..., step_id, token_idx (nullable); with ``details`` also
+    ``token`` (text of the chosen token) and ``n_tokens`` (tokens of the
+    text), taken from the same pass so callers need no second tokenization.
     """
     if strategy != "step_delimiter":
         raise ValueError(f"Unsupported activation point strategy: {strategy}")
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    has_text = details and "token" in tokens.columns
     tok = tokens.select(
         *ids,
         F.col("tok_start").alias("_key"),
@@ -33,6 +36,7 @@ def activation_points(tokens: DataFrame, steps: DataFrame, id_cols, strategy: st
         F.lit(None).cast("long").alias("_span_start"),
         F.col("token_idx").cast("long").alias("_tidx"),
         F.col("tok_end").cast("long").alias("_tend"),
+        (F.col("token") if has_text else F.lit(None).cast("string")).alias("_ttext"),
     )
 
     # both lookups of a step (delimiter span, step span) from one pass
@@ -54,11 +58,12 @@ def activation_points(tokens: DataFrame, steps: DataFrame, id_cols, strategy: st
             F.col("_e.s").alias("_span_start"),
             F.lit(None).cast("long").alias("_tidx"),
             F.lit(None).cast("long").alias("_tend"),
+            F.lit(None).cast("string").alias("_ttext"),
         )
     )
     allrows = tok.unionByName(events)
     w = Window.partitionBy(*ids).orderBy("_key", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    looked = allrows.select(
+    cols = [
         *ids,
         "step_id",
         "_which",
@@ -66,11 +71,25 @@ def activation_points(tokens: DataFrame, steps: DataFrame, id_cols, strategy: st
         "_kind",
         F.last("_tidx", ignorenulls=True).over(w).alias("_cand"),
         F.last("_tend", ignorenulls=True).over(w).alias("_cand_end"),
-    ).filter(F.col("_kind") == 0)
-    hit = F.when(F.col("_cand_end") > F.col("_span_start"), F.col("_cand"))
-    return looked.groupBy(*ids, "step_id").agg(
-        F.coalesce(F.max(F.when(F.col("_which") == "d", hit)), F.max(F.when(F.col("_which") == "s", hit))).alias("token_idx")
+    ]
+    if details:
+        cols += [
+            F.last("_ttext", ignorenulls=True).over(w).alias("_cand_text"),
+            F.sum(F.col("_kind")).over(Window.partitionBy(*ids)).alias("_ntok"),
+        ]
+    looked = allrows.select(*cols).filter(F.col("_kind") == 0)
+    ok = F.col("_cand_end") > F.col("_span_start")
+    if not details:
+        hit = F.when(ok, F.col("_cand"))
+        return looked.groupBy(*ids, "step_id").agg(
+            F.coalesce(F.max(F.when(F.col("_which") == "d", hit)), F.max(F.when(F.col("_which") == "s", hit))).alias("token_idx")
+        )
+    hit = F.when(ok, F.struct(F.col("_cand").alias("i"), F.col("_cand_text").alias("t")))
+    g = looked.groupBy(*ids, "step_id").agg(
+        F.coalesce(F.max(F.when(F.col("_which") == "d", hit)), F.max(F.when(F.col("_which") == "s", hit))).alias("_h"),
+        F.max("_ntok").alias("n_tokens"),
     )
+    return g.select(*ids, "step_id", F.col("_h.i").alias("token_idx"), F.col("_h.t").alias("token"), F.col("n_tokens").cast("long"))
 
 
 def point_mask(points: DataFrame, id_cols) -> DataFrame:
@@ -110,17 +129,18 @@ def select_points(df: DataFrame, id_cols, token_cols=("token_idx",), masks=("act
     return df.filter(F.coalesce(F.col(m).cast("boolean"), F.lit(False)))
 
 
-def keep_usable(texts: DataFrame, tokens: DataFrame, points: DataFrame, id_col: str, min_tokens: int = 10) -> DataFrame:
+def keep_usable(texts: DataFrame, points: DataFrame, id_col: str, min_tokens: int = 10) -> DataFrame:
     """Drop blank texts, texts with fewer than ``min_tokens`` tokens and
-    texts without any selected point."""
+    texts without any selected point.  ``points`` comes from
+    :func:`activation_points` with ``details=True`` (token counts ride along).
+    Output: id, n_tokens, n_points."""
     from tracelab.functions.text import is_blank
 
-    n_tok = tokens.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_tokens"))
-    n_pts = points.filter(F.col("token_idx").isNotNull()).groupBy(id_col).agg(F.countDistinct("token_idx").alias("n_points"))
+    per = points.groupBy(id_col).agg(
+        F.max("n_tokens").alias("n_tokens"), F.countDistinct("token_idx").alias("n_points")
+    )
     return (
         texts.filter(~is_blank("text"))
-        .join(n_tok, id_col)
-        .filter(F.col("n_tokens") >= min_tokens)
-        .join(n_pts, id_col)
-        .filter(F.col("n_points") > 0)
+        .select(id_col)
+        .join(per.filter((F.col("n_tokens") >= min_tokens) & (F.col("n_points") > 0)), id_col)
     )

@@ -242,8 +242,8 @@ SELECT DISTINCT t.doc_id, t.token_idx, t.tok_start, t.tok_end FROM tok t JOIN pt
 
 
 def _e1(spark, sf_dir):
-    docs, tok, pts = doc_points(spark, sf_dir)
-    sel = pts.filter(F.col("token_idx").isNotNull()).join(tok.select("doc_id", "token_idx", "token"), ["doc_id", "token_idx"])
+    _, _, pts = doc_points(spark, sf_dir)
+    sel = pts.filter(F.col("token_idx").isNotNull())
     x = extract_activations(sel, hash_encoder_factory(64), 64, "token")
     return x.select("doc_id", "step_id", "token_idx", r6(F.sqrt(sq_norm("x"))).alias("norm"))
 

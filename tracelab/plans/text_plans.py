@@ -160,9 +160,11 @@ FROM tok GROUP BY doc_id""",
 
 
 def doc_points(spark, sf_dir):
+    """Documents, their tokens, and per step the chosen point with its token
+    text and the text's token count (one tokenization feeds everything)."""
     docs, tok = _doc_tokens(spark, sf_dir)
     steps = segment_steps(docs, "text", "doc_id", "\n", with_text=False)
-    return docs, tok, activation_points(tok, steps, "doc_id")
+    return docs, tok, activation_points(tok, steps, "doc_id", details=True)
 
 
 SQL_POINTS = (
@@ -180,7 +182,7 @@ pts AS (SELECT s.doc_id, s.step_id, coalesce(pd.ti, ps.ti)::BIGINT AS token_idx
 )
 
 register("j2_activation_points", SQL_POINTS + "\nSELECT doc_id, step_id, token_idx FROM pts")(
-    lambda spark, sf_dir: doc_points(spark, sf_dir)[2]
+    lambda spark, sf_dir: doc_points(spark, sf_dir)[2].select("doc_id", "step_id", "token_idx")
 )
 
 
@@ -201,8 +203,8 @@ FROM pts WHERE token_idx IS NOT NULL GROUP BY doc_id""",
 
 
 def _usable(spark, sf_dir):
-    docs, tok, pts = doc_points(spark, sf_dir)
-    return keep_usable(docs.select("doc_id", "text"), tok, pts, "doc_id", 10).select(
+    docs, _, pts = doc_points(spark, sf_dir)
+    return keep_usable(docs.select("doc_id", "text"), pts, "doc_id", 10).select(
         "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_points").cast("long").alias("n_points")
     )
 
