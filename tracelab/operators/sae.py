@@ -400,17 +400,16 @@ def _forward_rows_blockwise(df, feats, params, id_col, x_col, keep, with_x_hat,
 
 def latents_frame(spark: SparkSession, params: SaeParams) -> DataFrame:
     """R6 latent table: one row per latent with its encoder column and decoder row."""
-    import pandas as pd
-
-    pdf = pd.DataFrame(
-        {
-            "latent_id": np.arange(params.d_sae, dtype=np.int64),
-            "w_enc": list(params.w_enc.T.astype(np.float64)),
-            "b_enc": params.b_enc.astype(np.float64),
-            "w_dec": list(params.w_dec.astype(np.float64)),
-            "activation_count": params.activation_count.astype(np.int64),
-            "steps_since": params.steps_since.astype(np.int64),
-        }
+    # plain Python values: works with or without Arrow conversion enabled
+    rows = list(
+        zip(
+            range(params.d_sae),
+            params.w_enc.T.astype(float).tolist(),
+            params.b_enc.astype(float).tolist(),
+            params.w_dec.astype(float).tolist(),
+            params.activation_count.astype(int).tolist(),
+            params.steps_since.astype(int).tolist(),
+        )
     )
     schema = T.StructType(
         [
@@ -422,7 +421,7 @@ def latents_frame(spark: SparkSession, params: SaeParams) -> DataFrame:
             T.StructField("steps_since", T.LongType(), False),
         ]
     )
-    return spark.createDataFrame(pdf, schema=schema)
+    return spark.createDataFrame(rows, schema=schema)
 
 
 def params_from_latents(latents: DataFrame, b_dec, k: int, budget: int = DEFAULT_BROADCAST_BUDGET) -> SaeParams:

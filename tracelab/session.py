@@ -31,6 +31,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -65,3 +66,32 @@ def broadcast_value(spark: SparkSession, value, nbytes: int, budget: int = DEFAU
     if nbytes > budget:
         raise ValueError(f"broadcast of {nbytes} bytes exceeds the budget of {budget} bytes")
     return spark.sparkContext.broadcast(value)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tracelab`` importable in the Python workers of this session.
+
+    Task code (Arrow kernels, pandas functions) refers to this package's
+    functions, so executors need it: the package is zipped on the driver and
+    distributed with ``addPyFile`` (once per application).
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="tracelab-pkg-"), "tracelab.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)

@@ -28,18 +28,19 @@ def save_model(spark: SparkSession, params: SaeParams, path: str, optimizer: dic
     (+ optional optimizer moments per latent)."""
     lat = latents_frame(spark, params)
     if optimizer:
-        import pandas as pd
-
-        extra = pd.DataFrame(
-            {
-                "latent_id": np.arange(params.d_sae, dtype=np.int64),
-                "m_enc": list(optimizer["m"]["w_enc"].T),
-                "v_enc": list(optimizer["v"]["w_enc"].T),
-                "m_dec": list(optimizer["m"]["w_dec"]),
-                "v_dec": list(optimizer["v"]["w_dec"]),
-            }
+        extra = spark.createDataFrame(
+            list(
+                zip(
+                    range(params.d_sae),
+                    optimizer["m"]["w_enc"].T.astype(float).tolist(),
+                    optimizer["v"]["w_enc"].T.astype(float).tolist(),
+                    optimizer["m"]["w_dec"].astype(float).tolist(),
+                    optimizer["v"]["w_dec"].astype(float).tolist(),
+                )
+            ),
+            "latent_id long, m_enc array<double>, v_enc array<double>, m_dec array<double>, v_dec array<double>",
         )
-        lat = lat.join(spark.createDataFrame(extra), "latent_id")
+        lat = lat.join(extra, "latent_id")
     lat.write.mode(mode).parquet(posixpath.join(path, "latents"))
     meta = spark.createDataFrame(
         [(params.d_model, params.d_sae, params.k, int(params.step), float(params.best_l2_ratio), [float(v) for v in params.b_dec])],
