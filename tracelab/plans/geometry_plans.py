@@ -137,7 +137,7 @@ h AS (
            lambda z: z[1] - c.alpha * list_dot_product(e.embedding::DOUBLE[], v.v) * z[2]) AS h2, v.v
   FROM embeddings e CROSS JOIN cond c CROSS JOIN v
 )
-SELECT vec_id, condition, round(sqrt(list_dot_product(h2, h2)), 6) AS norm, round(list_dot_product(h2, v), 6) AS dot_v FROM h""",
+SELECT vec_id, condition, round(sqrt(list_dot_product(h2, h2)), 6) AS norm, round(list_dot_product(h2, v), 6) + 0.0 AS dot_v FROM h""",
 )(_x9)
 
 
