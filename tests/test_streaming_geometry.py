@@ -87,3 +87,23 @@ def test_nucleus_cut(spark):
     kept = {r.id: r.p_cut for r in top_mass_cut(df, "g", "id", "p", 0.7).collect()}
     assert set(kept) == {0, 1}
     assert abs(kept[0] - 0.625) < 1e-12
+
+
+def test_label_stream_resumes_exactly_once(spark, tmp_path):
+    from tracelab.streaming.streams import stream_label_steps
+
+    src = tmp_path / "in"
+    src.mkdir()
+    schema = "id long, step_id long, step_text string"
+    spark.createDataFrame([(1, 0, "Wait, let me verify."), (1, 1, "Then add.")], schema).coalesce(1).write.parquet(str(src / "a"))
+    out = str(tmp_path / "out")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
+    stream_label_steps(stream, out, ["id", "step_id"])
+    first = spark.read.parquet(out).count()
+    # a restart over the same output sees only the new file; its repeated key is dropped
+    spark.createDataFrame([(1, 1, "Then add."), (2, 0, "Alternatively, start over.")], schema).coalesce(1).write.parquet(str(src / "b"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
+    stream_label_steps(stream, out, ["id", "step_id"])
+    got = {(r.id, r.step_id): r.label for r in spark.read.parquet(out).collect()}
+    assert first == 2 and len(got) == 3 and spark.read.parquet(out).count() == 3
+    assert got[(1, 0)] == "reflection" and got[(2, 0)] == "backtracking"

@@ -157,27 +157,34 @@ def adamw_update(p: SaeParams, grads: dict, state: AdamState, lr: float, betas=(
 # ---------------------------------------------------------------------------
 
 
-def active_latents(batch: DataFrame, p: SaeParams, x_col: str, budget: int = DEFAULT_BROADCAST_BUDGET) -> np.ndarray:
-    """Pass 1: distinct latents in the top-k of any row (≤ d_sae ids)."""
+def active_latents(batch: DataFrame, p: SaeParams, x_col: str, budget: int = DEFAULT_BROADCAST_BUDGET) -> tuple[np.ndarray, int]:
+    """Pass 1: latents in the top-k of any row (≤ d_sae ids per partition,
+    merged on the driver) and the batch's row count, in one job."""
     spark = batch.sparkSession
     if p.nbytes > budget:
         raise ValueError("model over the broadcast budget; fit supports broadcastable models only")
     bc = spark.sparkContext.broadcast((p.w_enc, p.b_enc, p.b_dec, p.k))
-    schema = T.StructType([T.StructField("latent_id", T.LongType())])
+    schema = T.StructType([T.StructField("latent_id", T.LongType()), T.StructField("n", T.LongType())])
 
     def fn(batches):
         w_enc, b_enc, b_dec, k = bc.value
         seen = np.zeros(w_enc.shape[1], dtype=bool)
+        n = 0
         for rb in batches:
             if rb.num_rows:
                 x = list_matrix(rb.column(x_col))
                 ids, _ = topk_select(np.maximum(encode_dense(x, w_enc, b_enc, b_dec), 0.0), k)
                 seen[np.unique(ids)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(seen)[0].astype(np.int64))], names=["latent_id"])
+                n += rb.num_rows
+        ids = np.nonzero(seen)[0].astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(ids, -1)), pa.array(np.append(np.zeros(len(ids), dtype=np.int64), n))], names=["latent_id", "n"]
+        )
 
-    ids = [r[0] for r in batch.select(x_col).mapInArrow(fn, schema).distinct().collect()]
+    rows = batch.select(x_col).mapInArrow(fn, schema).collect()
     bc.destroy()
-    return np.array(sorted(ids), dtype=np.int64)
+    ids = np.unique(np.array([r[0] for r in rows if r[0] >= 0], dtype=np.int64))
+    return ids, int(sum(r[1] for r in rows))
 
 
 def distributed_gradients(batch: DataFrame, p: SaeParams, x_col: str, dead: np.ndarray, n_rows: int, aux_weight: float):
@@ -293,10 +300,9 @@ def fit_sae(
     for _ in range(steps):
         b = p.step % n_batches
         batch = batches.filter(F.col("batch") == b)
-        active = active_latents(batch, p, x_col)
+        active, n_rows = active_latents(batch, p, x_col)
         dead = np.ones(p.d_sae, dtype=bool)
         dead[active] = False
-        n_rows = batch.count()
         grads, st = distributed_gradients(batch, p, x_col, dead, n_rows, aux_weight)
         cur_lr = lr_at(p.step, lr, warmup_steps, total)
         norm = adamw_update(p, grads, state, cur_lr, weight_decay=weight_decay)

@@ -124,8 +124,10 @@ def latest_activity(updates: DataFrame, d_sae: int) -> DataFrame:
 
 def foreach_batch_to_folder(stream_df: DataFrame, out: str, transform: Callable[[DataFrame, int], DataFrame], name: str) -> str:
     """Run ``transform`` on every micro-batch and write its result to
-    ``out/batch_id=<id>`` (overwritten on a retry of the same batch)."""
-    spark = stream_df.sparkSession
+    ``out/batch_id=<id>`` (overwritten on a retry of the same batch).  The
+    stream's checkpoint lives in ``out/_checkpoint`` (skipped by parquet
+    readers), so running again over the same output resumes where the last
+    run stopped."""
 
     def sink(batch_df: DataFrame, batch_id: int):
         res = transform(batch_df, batch_id)
@@ -133,7 +135,7 @@ def foreach_batch_to_folder(stream_df: DataFrame, out: str, transform: Callable[
 
     q = (
         stream_df.writeStream.foreachBatch(sink)
-        .option("checkpointLocation", checkpoint_location(spark, name))
+        .option("checkpointLocation", posixpath.join(out, "_checkpoint"))
         .trigger(availableNow=True)
         .start()
     )
