@@ -151,3 +151,12 @@ def test_lr_schedule():
     assert lr_at(10, 1.0, 10, 100) == pytest.approx(1.0)
     assert lr_at(100, 1.0, 10, 100) == pytest.approx(0.01)
     assert isinstance(AdamState().t, int)
+
+
+def test_blockwise_decode_returns_same_x_hat(spark):
+    p = fixture_params(sparse=True)
+    emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(50)
+    a = {r.vec_id: r.x_hat for r in sae_forward_rows(emb, p, "vec_id", "embedding", with_x_hat=True).collect()}
+    b = {r.vec_id: r.x_hat for r in sae_forward_rows(emb, p, "vec_id", "embedding", with_x_hat=True, budget=40 * 1024).collect()}
+    assert a.keys() == b.keys()
+    assert all(np.allclose(a[k], b[k]) for k in a)

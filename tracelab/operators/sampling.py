@@ -42,7 +42,9 @@ def partition_index(df: DataFrame, order_cols, name: str = "row_index") -> DataF
     Range-partitions and sorts by the order (deterministic sampling, so a
     recomputation yields the same partitions), counts rows per partition
     (one row per partition reaches the driver), then adds each partition's
-    offset to the index inside the partition."""
+    offset to the index inside the partition.  ``order_cols`` must identify
+    rows uniquely: ties could come back in another order when a lost
+    partition is recomputed."""
     spark = df.sparkSession
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     s = df.orderBy(*order_cols).select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
