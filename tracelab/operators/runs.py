@@ -101,10 +101,12 @@ def label_steps(steps: DataFrame, judge: str = "heuristic", judge_fn=None, judge
     ctx = base.select("*", F.lag("step_text").over(w).alias("previous_step"), F.lead("step_text").over(w).alias("next_step"))
     out_schema = T.StructType(list(base.schema.fields) + [f for f in STEP_LABEL_SCHEMA.fields if f.name in ("label", "label_rationale", "label_source", "judge_model")])
 
+    base_cols = [f.name for f in base.schema.fields]  # no DataFrame inside the task closure
+
     def run(batches):
         for pdf in batches:
             got = judge_fn(pdf[["question", "response", "step_text", "previous_step", "next_step"]])
-            res = pdf[[f.name for f in base.schema.fields]].copy()
+            res = pdf[base_cols].copy()
             res["label"] = got["label"].str.lower().values
             bad = ~res["label"].isin(["reflection", "backtracking", "other"])
             if bad.any():
