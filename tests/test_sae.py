@@ -160,3 +160,12 @@ def test_blockwise_decode_returns_same_x_hat(spark):
     b = {r.vec_id: r.x_hat for r in sae_forward_rows(emb, p, "vec_id", "embedding", with_x_hat=True, budget=40 * 1024).collect()}
     assert a.keys() == b.keys()
     assert all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_topk_ties_break_to_lower_id():
+    rng = np.random.default_rng(4)
+    z = np.maximum(rng.integers(-3, 3, size=(200, 40)).astype(float), 0.0)  # many ties and zeros
+    ids, vals = topk_select(z, 7)
+    for row, i, v in zip(z, ids, vals):
+        order = np.lexsort((np.arange(len(row)), -row))[:7]
+        assert list(i) == list(order) and np.array_equal(v, row[order])
