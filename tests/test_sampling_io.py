@@ -123,3 +123,26 @@ def test_safetensors_import(spark, tmp_path):
     got = {(os.path.basename(r.file), r.row): r.x for r in rows}
     assert np.allclose(got[("a.safetensors", 2)], m[2])
     assert np.allclose(got[("b.safetensors", 1)], m[1] * 2)
+
+
+def test_draws_do_not_depend_on_partitioning(spark):
+    from tracelab.operators.segment import question_fallback
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, many = docs.repartition(1), docs.repartition(7, "lang")
+    s1 = sorted(r.doc_id for r in sample_n(one, 5, 3, "doc_id", by="lang").collect())
+    s2 = sorted(r.doc_id for r in sample_n(many, 5, 3, "doc_id", by="lang").collect())
+    assert s1 == s2
+    f1 = sorted(r.doc_id for r in question_fallback(one, "doc_id", 0.3, 1).collect())
+    f2 = sorted(r.doc_id for r in question_fallback(many, "doc_id", 0.3, 1).collect())
+    assert f1 == f2 and 0 < len(f1) < docs.count()
+    m1 = [(r.source, r.k) for r in mix_sources(one.select(F.col("doc_id").alias("k")), many.select((F.col("doc_id") + 10**6).alias("k")), 0.5, "k").collect()]
+    m2 = [(r.source, r.k) for r in mix_sources(many.select(F.col("doc_id").alias("k")), one.select((F.col("doc_id") + 10**6).alias("k")), 0.5, "k").collect()]
+    assert m1 == m2
+    w = docs.select("doc_id", F.col("n_chars").cast("double").alias("w"))
+    d1 = sorted((r.draw, r.doc_id) for r in sample_by_weight(w.repartition(1), "w", "doc_id", 50, 2).collect())
+    d2 = sorted((r.draw, r.doc_id) for r in sample_by_weight(w.repartition(5), "w", "doc_id", 50, 2).collect())
+    assert d1 == d2
+    b1 = {r.doc_id: r.batch for r in assign_batches(one.select("doc_id"), 16, "doc_id").collect()}
+    b2 = {r.doc_id: r.batch for r in assign_batches(many.select("doc_id"), 16, "doc_id").collect()}
+    assert b1 == b2
