@@ -252,12 +252,15 @@ def perplexity_report(base: DataFrame, patched: DataFrame, key: str, limit_pct:
     ).withColumn("all_passed", F.bool_and("passed").over(Window.partitionBy()))
 
 
-def eval_texts(df: DataFrame, order_col: str, min_chars: int = 50, max_samples: int | None = None, fields=("text", "question", "problem")) -> DataFrame:
-    """Texts longer than ``min_chars`` (first non-empty of text /
-    question / problem), first ``max_samples`` by ``order_col``."""
+def eval_texts(df: DataFrame, order_col: str, min_chars: int | None = None, max_samples: int | None = None, fields=("text", "question", "problem")) -> DataFrame:
+    """Evaluation texts: the first non-empty of text / question / problem;
+    ``min_chars`` keeps only longer texts (the wikitext rule is 50); the first
+    ``max_samples`` by ``order_col``."""
     present = [f for f in fields if f in df.columns]
     t = F.coalesce(*[F.nullif(F.col(f), F.lit("")) for f in present])
-    out = df.select(order_col, t.alias("text")).filter(F.length("text") > min_chars)
+    out = df.select(order_col, t.alias("text")).filter(F.col("text").isNotNull())
+    if min_chars is not None:
+        out = out.filter(F.length("text") > min_chars)
     if max_samples is not None:
         out = out.orderBy(order_col).limit(max_samples)
     return out
