@@ -146,3 +146,10 @@ def test_draws_do_not_depend_on_partitioning(spark):
     b1 = {r.doc_id: r.batch for r in assign_batches(one.select("doc_id"), 16, "doc_id").collect()}
     b2 = {r.doc_id: r.batch for r in assign_batches(many.select("doc_id"), 16, "doc_id").collect()}
     assert b1 == b2
+
+
+def test_single_file_is_train(spark, tmp_path):
+    p = tmp_path / "test.jsonl"
+    p.write_text('{"problem": "a"}\n{"problem": "b"}\n')
+    df = read_dataset(spark, str(p), split=None)
+    assert {r.split for r in df.collect()} == {"train"} and df.count() == 2

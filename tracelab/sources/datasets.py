@@ -35,6 +35,11 @@ def list_files(spark: SparkSession, root: str) -> list[str]:
     return sorted(out)
 
 
+def _is_file(spark: SparkSession, root: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+
+
 def _strip_scheme(p: str) -> str:
     for pre in ("file://", "file:"):
         if p.startswith(pre):
@@ -82,6 +87,8 @@ def discover(spark: SparkSession, root: str) -> tuple[str, dict[str, list[str]]]
     if len(by_fmt) > 1:
         raise ValueError(f"Found multiple data formats in {root}: {', '.join(sorted(by_fmt))}")
     fmt, fl = next(iter(by_fmt.items()))
+    if _is_file(spark, root):
+        return fmt, {"train": fl}  # a single data file is the train split
     splits: dict[str, list[str]] = {}
     for f in fl:
         splits.setdefault(infer_split(f, root), []).append(f)
