@@ -107,3 +107,23 @@ def test_label_stream_resumes_exactly_once(spark, tmp_path):
     got = {(r.id, r.step_id): r.label for r in spark.read.parquet(out).collect()}
     assert first == 2 and len(got) == 3 and spark.read.parquet(out).count() == 3
     assert got[(1, 0)] == "reflection" and got[(2, 0)] == "backtracking"
+
+
+def test_segment_stream_resumes(spark, tmp_path):
+    from tracelab.streaming.streams import stream_segment
+
+    schema = "doc_id long, text string"
+    src = tmp_path / "docs"
+    spark.createDataFrame([(1, "a\n\nb"), (2, "c")], schema).coalesce(1).write.parquet(str(src / "p1"))
+    out = str(tmp_path / "steps")
+
+    def run():
+        s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
+        stream_segment(s, out, "text", "doc_id", "\n\n")
+
+    run()
+    assert spark.read.parquet(out).count() == 3
+    spark.createDataFrame([(3, "d\n\n\n\ne")], schema).coalesce(1).write.parquet(str(src / "p2"))
+    run()
+    got = sorted((r.doc_id, r.step_id, r.step_start, r.step_end) for r in spark.read.parquet(out).collect())
+    assert got == [(1, 0, 0, 1), (1, 1, 3, 4), (2, 0, 0, 1), (3, 0, 0, 1), (3, 1, 5, 6)]
