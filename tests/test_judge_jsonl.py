@@ -108,3 +108,13 @@ def test_cached_question_clash_raises(spark):
     bad = spark.createDataFrame([(2, 0, "other question", "c", None)], "sample_id long, seq int, question string, response string, reference_answer string")
     with pytest.raises(Exception):
         with_cached_responses(samples, bad, "seq").collect()
+
+
+def test_cut_last_line_is_per_file(spark, tmp_path):
+    d = tmp_path / "runs"
+    d.mkdir()
+    (d / "a.jsonl").write_text('{"k":1}\n{"k":2}\n{"k":')
+    (d / "b.jsonl").write_text('{"k":3}\n\n{"k"')
+    recs, stats = read_jsonl_tolerant(spark, str(d))
+    assert recs.count() == 3
+    assert sum(r.skipped_invalid_lines for r in stats.collect()) == 2
