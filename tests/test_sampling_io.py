@@ -153,3 +153,14 @@ def test_single_file_is_train(spark, tmp_path):
     p.write_text('{"problem": "a"}\n{"problem": "b"}\n')
     df = read_dataset(spark, str(p), split=None)
     assert {r.split for r in df.collect()} == {"train"} and df.count() == 2
+
+
+def test_csv_folders_and_split_names(spark, tmp_path):
+    (tmp_path / "train").mkdir()
+    (tmp_path / "val").mkdir()
+    (tmp_path / "train" / "part.csv").write_text('question,answer\n"multi\nline",1\nq2,2\n')
+    (tmp_path / "val" / "part.csv").write_text("question,answer\nq3,3\n")
+    df = read_dataset(spark, str(tmp_path), split=None)
+    got = {(r.split, r.question, r.answer) for r in df.collect()}
+    assert got == {("train", "multi\nline", 1), ("train", "q2", 2), ("validation", "q3", 3)}
+    assert read_dataset(spark, str(tmp_path), split="validation").count() == 1
