@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Upper bound for anything this library ships to executors as a broadcast
 # (model parameters, small lookup tables).  Bigger objects take the
@@ -36,38 +37,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a scratch folder is created and registered.
+    Only where all tasks run in the driver's process (``local[...]``: tests,
+    benchmarks) is a scratch folder set if there is none; on a cluster that
+    would be a folder of one machine, so it is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not current:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="tracelab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def broadcast_value(spark: SparkSession, value, nbytes: int, budget: int = DEFAULT_BROADCAST_BUDGET):
-    """Broadcast a driver-side value after checking its size.
-
-    Returns an object with a ``.value`` attribute.  Raises when the value is
-    over the budget so callers must pick their partitioned path instead.
-    """
-    if nbytes > budget:
-        raise ValueError(f"broadcast of {nbytes} bytes exceeds the budget of {budget} bytes")
-    return spark.sparkContext.broadcast(value)
-
-
 _SHIPPED: set[str] = set()
 
 
