@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tracelab.llm import lm, mixing, pieces, resampling, rules, secrets, simhash, topk, url_filter
+from tracelab.llm import lm, mixing, pieces, resampling, rules, secrets, simhash, suffix_dedup, topk, url_filter
 from tracelab.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_secrets": op3_secrets,
     "op4_topk": op4_topk,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_rules": op6_rules,
     "op7_lm": op7_lm,
     "op8_pieces": op8_pieces,
