@@ -38,7 +38,8 @@ WINDOW = LENGTH - GRAM + 1  # grams in a string, and the most strings in a segme
 BATCH_BYTES = 3 << 20
 BUCKET_BYTES = 4 << 20
 BUCKET_SEGMENTS = 10_000
-HOT = 100
+HOT = BUCKET_SEGMENTS // 10  # more of one gram would make a task uneven
+RUN = 16
 LAST_ID = (1 << 63) - 1
 #: One segment: hash of its text, gram, packed numbers (see _packed), document, start of its first string.
 SEGMENT = np.dtype([("text", "<u8"), ("gram", "<u4"), ("packed", "<u4"), ("doc", "<i8"), ("start", "<i4")])
@@ -238,6 +239,7 @@ def _strings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return text, (np.cumsum(length) - length)[row] + j, row, j
 
 
+RUNS = "digest binary, doc long, tag int, start int, strings int, anchor int, s binary"
 COVERED = "doc long, tag int, start int, n int"
 
 
@@ -269,16 +271,38 @@ def _sorted_segments(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": doc[row[later]], "tag": tag[row[later]], "start": begin[later], "n": 1})
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each string of the segments by its digest."""
+def _digests(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
+    """Runs of up to ``step`` strings (cut where the anchor's offset is a
+    multiple of it, so that equal strings lie in like runs) by their digest."""
+    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
     for b in batches:
         out: list[tuple] = []
-        for r in b.to_pylist():
-            s = r["s"]
-            out += [(hashlib.blake2b(s[j : j + LENGTH], digest_size=16).digest(), r["doc"], r["tag"], r["start"] + j) for j in range(r["strings"])]
-        cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["digest", "doc", "tag", "start"])
+        for doc, tag, start, strings, anchor, s in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "start", "strings", "anchor", "s")), strict=True):
+            j = 0
+            while j < strings:
+                n = min(strings - j, (anchor - j) % step + 1)
+                part = s[j : j + n + LENGTH - 1]
+                out.append((hashlib.blake2b(part, digest_size=16).digest(), doc, tag, start + j, n, anchor - j, part))
+                j += n
+        cols = list(zip(*out, strict=True)) if out else [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["digest", "doc", "tag", "start", "strings", "anchor", "s"])
+
+
+def by_digests(found: DataFrame) -> DataFrame:
+    """What _sorted_segments finds, by grouping: runs of strings first, then
+    the single strings of the runs that are not covered as a whole (their
+    first occurrences are among these)."""
+    covered = []
+    for step in (RUN, 1):
+        runs = stash(found.select("doc", "tag", "start", "strings", "anchor", "s").mapInArrow(lambda b, step=step: _digests(b, step), RUNS), "suffix-runs")
+        first = runs.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times"))
+        if step > 1:
+            judged = stash(runs.join(first.drop("times"), "digest").withColumn("later", F.expr("struct(doc, start) > first")), "suffix-judged")
+            found = judged.where("NOT later")
+        else:
+            judged = runs.join(first.where("times > 1"), "digest").withColumn("later", F.expr("struct(doc, start) > first"))
+        covered.append(judged.where("later").select("doc", "tag", "start", F.col("strings").alias("n")))
+    return covered[0].union(covered[1])
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,9 +339,7 @@ def covered_ranges(docs: DataFrame, buckets: int) -> DataFrame:
     groups = max(1, -(-fetched.where(f"texts <= {HOT}").count() // BUCKET_SEGMENTS))
     few_texts = fetched.where(f"texts <= {HOT}").withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(groups)))
     by_sort = few_texts.groupBy("part").applyInPandas(_sorted_segments, COVERED)
-    digests = stash(fetched.where(f"texts > {HOT}").select("doc", "tag", "start", "strings", "s").mapInArrow(_digests, "digest binary, doc long, tag int, start int"), "suffix-digests")
-    first = digests.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"))
-    by_digest = digests.join(first, "digest").where("struct(doc, start) > first").select("doc", "tag", "start", F.lit(1).alias("n"))
+    by_digest = by_digests(fetched.where(f"texts > {HOT}"))
     return settled.where("texts = 0").select("doc", "tag", "start", F.col("strings").alias("n")).union(by_sort).union(by_digest)
 
 
