@@ -35,7 +35,7 @@ MARKER = "▁"
 #: What an unknown character scores below the lowest piece (fixed value of the format).
 UNKNOWN_PENALTY = 10.0
 MAX_PIECES = 1_000_000
-CACHE_PARTS, CACHE_PART_CHARS = 200_000, 64
+CACHE_PARTS, CACHE_PART_CHARS = 300_000, 64
 
 
 def double_array(keys: list[bytes]) -> tuple[array, array]:
@@ -84,6 +84,31 @@ def double_array(keys: list[bytes]) -> tuple[array, array]:
     return base, check
 
 
+class PartCache:
+    """Paths of parts seen lately: two generations of at most CACHE_PARTS."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, array] = {}
+        self.old: dict[str, array] = {}
+
+    def put(self, part: str, ids: array) -> None:
+        if len(part) <= CACHE_PART_CHARS:
+            if len(self.new) >= CACHE_PARTS:
+                self.new, self.old = {}, self.new
+            self.new[part] = ids
+
+
+#: By worker process: tasks that follow one another with one vocabulary share what they have seen.
+_CACHES: dict[str, PartCache] = {}
+
+
+def _cache_of(key: str) -> PartCache:
+    if key not in _CACHES:
+        _CACHES.clear()
+        _CACHES[key] = PartCache()
+    return _CACHES[key]
+
+
 @dataclass
 class Vocabulary:
     """Pieces by id: text, log score, kind (normal, byte, unknown or control)."""
@@ -93,6 +118,10 @@ class Vocabulary:
     kinds: list[str]
     dummy_prefix: bool = True
 
+    @cached_property
+    def key(self) -> str:
+        return hashlib.sha256(repr((self.pieces, self.scores, self.kinds, self.dummy_prefix)).encode()).hexdigest()
+
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         from sentencepiece import SentencePieceProcessor
@@ -112,6 +141,16 @@ class Vocabulary:
     def trie(self) -> tuple[array, array]:
         return double_array([self.pieces[i].encode() for i in self.normal])
 
+    @cached_property
+    def walk(self) -> tuple[list[int], list[int], list[int]]:
+        """The trie as lists, with the id of the piece that ends at each node (else -1)."""
+        base, check = (x.tolist() for x in self.trie)
+        ends = [-1] * len(base)
+        for end, node in enumerate(check):
+            if base[end] < 0 and node >= 0 and base[node] == end:
+                ends[node] = self.normal[-1 - base[end]]
+        return base, check, ends
+
     @cached_property
     def bytes_at(self) -> dict[int, int]:
         return {int(self.pieces[i][3:5], 16): i for i, k in enumerate(self.kinds) if k == "byte"}
@@ -137,8 +176,8 @@ class Vocabulary:
     def best_path(self, data: bytes) -> list[int]:
         """Ids of the segmentation of the highest total score; on ties the one
         whose last differing piece is longer."""
-        base, check = self.trie
-        normal, scores, unknown_score = self.normal, self.scores, self.lowest
+        base, check, ends = self.walk
+        scores, unknown_score = self.scores, self.lowest
         n = len(data)
         best: list[float | None] = [None] * (n + 1)
         came: list[tuple[int, int]] = [(0, 0)] * (n + 1)
@@ -155,13 +194,13 @@ class Vocabulary:
                 if check[child] != node:
                     break
                 node, to = child, to + 1
-                end = base[node]
-                if check[end] == node and base[end] < 0:
-                    i = normal[-1 - base[end]]
+                i = ends[node]
+                if i >= 0:
                     value = score + scores[i]
-                    single = single or to == char_end
                     if best[to] is None or value > best[to]:
                         best[to], came[to] = value, (at, i)
+                    if to == char_end:
+                        single = True
             if not single:
                 value = score + unknown_score
                 if best[char_end] is None or value > best[char_end]:
@@ -179,20 +218,19 @@ class Vocabulary:
             at = start
         return ids[::-1]
 
-    def encode(self, text: str, cache: dict[str, array]) -> array:
+    def encode(self, text: str, cache: PartCache) -> array:
         ids = array("i")
         if not text:
             return ids
         text = text.replace(MARKER, " ")
         text = " " + text if self.dummy_prefix else text
         for part in self.part.findall(text) if self.part else [text]:
-            got = cache.get(part)
+            got = cache.new.get(part)
             if got is None:
-                got = array("i", self.best_path(part.replace(" ", MARKER).encode("utf-8", "replace")))
-                if len(part) <= CACHE_PART_CHARS:
-                    if len(cache) >= CACHE_PARTS:
-                        cache.clear()
-                    cache[part] = got
+                got = cache.old.get(part)
+                if got is None:
+                    got = array("i", self.best_path(part.replace(" ", MARKER).encode("utf-8", "replace")))
+                cache.put(part, got)
             ids.extend(got)
         return ids
 
@@ -209,7 +247,7 @@ class Vocabulary:
 
 def _ready(vocabulary: Vocabulary) -> Vocabulary:
     """With the trie built, so that tasks get it by broadcast."""
-    _ = vocabulary.trie, vocabulary.part, vocabulary.surfaces, vocabulary.bytes_at, vocabulary.lowest
+    _ = vocabulary.key, vocabulary.walk, vocabulary.part, vocabulary.surfaces, vocabulary.bytes_at, vocabulary.lowest
     return vocabulary
 
 
@@ -232,7 +270,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_ready(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, cache = shared.value, {}
+        v = shared.value
+        cache = _cache_of(v.key)
         for b in batches:
             ids = [None if x is None else v.encode(x, cache) for x in b.column(b.schema.get_field_index("text")).to_pylist()]
             n = pa.array([None if x is None else len(x) for x in ids], pa.int64())
@@ -264,7 +303,8 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_ready(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, cache = shared.value, {}
+        v = shared.value
+        cache = _cache_of(v.key)
         is_byte = np.array([k == "byte" for k in v.kinds])
         for b in batches:
             texts = b.column(1).to_pylist()

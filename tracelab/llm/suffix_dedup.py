@@ -239,7 +239,7 @@ def _strings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return text, (np.cumsum(length) - length)[row] + j, row, j
 
 
-RUNS = "digest binary, doc long, tag int, start int, strings int, anchor int, s binary"
+RUNS = "digest binary, core binary, doc long, tag int, start int, strings int, anchor int, s binary"
 COVERED = "doc long, tag int, start int, n int"
 
 
@@ -273,8 +273,9 @@ def _sorted_segments(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def _digests(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
     """Runs of up to ``step`` strings (cut where the anchor's offset is a
-    multiple of it, so that equal strings lie in like runs) by their digest."""
-    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    multiple of it, so that equal strings lie in like runs) by their digest,
+    with the digest of the bytes that any string at such offsets has."""
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
     for b in batches:
         out: list[tuple] = []
         for doc, tag, start, strings, anchor, s in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "start", "strings", "anchor", "s")), strict=True):
@@ -282,23 +283,27 @@ def _digests(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.Record
             while j < strings:
                 n = min(strings - j, (anchor - j) % step + 1)
                 part = s[j : j + n + LENGTH - 1]
-                out.append((hashlib.blake2b(part, digest_size=16).digest(), doc, tag, start + j, n, anchor - j, part))
+                past = (anchor - j) % step
+                core = b"%d:" % ((anchor - j) // step) + part[past : LENGTH - (step - 1 - past)]
+                out.append((hashlib.blake2b(part, digest_size=16).digest(), hashlib.blake2b(core, digest_size=16).digest(), doc, tag, start + j, n, anchor - j, part))
                 j += n
-        cols = list(zip(*out, strict=True)) if out else [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["digest", "doc", "tag", "start", "strings", "anchor", "s"])
+        cols = list(zip(*out, strict=True)) if out else [()] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["digest", "core", "doc", "tag", "start", "strings", "anchor", "s"])
 
 
 def by_digests(found: DataFrame) -> DataFrame:
     """What _sorted_segments finds, by grouping: runs of strings first, then
-    the single strings of the runs that are not covered as a whole (their
-    first occurrences are among these)."""
+    the single strings of the runs that are not covered as a whole but share
+    their core with another such run (first occurrences are among these)."""
     covered = []
     for step in (RUN, 1):
         runs = stash(found.select("doc", "tag", "start", "strings", "anchor", "s").mapInArrow(lambda b, step=step: _digests(b, step), RUNS), "suffix-runs")
         first = runs.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times"))
         if step > 1:
             judged = stash(runs.join(first.drop("times"), "digest").withColumn("later", F.expr("struct(doc, start) > first")), "suffix-judged")
-            found = judged.where("NOT later")
+            rest = judged.where("NOT later")
+            shared = rest.groupBy("core").agg(F.count("*").alias("sharing")).where("sharing > 1").select("core")
+            found = rest.join(shared, "core")
         else:
             judged = runs.join(first.where("times > 1"), "digest").withColumn("later", F.expr("struct(doc, start) > first"))
         covered.append(judged.where("later").select("doc", "tag", "start", F.col("strings").alias("n")))
