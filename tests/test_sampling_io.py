@@ -164,3 +164,24 @@ def test_csv_folders_and_split_names(spark, tmp_path):
     got = {(r.split, r.question, r.answer) for r in df.collect()}
     assert got == {("train", "multi\nline", 1), ("train", "q2", 2), ("validation", "q3", 3)}
     assert read_dataset(spark, str(tmp_path), split="validation").count() == 1
+
+
+def test_global_index_on_many_rows(spark):
+    from tracelab.operators.sampling import assign_batches, partition_index
+
+    rows = spark.range(600_000).select(((F.col("id") * 7919) % 600_011).alias("key"), F.md5(F.col("id").cast("string")).alias("payload"))
+    idx = partition_index(rows, "key", "i")
+    r = idx.agg(F.countDistinct("i").alias("d"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.count("*").alias("n")).first()
+    assert (r.d, r.lo, r.hi, r.n) == (600_000, 0, 599_999, 600_000)
+    sizes = sorted(x["count"] for x in assign_batches(rows, 4096, ["key"]).groupBy("batch").count().collect())
+    assert sizes == [600_000 % 4096, *[4096] * (600_000 // 4096)]
+
+
+def test_cumulative_weights_tile(spark):
+    from tracelab.operators.sampling import cumulative_weights
+
+    rows = spark.range(5000).select("id", (F.col("id") % 7).cast("double").alias("w"))
+    out, total = cumulative_weights(rows, "w", "id")
+    got = [(r["_lo"], r["_hi"]) for r in out.orderBy("id").collect()]
+    assert got[0][0] == 0 and got[-1][1] == float("inf") and all(a[1] == b[0] for a, b in zip(got, got[1:]))
+    assert total == sum(i % 7 for i in range(5000))

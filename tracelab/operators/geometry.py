@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from tracelab.functions.vectors import as_double, dot, unit_norm
 
-# Most labels a silhouette group may carry before the per-group label table
-# stops being shipped with every point (it is joined on the group key).
-MAX_LABELS_PER_GROUP = 100_000
 
 
 def silhouette_cosine(points: DataFrame, label_col: str = "label", x: str = "x", y: str = "y", by=()) -> DataFrame:

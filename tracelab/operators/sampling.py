@@ -2,9 +2,9 @@
 
 Randomness is a seeded hash of a row key (never ``rand()``), so a row's draw
 does not depend on partitioning and survives task retries.  Global indexes
-(batches, interleaving, cumulative weights) come from per-partition counts:
-one small aggregate (a row per partition) fixes each partition's offset, and
-every row adds its index inside the partition — no single-task window.
+(batches, interleaving, cumulative weights) come from range buckets with fixed
+bounds: one small aggregate (a row per bucket) fixes each bucket's offset, and
+every row adds its index inside the bucket — no single-task window.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.session import DEFAULT_BROADCAST_BUDGET
-
 
 def hash_uniform(key_cols, seed: int) -> Column:
     """Uniform in [0, 1) from md5(key || seed) (same digits in DuckDB)."""
@@ -36,28 +34,52 @@ def sample_n(df: DataFrame, n: int, seed: int, key_col: str, by: str = "split")
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
+BOUND_SAMPLE = 4096
+
+
+def range_buckets(df: DataFrame, order_cols: list[str], name: str, buckets: int | None = None) -> DataFrame:
+    """Add an int column that rises with ``order_cols``: how many of a list of
+    bounds a row is not below.  The bounds are constants of the plan (quantiles
+    of at most BOUND_SAMPLE keys, chosen by hash), so every job that uses the
+    column sees the same buckets, however it partitions."""
+    types = dict(df.dtypes)
+    keys = df.select(*order_cols)
+    sample = keys.orderBy(F.xxhash64(*order_cols)).limit(BOUND_SAMPLE)
+    rows = sample.distinct().orderBy(*order_cols).collect()
+    wanted = min(buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(rows))
+    if wanted < 2:
+        return df.withColumn(name, F.lit(0))
+    cuts = [rows[len(rows) * i // wanted] for i in range(1, wanted)]
+    struct = lambda r: F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order_cols])
+    key = F.struct(*[F.col(c).alias(c) for c in order_cols])
+    step = max(1, math.isqrt(len(cuts)))  # two levels: every step-th bound, then those between
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    heads = F.array(*[struct(g[0]) for g in groups])
+    group = F.size(F.filter(heads, lambda c: c <= key))
+    inner = F.array(*[F.array(*[struct(r) for r in g]) for g in groups])
+    within = F.size(F.filter(F.get(inner, group - 1), lambda c: c <= key))
+    return df.withColumn(name, F.when(group == 0, F.lit(0)).otherwise((group - 1) * step + within))
+
+
 def partition_index(df: DataFrame, order_cols, name: str = "row_index") -> DataFrame:
     """Dense 0-based global index in ``order_cols`` order.
 
-    Range-partitions and sorts by the order (deterministic sampling, so a
-    recomputation yields the same partitions), counts rows per partition
-    (one row per partition reaches the driver), then adds each partition's
-    offset to the index inside the partition.  ``order_cols`` must identify
-    rows uniquely: ties could come back in another order when a lost
-    partition is recomputed."""
-    spark = df.sparkSession
+    Rows fall into range buckets whose bounds are constants; a small aggregate
+    counts each bucket, and a row's index is its bucket's offset plus its row
+    number inside the bucket.  The driver sees one count a bucket.  Rows that
+    tie in ``order_cols`` get distinct indexes in no fixed order."""
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    s = df.orderBy(*order_cols).select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
-    s = s.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c")).collect()
-    offsets, acc = [], 0
-    for r in sorted(counts, key=lambda r: r["_pid"]):
-        offsets.append((int(r["_pid"]), acc))
-        acc += int(r["_c"])
-    if not offsets:
+    s = range_buckets(df, order_cols, "_bucket")
+    counts = {r["_bucket"]: r["_c"] for r in s.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c")).collect()}
+    if not counts:
         return df.withColumn(name, F.lit(None).cast("long"))
-    off = spark.createDataFrame(offsets, "_pid int, _off long")
-    return s.join(F.broadcast(off), "_pid").withColumn(name, F.col("_off") + F.col("_local")).drop("_pid", "_mid", "_local", "_off")
+    offsets, acc = [], 0
+    for i in range(max(counts) + 1):
+        offsets.append(acc)
+        acc += counts.get(i, 0)
+    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order_cols)) - 1
+    offset = F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("_bucket"))
+    return s.withColumn(name, offset + local).drop("_bucket")
 
 
 def assign_batches(df: DataFrame, batch_size: int, order_cols, name: str = "batch") -> DataFrame:
@@ -139,25 +161,22 @@ def cumulative_weights(df: DataFrame, weight_col: str, order_cols) -> tuple[Data
     tile [0, inf) without float gaps.  Per-partition sums (one row per
     partition) give the offsets; the running sum inside a partition is a
     window over that partition only.  Returns (df, total weight)."""
-    spark = df.sparkSession
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    s = df.filter(F.col(weight_col) > 0).orderBy(*order_cols).select(
-        "*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")
-    )
-    sums = sorted(s.groupBy("_pid").agg(F.sum(weight_col).alias("_s")).collect(), key=lambda r: r["_pid"])
+    s = range_buckets(df.filter(F.col(weight_col) > 0), order_cols, "_pid")
+    sums = {r["_pid"]: float(r["_s"]) for r in s.groupBy("_pid").agg(F.sum(weight_col).alias("_s")).collect()}
     offs, acc = [], 0.0
-    for i, r in enumerate(sums):
-        nxt = None
-        offs.append([int(r["_pid"]), acc, nxt])
-        acc += float(r["_s"])
-    for i in range(len(offs)):
-        offs[i][2] = offs[i + 1][1] if i + 1 < len(offs) else float("inf")
-    off = spark.createDataFrame([tuple(o) for o in offs] or [(0, 0.0, float("inf"))], "_pid int, _off double, _next double")
-    w = Window.partitionBy("_pid").orderBy("_mid")
+    for i in range(max(sums, default=-1) + 1):
+        offs.append(acc)
+        acc += sums.get(i, 0.0)
+    # an empty bucket's end is where the next one starts, so the intervals tile
+    lows = F.array(*[F.lit(x) for x in offs or [0.0]])
+    highs = F.array(*[F.lit(x) for x in [*offs[1:], float("inf")]])
+    w = Window.partitionBy("_pid").orderBy(*order_cols)
     run = F.coalesce(F.sum(weight_col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    out = s.join(F.broadcast(off), "_pid").withColumn("_lo", F.col("_off") + run)
-    out = out.withColumn("_hi", F.coalesce(F.lead("_lo").over(w), F.col("_next")))
-    return out.drop("_off", "_next"), acc
+    last = F.lit(max(sums, default=0))
+    end = F.when(F.col("_pid") == last, F.lit(float("inf"))).otherwise(F.get(highs, F.col("_pid")))
+    out = s.withColumn("_lo", F.get(lows, F.col("_pid")) + run)
+    return out.withColumn("_hi", F.coalesce(F.lead("_lo").over(w), end)), acc
 
 
 def sample_by_weight(rows: DataFrame, weight_col: str, key_col: str, n: int, seed: int) -> DataFrame:
@@ -270,5 +289,4 @@ def sources_summary(df: DataFrame, split_col: str = "split") -> DataFrame:
     return df.groupBy(split_col).agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(n_cols).cast("long"))
 
 
-__all__ = [name for name in dir() if not name.startswith("_") and name not in ("math", "DEFAULT_BROADCAST_BUDGET")]
-_ = math
+__all__ = [name for name in dir() if not name.startswith("_") and name != "math"]

@@ -106,7 +106,7 @@ def segment_steps(
     return evaluate_once(staged.select(*out))
 
 
-def tokenize_words(df: DataFrame, text_col: str, id_cols, max_len: int = 2048, keep=()) -> DataFrame:
+def tokenize_words(df: DataFrame, text_col: str, id_cols, max_len: int | None = None, keep=()) -> DataFrame:
     """X2 (default tokenizer): maximal non-whitespace runs with offsets.
 
     Every whitespace character is mapped to a space (``translate``, one
@@ -114,8 +114,8 @@ def tokenize_words(df: DataFrame, text_col: str, id_cols, max_len: int = 2048, k
     each piece's offset is the running sum of piece lengths + 1.  Empty
     pieces are whitespace; the others are the tokens (their text is the
     original text, since only whitespace was mapped).  The offset window is
-    partitioned by the text id (a text is one bounded group).  Truncated to
-    the first ``max_len`` tokens.
+    partitioned by the text id (a text is one bounded group).  All tokens, or
+    the first ``max_len`` if it is given.
     Output: ids..., keep..., token_idx, tok_start, tok_end (BIGINT), token.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
@@ -127,7 +127,8 @@ def tokenize_words(df: DataFrame, text_col: str, id_cols, max_len: int = 2048, k
     is_tok = (plen > 0).cast("int")
     idx = F.sum(is_tok).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
     staged = ex.select(*ids, *keep, "_piece", plen.alias("_len"), start.alias("_st"), is_tok.alias("_tok"), idx.alias("_idx"))
-    return staged.filter((F.col("_tok") == 1) & (F.col("_idx") < max_len)).select(
+    kept = F.col("_tok") == 1
+    return staged.filter(kept if max_len is None else kept & (F.col("_idx") < max_len)).select(
         *ids,
         *keep,
         F.col("_idx").cast("long").alias("token_idx"),
@@ -137,10 +138,11 @@ def tokenize_words(df: DataFrame, text_col: str, id_cols, max_len: int = 2048, k
     )
 
 
-def tokenize_chars(df: DataFrame, text_col: str, id_cols, max_len: int = 2048, keep=()) -> DataFrame:
+def tokenize_chars(df: DataFrame, text_col: str, id_cols, max_len: int | None = None, keep=()) -> DataFrame:
     """X2 ``char`` mode: one token per code point (the test tokenizer)."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    chars = F.slice(F.split(F.col(text_col), "(?s)(?!$)", -1), 1, max_len)
+    chars = F.split(F.col(text_col), "(?s)(?!$)", -1)
+    chars = chars if max_len is None else F.slice(chars, 1, max_len)
     return df.select(*ids, *keep, F.posexplode(chars).alias("token_idx", "token")).select(
         *ids,
         *keep,
@@ -273,32 +275,33 @@ def question_fallback(df: DataFrame, id_col: str, p: float = 0.1, seed: int = 42
 
 
 def extract_question_response(df: DataFrame, id_col: str) -> DataFrame:
-    """question/response pair per example plus ``reference_answer``."""
+    """question/response pair per example plus ``reference_answer``.
+
+    Without a question, the text before a solution header is the question; a
+    header with nothing after it leaves the combined text as the response."""
     from tracelab.functions.text import extract_final_answer
 
     sch = df.schema
     q, r, comb = first_text(sch, QUERY_FIELDS), first_text(sch, SOLUTION_FIELDS), first_text(sch, COMBINED_TEXT_FIELDS)
     b = df.select(F.col(id_col), q.alias("_q"), r.alias("_r"), comb.alias("_c"))
-    pos = F.regexp_instr(F.col("_c"), F.lit("(?i)" + SOLUTION_HEADER), 0)
     htxt = F.regexp_extract(F.col("_c"), "(?i)(" + SOLUTION_HEADER + ")", 1)
-    b = b.select("*", pos.alias("_p"), htxt.alias("_h"))
+    # position of the matched text in code points (regex positions are UTF-16 units)
+    b = b.select("*", htxt.alias("_h")).withColumn("_p", F.when(F.col("_h") != "", F.instr(F.col("_c"), F.col("_h"))).otherwise(0))
     tail = py_strip(F.substring("_c", (F.col("_p") + F.length("_h")).cast("int"), 1 << 30))
     prefix = py_strip(F.substring("_c", 1, (F.col("_p") - 1).cast("int")))
-    has_q = F.col("_q").isNotNull()
-    has_hdr = F.col("_c").isNotNull() & (F.col("_p") > 0) & (tail != "")
-    question = (
-        F.when(has_q & F.col("_r").isNotNull(), F.col("_q"))
-        .when(has_hdr, F.coalesce(F.col("_q"), prefix))
-        .when(has_q, F.col("_q"))
-    )
+    found = F.col("_c").isNotNull() & (F.col("_p") > 0)
+    asked = F.coalesce(F.col("_q"), F.when(found & (prefix != ""), prefix))
+    has_q = asked.isNotNull()
+    has_hdr = found & (tail != "")
+    question = F.when(F.col("_q").isNotNull() & F.col("_r").isNotNull(), F.col("_q")).when(has_hdr, F.coalesce(asked, F.lit(""))).otherwise(asked)
     response = (
-        F.when(has_q & F.col("_r").isNotNull(), F.col("_r"))
+        F.when(F.col("_q").isNotNull() & F.col("_r").isNotNull(), F.col("_r"))
         .when(has_hdr, tail)
         .when(has_q & F.col("_c").isNotNull(), F.col("_c"))
         .when(has_q, F.lit(""))
     )
     ref_src = (
-        F.when(has_q & F.col("_r").isNotNull(), F.col("_r"))
+        F.when(F.col("_q").isNotNull() & F.col("_r").isNotNull(), F.col("_r"))
         .when(has_hdr, tail)
         .when(has_q & F.col("_c").isNotNull(), F.col("_c"))
         .otherwise(F.coalesce(F.col("_r"), F.col("_c")))

@@ -21,19 +21,20 @@ def recon_metrics(rows: DataFrame, d_model: int, by=()) -> DataFrame:
     """A1 (+A2): l_recon = mean squared error over all elements; l2_ratio =
     mean over rows of ||x - x_hat||^2 / ||x||^2; l0 = mean count of f > 0;
     explained_variance = 1 - var(residual) / var(x), both unbiased over all
-    elements flattened."""
+    elements flattened.  Rows with a zero vector have no ratio and are left out
+    of its mean; without any variance the explained share is null."""
     by = [by] if isinstance(by, str) else list(by)
     n = F.count(F.lit(1))
     N = n * d_model
     sx, sx2, sr, sr2 = F.sum("x_sum"), F.sum("x_sq"), F.sum("r_sum"), F.sum("r_sq")
-    var_x = (sx2 - sx * sx / N) / (N - 1)
-    var_r = (sr2 - sr * sr / N) / (N - 1)
+    var_x = F.try_divide(sx2 - sx * sx / N, N - 1)
+    var_r = F.try_divide(sr2 - sr * sr / N, N - 1)
     aggs = [
         n.alias("n_rows"),
         (sr2 / N).alias("l_recon"),
-        F.avg(F.col("r_sq") / F.col("x_sq")).alias("l2_ratio"),
+        F.avg(F.try_divide(F.col("r_sq"), F.col("x_sq"))).alias("l2_ratio"),
         F.avg("l0").alias("l0"),
-        (F.lit(1.0) - var_r / var_x).alias("explained_variance"),
+        (F.lit(1.0) - F.try_divide(var_r, var_x)).alias("explained_variance"),
     ]
     return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
 

@@ -113,10 +113,12 @@ def _x9(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
     conds = F.array(*[F.struct(F.lit(n).alias("condition"), F.lit(a).alias("alpha")) for n, a in
                       [(p.split(":")[0], float(p.split(":")[1])) for p in DEFAULT_CONDITIONS.split(",")]])
-    # one behavior vector (label 0): a single-row table joined on a constant key
-    j = emb.select("vec_id", "embedding", F.explode(conds).alias("c")).withColumn("_k", F.lit(0)).join(
-        bv.withColumn("_k", F.lit(0)), "_k"
-    )
+    # one behavior vector (label 0, d_model numbers): a constant of the plan
+    vectors = bv.take(2)
+    if len(vectors) > 1:
+        raise ValueError("more than one behavior vector for label 0")
+    one = F.array(*[F.lit(float(x)) for x in vectors[0]["v"]]) if vectors else F.lit(None).cast("array<double>")
+    j = emb.select("vec_id", "embedding", one.alias("v"), F.explode(conds).alias("c")).where("v IS NOT NULL")
     h2 = remove_projection("embedding", "v", F.col("c.alpha"))
     return j.select(
         "vec_id",

@@ -429,7 +429,7 @@ FROM scored s JOIN cnt USING (doc_id, condition) GROUP BY s.condition""",
 
 def _losses(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    tok = tokenize_words(docs, "text", "doc_id", max_len=512)
+    tok = tokenize_words(docs, "text", "doc_id")
     n = tok.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
     base = docs.select("doc_id", "source", (F.lit(2.0) + (F.col("doc_id") % 17) / 10.0).alias("loss"))
     return base.join(n, "doc_id", "left").fillna(0, ["n_tokens"])
@@ -437,7 +437,7 @@ def _losses(spark, sf_dir):
 
 SQL_LOSSES = (
     "WITH "
-    + S.tokens_cte("tok", "documents", ["doc_id"], "text", 512)
+    + S.tokens_cte("tok", "documents", ["doc_id"], "text")
     + """,
 nt AS (SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id),
 losses AS (SELECT d.doc_id, d.source, 2.0 + (d.doc_id % 17) / 10.0 AS loss, coalesce(nt.n_tokens, 0) AS n_tokens
@@ -489,5 +489,5 @@ FROM ppl""",
 
 register(
     "p13_eval_texts",
-    "SELECT doc_id, length(text)::BIGINT AS n_chars FROM documents WHERE length(text) > 50 ORDER BY doc_id LIMIT 500",
-)(lambda spark, sf_dir: eval_texts(table(spark, sf_dir, "documents"), "doc_id", 50, 500).select("doc_id", F.length("text").cast("long").alias("n_chars")))
+    "SELECT doc_id, length(text)::BIGINT AS n_chars FROM documents WHERE length(text) > 50",
+)(lambda spark, sf_dir: eval_texts(table(spark, sf_dir, "documents"), "doc_id", 50).select("doc_id", F.length("text").cast("long").alias("n_chars")))

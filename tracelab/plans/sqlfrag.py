@@ -38,7 +38,7 @@ def segment_cte(name: str, src: str, ids: list[str], text: str, delim_sql: str,
 )"""
 
 
-def tokens_cte(name: str, src: str, ids: list[str], text: str, max_len: int = 2048) -> str:
+def tokens_cte(name: str, src: str, ids: list[str], text: str) -> str:
     idl = ", ".join(ids)
     return f"""
 {name}_r AS (
@@ -54,7 +54,6 @@ def tokens_cte(name: str, src: str, ids: list[str], text: str, max_len: int = 20
   SELECT {idl}, (row_number() OVER (PARTITION BY {idl} ORDER BY pos) - 1)::BIGINT AS token_idx,
          st::BIGINT AS tok_start, (st + length(run))::BIGINT AS tok_end, run AS token
   FROM {name}_s WHERE is_tok
-  QUALIFY token_idx < {max_len}
 )"""
 
 

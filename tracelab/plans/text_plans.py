@@ -134,7 +134,7 @@ FROM documents d JOIN traces t ON d.doc_id = t.doc_id""",
 
 def _doc_tokens(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs, tokenize_words(docs, "text", "doc_id", max_len=2048)
+    return docs, tokenize_words(docs, "text", "doc_id")
 
 
 def _token_stats(spark, sf_dir):
@@ -147,7 +147,7 @@ def _token_stats(spark, sf_dir):
     )
 
 
-SQL_TOKENS = "WITH " + S.tokens_cte("tok", "documents", ["doc_id"], "text", 2048)
+SQL_TOKENS = "WITH " + S.tokens_cte("tok", "documents", ["doc_id"], "text")
 
 register(
     "x2_token_offsets",

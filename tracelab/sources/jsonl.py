@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +31,8 @@ def read_jsonl_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, Data
         F.monotonically_increasing_id().alias("_mid"),
     )
     last = lines.groupBy("file").agg(F.max(F.struct("_blk", "_mid")).alias("_last"))
-    parsed = lines.filter(F.trim(F.col("line")) != "").select(
-        "file", "line", F.struct("_blk", "_mid").alias("_pos"), F.try_parse_json(F.trim("line")).alias("record")
+    parsed = lines.filter(F.col("line").rlike(r"\S")).select(
+        "file", "line", F.struct("_blk", "_mid").alias("_pos"), F.try_parse_json(F.regexp_replace("line", r"^\s+|\s+$", "")).alias("record")
     )
     j = parsed.join(last, "file")
     bad = F.col("record").isNull()
@@ -44,6 +44,13 @@ def read_jsonl_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     return records, stats
 
 
+def _write_counted(df: DataFrame, path: str, mode: str) -> int:
+    """Write JSON lines and count them in the same pass: the rows' functions run once."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).json(path)
+    return seen.get["n"]
+
+
 @dataclass
 class AppendResult:
     written: int
@@ -81,12 +88,10 @@ def append_results(df: DataFrame, path: str, keys: list[str], mode: str = "new")
         recovered = done.count()
         skipped = stats.agg(F.sum("skipped_invalid_lines")).first()[0] or 0
         todo = df.join(done.distinct(), keys, "left_anti")
-        written = todo.count()
-        todo.write.mode("append").json(path)
+        written = _write_counted(todo, path, "append")
         done.unpersist()
         return AppendResult(written, recovered, int(skipped), written + recovered)
-    written = df.count()
-    df.write.mode("overwrite").json(path)
+    written = _write_counted(df, path, "overwrite")
     return AppendResult(written, 0, 0, written)
 
 

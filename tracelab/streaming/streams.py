@@ -66,14 +66,12 @@ ACTIVITY_OUT = T.StructType(
 
 
 def _activity_update(key, pdfs, state):
-    """Per latent: batches arrive in order; a batch id above the last one seen
-    counts once (a batch split over two micro-batches is not counted twice)."""
+    """Per latent: a batch id above the last one of earlier micro-batches counts
+    once, in whatever order and chunks the rows of a micro-batch arrive.  Files
+    must come so that a micro-batch has no batch older than an earlier one's last."""
     count, last, seq = state.get if state.exists else (0, -1, 0)
-    for pdf in pdfs:
-        for b in sorted(set(int(v) for v in pdf["batch"])):
-            if b > last:
-                count += 1
-                last = b
+    new = {b for pdf in pdfs for b in pdf["batch"].unique().tolist() if b > last}
+    count, last = count + len(new), max(new, default=last)
     seq += 1
     state.update((count, last, seq))
     yield pd.DataFrame({"latent_id": [int(key[0])], "activation_count": [count], "last_batch": [last], "seq": [seq]})
@@ -90,19 +88,25 @@ def stream_latent_activity(features: DataFrame, batch_col: str = "batch") -> Dat
 
 
 def run_to_table(stream_df: DataFrame, name: str, output_mode: str = "update") -> DataFrame:
-    """Drive a stream over everything available now into a memory table."""
+    """Drive a stream over everything available now into Parquet in the shared
+    folder (one folder a micro-batch, overwritten on a retry) and read it back."""
     spark = stream_df.sparkSession
-    qn = f"{name}_{uuid.uuid4().hex[:8]}"
+    at = checkpoint_location(spark, name)
+    out = posixpath.join(at, "out")
+
+    def sink(batch_df: DataFrame, batch_id: int):
+        batch_df.write.mode("overwrite").parquet(posixpath.join(out, f"batch_id={batch_id}"))
+
     q = (
         stream_df.writeStream.outputMode(output_mode)
-        .format("memory")
-        .queryName(qn)
-        .option("checkpointLocation", checkpoint_location(spark, name))
+        .foreachBatch(sink)
+        .option("checkpointLocation", posixpath.join(at, "checkpoint"))
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
-    return spark.table(qn)
+    spark.createDataFrame([], stream_df.schema).write.mode("overwrite").parquet(posixpath.join(out, "batch_id=-1"))
+    return spark.read.schema(stream_df.schema).parquet(out).select(*stream_df.columns)
 
 
 def latest_activity(updates: DataFrame, d_sae: int) -> DataFrame:
@@ -163,10 +167,11 @@ def stream_label_steps(steps: DataFrame, out: str, keys: list[str], prepare: Cal
         if prepare is not None:
             df = prepare(df)
         lab = df.select(*df.columns, cue_label("step_text").alias("label"), cue_rationale("step_text").alias("label_rationale"))
-        try:
-            done = spark.read.parquet(out).filter(F.col("batch_id") != batch_id).select(*keys)
-        except Exception:  # noqa: BLE001 - no output yet
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(posixpath.join(out, "batch_id=*"))
+        written = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folder)
+        if not any(f.getPath().getName() != f"batch_id={batch_id}" for f in written or ()):
             return lab.dropDuplicates(keys)
+        done = spark.read.parquet(out).filter(F.col("batch_id") != batch_id).select(*keys)
         return lab.dropDuplicates(keys).join(done, keys, "left_anti")
 
     return foreach_batch_to_folder(steps, out, tr, "label")
