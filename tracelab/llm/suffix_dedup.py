@@ -39,7 +39,7 @@ BATCH_BYTES = 3 << 20
 BUCKET_BYTES = 4 << 20
 BUCKET_SEGMENTS = 10_000
 HOT = BUCKET_SEGMENTS // 10  # more of one gram would make a task uneven
-RUN = 16
+RUNS = (16, 4, 1)  # lengths of runs of strings, each a multiple of the next
 LAST_ID = (1 << 63) - 1
 #: One segment: hash of its text, gram, packed numbers (see _packed), document, start of its first string.
 SEGMENT = np.dtype([("text", "<u8"), ("gram", "<u4"), ("packed", "<u4"), ("doc", "<i8"), ("start", "<i4")])
@@ -239,7 +239,7 @@ def _strings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return text, (np.cumsum(length) - length)[row] + j, row, j
 
 
-RUNS = "digest binary, core binary, doc long, tag int, start int, strings int, anchor int, s binary"
+RUN_COLUMNS = "digest binary, core binary, doc long, tag int, start int, strings int, anchor int, s binary"
 COVERED = "doc long, tag int, start int, n int"
 
 
@@ -293,11 +293,11 @@ def _digests(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.Record
 
 def by_digests(found: DataFrame) -> DataFrame:
     """What _sorted_segments finds, by grouping: runs of strings first, then
-    the single strings of the runs that are not covered as a whole but share
+    ever shorter ones of the runs that are not covered as a whole but share
     their core with another such run (first occurrences are among these)."""
-    covered = []
-    for step in (RUN, 1):
-        runs = stash(found.select("doc", "tag", "start", "strings", "anchor", "s").mapInArrow(lambda b, step=step: _digests(b, step), RUNS), "suffix-runs")
+    covered = None
+    for step in RUNS:
+        runs = stash(found.select("doc", "tag", "start", "strings", "anchor", "s").mapInArrow(lambda b, step=step: _digests(b, step), RUN_COLUMNS), "suffix-runs")
         first = runs.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times"))
         if step > 1:
             judged = stash(runs.join(first.drop("times"), "digest").withColumn("later", F.expr("struct(doc, start) > first")), "suffix-judged")
@@ -306,8 +306,9 @@ def by_digests(found: DataFrame) -> DataFrame:
             found = rest.join(shared, "core")
         else:
             judged = runs.join(first.where("times > 1"), "digest").withColumn("later", F.expr("struct(doc, start) > first"))
-        covered.append(judged.where("later").select("doc", "tag", "start", F.col("strings").alias("n")))
-    return covered[0].union(covered[1])
+        part = judged.where("later").select("doc", "tag", "start", F.col("strings").alias("n"))
+        covered = covered.union(part) if covered is not None else part
+    return covered
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
