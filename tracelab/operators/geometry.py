@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from tracelab.functions.vectors import as_double, dot, unit_norm
 
 
+#: Groups whose label sums are broadcast.
+GROUP_ROWS = 10_000
+
 
 def silhouette_cosine(points: DataFrame, label_col: str = "label", x: str = "x", y: str = "y", by=()) -> DataFrame:
     """Cosine-distance silhouette of 2-D points, per group ``by``.
@@ -29,10 +32,12 @@ def silhouette_cosine(points: DataFrame, label_col: str = "label", x: str = "x",
         F.count(F.lit(1)).alias("_n_labels"),
         F.sum("n").alias("_n_points"),
     )
+    # One row a group (its labels' sums): a broadcast up to GROUP_ROWS groups, a shuffle join beyond.
     if by:
-        j = pts.join(per_group, by)
+        few = per_group.limit(GROUP_ROWS + 1).count() <= GROUP_ROWS
+        j = pts.join(F.broadcast(per_group) if few else per_group, by)
     else:
-        j = pts.withColumn("_k", F.lit(0)).join(per_group.withColumn("_k", F.lit(0)), "_k").drop("_k")
+        j = pts.crossJoin(F.broadcast(per_group))  # a single row
     own = F.filter("_labels", lambda c: c["lab"] == F.col("_lab"))[0]
     uu = F.col("_ux") * F.col("_ux") + F.col("_uy") * F.col("_uy")
     a = F.lit(1.0) - (F.col("_ux") * own["sx"] + F.col("_uy") * own["sy"] - uu) / (own["n"] - 1)
@@ -122,13 +127,6 @@ def top_mass_cut(probs: DataFrame, group_cols, id_col: str, prob_col: str = "p",
     return kept.withColumn("p_cut", F.col(prob_col) / F.sum(prob_col).over(Window.partitionBy(*g))).drop("_before")
 
 
-def steer(h, v, alpha) -> Column:
-    """X9 alias: remove alpha times the projection of h on v."""
-    from tracelab.functions.vectors import remove_projection
-
-    return remove_projection(h, v, alpha)
-
-
 __all__ = [
     "silhouette_cosine",
     "pca_2d",
@@ -136,6 +134,5 @@ __all__ = [
     "behavior_vectors",
     "softmax",
     "top_mass_cut",
-    "steer",
     "dot",
 ]

@@ -134,11 +134,13 @@ def mix_sources(reasoning: DataFrame | None, general: DataFrame | None, ratio: f
 
 def global_shuffle(df: DataFrame, seed: int, key_cols, n_partitions: int | None = None) -> DataFrame:
     """K7: random row order: hash-partition on a seeded key, then sort inside
-    each partition by it (no global sort needed for a random order)."""
+    each partition by it (no global sort needed for a random order).  Without
+    ``n_partitions`` the session's shuffle partitions hold."""
     key_cols = [key_cols] if isinstance(key_cols, str) else list(key_cols)
     k = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols])
-    n = n_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.withColumn("_shuffle_key", k).repartition(n, "_shuffle_key").sortWithinPartitions("_shuffle_key").drop("_shuffle_key")
+    keyed = df.withColumn("_shuffle_key", k)
+    dealt = keyed.repartition(n_partitions, "_shuffle_key") if n_partitions else keyed.repartition("_shuffle_key")
+    return dealt.sortWithinPartitions("_shuffle_key").drop("_shuffle_key")
 
 
 def limit_rows(df: DataFrame, n: int, order_cols) -> DataFrame:
@@ -277,10 +279,17 @@ def train_curve(metrics: DataFrame, step_col: str, value_cols, interval: int) ->
 
 
 def best_so_far(curve: DataFrame, order_col: str, value_col: str) -> DataFrame:
-    """Running minimum of a curve (one row per log interval, so the
-    un-partitioned window runs over steps/interval rows)."""
-    w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return curve.withColumn(f"best_{value_col}", F.min(value_col).over(w))
+    """Running minimum of a curve: inside range buckets, then with the
+    least of the buckets before (one number a bucket on the driver)."""
+    s = range_buckets(curve, [order_col], "_bucket")
+    least = {r["_bucket"]: r["_m"] for r in s.groupBy("_bucket").agg(F.min(value_col).alias("_m")).collect()}
+    before, so_far = [], None
+    for i in range(max(least, default=-1) + 1):
+        before.append(F.lit(so_far).cast("double"))
+        so_far = min((x for x in (so_far, least.get(i)) if x is not None), default=None)
+    w = Window.partitionBy("_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = F.get(F.array(*before), F.col("_bucket")) if before else F.lit(None).cast("double")
+    return s.withColumn(f"best_{value_col}", F.least(F.min(value_col).over(w), earlier)).drop("_bucket")
 
 
 def sources_summary(df: DataFrame, split_col: str = "split") -> DataFrame:

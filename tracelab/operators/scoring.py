@@ -22,28 +22,20 @@ def label_means(features: DataFrame, d_sae: int, label_col: str = "label") -> Da
 
     ``features`` is the sparse top-k table; ``rank = 0`` marks exactly one
     entry per input row, so row counts per label come out of the same
-    aggregate.  The plan reads the features once: one aggregate per
-    (label, latent), then one row per label holding its latent sums as a
-    map (at most d_sae entries), from which the full latent grid is
-    generated (no join with a ``range`` table, no cross join).
+    aggregate.  The grid of all latents of a label joins the sums as rows of
+    zeros in one more aggregate: linear in labels x d_sae.
     Output: label, latent_id, mean_activation, num_steps.
     """
     sums = features.groupBy(label_col, "latent_id").agg(
         F.sum("value").alias("s"), F.count_if(F.col("rank") == 0).alias("c0")
     )
-    per_label = sums.groupBy(label_col).agg(
-        F.sum("c0").alias("num_steps"), F.map_from_entries(F.collect_list(F.struct("latent_id", "s"))).alias("_m")
-    )
-    grid = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.lit(d_sae - 1).cast("long")),
-        lambda i: F.struct(i.alias("latent_id"), F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)).alias("s")),
-    )
-    return per_label.select(label_col, "num_steps", F.explode(grid).alias("_g")).select(
-        label_col,
-        F.col("_g.latent_id").alias("latent_id"),
-        (F.col("_g.s") / F.col("num_steps")).alias("mean_activation"),
-        F.col("num_steps").cast("long").alias("num_steps"),
-    )
+    per_label = sums.groupBy(label_col).agg(F.sum("c0").cast("long").alias("num_steps"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(d_sae - 1).cast("long"))
+    grid = per_label.select(label_col, "num_steps", F.explode(every).alias("latent_id"))
+    zeros = grid.select(F.col(label_col), "latent_id", "num_steps", F.lit(0.0).alias("s"))
+    found = sums.select(F.col(label_col), "latent_id", F.lit(None).cast("long").alias("num_steps"), "s")
+    both = zeros.unionByName(found).groupBy(label_col, "latent_id").agg(F.max("num_steps").alias("num_steps"), F.sum("s").alias("s"))
+    return both.select(label_col, "latent_id", (F.col("s") / F.col("num_steps")).alias("mean_activation"), "num_steps")
 
 
 def feature_specificity(means: DataFrame, label_col: str = "label") -> DataFrame:

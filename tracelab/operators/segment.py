@@ -1,32 +1,30 @@
 """Step segmentation, tokenization with offsets, reasoning-text parsing.
 
 Segmentation (X1) and tokenization (X2) turn one text into many rows with
-code-point offsets.  Pieces come from ``split``/``regexp_extract_all``
-(JVM-side), offsets from a running sum over the pieces of one text
-(a window partitioned by the text key).  A text is one window group, whose
-size is bounded by the text itself, so no key can grow with the data.
+code-point offsets.  Both are row-local passes over Arrow batches: a text's
+pieces depend on its row alone, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tracelab.functions.text import (
     COMBINED_TEXT_FIELDS,
     GENERAL_TEXT_FIELDS,
-    NOT_WS,
     QUERY_FIELDS,
     SOLUTION_FIELDS,
     SOLUTION_HEADER,
-    WS,
     first_text,
-    lead_ws,
     py_strip,
-    regex_quote,
-    trail_ws,
 )
-from tracelab.functions.text import WS_CHARS
 
 STEP_COLUMNS = ("step_id", "step_start", "step_end", "delim_start", "delim_end")
 
@@ -35,6 +33,47 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Bound of what one Arrow batch of pieces carries: rows, and characters of the texts kept beside them.
+PIECE_ROWS, PIECE_CHARS = 16_384, 1 << 25
+
+
+def per_text(df: DataFrame, inputs: list[Column], passed: list[str], fields: list[StructField], pieces: Callable) -> DataFrame:
+    """Rows (a tuple of ``fields``) that ``pieces`` makes of each row's
+    ``inputs``, beside the columns ``passed``.  Row-local: no shuffle, and rows
+    that share an id stay apart.  A row with a null input gives none."""
+    n, n_in = len(passed), len(inputs)
+    staged = df.select(*passed, *[c.alias(f"_in{i}") for i, c in enumerate(inputs)])
+    schema = StructType([*staged.schema.fields[:n], *fields])
+    kinds = [{"bigint": pa.int64(), "string": pa.string()}[f.dataType.simpleString()] for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(b: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            beside = [b.column(i).take(pa.array(at, pa.int64())) for i in range(n)]
+            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*beside, *made], names=schema.names)
+
+        for b in batches:
+            at, rows, chars = [], [], 0
+            for i, given in enumerate(zip(*(b.column(n + j).to_pylist() for j in range(n_in)), strict=True)):
+                if any(x is None for x in given):
+                    continue
+                for row in pieces(*given):
+                    at.append(i)
+                    rows.append(row)
+                    chars += len(given[0]) if n > 1 else 0
+                    if len(rows) >= PIECE_ROWS or chars >= PIECE_CHARS:
+                        yield out(b, at, rows)
+                        at, rows, chars = [], [], 0
+            if rows:
+                yield out(b, at, rows)
+
+    return staged.mapInArrow(run, schema)
+
+
+def _long(name: str) -> StructField:
+    return StructField(name, LongType())
+
+
 def segment_steps(
     df: DataFrame,
     text_col: str,
@@ -57,85 +96,46 @@ def segment_steps(
     """
     delim = delim or "\n\n"
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    keep = [k for k in keep if k not in ids]
+    passed = [*ids, *(k for k in keep if k not in ids)]
     text = F.col(text_col)
-    s0 = F.lit(0) if start is None else _c(start)
-    region = text if start is None and end is None else F.substring(
-        text, (s0 + 1).cast("int"), ((F.length(text) if end is None else _c(end)) - s0).cast("int")
-    )
-    region = F.when((F.length(text) if end is None else _c(end)) > s0, region).otherwise(F.lit(""))
-    dlen = len(delim)
-    # split once per text (the barrier keeps the optimizer from rebuilding
-    # the text and the split for each column that reads them)
-    split_df = evaluate_once(df.select(*ids, *keep, s0.cast("long").alias("_s0"), F.split(region, regex_quote(delim), -1).alias("_pieces")))
-    exploded = split_df.select(*ids, *keep, "_s0", F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("_pos", "_piece"))
-    w = Window.partitionBy(*ids).orderBy("_pos")
-    before = F.coalesce(
-        F.sum(F.length("_piece") + F.lit(dlen)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    plen = F.length("_piece")
-    lw, tw = lead_ws("_piece"), trail_ws("_piece")
-    kept = (plen > lw).cast("int")
-    staged = exploded.select(
-        *ids,
-        *keep,
-        "_piece",
-        (F.col("_s0") + before).alias("_ps"),
-        plen.alias("_len"),
-        lw.alias("_lw"),
-        tw.alias("_tw"),
-        kept.alias("_kept"),
-        (F.col("_pos") < F.col("_n") - 1).alias("_has_delim"),
-        (F.sum(kept).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("_sid"),
-    ).filter(F.col("_kept") == 1)
-    out = [
-        *ids,
-        *keep,
-        F.col("_sid").cast("long").alias("step_id"),
-        (F.col("_ps") + F.col("_lw")).cast("long").alias("step_start"),
-        (F.col("_ps") + F.col("_len") - F.col("_tw")).cast("long").alias("step_end"),
-        F.when(F.col("_has_delim"), F.col("_ps") + F.col("_len")).cast("long").alias("delim_start"),
-        F.when(F.col("_has_delim"), F.col("_ps") + F.col("_len") + dlen).cast("long").alias("delim_end"),
-    ]
-    if with_text:
-        out.append(
-            F.substring("_piece", (F.col("_lw") + 1).cast("int"), (F.col("_len") - F.col("_lw") - F.col("_tw")).cast("int")).alias(
-                "step_text"
-            )
-        )
-    return evaluate_once(staged.select(*out))
-
-
-def tokenize_words(df: DataFrame, text_col: str, id_cols, max_len: int | None = None, keep=()) -> DataFrame:
-    """X2 (default tokenizer): maximal non-whitespace runs with offsets.
-
-    Every whitespace character is mapped to a space (``translate``, one
-    character-map pass), the text is split on that single character, and
-    each piece's offset is the running sum of piece lengths + 1.  Empty
-    pieces are whitespace; the others are the tokens (their text is the
-    original text, since only whitespace was mapped).  The offset window is
-    partitioned by the text id (a text is one bounded group).  All tokens, or
-    the first ``max_len`` if it is given.
+    first = F.lit(0) if start is None else _c(start)
+    last = F.length(text) if end is None else _c(end)
+
+    def steps(t: str, lo: int, hi: int) -> Iterator[tuple]:
+        at, step = lo, 0
+        parts = t[lo:hi].split(delim)
+        for i, part in enumerate(parts):
+            stop = at + len(part)
+            body = part.strip()
+            if body:
+                begin = at + len(part) - len(part.lstrip())
+                after = (stop, stop + len(delim)) if i + 1 < len(parts) else (None, None)
+                yield (step, begin, begin + len(body), *after, body) if with_text else (step, begin, begin + len(body), *after)
+                step += 1
+            at = stop + len(delim)
+
+    fields = [_long(c) for c in STEP_COLUMNS] + [StructField("step_text", StringType())] * with_text
+    return per_text(df, [text, first, last], passed, fields, steps)
+
+
+def tokenize(df: DataFrame, text_col: str, id_cols, spans: Callable[[str], Iterable[tuple[int, int]]], max_len: int | None = None, keep=()) -> DataFrame:
+    """X2 with any tokenizer: ``spans`` gives the (start, end) code points of a
+    text's tokens in order.  All tokens, or the first ``max_len`` if given.
     Output: ids..., keep..., token_idx, tok_start, tok_end (BIGINT), token.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    mapped = F.translate(F.col(text_col), WS_CHARS, " " * len(WS_CHARS))
-    ex = df.select(*ids, *keep, F.posexplode(F.split(mapped, " ", -1)).alias("_pos", "_piece"))
-    w = Window.partitionBy(*ids).orderBy("_pos")
-    plen = F.length("_piece")
-    start = F.coalesce(F.sum(plen + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    is_tok = (plen > 0).cast("int")
-    idx = F.sum(is_tok).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    staged = ex.select(*ids, *keep, "_piece", plen.alias("_len"), start.alias("_st"), is_tok.alias("_tok"), idx.alias("_idx"))
-    kept = F.col("_tok") == 1
-    return staged.filter(kept if max_len is None else kept & (F.col("_idx") < max_len)).select(
-        *ids,
-        *keep,
-        F.col("_idx").cast("long").alias("token_idx"),
-        F.col("_st").cast("long").alias("tok_start"),
-        (F.col("_st") + F.col("_len")).cast("long").alias("tok_end"),
-        F.col("_piece").alias("token"),
-    )
+
+    def tokens(t: str) -> Iterator[tuple]:
+        for i, (s, e) in enumerate(islice(spans(t), max_len)):
+            yield i, s, e, t[s:e]
+
+    fields = [_long("token_idx"), _long("tok_start"), _long("tok_end"), StructField("token", StringType())]
+    return per_text(df, [F.col(text_col)], [*ids, *keep], fields, tokens)
+
+
+def tokenize_words(df: DataFrame, text_col: str, id_cols, max_len: int | None = None, keep=()) -> DataFrame:
+    """X2 (default tokenizer): maximal non-whitespace runs with offsets."""
+    return tokenize(df, text_col, id_cols, lambda t: (m.span() for m in re.finditer(r"\S+", t)), max_len, keep)
 
 
 def tokenize_chars(df: DataFrame, text_col: str, id_cols, max_len: int | None = None, keep=()) -> DataFrame:
@@ -270,8 +270,11 @@ def question_fallback(df: DataFrame, id_col: str, p: float = 0.1, seed: int = 42
     fb = F.coalesce(first_text(sch, QUERY_FIELDS), first_text(sch, COMBINED_TEXT_FIELDS))
     from tracelab.operators.sampling import hash_uniform
 
+    q, s, comb = first_text(sch, QUERY_FIELDS), first_text(sch, SOLUTION_FIELDS), first_text(sch, COMBINED_TEXT_FIELDS)
+    region = comb.rlike("(?s)<think>.*?</think>") | comb.rlike("(?i)" + SOLUTION_HEADER)
+    has_region = (q.isNotNull() & s.isNotNull()) | F.coalesce(region, F.lit(False))
     draw = hash_uniform([id_col], seed) < F.lit(float(p))
-    return df.select(F.col(id_col), fb.alias("text")).filter(F.col("text").isNotNull() & draw)
+    return df.filter(draw & ~has_region).select(F.col(id_col), fb.alias("text")).filter(F.col("text").isNotNull())
 
 
 def extract_question_response(df: DataFrame, id_col: str) -> DataFrame:

@@ -109,11 +109,11 @@ def batch_latents(features: DataFrame, batch_col: str) -> DataFrame:
 def unused_latents(features: DataFrame, batch_col: str, d_sae: int) -> DataFrame:
     """Per batch, latents of the grid that no row of the batch selected.
 
-    The grid is generated per batch (explode of a sequence), then the
-    selected pairs are removed with an anti join."""
-    batches = features.select(batch_col).distinct()
-    grid = batches.select(batch_col, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(d_sae - 1).cast("long"))).alias("latent_id"))
-    return grid.join(batch_latents(features, batch_col), [batch_col, "latent_id"], "left_anti")
+    A batch's selected latents (at most d_sae) are one array, taken out of the
+    grid in the row."""
+    seen = features.groupBy(batch_col).agg(F.collect_set("latent_id").alias("_seen"))
+    grid = F.sequence(F.lit(0).cast("long"), F.lit(d_sae - 1).cast("long"))
+    return seen.select(batch_col, F.explode(F.array_except(grid, F.col("_seen").cast("array<bigint>"))).alias("latent_id"))
 
 
 def data_mean(df: DataFrame, x_col: str) -> DataFrame:

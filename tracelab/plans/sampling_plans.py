@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tracelab.functions.text import SOLUTION_HEADER
 from tracelab.functions.vectors import bf16_round
 from tracelab.operators.sae import fixture_params, sae_forward_rows
 from tracelab.operators.sampling import (
@@ -69,7 +70,8 @@ SELECT 'general', doc_id, round("""
 register(
     "k6_question_fallback",
     "SELECT doc_id, md5(text) AS text_md5 FROM documents "
-    "WHERE nullif(text, '') IS NOT NULL AND (('0x' || substr(md5(doc_id::VARCHAR || '|42'), 1, 12))::BIGINT / 281474976710656.0) < 0.1",
+    "WHERE nullif(text, '') IS NOT NULL AND (('0x' || substr(md5(doc_id::VARCHAR || '|42'), 1, 12))::BIGINT / 281474976710656.0) < 0.1 "
+    f"AND NOT regexp_matches(text, '(?s)<think>.*?</think>') AND NOT regexp_matches(text, '(?i){SOLUTION_HEADER}')",
 )(
     lambda spark, sf_dir: question_fallback(table(spark, sf_dir, "documents"), "doc_id", 0.1, 42).select(
         "doc_id", F.md5("text").alias("text_md5")
@@ -234,7 +236,7 @@ def _s6(spark, sf_dir):
     stats = shard_stats(spark, out, batch_size=32).agg(F.sum("rows").alias("rows"), F.sum("batches").alias("batches"))
     got = back.agg(F.count(F.lit(1)).alias("layer_rows"), F.sum("row_id").alias("id_sum"))
     # two one-row aggregates side by side
-    return got.withColumn("_k", F.lit(0)).join(stats.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return got.crossJoin(F.broadcast(stats))
 
 
 register(

@@ -35,8 +35,7 @@ def write_activation_shards(df: DataFrame, out: str, seed: int, shard_mb: float,
     per layer (``layer=<n>``) when a layer column is given."""
     cap = rows_per_shard(shard_mb, d_model, bytes_per_value)
     key = F.xxhash64(F.lit(seed), F.col(key_col))
-    n = df.sparkSession.sparkContext.defaultParallelism
-    shuffled = df.withColumn("_k", key).repartition(n, "_k").sortWithinPartitions("_k").drop("_k")
+    shuffled = df.withColumn("_k", key).repartition("_k").sortWithinPartitions("_k").drop("_k")
     w = shuffled.write.mode(mode).option("maxRecordsPerFile", cap)
     if layer_col:
         w = w.partitionBy(layer_col)
