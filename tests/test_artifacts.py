@@ -16,7 +16,7 @@ def test_model_round_trip(spark, tmp_path):
     p.best_l2_ratio = 0.25
     p.steps_since[:3] = 11
     save_model(spark, p, str(tmp_path / "m"))
-    q = load_model(spark, str(tmp_path / "m"))
+    q = load_model(spark, str(tmp_path / "m"), budget=50_000)  # several jobs
     assert q.step == 7 and q.best_l2_ratio == 0.25 and q.k == p.k
     assert np.allclose(q.w_enc, p.w_enc) and np.allclose(q.w_dec, p.w_dec) and (q.steps_since == p.steps_since).all()
 

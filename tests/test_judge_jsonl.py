@@ -13,24 +13,43 @@ def _parse(spark, raw):
 
 
 def test_strict_json(spark):
-    r = _parse(spark, '{"label":"other","rationale":"routine step"}')
-    assert (r.label, r.rationale, r.parse_path) == ("other", "routine step", "json")
+    r = _parse(spark, '{"label":"other","rationale":"adds two numbers"}')
+    assert (r.label, r.rationale, r.parse_path) == ("other", "adds two numbers", "json")
 
 
 def test_truncated_json_is_repaired(spark):
-    r = _parse(spark, '{"label": "other", "rationale": "This step introduces the setup')
-    assert r.label == "other" and "introduces the setup" in r.rationale
+    r = _parse(spark, '{"label": "other", "rationale": "Names the unknowns of the')
+    assert r.label == "other" and "the unknowns" in r.rationale
 
 
 def test_freeform_sentence(spark):
-    raw = "This is a routine computational continuation. " 'So the label should be "other" with a short rationale.'
+    raw = "Only arithmetic happens here. " 'Hence the label should be "other" in my view.'
     r = _parse(spark, raw)
     assert r.label == "other" and r.rationale and r.parse_path == "freeform"
 
 
 def test_fenced_block(spark):
-    r = _parse(spark, '```json\n{"label":"reflection","rationale":"re-checking arithmetic"}\n```')
-    assert (r.label, r.rationale) == ("reflection", "re-checking arithmetic")
+    r = _parse(spark, '```json\n{"label":"reflection","rationale":"looks at the sum again"}\n```')
+    assert (r.label, r.rationale) == ("reflection", "looks at the sum again")
+
+
+def test_json_rules_and_positions(spark):
+    cases = [
+        ('{"label":"other","label":"reflection"}', ("reflection", None, "json")),
+        ('{"label":"Other","score":NaN}', ("other", None, "json")),
+        ('{"label":"other","rationale":true}', ("other", "True", "json")),
+        ('{"label":"other","rationale":"a\\ud800b"}', ("other", "a?b", "json")),
+        ('{"label":"other"} and {"label":"reflection"}', ("other", None, "json_like")),
+        ('{"label":7}', (None, None, "error")),
+        ("[" * 5000, (None, None, "error")),
+        ("\U0001f600\U0001f600 The step starts over completely. The label is backtracking, fine", ("backtracking", "\U0001f600\U0001f600 The step starts over completely.", "freeform")),
+        ("\U0001f600 label: other rationale that it adds", ("other", "adds", "freeform")),
+        (None, (None, None, "error")),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, raw string")
+    got = {r.i: (r.label, r.rationale, r.parse_path) for r in parse_judge_outputs(df, "raw", "p").select("i", "p.*").collect()}
+    for i, (raw, want) in enumerate(cases):
+        assert got[i] == want, (raw, got[i])
 
 
 def test_unusable_output(spark):

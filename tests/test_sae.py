@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelab.operators.fit import AdamState, batch_gradients, distributed_gradients, fit_sae, flatten, lr_at, resample_dead
+from tracelab.operators.fit import AdamState, batch_gradients, distributed_gradients, fit_sae, flatten, lr_at, prepare_batches, resample_dead
 from tracelab.operators.sae import SaeParams, fixture_params, sae_features, sae_forward_rows, topk_select, unit_rows
 from tracelab.operators.stats import dead_latents, latent_activity, recon_metrics
+from tracelab.sources.artifacts import load_model, load_optimizer
 
 
 def _random_params(d_model=64, d_sae=256, k=8, seed=0):
@@ -146,6 +147,41 @@ def test_fit_reduces_loss(spark):
     assert np.allclose(np.linalg.norm(p.w_dec, axis=1), 1.0)
 
 
+def test_resample_only_n(spark):
+    p = _random_params(d_sae=256)
+    p.steps_since[:40] = 20000
+    _, df = _batch(spark, n=64)
+    assert resample_dead(df, p, "x", "id", 10000, seed=1, n=15) == 15
+    assert (p.steps_since[:15] == 0).all() and (p.steps_since[15:40] == 20000).all()
+
+
+def test_resumed_fit_equals_one_go(spark, tmp_path):
+    _, df = _batch(spark, n=96)
+    kw = {"batch_size": 32, "lr": 5e-3, "warmup_steps": 2, "total_steps": 8, "shuffle": True, "log_interval": 2}
+    whole, log, _ = fit_sae(df, _random_params(d_sae=128), "x", "id", steps=8, **kw)
+    fit_sae(df, _random_params(d_sae=128), "x", "id", steps=4, checkpoint_dir=str(tmp_path), checkpoint_interval=2, **kw)
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["checkpoint_2", "checkpoint_4", "checkpoint_final"]
+    at = str(tmp_path / "checkpoint_4")
+    p, state = load_model(spark, at, budget=20_000), load_optimizer(spark, at, budget=20_000)
+    assert p.step == state.t == 4
+    p, log2, _ = fit_sae(df, p, "x", "id", steps=4, state=state, **kw)
+    for name in ("w_enc", "b_enc", "w_dec", "b_dec", "steps_since", "activation_count"):
+        assert np.allclose(getattr(p, name), getattr(whole, name), atol=1e-10), name
+    assert p.best_l2_ratio == pytest.approx(whole.best_l2_ratio) and p.best_l2_ratio == pytest.approx(min(m["mean_l2_ratio"] for m in log if "mean_l2_ratio" in m))
+    assert [m["batch"] for m in log] == [0, 1, 2, 0, 1, 2, 0, 1] and log2[-1]["step"] == 8
+
+
+def test_shuffled_epochs_hold_each_row_once(spark):
+    _, df = _batch(spark, n=100)
+    seen = []
+    for epoch in range(2):
+        b, n = prepare_batches(df, "x", "id", 32, None, 42, epoch)
+        rows = b.collect()
+        assert n == 4 and sorted(r.id for r in rows) == list(range(100))
+        seen.append({r.id: r.batch for r in rows})
+    assert seen[0] != seen[1]
+
+
 def test_lr_schedule():
     assert lr_at(0, 1.0, 10, 100) == pytest.approx(0.01)
     assert lr_at(10, 1.0, 10, 100) == pytest.approx(1.0)

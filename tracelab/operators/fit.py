@@ -38,10 +38,13 @@ from pyspark.sql import types as T
 
 from tracelab.operators.sae import SaeParams, encode_dense, list_matrix, topk_select, unit_rows
 from tracelab.operators.sampling import assign_batches
-from tracelab.session import DEFAULT_BROADCAST_BUDGET, ensure_checkpoint_dir
+from tracelab.session import ensure_checkpoint_dir
 
 CHUNK = 1 << 16
 STAT_NAMES = ("n_rows", "sum_r2", "sum_aux2", "sum_l2_ratio", "sum_l0")
+MEANS = ("loss", "l_recon", "l_aux", "l2_ratio", "l0")
+# Each step ships the whole model to every executor; a larger one is refused.
+FIT_BUDGET = 2 << 30
 
 
 # ---------------------------------------------------------------------------
@@ -157,7 +160,7 @@ def adamw_update(p: SaeParams, grads: dict, state: AdamState, lr: float, betas=(
 # ---------------------------------------------------------------------------
 
 
-def active_latents(batch: DataFrame, p: SaeParams, x_col: str, budget: int = DEFAULT_BROADCAST_BUDGET) -> tuple[np.ndarray, int]:
+def active_latents(batch: DataFrame, p: SaeParams, x_col: str, budget: int = FIT_BUDGET) -> tuple[np.ndarray, int]:
     """Pass 1: latents in the top-k of any row (≤ d_sae ids per partition,
     merged on the driver) and the batch's row count, in one job."""
     spark = batch.sparkSession
@@ -227,29 +230,42 @@ def distributed_gradients(batch: DataFrame, p: SaeParams, x_col: str, dead: np.n
     return unflatten(vec[:n_g], p), dict(zip(STAT_NAMES, vec[n_g:]))
 
 
-def prepare_batches(df: DataFrame, x_col: str, key_col: str, batch_size: int, path: str | None = None) -> tuple[DataFrame, int]:
+def prepare_batches(
+    df: DataFrame, x_col: str, key_col: str, batch_size: int, path: str | None = None, seed: int | None = None, epoch: int = 0
+) -> tuple[DataFrame, int]:
     """W3 batches written once, sorted by batch, to the shared checkpoint
-    folder (cuts the lineage; each step then prunes row groups)."""
+    folder (cuts the lineage; each step then prunes row groups).  With a seed
+    the rows of an epoch come in the order of a hash of (seed, epoch, key),
+    else in the order of the key."""
     spark = df.sparkSession
     path = path or posixpath.join(ensure_checkpoint_dir(spark), f"batches-{uuid.uuid4().hex}")
-    b = assign_batches(df.select(key_col, x_col), batch_size, key_col)
+    rows, order = df.select(key_col, x_col), [key_col]
+    if seed is not None:
+        rows, order = rows.withColumn("_order", F.xxhash64(F.lit(seed), F.lit(epoch), key_col)), ["_order", key_col]
+    b = assign_batches(rows, batch_size, order).select(key_col, x_col, "batch")
     b.repartitionByRange("batch").sortWithinPartitions("batch").write.option("parquet.block.size", 1 << 20).parquet(path)
     out = spark.read.parquet(path)
     n_batches = out.agg(F.max("batch")).first()[0]
     return out, (0 if n_batches is None else int(n_batches) + 1)
 
 
-def resample_dead(batch: DataFrame, p: SaeParams, x_col: str, key_col: str, threshold: int, seed: int) -> int:
-    """Every dead latent (steps since activation > threshold) gets the
-    unit residual of a batch row drawn with probability ∝ squared error, as
-    encoder column and decoder row; bias and counters reset."""
+def resample_dead(batch: DataFrame, p: SaeParams, x_col: str, key_col: str, threshold: int, seed: int, n: int | None = None) -> int:
+    """Every dead latent (steps since activation > threshold), or the
+    first ``n`` of them, gets the unit residual of a batch row drawn with
+    probability ∝ squared error, as encoder column and decoder row; bias and
+    counters reset.  Returns how many were reset (none if no row has an error)."""
     from tracelab.operators.sae import sae_forward_rows
     from tracelab.operators.sampling import sample_by_weight
 
-    dead_ids = np.nonzero(p.steps_since > threshold)[0]
+    spark = batch.sparkSession
+    dead_ids = np.nonzero(p.steps_since > threshold)[0][:n]
     if len(dead_ids) == 0:
         return 0
+    # written once: the draws and the join read it several times
+    path = posixpath.join(ensure_checkpoint_dir(spark), f"resample-{uuid.uuid4().hex}")
     rows = sae_forward_rows(batch, p, key_col, x_col, keep=(x_col,), with_x_hat=True)
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     draws = sample_by_weight(rows, "r_sq", key_col, len(dead_ids), seed)
     picked = draws.join(rows.select(key_col, x_col, "x_hat"), key_col).select(
         "draw", F.zip_with(F.col(x_col), "x_hat", lambda a, b: a.cast("double") - b).alias("res")
@@ -265,7 +281,7 @@ def resample_dead(batch: DataFrame, p: SaeParams, x_col: str, key_col: str, thre
         p.b_enc[lat] = 0.0
         p.steps_since[lat] = 0
         p.activation_count[lat] = 0
-    return int(len(dead_ids))
+    return len(res)
 
 
 def fit_sae(
@@ -286,19 +302,36 @@ def fit_sae(
     resample: bool = True,
     seed: int = 42,
     state: AdamState | None = None,
+    shuffle: bool = False,
+    log_interval: int = 100,
+    checkpoint_dir: str | None = None,
+    checkpoint_interval: int = 10000,
 ) -> tuple[SaeParams, list[dict], AdamState]:
-    """Fit the SAE for ``steps`` steps over consecutive batches (epochs
-    wrap around).  Resumes from ``params.step`` / ``state`` when given.
+    """Fit the SAE for ``steps`` steps over batches of the rows, in key
+    order or (``shuffle``) in a new seeded order each epoch.  Resumes from
+    ``params.step`` / ``state`` when given (``load_model``, ``load_optimizer``).
+
+    Every ``log_interval`` steps the step's metrics carry the means of the
+    interval (``mean_*``), and the lowest mean l2 ratio is kept in
+    ``params.best_l2_ratio``.  With ``checkpoint_dir`` (a shared folder) model
+    and optimizer are saved every ``checkpoint_interval`` steps
+    (``checkpoint_<step>``) and at the end (``checkpoint_final``).
     Returns (params, per-step metrics, optimizer state)."""
-    p = params
+    from tracelab.sources.artifacts import save_model
+
+    p, spark = params, df.sparkSession
     state = state or AdamState()
     total = total_steps or steps
-    batches, n_batches = prepare_batches(df, x_col, key_col, batch_size)
+    n_batches = -(-df.count() // batch_size)
     if n_batches == 0:
         raise ValueError("no rows to fit on")
-    log = []
+    log, running, batches, prepared = [], [], None, None
     for _ in range(steps):
-        b = p.step % n_batches
+        epoch, b = divmod(p.step, n_batches)
+        order = (seed, epoch) if shuffle else (None, 0)
+        if order != prepared:
+            batches, _n = prepare_batches(df, x_col, key_col, batch_size, None, *order)
+            prepared = order
         batch = batches.filter(F.col("batch") == b)
         active, n_rows = active_latents(batch, p, x_col)
         dead = np.ones(p.d_sae, dtype=bool)
@@ -330,7 +363,16 @@ def fit_sae(
             m["dead_ratio"] = ratio
             if resample and ratio > resample_trigger:
                 m["resampled"] = resample_dead(batch, p, x_col, key_col, dead_threshold, seed + p.step)
+        running.append([m[name] for name in MEANS])
+        if log_interval and p.step % log_interval == 0:
+            m |= {f"mean_{name}": float(x) for name, x in zip(MEANS, np.mean(running, axis=0), strict=True)}
+            running = []
+            p.best_l2_ratio = min(p.best_l2_ratio, m["mean_l2_ratio"])
         log.append(m)
+        if checkpoint_dir and checkpoint_interval and p.step % checkpoint_interval == 0:
+            save_model(spark, p, posixpath.join(checkpoint_dir, f"checkpoint_{p.step}"), state)
+    if checkpoint_dir:
+        save_model(spark, p, posixpath.join(checkpoint_dir, "checkpoint_final"), state)
     return p, log, state
 
 

@@ -425,23 +425,26 @@ def latents_frame(spark: SparkSession, params: SaeParams) -> DataFrame:
 
 
 def params_from_latents(latents: DataFrame, b_dec, k: int, budget: int = DEFAULT_BROADCAST_BUDGET) -> SaeParams:
-    """Collect an R6 latent table into driver-side parameters (size-checked)."""
-    n = latents.count()
-    d_model = len(b_dec)
-    if n * (2 * d_model + 3) * 8 > budget:
-        raise ValueError("latent table too large to collect; use the blockwise operators")
-    pdf = latents.orderBy("latent_id").toPandas()
-    w_enc = np.stack(pdf["w_enc"].map(np.asarray).values).T
-    w_dec = np.stack(pdf["w_dec"].map(np.asarray).values)
-    return SaeParams(
-        w_enc=np.ascontiguousarray(w_enc, dtype=np.float64),
-        b_enc=pdf["b_enc"].to_numpy(np.float64),
-        w_dec=w_dec.astype(np.float64),
-        b_dec=np.asarray(b_dec, dtype=np.float64),
-        k=k,
-        activation_count=pdf["activation_count"].to_numpy(np.int64),
-        steps_since=pdf["steps_since"].to_numpy(np.int64),
+    """Collect an R6 latent table (latents 0 to n - 1) into driver-side
+    parameters, at most ``budget`` bytes a job."""
+    n, d_model = latents.count(), len(b_dec)
+    p = SaeParams(
+        w_enc=np.empty((d_model, n)), b_enc=np.empty(n), w_dec=np.empty((n, d_model)), b_dec=np.asarray(b_dec, dtype=np.float64), k=k
     )
+    for pdf in latent_slices(latents, n, (2 * d_model + 3) * 8, budget):
+        at = pdf["latent_id"].to_numpy(np.int64)
+        p.w_enc[:, at] = np.stack(pdf["w_enc"].map(np.asarray).values).T
+        p.w_dec[at] = np.stack(pdf["w_dec"].map(np.asarray).values)
+        for name in ("b_enc", "activation_count", "steps_since"):
+            getattr(p, name)[at] = pdf[name].to_numpy()
+    return p
+
+
+def latent_slices(latents: DataFrame, n: int, row_bytes: int, budget: int = DEFAULT_BROADCAST_BUDGET):
+    """The table of latents 0 to n - 1 as pandas frames of at most ``budget`` bytes each."""
+    step = max(1, budget // row_bytes)
+    for lo in range(0, n, step):
+        yield latents.filter(F.col("latent_id").between(lo, lo + step - 1)).toPandas()
 
 
 def init_params_frame(spark: SparkSession, d_model: int, d_sae: int, seed: int = 42) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelab.functions.cues import cue_label, sql_cue_label
-from tracelab.functions.judge import JUDGE_USER_TEMPLATE, judge_request, judge_response_text, parse_judge_outputs
+from tracelab.functions.judge import FREEFORM_LABELS, JSON_LABEL, JUDGE_USER_TEMPLATE, judge_request, judge_response_text, parse_judge_outputs
 from tracelab.functions.text import NOT_WS, is_blank, py_strip, render_prompt
 from tracelab.operators.runs import (
     cross_conditions,
@@ -83,15 +83,8 @@ def _sql_x14() -> str:
         for v in _sql_variants(c):
             checks.append(f"WHEN {_sql_strict_ok(v)} THEN lower(json_extract_string(try_cast({v} AS JSON), '$.label'))")
     strict = "CASE " + " ".join(checks) + " END"
-    ff = [
-        r'\blabel\s+should\s+be\s+"?(reflection|backtracking|other)"?',
-        r'\blabel\s+is\s+"?(reflection|backtracking|other)"?',
-        r'\bthe\s+label\s+should\s+be\s+"?(reflection|backtracking|other)"?',
-        r'\bthe\s+label\s+is\s+"?(reflection|backtracking|other)"?',
-        r'\blabel\s*:\s*"?(reflection|backtracking|other)"?',
-    ]
-    ff_case = "CASE " + " ".join(f"WHEN regexp_matches(raw, '(?i){p}') THEN lower(regexp_extract(raw, '(?i){p}', 1))" for p in ff) + " END"
-    jl = r'"label"\s*:\s*"(reflection|backtracking|other)"'
+    ff_case = "CASE " + " ".join(f"WHEN regexp_matches(raw, '(?i){p}') THEN lower(regexp_extract(raw, '(?i){p}', 1))" for p in FREEFORM_LABELS) + " END"
+    jl = JSON_LABEL
     return (
         SQL_TRACE_STEPS
         + f""",

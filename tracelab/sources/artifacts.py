@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelab.operators.sae import SaeParams, latents_frame, params_from_latents
+from tracelab.operators.fit import AdamState
+from tracelab.operators.sae import SaeParams, latent_slices, latents_frame, params_from_latents
+from tracelab.session import DEFAULT_BROADCAST_BUDGET
 
 META_SCHEMA = T.StructType(
     [
@@ -19,46 +21,70 @@ META_SCHEMA = T.StructType(
         T.StructField("step", T.LongType()),
         T.StructField("best_l2_ratio", T.DoubleType()),
         T.StructField("b_dec", T.ArrayType(T.DoubleType())),
+        T.StructField("adam_t", T.LongType()),
+        T.StructField("m_b_dec", T.ArrayType(T.DoubleType())),
+        T.StructField("v_b_dec", T.ArrayType(T.DoubleType())),
     ]
 )
 
+MOMENTS_SCHEMA = (
+    "latent_id long, m_enc array<double>, v_enc array<double>, m_dec array<double>, v_dec array<double>, m_b_enc double, v_b_enc double"
+)
+
 
-def save_model(spark: SparkSession, params: SaeParams, path: str, optimizer: dict | None = None, mode: str = "overwrite") -> None:
-    """``latents`` table (one row per latent) + one-row ``meta`` table
-    (+ optional optimizer moments per latent)."""
+def save_model(spark: SparkSession, params: SaeParams, path: str, optimizer: AdamState | None = None, mode: str = "overwrite") -> None:
+    """``latents`` table (one row per latent) + one-row ``meta`` table;
+    with the optimizer state also ``moments`` (one row per latent), so that a
+    fit resumes where it stopped."""
     lat = latents_frame(spark, params)
-    if optimizer:
-        extra = spark.createDataFrame(
-            list(
-                zip(
-                    range(params.d_sae),
-                    optimizer["m"]["w_enc"].T.astype(float).tolist(),
-                    optimizer["v"]["w_enc"].T.astype(float).tolist(),
-                    optimizer["m"]["w_dec"].astype(float).tolist(),
-                    optimizer["v"]["w_dec"].astype(float).tolist(),
-                )
-            ),
-            "latent_id long, m_enc array<double>, v_enc array<double>, m_dec array<double>, v_dec array<double>",
-        )
-        lat = lat.join(extra, "latent_id")
     lat.write.mode(mode).parquet(posixpath.join(path, "latents"))
+    adam = (None, None, None)
+    if optimizer is not None and optimizer.t:
+        m, v = optimizer.m, optimizer.v
+        matrices = (m["w_enc"].T, v["w_enc"].T, m["w_dec"], v["w_dec"], m["b_enc"], v["b_enc"])
+        rows = list(zip(range(params.d_sae), *(x.astype(float).tolist() for x in matrices), strict=True))
+        spark.createDataFrame(rows, MOMENTS_SCHEMA).write.mode(mode).parquet(posixpath.join(path, "moments"))
+        adam = (int(optimizer.t), m["b_dec"].tolist(), v["b_dec"].tolist())
     meta = spark.createDataFrame(
-        [(params.d_model, params.d_sae, params.k, int(params.step), float(params.best_l2_ratio), [float(v) for v in params.b_dec])],
+        [(params.d_model, params.d_sae, params.k, int(params.step), float(params.best_l2_ratio), [float(v) for v in params.b_dec], *adam)],
         META_SCHEMA,
     )
     meta.coalesce(1).write.mode(mode).parquet(posixpath.join(path, "meta"))
 
 
-def load_model(spark: SparkSession, path: str) -> SaeParams:
-    """Read back; resume continues the step counter."""
-    meta = spark.read.parquet(posixpath.join(path, "meta")).first()
+def _meta(spark: SparkSession, path: str):
+    return spark.read.schema(META_SCHEMA).parquet(posixpath.join(path, "meta")).first()
+
+
+def load_model(spark: SparkSession, path: str, budget: int = DEFAULT_BROADCAST_BUDGET) -> SaeParams:
+    """Read back, at most ``budget`` bytes a job; resume continues the step counter."""
+    meta = _meta(spark, path)
     lat = spark.read.parquet(posixpath.join(path, "latents"))
-    p = params_from_latents(lat.select("latent_id", "w_enc", "b_enc", "w_dec", "activation_count", "steps_since"), meta["b_dec"], int(meta["k"]))
+    columns = ("latent_id", "w_enc", "b_enc", "w_dec", "activation_count", "steps_since")
+    p = params_from_latents(lat.select(*columns), meta["b_dec"], int(meta["k"]), budget)
     p.step = int(meta["step"])
     p.best_l2_ratio = float(meta["best_l2_ratio"])
     return p
 
 
+def load_optimizer(spark: SparkSession, path: str, budget: int = DEFAULT_BROADCAST_BUDGET) -> AdamState:
+    """The optimizer state saved with the model; a fresh one if there is none."""
+    meta = _meta(spark, path)
+    if meta["adam_t"] is None:
+        return AdamState()
+    n, d = int(meta["d_sae"]), int(meta["d_model"])
+    state = AdamState(t=int(meta["adam_t"]))
+    for side, moments in (("m", state.m), ("v", state.v)):
+        moments |= {"w_enc": np.empty((d, n)), "b_enc": np.empty(n), "w_dec": np.empty((n, d)), "b_dec": np.asarray(meta[f"{side}_b_dec"])}
+    for pdf in latent_slices(spark.read.parquet(posixpath.join(path, "moments")), n, (4 * d + 3) * 8, budget):
+        at = pdf["latent_id"].to_numpy(np.int64)
+        for side, moments in (("m", state.m), ("v", state.v)):
+            moments["w_enc"][:, at] = np.stack(pdf[f"{side}_enc"].map(np.asarray).values).T
+            moments["w_dec"][at] = np.stack(pdf[f"{side}_dec"].map(np.asarray).values)
+            moments["b_enc"][at] = pdf[f"{side}_b_enc"].to_numpy()
+    return state
+
+
 def write_geometry(summary: DataFrame, points: DataFrame, out: str, mode: str = "overwrite") -> None:
     """Summary records (nested top features as JSON) + decoder points."""
     summary.write.mode(mode).json(posixpath.join(out, "summary"))
