@@ -227,6 +227,16 @@ def test_lm_scores(spark, texts):
     assert np.allclose(np.exp(first[3] + second[5] - z[3, 5]).sum(), 1, atol=1e-5)
 
 
+def test_lm_most_frequent_is_bounded(spark):
+    rows = [(f"w{i}".encode(), 1 if i >= 40 else 1000 - i) for i in range(6000)] + [(b"x" * 65, 10**6)]
+    counts = spark.createDataFrame(rows, "w binary, c long").repartition(7)
+    got = [(bytes(r.w), r.c) for r in lm.most_frequent(counts, 500)]
+    assert got[:40] == sorted(rows[:40], key=lambda r: -r[1]) and 450 < len(got) <= 500 and len(set(got)) == len(got)
+    assert len(lm.most_frequent(counts, 10)) <= 10
+    assert len(lm.most_frequent(counts, 9000)) == 6000
+    assert lm.most_frequent(counts.limit(0), 10) == []
+
+
 def test_lm_learns_order():
     rng = np.random.default_rng(0)
     share = np.r_[0.02, 0.02, np.full(8, 0.12)]

@@ -44,6 +44,7 @@ DIMENSIONS = 24
 STRIDE = 16
 BATCH, NOISE, RATE = 512, 64, 0.1
 FREQUENT, FREQUENT_BYTES = 100_000, 64
+LEVELS, SHARES = 16, 4096
 END, OTHER = 0, 1
 COUNTER_WORDS = 200_000
 
@@ -76,6 +77,30 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, frequent: int) -> list:
+    """At most ``frequent`` of the most frequent words (w, c), by count.
+
+    A histogram of the counts (LEVELS buckets an octave) gives the buckets that
+    fit whole; the next one is filled by hash of the word.  The driver gets the
+    two histograms and the chosen words, however many partitions there are."""
+    short = counts.where(F.length("w") <= FREQUENT_BYTES)
+    level = F.floor(F.log2("c") * LEVELS).cast("int")
+    left, edge, cut = frequent, -1, 0
+    for r in sorted(short.groupBy(level.alias("b")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.b):
+        if r.n > left:
+            edge = r.b
+            break
+        left -= r.n
+    share = F.pmod(F.xxhash64("w"), F.lit(SHARES))
+    if edge >= 0:
+        for r in sorted(short.where(level == edge).groupBy(share.alias("h")).agg(F.count("*").alias("n")).collect(), key=lambda r: r.h):
+            if r.n > left:
+                break
+            left, cut = left - r.n, r.h + 1
+    chosen = short.where((level > edge) | ((level == edge) & (share < cut)))
+    return sorted(chosen.collect(), key=lambda r: (-r.c, bytes(r.w)))
+
+
 @dataclass
 class Model:
     """Vectors by class (context and predicted), position weights, biases."""
@@ -199,7 +224,7 @@ def score(docs: DataFrame, classes_wanted: int = CLASSES, frequent: int = FREQUE
     got = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
     n, v = got.n + ends, got.v + (ends > 0)
-    top = counts.where(F.length("w") <= FREQUENT_BYTES).orderBy(F.col("c").desc(), "w").limit(frequent).collect()
+    top = most_frequent(counts, frequent)
     known = {bytes(r.w): i for i, r in enumerate(top)}
     count = np.array([r.c for r in top], np.float64)
     own = min(len(top), classes_wanted - 2)
