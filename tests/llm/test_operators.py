@@ -252,6 +252,18 @@ def test_lm_learns_order():
     assert held > np.log(share[seq[w]]).mean() + 0.8
 
 
+def test_lm_trains_on_every_position(spark):
+    rng = random.Random(3)
+    chain = lambda at, n: " ".join(f"w{(at + i) % 12}" for i in range(n))
+    docs = docs_of(spark, [(i, chain(rng.randrange(12), 60)) for i in range(500)])
+    held = lm.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (held[0] - held[1]) / held[2] > 0.5  # each word follows one other
+    training = lm.fold(docs).where("NOT held_out").select("t")
+    share = np.full(14, 1 / 14)
+    _, positions = lm.train(training, {f"w{i}".encode(): i + 2 for i in range(12)}, share, rounds=1)
+    assert positions == training.count() * 61
+
+
 def test_pieces_best_path():
     v = pieces.Vocabulary.load(MODEL)
     ids = {v.pieces[i]: i for i in v.normal}

@@ -4,8 +4,9 @@ Counts of all training tokens come from one pass.  The model predicts a class
 (one of the most frequent words, the end, or any other word) from the two
 classes before: a word's score is the inner product of its vector with the sum
 of the two context vectors, each weighed by position, plus a bias.  Every task
-trains a copy in numpy on its part of the training texts (each ``STRIDE``-th
-position of all of them) and the copies are averaged, weighed by positions.
+trains a copy in numpy on its part of the training texts (every position of
+all of them) and the copies are averaged, weighed by positions; the next of
+``ROUNDS`` rounds over all texts starts from the average.
 
 Scores are additive in the two context words, so the normaliser of all pairs
 of context classes is one matrix product of exponentials; with it a token's
@@ -41,7 +42,9 @@ from tracelab.llm.common import stash, text_bytes
 FOLDS, HELD_OUT = 5, 1
 CLASSES = 1024  # the end, any other word, and CLASSES - 2 words
 DIMENSIONS = 24
-STRIDE = 16
+STRIDE = 1  # every position
+ROUNDS = 3
+TEXTS_AT_ONCE = 256
 BATCH, NOISE, RATE = 512, 64, 0.1
 FREQUENT, FREQUENT_BYTES = 100_000, 64
 LEVELS, SHARES = 16, 4096
@@ -128,14 +131,21 @@ class Model:
         return Model(*out)
 
 
+def _summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids and the sum of the rows of each."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
+    return ids[order][first], np.add.reduceat(rows[order], first, axis=0)
+
+
 class Trainer:
     """Adagrad steps of noise-contrastive estimation on batches of (two before, next)."""
 
-    def __init__(self, model: Model, share: np.ndarray, seed: int):
+    def __init__(self, model: Model, share: np.ndarray, seed: int | list[int], sums: Model | None = None):
         self.model, self.share, self.positions = model, share, 0
         self.rng = np.random.default_rng(seed)
         self.cum = np.cumsum(share)
-        self.sums = [np.full(x.shape, 1e-8) for x in (model.context, model.word, model.position, model.bias)]
+        self.sums = sums or model.filled(np.full(model.flat().size, 1e-8))
 
     def step(self, h1: np.ndarray, h2: np.ndarray, w: np.ndarray) -> None:
         m, n = self.model, len(w)
@@ -147,18 +157,20 @@ class Trainer:
         right = 1 - sigmoid((guess * m.word[w]).sum(1) + m.bias[w] - base[w])  # towards the data
         wrong = -sigmoid(guess @ m.word[noise].T + m.bias[noise] - base[noise])  # away from the noise
         toward = right[:, None] * m.word[w] + wrong @ m.word[noise]
-        g = [np.zeros_like(x) for x in (m.context, m.word, m.position, m.bias)]
-        np.add.at(g[0], h1, toward * m.position[0])
-        np.add.at(g[0], h2, toward * m.position[1])
-        np.add.at(g[1], w, right[:, None] * guess)
-        np.add.at(g[1], noise, wrong.T @ guess)
-        g[2][0], g[2][1] = (toward * r1).sum(0), (toward * r2).sum(0)
-        np.add.at(g[3], w, right)
-        np.add.at(g[3], noise, wrong.sum(0))
-        for x, s, d in zip((m.context, m.word, m.position, m.bias), self.sums, g, strict=True):
-            d /= n
-            s += d * d
-            x += RATE * d / np.sqrt(s)
+        up = wrong.T @ guess
+        contexts = _summed(np.r_[h1, h2], np.concatenate([toward * m.position[0], toward * m.position[1]]))
+        words, d = _summed(np.r_[w, noise], np.concatenate([np.c_[right[:, None] * guess, right], np.c_[up, wrong.sum(0)]]))
+        both = np.stack([(toward * r1).sum(0), (toward * r2).sum(0)])
+        sums = self.sums
+        for x, s, at, g in (
+            (m.context, sums.context, *contexts),
+            (m.word, sums.word, words, d[:, :-1]),
+            (m.position, sums.position, slice(None), both),
+            (m.bias, sums.bias, words, d[:, -1]),
+        ):
+            g = g / n
+            s[at] += g * g
+            x[at] += RATE * g / np.sqrt(s[at])
         self.positions += n
 
 
@@ -168,41 +180,69 @@ def class_ids(words: list[bytes], classes: dict[bytes, int]) -> np.ndarray:
     return np.array([END, END, *[get(w, OTHER) for w in words], END], np.int64)
 
 
-def train(training: DataFrame, classes: dict[bytes, int], share: np.ndarray, stride: int = STRIDE) -> Model:
-    """The average of copies trained by each task over its texts."""
-    spark = training.sparkSession
-    start = Model.start(share)
-    shared = spark.sparkContext.broadcast((classes, share, start))
+def encoded(training: DataFrame, classes: dict[bytes, int]) -> DataFrame:
+    """``training`` (t) -> (ids): the class_ids of every text."""
+    shared = training.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, share, start = shared.value
-        task = TaskContext.get().partitionId()
-        t = Trainer(start.filled(start.flat()), share, task)
-        held, size, offset = [], 0, task % stride
         for b in batches:
-            for words in _words(b, 0):
-                ids = class_ids(words, classes)
-                at = np.arange(2 + offset, len(ids), stride)
-                offset = (offset - (len(ids) - 2)) % stride
-                if len(at):
+            ids = [class_ids(words, shared.value) for words in _words(b, 0)]
+            offsets = np.cumsum([0, *map(len, ids)])
+            values = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], names=["ids"])
+
+    return training.mapInArrow(run, "ids array<int>")
+
+
+def train(training: DataFrame, classes: dict[bytes, int], share: np.ndarray, stride: int = STRIDE, rounds: int = ROUNDS) -> tuple[Model, int]:
+    """In each round the average (of parameters and of Adagrad's sums) of the
+    copies trained by each task over its texts, and the positions trained on in
+    a round."""
+    spark = training.sparkSession
+    texts = stash(encoded(training, classes), "lm-classes")
+    model = Model.start(share)
+    sums = model.filled(np.full(model.flat().size, 1e-8))
+    positions = 0
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast((share, model, sums))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            share, model, sums = shared.value
+            task = TaskContext.get().partitionId()
+            t = Trainer(model.filled(model.flat()), share, [turn, task], sums.filled(sums.flat()))
+            held, size, offset = [], 0, task % stride
+            for b in batches:
+                for i in range(0, b.num_rows, TEXTS_AT_ONCE):
+                    column = b.column(0).slice(i, TEXTS_AT_ONCE)
+                    ids = column.flatten().to_numpy().astype(np.int64)
+                    ends = np.cumsum(column.value_lengths().to_numpy())
+                    target = np.ones(len(ids), bool)
+                    starts = np.r_[0, ends[:-1]]
+                    target[starts] = target[starts + 1] = False  # the two ends in front
+                    at = np.flatnonzero(target)
+                    total, at = len(at), at[offset::stride]
+                    offset = (offset - total) % stride
                     held.append(np.stack([ids[at - 1], ids[at - 2], ids[at]]))
                     size += len(at)
-                if size >= BATCH:
-                    every = np.concatenate(held, axis=1)
-                    for i in range(0, size - size % BATCH, BATCH):
-                        t.step(*every[:, i : i + BATCH])
-                    held, size = [every[:, size - size % BATCH :]], size % BATCH
-        if size:
-            t.step(*np.concatenate(held, axis=1))
-        flat = t.model.flat() * t.positions
-        if t.positions:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int32()), pa.array(np.r_[float(t.positions), flat])], names=["i", "x"])
-
-    parts = training.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")
-    if not len(parts):
-        return start
-    x = parts["x"].to_numpy()
-    return start.filled(x[1:] / x[0])
+                    if size >= BATCH:
+                        every = np.concatenate(held, axis=1)
+                        for j in range(0, size - size % BATCH, BATCH):
+                            t.step(*every[:, j : j + BATCH])
+                        held, size = [every[:, size - size % BATCH :]], size % BATCH
+            if size:
+                t.step(*np.concatenate(held, axis=1))
+            flat = np.r_[t.model.flat(), t.sums.flat()] * t.positions
+            if t.positions:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int32()), pa.array(np.r_[float(t.positions), flat])], names=["i", "x"])
+
+        parts = texts.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")
+        if not len(parts):
+            break
+        x = parts["x"].to_numpy()
+        positions, (flat, of_sums) = int(x[0]), np.split(x[1:] / x[0], 2)
+        model, sums = model.filled(flat), sums.filled(of_sums)
+        shared.unpersist()
+    return model, positions
 
 
 def tables(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,7 +272,7 @@ def score(docs: DataFrame, classes_wanted: int = CLASSES, frequent: int = FREQUE
     n_other, v_other = got.n - count[:own].sum(), got.v - own
     share = np.r_[ends + 0.5, n_other + 0.5, count[:own] + 0.5]
     share = share / share.sum()
-    model = train(training, classes, share, stride)
+    model, _ = train(training, classes, share, stride)
     base_of = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
     inner_of = lambda c: np.log10((c + 0.5) / (n_other + 0.5 * (v_other + 1)))
     inner = np.r_[np.zeros(own), inner_of(count[own:])]
