@@ -362,6 +362,17 @@ def test_simhash_cases(spark, texts):
     assert simhash.near_dedup(docs.limit(0)).count() == 0
 
 
+def test_simhash_keeps_one_row_of_every_class(spark):
+    rng = random.Random(12)
+    prose = lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(80))
+    a, b, c, d, e, f = (prose() for _ in range(6))
+    rows = [(None, a), (None, a), (None, b), (None, c), (1, c), (2, d), (2, e), (2, e), (3, f), (4, f)]
+    got = rows_of(simhash.keep_one(docs_of(spark, rows)).select("doc_id", "text"))
+    assert got == sorted([(None, a), (None, b), (1, c), (2, d), (2, e), (3, f)], key=repr)
+    only = docs_of(spark, [(None, a), (1, b), (None, b)])  # one class of null ids
+    assert rows_of(simhash.keep_one(only).select("doc_id", "text")) == sorted([(None, a), (1, b)], key=repr)
+
+
 @pytest.mark.parametrize("bucket_rows", [20_000, 8])
 def test_simhash_links(spark, bucket_rows):
     rng = random.Random(11)

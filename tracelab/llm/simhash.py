@@ -18,6 +18,7 @@ results; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -56,15 +57,20 @@ def fingerprint(data: bytes, words_per_shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words_per_shingle: int = 3, digests: bool = False) -> DataFrame:
+    """(doc_id, fp): ``fp`` is the fingerprint as a signed long; with
+    ``digests`` also ``h``, the SHA-256 of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(x.as_buffer().to_pybytes(), words_per_shingle) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            columns = {"doc_id": b.column(0), "fp": pa.array(fps.view(np.int64))}
+            if digests:
+                columns["h"] = pa.array([hashlib.sha256(x.as_buffer()).digest() for x in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t")).mapInArrow(run, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + ", h binary" * digests
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t")).mapInArrow(run, schema)
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -209,12 +215,13 @@ def near_links(fps: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS)
 
 
 def classes(marked: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, fp), stashed -> (fp, component_id) for every distinct fingerprint."""
+    """(doc_id, fp), stashed -> (fp, root, component_id) for every distinct
+    fingerprint; ``root`` names its class whatever the ids are."""
     distinct = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-fps")
     roots = stash(connected_components(near_links(distinct.select("fp"), radius, bucket_rows), "simhash-links"), "simhash-roots")
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_dedup(docs: DataFrame, words_per_shingle: int = 3, radius: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -225,15 +232,19 @@ def near_dedup(docs: DataFrame, words_per_shingle: int = 3, radius: int = 3, buc
 
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The documents with one of each class: the row whose doc_id names it.
+    """The documents with one row of each class: that of the least doc_id (nulls
+    last), then of the least SHA-256 of the text.
 
-    Rows that repeat that doc_id are dropped, too.  Other columns pass.
+    Rows that repeat both are dropped, too.  Other columns pass.
     """
-    found = stash(near_dedup(docs, words_per_shingle, radius), "simhash-found")
-    kept = stash(
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows")), "simhash-kept"
-    )
-    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"])).drop("kept_id")
+    marked = stash(fingerprints(docs, words_per_shingle, digests=True), "simhash-docs")
+    found = stash(classes(marked, radius), "simhash-classes").select("fp", "root")
+    copies = marked.groupBy("fp", "doc_id", "h").agg(F.count("*").alias("kept_rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"), "kept_rows")).alias("first")
+    least = copies.groupBy("fp").agg(first).join(found, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = stash(least.select("first.kept_id", "first.kept_h", "first.kept_rows"), "simhash-kept")
+    digest = F.unhex(F.sha2(text_bytes(), 256))
+    chosen = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (digest == kept["kept_h"])).drop("kept_id")
     several = kept.where("kept_rows > 1").limit(1).count()
-    single = chosen.where("kept_rows = 1").drop("kept_rows")
-    return single.union(chosen.where("kept_rows > 1").drop("kept_rows").dropDuplicates(["doc_id"])) if several else single
+    single = chosen.where("kept_rows = 1").drop("kept_rows", "kept_h")
+    return single.union(chosen.where("kept_rows > 1").dropDuplicates(["doc_id", "kept_h"]).drop("kept_rows", "kept_h")) if several else single
