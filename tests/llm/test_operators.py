@@ -163,6 +163,15 @@ def test_suffix_dedup(spark, texts, hot, monkeypatch):
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_many_texts_of_one_id(spark):
+    rng = random.Random(14)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(130)) for _ in range(900)]
+    unlike = lambda: "".join(rng.choice("stuvwxyz") for _ in range(rng.randint(0, 60)))
+    rows = [(i, x) for i, x in enumerate(passages)] + [(None if i % 2 else 5000, unlike() + x + unlike()) for i, x in enumerate(passages * 4)]
+    rng.shuffle(rows)
+    assert rows_of(suffix_dedup.dedup(docs_of(spark, rows)).drop("kept")) == brute_dedup(rows)
+
+
 def test_suffix_sort_orders_suffixes():
     rng = random.Random(2)
     text = np.frombuffer("".join(rng.choice("ab") for _ in range(1200)).encode(), np.uint8)

@@ -41,8 +41,8 @@ BUCKET_SEGMENTS = 10_000
 HOT = BUCKET_SEGMENTS // 10  # more of one gram would make a task uneven
 RUNS = (16, 4, 1)  # lengths of runs of strings, each a multiple of the next
 LAST_ID = (1 << 63) - 1
-#: One segment: hash of its text, gram, packed numbers (see _packed), document, start of its first string.
-SEGMENT = np.dtype([("text", "<u8"), ("gram", "<u4"), ("packed", "<u4"), ("doc", "<i8"), ("start", "<i4")])
+#: One segment: hash of its text, gram, packed numbers (see _packed), document, row, start of its first string.
+SEGMENT = np.dtype([("text", "<u8"), ("gram", "<u4"), ("packed", "<u2"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4")])
 #: Base of the polynomial hashes modulo 2^64 (odd, so that it has an inverse).
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -73,15 +73,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _packed(strings: np.ndarray, anchor: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """Strings in the segment (7 bits), offset of the anchor (7 bits), tag of the text (18 bits)."""
-    return (strings | anchor << 7 | tag << 14).astype(np.uint32)
+def _packed(strings: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Strings in the segment (7 bits), offset of the anchor (7 bits)."""
+    return (strings | anchor << 7).astype(np.uint16)
 
 
-def segments(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def segments(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Segments (SEGMENT) of documents that lie one after the other in ``text``, and each one's full gram hash."""
     long_enough = ends - starts >= LENGTH
-    starts, ends, docs, tags = (x[long_enough] for x in (starts, ends, docs, tags))
+    starts, ends, docs, numbers = (x[long_enough] for x in (starts, ends, docs, numbers))
     if not len(starts):
         return np.zeros(0, SEGMENT), np.zeros(0, np.uint64)
     hashes = PrefixHashes(text)
@@ -107,15 +107,15 @@ def segments(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, docs: np.nd
     full = gram[anchor]
     out["text"] = mixed(hashes.of(at, strings + LENGTH - 1) + strings.astype(np.uint64))
     out["gram"] = (full >> np.uint64(16)).astype(np.uint32)
-    out["packed"] = _packed(strings, anchor - at, tags[doc])
-    out["doc"], out["start"] = docs[doc], at - starts[doc]
+    out["packed"] = _packed(strings, anchor - at)
+    out["doc"], out["row"], out["start"] = docs[doc], numbers[doc], at - starts[doc]
     return out, full
 
 
 def settle(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segments sorted by gram and text, and for each whether an equal one
     starts earlier and how many different texts its gram has."""
-    shape = found["packed"] & np.uint32(0x3FFF)
+    shape = found["packed"]
     order = np.lexsort((found["start"], found["doc"], shape, found["text"], found["gram"]))
     found, shape = found[order], shape[order]
     if not len(found):
@@ -129,12 +129,12 @@ def settle(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _blobs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """(doc, tag, t) -> (bucket, data): a bucket's segments; buckets below 0 hold covered ones."""
+    """(doc, row, t) -> (bucket, data): a bucket's segments; buckets below 0 hold covered ones."""
 
-    def out(texts: list[bytes], docs: list[int], tags: list[int]) -> pa.RecordBatch:
+    def out(texts: list[bytes], docs: list[int], numbers: list[int]) -> pa.RecordBatch:
         ends = np.cumsum([len(x) for x in texts])
         starts = ends - [len(x) for x in texts]
-        found, full = segments(np.frombuffer(b"".join(texts), np.uint8), starts, ends, np.array(docs, np.int64), np.array(tags, np.int64))
+        found, full = segments(np.frombuffer(b"".join(texts), np.uint8), starts, ends, np.array(docs, np.int64), np.array(numbers, np.int64))
         bucket = (full % np.uint64(buckets)).astype(np.int64)
         # What repeats in the batch need not travel: only the first goes on.
         order = np.argsort(bucket, kind="stable")
@@ -147,28 +147,28 @@ def _blobs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             data.append(rows[~later].tobytes())
             covered.append(rows[later])
         if covered and len(rows := np.concatenate(covered)):
-            names.append(-1 - int(rows["doc"][0] % buckets))
+            names.append(-1 - int(rows["row"][0] % buckets))
             data.append(rows.tobytes())
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
-    texts, docs, tags, size = [], [], [], 0
+    texts, docs, numbers, size = [], [], [], 0
     for b in batches:
-        for doc, tag, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+        for doc, number, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             data = x.as_buffer().to_pybytes()
             if len(data) < LENGTH:
                 continue
             texts.append(data)
             docs.append(doc)
-            tags.append(tag)
+            numbers.append(number)
             size += len(data)
             if size >= BATCH_BYTES:
-                yield out(texts, docs, tags)
-                texts, docs, tags, size = [], [], [], 0
+                yield out(texts, docs, numbers)
+                texts, docs, numbers, size = [], [], [], 0
     if texts:
-        yield out(texts, docs, tags)
+        yield out(texts, docs, numbers)
 
 
-SETTLED = "doc long, tag int, start int, strings int, anchor int, gram long, texts int"
+SETTLED = "doc long, row long, start int, strings int, anchor int, gram long, texts int"
 
 
 def _settled(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
@@ -182,7 +182,7 @@ def _settled(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
         keep, texts = found[chosen], np.where(later, 0, each)[chosen]
     packed = keep["packed"].astype(np.int64)
     gram = (keep["gram"].astype(np.int64) << 24) + max(0, key[0])
-    return pd.DataFrame({"doc": keep["doc"], "tag": packed >> 14, "start": keep["start"], "strings": packed & 127, "anchor": packed >> 7 & 127, "gram": gram, "texts": texts})
+    return pd.DataFrame({"doc": keep["doc"], "row": keep["row"], "start": keep["start"], "strings": packed & 127, "anchor": packed >> 7, "gram": gram, "texts": texts})
 
 
 def common_extension(text: np.ndarray, hashes: PrefixHashes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -239,8 +239,8 @@ def _strings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return text, (np.cumsum(length) - length)[row] + j, row, j
 
 
-RUN_COLUMNS = "digest binary, core binary, doc long, tag int, start int, strings int, anchor int, s binary"
-COVERED = "doc long, tag int, start int, n int"
+RUN_COLUMNS = "digest binary, core binary, doc long, row long, start int, strings int, anchor int, s binary"
+COVERED = "row long, start int, n int"
 
 
 def _sorted_segments(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -267,28 +267,27 @@ def _sorted_segments(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     new = np.r_[True, kind[1:] != kind[:-1]] if len(kind) else np.zeros(0, bool)
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = np.flatnonzero((doc[row] != doc[row][head]) | (begin != begin[head]))
-    tag = rows["tag"].to_numpy()
-    return pd.DataFrame({"doc": doc[row[later]], "tag": tag[row[later]], "start": begin[later], "n": 1})
+    return pd.DataFrame({"row": rows["row"].to_numpy()[row[later]], "start": begin[later], "n": 1})
 
 
 def _digests(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
     """Runs of up to ``step`` strings (cut where the anchor's offset is a
     multiple of it, so that equal strings lie in like runs) by their digest,
     with the digest of the bytes that any string at such offsets has."""
-    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
     for b in batches:
         out: list[tuple] = []
-        for doc, tag, start, strings, anchor, s in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "start", "strings", "anchor", "s")), strict=True):
+        for doc, number, start, strings, anchor, s in zip(*(b.column(c).to_pylist() for c in ("doc", "row", "start", "strings", "anchor", "s")), strict=True):
             j = 0
             while j < strings:
                 n = min(strings - j, (anchor - j) % step + 1)
                 part = s[j : j + n + LENGTH - 1]
                 past = (anchor - j) % step
                 core = b"%d:" % ((anchor - j) // step) + part[past : LENGTH - (step - 1 - past)]
-                out.append((hashlib.blake2b(part, digest_size=16).digest(), hashlib.blake2b(core, digest_size=16).digest(), doc, tag, start + j, n, anchor - j, part))
+                out.append((hashlib.blake2b(part, digest_size=16).digest(), hashlib.blake2b(core, digest_size=16).digest(), doc, number, start + j, n, anchor - j, part))
                 j += n
         cols = list(zip(*out, strict=True)) if out else [()] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["digest", "core", "doc", "tag", "start", "strings", "anchor", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["digest", "core", "doc", "row", "start", "strings", "anchor", "s"])
 
 
 def by_digests(found: DataFrame) -> DataFrame:
@@ -297,7 +296,7 @@ def by_digests(found: DataFrame) -> DataFrame:
     their core with another such run (first occurrences are among these)."""
     covered = None
     for step in RUNS:
-        runs = stash(found.select("doc", "tag", "start", "strings", "anchor", "s").mapInArrow(lambda b, step=step: _digests(b, step), RUN_COLUMNS), "suffix-runs")
+        runs = stash(found.select("doc", "row", "start", "strings", "anchor", "s").mapInArrow(lambda b, step=step: _digests(b, step), RUN_COLUMNS), "suffix-runs")
         first = runs.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times"))
         if step > 1:
             judged = stash(runs.join(first.drop("times"), "digest").withColumn("later", F.expr("struct(doc, start) > first")), "suffix-judged")
@@ -306,19 +305,19 @@ def by_digests(found: DataFrame) -> DataFrame:
             found = rest.join(shared, "core")
         else:
             judged = runs.join(first.where("times > 1"), "digest").withColumn("later", F.expr("struct(doc, start) > first"))
-        part = judged.where("later").select("doc", "tag", "start", F.col("strings").alias("n"))
+        part = judged.where("later").select("row", "start", F.col("strings").alias("n"))
         covered = covered.union(part) if covered is not None else part
     return covered
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, doc, tag, wanted) -> the texts of the segments wanted of each document."""
-    names = ["doc", "tag", "start", "strings", "anchor", "gram", "texts", "s"]
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    """(t, doc, row, wanted) -> the texts of the segments wanted of each document."""
+    names = ["doc", "row", "start", "strings", "anchor", "gram", "texts", "s"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
     for b in batches:
-        for t, doc, tag, wanted in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for t, doc, number, wanted in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             data = t.as_buffer().to_pybytes()
-            rows = [(doc, tag, w["start"], w["strings"], w["anchor"], w["gram"], w["texts"], data[w["start"] : w["start"] + w["strings"] + LENGTH - 1]) for w in wanted]
+            rows = [(doc, number, w["start"], w["strings"], w["anchor"], w["gram"], w["texts"], data[w["start"] : w["start"] + w["strings"] + LENGTH - 1]) for w in wanted]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
@@ -335,31 +334,34 @@ def cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def covered_ranges(docs: DataFrame, buckets: int) -> DataFrame:
-    """``docs`` (doc, tag, t) -> (doc, tag, start, n): n strings from ``start`` on also start earlier."""
-    blobs = docs.select("doc", "tag", "t").mapInArrow(lambda b: _blobs(b, buckets), "bucket int, data binary")
+    """``docs`` (doc, row, t; stashed, ``row`` unique) -> (row, start, n): n strings from ``start`` on also start earlier."""
+    blobs = docs.select("doc", "row", "t").mapInArrow(lambda b: _blobs(b, buckets), "bucket int, data binary")
     settled = stash(blobs.groupBy("bucket").applyInPandas(_settled, SETTLED), "suffix-settled")
-    wanted = settled.where("texts > 0").groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "strings", "anchor", "gram", "texts")).alias("wanted"))
-    distinct = docs.dropDuplicates(["doc", "tag"]) if docs.groupBy("doc", "tag").count().where("count > 1").limit(1).count() else docs
-    schema = "doc long, tag int, start int, strings int, anchor int, gram long, texts int, s binary"
-    fetched = stash(distinct.join(wanted, ["doc", "tag"]).select("t", "doc", "tag", "wanted").mapInArrow(_fetched, schema), "suffix-texts")
+    wanted = settled.where("texts > 0").groupBy("row").agg(F.collect_set(F.struct("start", "strings", "anchor", "gram", "texts")).alias("wanted"))
+    schema = "doc long, row long, start int, strings int, anchor int, gram long, texts int, s binary"
+    fetched = stash(docs.join(wanted, "row").select("t", "doc", "row", "wanted").mapInArrow(_fetched, schema), "suffix-texts")
     groups = max(1, -(-fetched.where(f"texts <= {HOT}").count() // BUCKET_SEGMENTS))
     few_texts = fetched.where(f"texts <= {HOT}").withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(groups)))
     by_sort = few_texts.groupBy("part").applyInPandas(_sorted_segments, COVERED)
     by_digest = by_digests(fetched.where(f"texts > {HOT}"))
-    return settled.where("texts = 0").select("doc", "tag", "start", F.col("strings").alias("n")).union(by_sort).union(by_digest)
+    return settled.where("texts = 0").select("row", "start", F.col("strings").alias("n")).union(by_sort).union(by_digest)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"),
-        F.xxhash64("text").bitwiseAND(F.lit((1 << 18) - 1)).cast("int").alias("tag"),
-        text_bytes().alias("t"),
+    # Rows may share an id (and a null one): each is known by a number of its own, fixed by writing it.
+    rows = stash(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"),
+            F.monotonically_increasing_id().alias("row"),
+            text_bytes().alias("t"),
+        ),
+        "suffix-rows",
     )
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     found = covered_ranges(rows, max(16, -(-total // BUCKET_BYTES)))
-    each = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    each = found.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -372,5 +374,5 @@ def dedup(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = rows.join(each, ["doc", "tag"], "left").select("doc_id", "t", "ranges")
+    joined = rows.join(each, "row", "left").select("doc_id", "t", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
