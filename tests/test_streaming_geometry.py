@@ -33,6 +33,20 @@ def test_stream_activity_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_stream_activity_in_any_order(spark, tmp_path):
+    schema = "latent_id long, batch long"
+    for i, rows in enumerate([[(1, 5), (1, 5), (2, 9)], [(1, 2), (1, 5), (2, 0)], [(1, 2), (3, 1), (2, None)]]):
+        at = tmp_path / f"part{i}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(at))
+        (tmp_path / "flat").mkdir(exist_ok=True)
+        flat = tmp_path / "flat" / f"shard-{i}.parquet"
+        os.link(next(at.glob("*.parquet")), flat)
+        os.utime(flat, (1_000_000 + i, 1_000_000 + i))  # older batches come later
+    s = stream_activations(spark, str(tmp_path / "flat"), spark.read.parquet(str(tmp_path / "flat")).schema, max_files_per_trigger=1)
+    got = {r.latent_id: (r.activation_count, r.steps_since) for r in latest_activity(run_to_table(stream_latent_activity(s), "test_any"), 5).collect()}
+    assert got == {0: (0, 10), 1: (2, 4), 2: (2, 0), 3: (1, 8), 4: (0, 10)}
+
+
 def test_delete_after_read(spark, tmp_path):
     src = tmp_path / "in"
     spark.range(10).coalesce(1).write.parquet(str(src))

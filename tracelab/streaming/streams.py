@@ -5,8 +5,8 @@ Stateless per-row work (SAE features) runs inside the stream; work that
 needs a window over a text or a join against already written output runs
 per micro-batch in ``foreachBatch`` and writes one folder per batch id, so a
 retried micro-batch replaces its own output (exactly-once on restart).
-State kept across micro-batches is bounded by the model (one row per
-latent).
+State kept across micro-batches is one row per latent and one per (latent,
+batch) seen, so that files may come in any order.
 """
 
 from __future__ import annotations
@@ -15,11 +15,9 @@ import posixpath
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tracelab.session import ensure_checkpoint_dir
 
@@ -54,37 +52,15 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
     return posixpath.join(ensure_checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
 
 
-ACTIVITY_STATE = T.StructType([T.StructField("count", T.LongType()), T.StructField("last", T.LongType()), T.StructField("seq", T.LongType())])
-ACTIVITY_OUT = T.StructType(
-    [
-        T.StructField("latent_id", T.LongType()),
-        T.StructField("activation_count", T.LongType()),
-        T.StructField("last_batch", T.LongType()),
-        T.StructField("seq", T.LongType()),
-    ]
-)
-
-
-def _activity_update(key, pdfs, state):
-    """Per latent: a batch id above the last one of earlier micro-batches counts
-    once, in whatever order and chunks the rows of a micro-batch arrive.  Files
-    must come so that a micro-batch has no batch older than an earlier one's last."""
-    count, last, seq = state.get if state.exists else (0, -1, 0)
-    new = {b for pdf in pdfs for b in pdf["batch"].unique().tolist() if b > last}
-    count, last = count + len(new), max(new, default=last)
-    seq += 1
-    state.update((count, last, seq))
-    yield pd.DataFrame({"latent_id": [int(key[0])], "activation_count": [count], "last_batch": [last], "seq": [seq]})
-
-
 def stream_latent_activity(features: DataFrame, batch_col: str = "batch") -> DataFrame:
     """Running A5 over a stream of top-k features: per latent, batches in
-    which it was selected and the last such batch (state = d_sae rows)."""
-    return (
-        features.select("latent_id", F.col(batch_col).cast("long").alias("batch"))
-        .groupBy("latent_id")
-        .applyInPandasWithState(_activity_update, ACTIVITY_OUT, ACTIVITY_STATE, "update", GroupStateTimeout.NoTimeout)
-    )
+    which it was selected and the last such batch, in whatever order rows and
+    files come.  A (latent, batch) pair counts once (streaming deduplication
+    before the count, so an always-on latent sends no more rows on than it has
+    batches); ``seq`` grows with every update of a latent."""
+    pairs = features.select("latent_id", F.col(batch_col).cast("long").alias("batch")).where("batch IS NOT NULL").dropDuplicates(["latent_id", "batch"])
+    counts = pairs.groupBy("latent_id").agg(F.count("*").alias("activation_count"), F.max("batch").alias("last_batch"))
+    return counts.select(F.col("latent_id").cast("long").alias("latent_id"), "activation_count", "last_batch", F.col("activation_count").alias("seq"))
 
 
 def run_to_table(stream_df: DataFrame, name: str, output_mode: str = "update") -> DataFrame:
