@@ -47,6 +47,18 @@ def test_stream_activity_in_any_order(spark, tmp_path):
     assert got == {0: (0, 10), 1: (2, 4), 2: (2, 0), 3: (1, 8), 4: (0, 10)}
 
 
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    from tracelab.plans import stream_plans  # noqa: F401  (registers plans)
+    from tracelab.plans.common import QUERIES
+
+    for name in ("embeddings", "documents"):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        df.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("t1_stream_activations", "t2_stream_latent_activity", "t3_stream_segment", "t4_stream_label_steps", "t5_stream_recon_metrics"):
+        got, want = (sorted(map(repr, QUERIES[name](spark, at).collect())) for at in (str(tmp_path), SF))
+        assert len(want) > 0 and got == want, name
+
+
 def test_delete_after_read(spark, tmp_path):
     src = tmp_path / "in"
     spark.range(10).coalesce(1).write.parquet(str(src))

@@ -29,8 +29,13 @@ from tracelab.streaming.streams import (
 )
 
 
-def _stream(spark, sf_dir, name):
+def _stream(spark, sf_dir, name, max_files_per_trigger=1):
+    """The table as a stream: a single file by its name in ``sf_dir``, or all
+    part files of a folder."""
     schema = table(spark, sf_dir, name).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return stream_files(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", schema, "parquet", max_files_per_trigger=max_files_per_trigger)
     return stream_files(spark, sf_dir, schema, "parquet", file_glob=f"{name}.parquet")
 
 
@@ -80,7 +85,8 @@ register(
 
 def _t5(spark, sf_dir):
     params = fixture_params()
-    rows = sae_forward_rows(_stream(spark, sf_dir, "embeddings"), params, "vec_id", "embedding")
+    # one micro-batch of the whole table, as the SQL has it
+    rows = sae_forward_rows(_stream(spark, sf_dir, "embeddings", None), params, "vec_id", "embedding")
     out = stream_recon_metrics(rows, _out(spark, "t5"), params.d_model)
     m = running_best(spark.read.parquet(out).drop("batch_id"), "l2_ratio")
     return m.select(
