@@ -289,7 +289,7 @@ def fit_sae(
     params: SaeParams,
     x_col: str,
     key_col: str,
-    steps: int,
+    steps: int | None,
     batch_size: int = 4096,
     lr: float = 5e-5,
     warmup_steps: int = 0,
@@ -307,8 +307,8 @@ def fit_sae(
     checkpoint_dir: str | None = None,
     checkpoint_interval: int = 10000,
 ) -> tuple[SaeParams, list[dict], AdamState]:
-    """Fit the SAE for ``steps`` steps over batches of the rows, in key
-    order or (``shuffle``) in a new seeded order each epoch.  Resumes from
+    """Fit the SAE for ``steps`` steps (None: one epoch, each row in one
+    batch) over batches of the rows, in key order or (``shuffle``) in a new seeded order each epoch.  Resumes from
     ``params.step`` / ``state`` when given (``load_model``, ``load_optimizer``).
 
     Every ``log_interval`` steps the step's metrics carry the means of the
@@ -321,8 +321,9 @@ def fit_sae(
 
     p, spark = params, df.sparkSession
     state = state or AdamState()
-    total = total_steps or steps
     n_batches = -(-df.count() // batch_size)
+    steps = n_batches if steps is None else steps
+    total = total_steps or steps
     if n_batches == 0:
         raise ValueError("no rows to fit on")
     log, running, batches, prepared = [], [], None, None
@@ -385,7 +386,7 @@ def metrics_frame(spark, log: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def fit_layers(df: DataFrame, layers: list[int], make_params, x_col: str, key_col: str, steps: int, layer_col: str = "layer", **kw) -> list[dict]:
+def fit_layers(df: DataFrame, layers: list[int], make_params, x_col: str, key_col: str, steps: int | None, layer_col: str = "layer", **kw) -> list[dict]:
     """E5: one independent fit per layer on that layer's rows (partition
     pruning when ``layer`` is a partition column); one result per layer."""
     out = []

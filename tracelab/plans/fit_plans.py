@@ -23,8 +23,8 @@ def init_from_data(spark, emb, d_sae: int = 256, k: int = 8, seed: int = 42):
 def _e4(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
     p = init_from_data(spark, emb)
-    # a short run whose dead-latent check fires (threshold 2 steps, every 4 steps)
-    p, log, _ = fit_sae(emb, p, "embedding", "vec_id", steps=8, batch_size=256, lr=1e-3, warmup_steps=2, total_steps=8,
+    # one epoch over every row; the dead-latent check fires (threshold 2 steps, every 4 steps)
+    p, log, _ = fit_sae(emb, p, "embedding", "vec_id", steps=None, batch_size=256, lr=1e-3, warmup_steps=2,
                         dead_threshold=2, dead_check_interval=4, resample_trigger=0.1)
     resampled = {m["step"]: m.get("resampled", 0) for m in log}
     mf = metrics_frame(spark, log)
@@ -38,8 +38,8 @@ register("e4_fit_sae")(_e4)
 
 def _e5(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings").withColumn("layer", (F.col("vec_id") % 4).cast("long"))
-    layers = layer_grid(layers="0, 3")
-    res = fit_layers(emb, layers, lambda: init_from_data(spark, emb), "embedding", "vec_id", steps=3, batch_size=128, lr=1e-3)
+    layers = layer_grid(layers=[r["layer"] for r in emb.select("layer").distinct().collect()])
+    res = fit_layers(emb, layers, lambda: init_from_data(spark, emb), "embedding", "vec_id", steps=None, batch_size=128, lr=1e-3)
     rows = [(r["layer"], r["steps"], float(r["loss"]), float(r["l2_ratio"]), float(r["l0"])) for r in res]
     return spark.createDataFrame(rows, "layer long, steps long, loss double, l2_ratio double, l0 double")
 
