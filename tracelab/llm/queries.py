@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tracelab.llm import lm, mixing, pieces, resampling, rules, secrets, simhash, suffix_dedup, topk, url_filter
+from tracelab.llm import decontaminate, fill_middle, lm, mixing, pieces, resampling, rules, secrets, simhash, suffix_dedup, topk, url_filter, whitening
 from tracelab.llm.common import table
 
 
@@ -54,6 +54,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
@@ -65,7 +77,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_resampling": op9_resampling,
     "op10_simhash": op10_simhash,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_whitening": op12_whitening,
+    "op13_fill_middle": op13_fill_middle,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.MIXTURE_SQL, "op2_url_filter": url_filter.JUDGE_SQL, "op4_topk": topk.SEARCH_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.MIXTURE_SQL,
+    "op2_url_filter": url_filter.JUDGE_SQL,
+    "op4_topk": topk.SEARCH_SQL,
+    "op11_decontaminate": decontaminate.CONTAMINATION_SQL,
+    "op13_fill_middle": fill_middle.TRANSFORM_SQL,
+}
