@@ -27,6 +27,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -35,7 +36,10 @@ MARKER = "▁"
 #: What an unknown character scores below the lowest piece (fixed value of the format).
 UNKNOWN_PENALTY = 10.0
 MAX_PIECES = 1_000_000
-CACHE_PARTS, CACHE_PART_CHARS = 300_000, 64
+#: A worker's cache of parts: bytes of a generation (two are kept) as estimated by ENTRY_BYTES and lengths, longest part.
+CACHE_BYTES, ENTRY_BYTES, CACHE_PART_CHARS = 16 << 20, 200, 64
+#: Texts are encoded and handed on in slices of about this many bytes.
+SLICE_BYTES = 2 << 20
 
 
 def double_array(keys: list[bytes]) -> tuple[array, array]:
@@ -85,17 +89,20 @@ def double_array(keys: list[bytes]) -> tuple[array, array]:
 
 
 class PartCache:
-    """Paths of parts seen lately: two generations of at most CACHE_PARTS."""
+    """Ids (packed as int32) of parts seen lately: two generations of at most CACHE_BYTES."""
 
     def __init__(self) -> None:
-        self.new: dict[str, array] = {}
-        self.old: dict[str, array] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
 
-    def put(self, part: str, ids: array) -> None:
+    def put(self, part: str, ids: bytes) -> None:
         if len(part) <= CACHE_PART_CHARS:
-            if len(self.new) >= CACHE_PARTS:
-                self.new, self.old = {}, self.new
+            size = ENTRY_BYTES + 2 * len(part) + len(ids)
+            if self.size + size > CACHE_BYTES:
+                self.new, self.old, self.size = {}, self.new, 0
             self.new[part] = ids
+            self.size += size
 
 
 #: By worker process: tasks that follow one another with one vocabulary share what they have seen.
@@ -218,21 +225,25 @@ class Vocabulary:
             at = start
         return ids[::-1]
 
-    def encode(self, text: str, cache: PartCache) -> array:
-        ids = array("i")
+    def packed(self, text: str, cache: PartCache) -> bytes:
+        """The ids of a text as int32."""
         if not text:
-            return ids
+            return b""
         text = text.replace(MARKER, " ")
         text = " " + text if self.dummy_prefix else text
-        for part in self.part.findall(text) if self.part else [text]:
-            got = cache.new.get(part)
+
+        def missed(part: str) -> bytes:
+            got = cache.new.get(part) or cache.old.get(part)
             if got is None:
-                got = cache.old.get(part)
-                if got is None:
-                    got = array("i", self.best_path(part.replace(" ", MARKER).encode("utf-8", "replace")))
-                cache.put(part, got)
-            ids.extend(got)
-        return ids
+                got = array("i", self.best_path(part.replace(" ", MARKER).encode("utf-8", "replace"))).tobytes()
+            cache.put(part, got)
+            return got
+
+        seen = cache.new.get
+        return b"".join([seen(part) or missed(part) for part in (self.part.findall(text) if self.part else [text])])
+
+    def encode(self, text: str, cache: PartCache) -> array:
+        return array("i", self.packed(text, cache))
 
     @cached_property
     def surfaces(self) -> list[bytes]:
@@ -240,7 +251,7 @@ class Vocabulary:
         by = {"normal": lambda p: p.replace(MARKER, " ").encode(), "byte": lambda p: bytes([int(p[3:5], 16)]), "unknown": lambda p: " ⁇ ".encode(), "control": lambda p: b""}
         return [by[k](p) for p, k in zip(self.pieces, self.kinds, strict=True)]
 
-    def decode(self, ids: array) -> str:
+    def decode(self, ids: array | list[int]) -> str:
         text = b"".join(map(self.surfaces.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
@@ -251,18 +262,26 @@ def _ready(vocabulary: Vocabulary) -> Vocabulary:
     return vocabulary
 
 
-def _lists(each: list[array | None]) -> pa.Array:
+def _lists(each: list[bytes | None]) -> pa.Array:
     offsets = np.zeros(len(each) + 1, np.int64)
-    np.cumsum([0 if x is None else len(x) for x in each], out=offsets[1:])
-    flat = array("i")
-    for x in each:
-        if x is not None:
-            flat.extend(x)
+    np.cumsum([0 if x is None else len(x) // 4 for x in each], out=offsets[1:])
     mask = pa.array([x is None for x in each], pa.bool_())
-    values = pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32))
+    values = pa.array(np.frombuffer(b"".join([x for x in each if x is not None]), np.int32))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows in slices that end once their texts have SLICE_BYTES."""
+    for b in batches:
+        size = pc.binary_length(b.column(b.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False)
+        upto, first = np.cumsum(size, dtype=np.int64), 0
+        while first < b.num_rows:
+            done = upto[first - 1] if first else 0
+            end = min(b.num_rows, int(np.searchsorted(upto, done + SLICE_BYTES)) + 1)
+            yield b.slice(first, end - first)
+            first = end
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The documents with ``ids`` array<int> and ``n_pieces`` long in place of
     columns of these names."""
@@ -272,9 +291,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         cache = _cache_of(v.key)
-        for b in batches:
-            ids = [None if x is None else v.encode(x, cache) for x in b.column(b.schema.get_field_index("text")).to_pylist()]
-            n = pa.array([None if x is None else len(x) for x in ids], pa.int64())
+        for b in _slices(batches, "text"):
+            ids = [None if x is None else v.packed(x, cache) for x in b.column(b.schema.get_field_index("text")).to_pylist()]
+            n = pa.array([None if x is None else len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, _lists(ids), n], names=[*b.schema.names, "ids", "n_pieces"])
 
     schema = StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("n_pieces", LongType())])
@@ -306,18 +325,18 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         v = shared.value
         cache = _cache_of(v.key)
         is_byte = np.array([k == "byte" for k in v.kinds])
-        for b in batches:
+        for b in _slices(batches, "text"):
             texts = b.column(1).to_pylist()
-            ids = [None if x is None else v.encode(x, cache) for x in texts]
-            flat = [np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in ids]
+            ids = [None if x is None else v.packed(x, cache) for x in texts]
+            flat = [None if x is None else np.frombuffer(x, np.int32) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
                     _lists(ids),
-                    pa.array([None if x is None else len(x) for x in ids], pa.int64()),
-                    pa.array([None if x is None else int(is_byte[f].sum()) for x, f in zip(ids, flat, strict=True)], pa.int64()),
-                    pa.array([None if x is None else hashlib.sha256(f.tobytes()).hexdigest() for x, f in zip(ids, flat, strict=True)], pa.string()),
-                    pa.array([None if x is None else v.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()),
+                    pa.array([None if f is None else len(f) for f in flat], pa.int64()),
+                    pa.array([None if f is None else int(is_byte[f].sum()) for f in flat], pa.int64()),
+                    pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([None if f is None else v.decode(f.tolist()) == t for f, t in zip(flat, texts, strict=True)], pa.bool_()),
                 ],
                 names=["doc_id", "ids", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"],
             )
