@@ -31,7 +31,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

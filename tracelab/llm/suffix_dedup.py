@@ -250,11 +250,17 @@ def _sorted_segments(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     offset = anchor[row] - j  # equal strings have the anchor at the same place
     order = np.lexsort((offset, gram[row]))
     at, row, j, offset = at[order], row[order], j[order], offset[order]
-    group = np.cumsum(np.r_[True, (gram[row][1:] != gram[row][:-1]) | (offset[1:] != offset[:-1])])
+    new = np.r_[True, (gram[row][1:] != gram[row][:-1]) | (offset[1:] != offset[:-1])]
+    several = ~(new & np.r_[new[1:], True])  # a group of one string has no equal
+    at, row, j, group = at[several], row[several], j[several], np.cumsum(new)[several]
+    if not len(at):
+        return pd.DataFrame({"row": row, "start": row, "n": row})
     hashes = PrefixHashes(text)
     order = suffix_sort(text, hashes, at, group)
     at, row, j, group = at[order], row[order], j[order], group[order]
-    same = np.r_[False, (group[1:] == group[:-1]) & (common_extension(text, hashes, at[1:], at[:-1]) == LENGTH)]
+    same = np.zeros(len(at), bool)
+    near = np.flatnonzero(group[1:] == group[:-1]) + 1
+    same[near] = common_extension(text, hashes, at[near], at[near - 1]) == LENGTH
     where, step = np.flatnonzero(same), 1 << 16
     for i in range(0, len(where), step):  # verify what the hashes call equal
         w = where[i : i + step]
@@ -312,13 +318,29 @@ def by_digests(found: DataFrame) -> DataFrame:
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(t, doc, row, wanted) -> the texts of the segments wanted of each document."""
-    names = ["doc", "row", "start", "strings", "anchor", "gram", "texts", "s"]
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    names = ["start", "strings", "anchor", "gram", "texts"]
+
+    def out(doc: list, number: list, wanted: list[pa.StructArray], texts: list[bytes]) -> pa.RecordBatch:
+        each = [len(w) for w in wanted]
+        owners = [pa.array(np.repeat(np.array(x, np.int64), each)) for x in (doc, number)]
+        return pa.RecordBatch.from_arrays(
+            [*owners, *(pa.concat_arrays([w.field(i) for w in wanted]) for i in range(len(names))), pa.array(texts, pa.binary())],
+            names=["doc", "row", *names, "s"],
+        )
+
     for b in batches:
-        for t, doc, number, wanted in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            data = t.as_buffer().to_pybytes()
-            rows = [(doc, number, w["start"], w["strings"], w["anchor"], w["gram"], w["texts"], data[w["start"] : w["start"] + w["strings"] + LENGTH - 1]) for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        held, texts, size = [], [], 0
+        for t, doc, number, w in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            data, w = t.as_buffer(), w.values
+            start, strings = w.field(0).to_numpy().astype(np.int64), w.field(1).to_numpy()
+            texts += [data[s:e].to_pybytes() for s, e in zip(start.tolist(), (start + strings + LENGTH - 1).tolist(), strict=True)]
+            held.append((doc, number, w))
+            size += int((strings + LENGTH - 1).sum())
+            if size >= BATCH_BYTES:
+                yield out(*zip(*held, strict=True), texts)
+                held, texts, size = [], [], 0
+        if held:
+            yield out(*zip(*held, strict=True), texts)
 
 
 def cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -347,8 +369,9 @@ def covered_ranges(docs: DataFrame, buckets: int) -> DataFrame:
     return settled.where("texts = 0").select("row", "start", F.col("strings").alias("n")).union(by_sort).union(by_digest)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row."""
+def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and what
+    is left of its text (kept binary) unless that is not wanted."""
     # Rows may share an id (and a null one): each is known by a number of its own, fixed by writing it.
     rows = stash(
         docs.select(
@@ -362,17 +385,21 @@ def dedup(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     found = covered_ranges(rows, max(16, -(-total // BUCKET_BYTES)))
     each = found.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for x, ranges in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                data = x.as_buffer().to_pybytes()
-                kept, runs = cut(data, [(r["start"], r["start"] + r["n"] + LENGTH - 1) for r in ranges or ()])
+            for x, ranges in zip(b.column(1), b.column(2), strict=True):
+                data, runs = x.as_buffer().to_pybytes(), 0
+                kept = data
+                if ranges.is_valid:
+                    start, n = (ranges.values.field(i).to_numpy() for i in range(2))
+                    kept, runs = cut(data, list(zip(start.tolist(), (start + n + LENGTH - 1).tolist(), strict=True)))
                 out.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 1 + len(kinds)])
 
-    joined = rows.join(each, "row", "left").select("doc_id", "t", "ranges")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.join(each, "row", "left").select("doc_id", "t", "ranges").mapInArrow(run, schema)
