@@ -44,7 +44,7 @@ def rows_of(df):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(queries.ORACLE_SQL[name])
     cols = [d[0] for d in want.description]
@@ -218,7 +218,7 @@ def test_rules_learn_and_keep(spark):
     assert rules.judge(docs.limit(0), labels).count() == 0
 
 
-def test_lm_scores(spark, texts):
+def test_lm_scores(spark, texts, monkeypatch):
     rows = [*texts, *[(200 + i, "the cat sat on the mat " * 5) for i in range(30)]]
     docs = docs_of(spark, rows)
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
@@ -227,9 +227,38 @@ def test_lm_scores(spark, texts):
     n, v = sum(c.values()), len(c)
     base = lambda t: sum(log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*tokens(t), None])
     want = sorted(((i, fold(i), len(tokens(t)) + 1, sum(c[w] > 0 for w in [*tokens(t), None]), n, round(base(t), 6)) for i, t in rows), key=repr)
-    got = lm.score(docs, frequent=10, classes_wanted=8, stride=1).collect()
+    counts, fit = lm.fitted(docs, frequent=10, classes_wanted=16)
+    monkeypatch.setattr(lm, "fitted", lambda *_: (counts, fit))
+    got = lm.score(docs).collect()
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=repr) == want
-    assert all(r.score < 0 for r in got)
+    # The model token by token: softmax over the classes, then the word's share of its class.
+    classes, m = fit["classes"], fit["model"]
+    context, word = m.context.astype(float), m.word.astype(float)
+    known = {w: int(classes.of[i]) for w, i in classes.known.items()}
+    assert len(set(known.values())) < len(known)  # some words share a class
+    of = lambda w: lm.END if w is None else known.get(w, classes.first_hashed + zlib.crc32(w) % classes.hashed)
+    total, kinds = Counter(), Counter()
+    for w, k in c.items():
+        total[of(w)] += k
+        kinds[of(w)] += 1
+
+    def brute(text):
+        h1 = h2 = lm.END
+        out = 0.0
+        for w in [*tokens(text), None]:
+            z = word @ (context[h1] * m.position[0] + context[h2] * m.position[1]) + m.bias
+            k = of(w)
+            out += (z[k] - np.log(np.exp(z).sum())) / np.log(10)
+            if w is not None:
+                out += log10(c[w] / total[k]) if w in known else log10((c[w] + 0.5) / (total[k] + 0.5 * (kinds[k] + 1)))
+            h1, h2 = k, h1
+        return out
+
+    key = lambda i, x: (-1 if i is None else i, x)
+    have, want = sorted(key(r.doc_id, r.score) for r in got), sorted(key(i, brute(t)) for i, t in rows)
+    assert [i for i, _ in have] == [i for i, _ in want]
+    assert np.allclose([x for _, x in have], [x for _, x in want], rtol=1e-5, atol=1e-3)
+    monkeypatch.undo()
     assert lm.score(docs.limit(0)).count() == 0
     model = lm.Model.start(np.full(9, 1 / 9))
     first, second, z = lm.tables(model)
@@ -268,11 +297,23 @@ def test_lm_trains_on_every_position(spark):
     held = lm.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert (held[0] - held[1]) / held[2] > 0.5  # each word follows one other
     training = lm.fold(docs).where("NOT held_out").select("t")
-    share = np.full(14, 1 / 14)
-    _, positions = lm.train(training, {f"w{i}".encode(): i + 2 for i in range(12)}, share, rounds=1)
+    classes = lm.Classes.deal([f"w{i}".encode() for i in range(12)], np.full(12, 9.0), 0, 26)
+    _, positions = lm.train(training, classes, np.full(classes.size, 1 / classes.size), rounds=1)
     assert positions == training.count() * 61
 
 
+def test_lm_classes_hold_every_word():
+    words, counts = [f"w{i}".encode() for i in range(500)], 1000.0 / np.arange(1, 501)
+    for wanted in (2, 3, 8, 64, 200, 2048):
+        c = lm.Classes.deal(words, counts, 4000.0, wanted)
+        at, of = c.places([*words, b"never seen", b"w3"])
+        assert of.min() >= 1 and of.max() < c.size <= max(wanted, 3) and c.hashed >= 1
+        assert (at[-2], of[-1]) == (-1, of[3]) and c.first_hashed <= of[-2]
+        assert (np.diff(c.of) >= 0).all() and set(range(1, c.first_hashed)) == set(c.of.tolist())
+    assert lm.Classes.deal([], np.zeros(0), 0.0, 64).size == 64
+    assert lm.classes_for(0) == lm.LEAST_CLASSES < lm.classes_for(10_000) < lm.classes_for(10**9) == lm.MOST_CLASSES
+
+
 def test_pieces_best_path():
     v = pieces.Vocabulary.load(MODEL)
     ids = {v.pieces[i]: i for i in v.normal}

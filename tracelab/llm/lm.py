@@ -1,17 +1,22 @@
 """LM scoring: a log-bilinear model trained by noise-contrastive estimation.
 
 Counts of all training tokens come from one pass.  The model predicts a class
-(one of the most frequent words, the end, or any other word) from the two
-classes before: a word's score is the inner product of its vector with the sum
-of the two context vectors, each weighed by position, plus a bias.  Every task
-trains a copy in numpy on its part of the training texts (every position of
-all of them) and the copies are averaged, weighed by positions; the next of
-``ROUNDS`` rounds over all texts starts from the average.
-
-Scores are additive in the two context words, so the normaliser of all pairs
-of context classes is one matrix product of exponentials; with it a token's
-normalised log probability is three table look-ups.  A word of the other
-class shares the class's probability by its smoothed count.
+from the two classes before: the class's score is the inner product of its
+vector with the sum of the two context vectors, each weighed by position, plus
+a bias.  The most frequent words and the end are classes of their own; other
+frequent words share classes of about equal shares of the tokens, by rank; all
+further words, unseen ones included, are dealt to classes by hash.  A word's
+probability is its class's times its share of the class's tokens, so each word
+is scored by a class with vectors, and both levels sum to one.  The number of
+classes grows with the root of the distinct words up to ``MOST_CLASSES``.
+
+Every task trains a copy in numpy on its part of the training texts (every
+position of all of them) and the copies are averaged, weighed by positions;
+the next of ``ROUNDS`` rounds over all texts starts from the average.
+
+Scores are additive in the two context classes, so the normaliser of all pairs
+of context classes is one matrix product of exponentials; with it a class's
+normalised log probability is three table look-ups.
 
 Counts of the most frequent words are broadcast (at most ``FREQUENT`` words of
 at most ``FREQUENT_BYTES`` bytes); the occurrences of the others are joined
@@ -19,7 +24,7 @@ with the table of counts by word.
 
 Defined cases: a null or empty text is its end token; without training texts
 N and V are 0, words have the smoothed count of an unseen one, and the model
-is uniform over its classes; a null doc_id hashes as an empty text (training);
+has the end and classes of unseen words; a null doc_id hashes as an empty text (training);
 repeated rows are counted and scored each; an empty table gives an empty
 result; other columns are not read.
 """
@@ -29,26 +34,28 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelab.llm.common import stash, text_bytes
 
 #: Folds: a text is held out if crc32 of its doc_id leaves HELD_OUT (fixed values).
 FOLDS, HELD_OUT = 5, 1
-CLASSES = 1024  # the end, any other word, and CLASSES - 2 words
+LEAST_CLASSES, MOST_CLASSES = 64, 2048  # the normaliser is a table of their square (ids fit 16 bits)
+CLASSES_BY_ROOT = 4  # classes for each unit of the root of the distinct words
 DIMENSIONS = 24
-STRIDE = 1  # every position
 ROUNDS = 3
 TEXTS_AT_ONCE = 256
-BATCH, NOISE, RATE = 512, 64, 0.1
+BATCH, NOISE, RATE = 2048, 64, 0.2
 FREQUENT, FREQUENT_BYTES = 100_000, 64
 LEVELS, SHARES = 16, 4096
-END, OTHER = 0, 1
+END = 0
 COUNTER_WORDS = 200_000
 
 
@@ -104,6 +111,52 @@ def most_frequent(counts: DataFrame, frequent: int) -> list:
     return sorted(chosen.collect(), key=lambda r: (-r.c, bytes(r.w)))
 
 
+@dataclass
+class Classes:
+    """The class of every word: ``of`` by rank among the known words, and for
+    others one of ``hashed`` classes from ``first_hashed`` on."""
+
+    known: dict[bytes, int]
+    of: np.ndarray
+    first_hashed: int
+    hashed: int
+
+    @property
+    def size(self) -> int:
+        return self.first_hashed + self.hashed
+
+    @classmethod
+    def deal(cls, words: list[bytes], counts: np.ndarray, others: float, wanted: int) -> Classes:
+        """Half of the classes to single words by falling count; the rest to the
+        known words left and to the ``others`` (a number of tokens) by their shares."""
+        own = min(len(words), max(0, wanted // 2 - 1))
+        left = counts[own:]
+        spare = max(1, wanted - 1 - own)
+        binned = min(len(left), max(1, round(spare * left.sum() / (left.sum() + others)))) if len(left) and spare > 1 else 0
+        if len(left) and not binned:  # no room: they are hashed like the others
+            words, left = words[:own], left[:0]
+        binned = min(binned, max(0, spare - 1))
+        before = np.cumsum(left) - left
+        bins = np.minimum((before * (binned / max(left.sum(), 1))).astype(np.int64), max(binned - 1, 0))
+        _, bins = np.unique(bins, return_inverse=True)
+        used = int(bins.max()) + 1 if len(bins) else 0
+        of = np.concatenate([1 + np.arange(own), 1 + own + bins]).astype(np.int64)
+        return cls({w: i for i, w in enumerate(words)}, of, 1 + own + used, max(1, spare - used))
+
+    def places(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The rank (-1: not known) and the class of each word."""
+        get = self.known.get
+        at = np.array([get(w, -1) for w in words], np.int64)
+        of = self.of[at] if len(self.of) else np.zeros(len(at), np.int64)
+        rest = np.flatnonzero(at < 0)
+        of[rest] = [self.first_hashed + crc32(words[i]) % self.hashed for i in rest.tolist()]
+        return at, of
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """Two ends in front, the classes of the words, and the end."""
+        return np.concatenate([[END, END], self.places(words)[1], [END]])
+
+
 @dataclass
 class Model:
     """Vectors by class (context and predicted), position weights, biases."""
@@ -118,7 +171,8 @@ class Model:
         """Small random vectors; biases that give the classes their shares."""
         rng = np.random.default_rng(seed)
         n = len(share)
-        return cls(rng.normal(0, 0.1, (n, dimensions)), rng.normal(0, 0.1, (n, dimensions)), np.ones((2, dimensions)), np.log(share))
+        parts = rng.normal(0, 0.1, (n, dimensions)), rng.normal(0, 0.1, (n, dimensions)), np.ones((2, dimensions)), np.log(share)
+        return cls(*(x.astype(np.float32) for x in parts))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.context, self.word, self.position, self.bias)])
@@ -126,67 +180,69 @@ class Model:
     def filled(self, flat: np.ndarray) -> Model:
         out, at = [], 0
         for x in (self.context, self.word, self.position, self.bias):
-            out.append(flat[at : at + x.size].reshape(x.shape).copy())
+            out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
         return Model(*out)
 
 
-def _summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids and the sum of the rows of each."""
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
-    return ids[order][first], np.add.reduceat(rows[order], first, axis=0)
+def _summed(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of each id below ``n``."""
+    return np.stack([np.bincount(ids, column, n) for column in rows.T], axis=1).astype(np.float32)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
     """Adagrad steps of noise-contrastive estimation on batches of (two before, next)."""
 
     def __init__(self, model: Model, share: np.ndarray, seed: int | list[int], sums: Model | None = None):
-        self.model, self.share, self.positions = model, share, 0
+        self.model, self.positions = model, 0
         self.rng = np.random.default_rng(seed)
         self.cum = np.cumsum(share)
+        self.base = np.log(NOISE * share).astype(np.float32)
         self.sums = sums or model.filled(np.full(model.flat().size, 1e-8))
 
     def step(self, h1: np.ndarray, h2: np.ndarray, w: np.ndarray) -> None:
-        m, n = self.model, len(w)
-        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE) * self.cum[-1]), len(self.share) - 1)
-        r1, r2 = m.context[h1], m.context[h2]
-        guess = r1 * m.position[0] + r2 * m.position[1]
-        base = np.log(NOISE * self.share)
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        right = 1 - sigmoid((guess * m.word[w]).sum(1) + m.bias[w] - base[w])  # towards the data
-        wrong = -sigmoid(guess @ m.word[noise].T + m.bias[noise] - base[noise])  # away from the noise
-        toward = right[:, None] * m.word[w] + wrong @ m.word[noise]
-        up = wrong.T @ guess
-        contexts = _summed(np.r_[h1, h2], np.concatenate([toward * m.position[0], toward * m.position[1]]))
-        words, d = _summed(np.r_[w, noise], np.concatenate([np.c_[right[:, None] * guess, right], np.c_[up, wrong.sum(0)]]))
-        both = np.stack([(toward * r1).sum(0), (toward * r2).sum(0)])
+        m, n, size = self.model, len(w), len(self.base)
+        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE) * self.cum[-1]), size - 1)
+        r1, r2 = m.context.take(h1, axis=0), m.context.take(h2, axis=0)
+        guess = r1 * m.position[0]
+        guess += r2 * m.position[1]
+        word, other, bias = m.word.take(w, axis=0), m.word.take(noise, axis=0), m.bias - self.base
+        right = np.einsum("ij,ij->i", guess, word) + bias.take(w)
+        right = (1 - _sigmoid(right)) / n  # towards the data
+        wrong = guess @ other.T
+        wrong += bias.take(noise)
+        wrong = _sigmoid(wrong) / np.float32(n)  # away from the noise
+        toward = right[:, None] * word
+        toward -= wrong @ other
+        of_word = np.empty((n, guess.shape[1] + 1), np.float32)
+        of_word[:, :-1] = right[:, None] * guess
+        of_word[:, -1] = right
+        words = _summed(w, of_word, size)
+        words -= _summed(noise, np.concatenate([wrong.T @ guess, wrong.sum(0)[:, None]], axis=1), size)
+        contexts = _summed(h1, toward, size) * m.position[0] + _summed(h2, toward, size) * m.position[1]
+        both = np.stack([np.einsum("ij,ij->j", toward, r) for r in (r1, r2)])
         sums = self.sums
-        for x, s, at, g in (
-            (m.context, sums.context, *contexts),
-            (m.word, sums.word, words, d[:, :-1]),
-            (m.position, sums.position, slice(None), both),
-            (m.bias, sums.bias, words, d[:, -1]),
-        ):
-            g = g / n
-            s[at] += g * g
-            x[at] += RATE * g / np.sqrt(s[at])
+        for x, s, g in ((m.context, sums.context, contexts), (m.word, sums.word, words[:, :-1]), (m.position, sums.position, both), (m.bias, sums.bias, words[:, -1])):
+            s += g * g
+            x += np.float32(RATE) * g / np.sqrt(s)
         self.positions += n
 
 
-def class_ids(words: list[bytes], classes: dict[bytes, int]) -> np.ndarray:
-    """Two ends in front, the classes of the words, and the end."""
-    get = classes.get
-    return np.array([END, END, *[get(w, OTHER) for w in words], END], np.int64)
-
-
-def encoded(training: DataFrame, classes: dict[bytes, int]) -> DataFrame:
-    """``training`` (t) -> (ids): the class_ids of every text."""
+def encoded(training: DataFrame, classes: Classes) -> DataFrame:
+    """``training`` (t) -> (ids): the class ids of every text."""
     shared = training.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [class_ids(words, shared.value) for words in _words(b, 0)]
+            ids = [shared.value.ids(words) for words in _words(b, 0)]
             offsets = np.cumsum([0, *map(len, ids)])
             values = np.concatenate(ids) if ids else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], names=["ids"])
@@ -194,7 +250,7 @@ def encoded(training: DataFrame, classes: dict[bytes, int]) -> DataFrame:
     return training.mapInArrow(run, "ids array<int>")
 
 
-def train(training: DataFrame, classes: dict[bytes, int], share: np.ndarray, stride: int = STRIDE, rounds: int = ROUNDS) -> tuple[Model, int]:
+def train(training: DataFrame, classes: Classes, share: np.ndarray, rounds: int = ROUNDS) -> tuple[Model, int]:
     """In each round the average (of parameters and of Adagrad's sums) of the
     copies trained by each task over its texts, and the positions trained on in
     a round."""
@@ -208,21 +264,17 @@ def train(training: DataFrame, classes: dict[bytes, int], share: np.ndarray, str
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             share, model, sums = shared.value
-            task = TaskContext.get().partitionId()
-            t = Trainer(model.filled(model.flat()), share, [turn, task], sums.filled(sums.flat()))
-            held, size, offset = [], 0, task % stride
+            t = Trainer(model.filled(model.flat()), share, [turn, TaskContext.get().partitionId()], sums.filled(sums.flat()))
+            held, size = [], 0
             for b in batches:
                 for i in range(0, b.num_rows, TEXTS_AT_ONCE):
                     column = b.column(0).slice(i, TEXTS_AT_ONCE)
-                    ids = column.flatten().to_numpy().astype(np.int64)
-                    ends = np.cumsum(column.value_lengths().to_numpy())
+                    ids = column.flatten().to_numpy()
                     target = np.ones(len(ids), bool)
-                    starts = np.r_[0, ends[:-1]]
+                    starts = np.r_[0, np.cumsum(column.value_lengths().to_numpy())[:-1]]
                     target[starts] = target[starts + 1] = False  # the two ends in front
                     at = np.flatnonzero(target)
-                    total, at = len(at), at[offset::stride]
-                    offset = (offset - total) % stride
-                    held.append(np.stack([ids[at - 1], ids[at - 2], ids[at]]))
+                    held.append(np.stack([ids[at - 1], ids[at - 2], ids[at]]).astype(np.uint16))
                     size += len(at)
                     if size >= BATCH:
                         every = np.concatenate(held, axis=1)
@@ -231,8 +283,8 @@ def train(training: DataFrame, classes: dict[bytes, int], share: np.ndarray, str
                         held, size = [every[:, size - size % BATCH :]], size % BATCH
             if size:
                 t.step(*np.concatenate(held, axis=1))
-            flat = np.r_[t.model.flat(), t.sums.flat()] * t.positions
             if t.positions:
+                flat = np.r_[t.model.flat(), t.sums.flat()].astype(np.float64) * t.positions
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int32()), pa.array(np.r_[float(t.positions), flat])], names=["i", "x"])
 
         parts = texts.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")
@@ -248,49 +300,76 @@ def train(training: DataFrame, classes: dict[bytes, int], share: np.ndarray, str
 def tables(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, second, log of the normaliser): the log probability of w after
     classes h2, h1 is first[h1, w] + second[h2, w] - normaliser[h1, h2]."""
-    first = (model.context * model.position[0]) @ model.word.T + model.bias
-    second = (model.context * model.position[1]) @ model.word.T
+    context, position, word, bias = (x.astype(np.float64) for x in (model.context, model.position, model.word, model.bias))
+    first = (context * position[0]) @ word.T + bias
+    second = (context * position[1]) @ word.T
     top1, top2 = first.max(1, keepdims=True), second.max(1, keepdims=True)
     z = np.exp(first - top1) @ np.exp(second - top2).T
     return first.astype(np.float32), second.astype(np.float32), (np.log(z) + top1 + top2.T).astype(np.float32)
 
 
-def score(docs: DataFrame, classes_wanted: int = CLASSES, frequent: int = FREQUENT, stride: int = STRIDE) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    spark = docs.sparkSession
-    rows = fold(docs)
-    training = rows.where("NOT held_out").select("t")
+def classes_for(v: int) -> int:
+    return min(MOST_CLASSES, max(LEAST_CLASSES, CLASSES_BY_ROOT * isqrt(v)))
+
+
+def hash_class(classes: Classes) -> Column:
+    """The number among the hashed classes of a word that is not known."""
+    return (F.crc32("w") % classes.hashed).cast("int")
+
+
+def fitted(docs: DataFrame, frequent: int = FREQUENT, classes_wanted: int | None = None) -> tuple[DataFrame, dict]:
+    """The counts of all training words (w, c), and what scoring needs: ``n``,
+    ``v``, ``ends``, the ``classes``, the known words' ``count``, the tokens and
+    distinct words of the hashed classes, and the ``model``."""
+    training = fold(docs).where("NOT held_out").select("t")
     counts = stash(word_counts(training), "lm-counts")
     got = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
     n, v = got.n + ends, got.v + (ends > 0)
     top = most_frequent(counts, frequent)
-    known = {bytes(r.w): i for i, r in enumerate(top)}
     count = np.array([r.c for r in top], np.float64)
-    own = min(len(top), classes_wanted - 2)
-    classes = {w: i + 2 for w, i in known.items() if i < own}
-    n_other, v_other = got.n - count[:own].sum(), got.v - own
-    share = np.r_[ends + 0.5, n_other + 0.5, count[:own] + 0.5]
-    share = share / share.sum()
-    model, _ = train(training, classes, share, stride)
-    base_of = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    inner_of = lambda c: np.log10((c + 0.5) / (n_other + 0.5 * (v_other + 1)))
-    inner = np.r_[np.zeros(own), inner_of(count[own:])]
-    shared = spark.sparkContext.broadcast((known, own, base_of(count), inner, tables(model)))
+    classes = Classes.deal([bytes(r.w) for r in top], count, got.n - count.sum(), classes_wanted or classes_for(v))
+    count = count[: len(classes.of)]
+    known = docs.sparkSession.createDataFrame([(w,) for w in classes.known], "w binary")
+    hashed = np.zeros((classes.hashed, 2))
+    for r in counts.join(F.broadcast(known), "w", "left_anti").groupBy(hash_class(classes).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        hashed[r.b] = r.c, r.v
+    share = np.zeros(classes.size)
+    np.add.at(share, classes.of, count)
+    share[END], share[classes.first_hashed :] = ends, hashed[:, 0]
+    share = (share + 0.5) / (share + 0.5).sum()
+    model, _ = train(training, classes, share)
+    return counts, {"n": n, "v": v, "ends": ends, "classes": classes, "count": count, "hashed": hashed, "model": model}
+
+
+def inner(classes: Classes, count: np.ndarray) -> np.ndarray:
+    """The log10 share of each known word in its class's tokens."""
+    total = np.zeros(classes.size)
+    np.add.at(total, classes.of, count)
+    return np.log10(count / total[classes.of])
+
+
+def score(docs: DataFrame, classes_wanted: int | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    spark = docs.sparkSession
+    counts, fit = fitted(docs, frequent, classes_wanted)
+    n, ends, classes, hashed = fit["n"], fit["ends"], fit["classes"], fit["hashed"]
+    below = float(n + 0.5 * (fit["v"] + 1))
+    base_of = lambda c: np.log10((c + 0.5) / below)
+    shared = spark.sparkContext.broadcast((classes, base_of(fit["count"]), inner(classes, fit["count"]), tables(fit["model"])))
     base_end, known_end = float(base_of(ends)), int(ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own, base, inner, (first, second, normaliser) = shared.value
+        classes, base, inner, (first, second, normaliser) = shared.value
         uid = TaskContext.get().partitionId() << 33
         for b in batches:
             uids, tokens, n_known, bases, scores, others, offsets = [], [], [], [], [], [], [0]
             for words in _words(b, 1):
-                at = np.array([known.get(w, -1) for w in words], np.int64)
-                seen = at >= 0
-                ids = np.r_[END, END, np.where(seen & (at < own), at + 2, OTHER), END]
+                at, of = classes.places(words)
+                ids = np.concatenate([[END, END], of, [END]])
                 h1, h2, w = ids[1:-1], ids[:-2], ids[2:]
                 logs = first[h1, w].astype(np.float64) + second[h2, w] - normaliser[h1, h2]
-                found = at[seen]
+                found = at[at >= 0]
                 uids.append(uid)
                 uid += 1
                 tokens.append(len(words) + 1)
@@ -298,7 +377,7 @@ def score(docs: DataFrame, classes_wanted: int = CLASSES, frequent: int = FREQUE
                 bases.append(base[found].sum() + base_end)
                 scores.append(logs.sum() / np.log(10) + inner[found].sum())
                 if len(found) < len(words):
-                    others.extend(Counter(x for x, s in zip(words, seen.tolist(), strict=True) if not s).items())
+                    others.extend(Counter([words[i] for i in np.flatnonzero(at < 0).tolist()]).items())
                 offsets.append(len(others))
             rare = pa.StructArray.from_arrays([pa.array([x for x, _ in others], pa.binary()), pa.array([k for _, k in others], pa.int64())], names=["w", "k"])
             yield pa.RecordBatch.from_arrays(
@@ -307,14 +386,15 @@ def score(docs: DataFrame, classes_wanted: int = CLASSES, frequent: int = FREQUE
             )
 
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, rare array<struct<w:binary,k:long>>"
-    partial = stash(rows.mapInArrow(run, schema), "lm-partial")
-    # What the frequent words left: by word to its count, by row to sums.
+    partial = stash(fold(docs).mapInArrow(run, schema), "lm-partial")
+    # What the known words left: by word to its count, by row to sums.
     c = F.coalesce("c", F.lit(0))
+    inside = F.element_at(F.lit((hashed[:, 0] + 0.5 * (hashed[:, 1] + 1)).tolist()), hash_class(classes) + 1)
     rest = partial.select("uid", F.inline("rare")).join(counts, "w", "left").select(
         "uid",
         F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0).alias("k_known"),
-        (F.col("k") * F.log10((c + 0.5) / float(n + 0.5 * (v + 1)))).alias("k_base"),
-        (F.col("k") * F.log10((c + 0.5) / float(n_other + 0.5 * (v_other + 1)))).alias("k_lm"),
+        (F.col("k") * F.log10((c + 0.5) / below)).alias("k_base"),
+        (F.col("k") * F.log10((c + 0.5) / inside)).alias("k_lm"),
     )
     rest = rest.groupBy("uid").agg(*[F.sum(x).alias(x) for x in ("k_known", "k_base", "k_lm")])
     zero = lambda x: F.coalesce(x, F.lit(0))
