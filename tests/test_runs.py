@@ -1,6 +1,7 @@
 """Label records with a user judge, capture counts, conditions, summaries."""
 
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,20 @@ def test_perplexity_rules(spark):
     got = {r.src: r.perplexity for r in perplexity(df, by="src").collect()}
     assert abs(got["s"] - 7.38905609893065) < 1e-9  # exp(2.0): the 1-token text is skipped
     assert got["t"] == float("inf")
+
+
+def test_step_label_counts_in_the_row(spark):
+    from tracelab.operators.runs import step_label_counts
+
+    df = spark.createDataFrame([(1, "Wait, verify that.\n\n \n\nAlternatively, x\n\nplain\n\nWait"), (1, ""), (2, None), (3, "\u3000\n\n\x1c")], "id long, t string")
+    got = sorted(tuple(r)[2:] for r in step_label_counts(df, "t", total="steps").collect())
+    assert got == [(0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (2, 1, 1, 4)]
+
+
+def test_perplexity_report_of_both_losses(spark):
+    from tracelab.operators.runs import perplexity_report
+
+    df = spark.createDataFrame([("a", 2.0, 2.01, 11), ("a", 3.0, 3.02, 1), ("b", 1.0, 1.2, 5), ("c", 1.0, 1.0, 1)], "src string, loss double, patched_loss double, n_tokens long")
+    got = {r.src: r for r in perplexity_report(df, "src").collect()}
+    assert abs(got["a"].ppl_increase_pct - (np.exp(0.01) - 1) * 100) < 1e-9 and got["a"].passed
+    assert not got["b"].passed and got["c"].ppl_original == float("inf") and not got["a"].all_passed

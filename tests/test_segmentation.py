@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tracelab.operators.segment import parse_reasoning, segment_regions, segment_steps, tokenize_chars, tokenize_words
-from tracelab.operators.spans import activation_points, point_mask
+from tracelab.operators.segment import char_spans, parse_reasoning, reasoning_examples, segment_regions, segment_steps, tokenize_words
+from tracelab.operators.spans import activation_points, keep_usable, last_overlaps, mark_tokens, point_masks, select_points
 
 TEXT = "First compute the sum.\n\nThen conclude the answer is 2."
 
@@ -29,11 +29,10 @@ def test_two_steps_and_delimiter_span(spark):
 
 def test_points_delimiter_then_last_step_token(spark):
     df = spark.createDataFrame([(1, TEXT)], "id long, text string")
-    steps = segment_steps(df, "text", "id", "\n\n")
-    toks = tokenize_chars(df, "text", "id", max_len=4096)
-    pts = activation_points(toks, steps, "id")
-    got = point_mask(pts, "id").first().points
-    assert got == [23, len(TEXT) - 1]
+    pts = activation_points(df, "text", "id", spans=char_spans, max_len=4096, details=True).collect()
+    assert [(r.step_id, r.token_idx, r.token, r.n_tokens) for r in pts] == [(0, 23, "\n", len(TEXT)), (1, len(TEXT) - 1, ".", len(TEXT))]
+    mask = point_masks(df, "text", "id", spans=char_spans, max_len=4096).first()
+    assert (mask.n_steps, mask.n_tokens, mask.points) == (2, len(TEXT), [23, len(TEXT) - 1])
 
 
 def test_problem_solution_schema(spark):
@@ -43,9 +42,8 @@ def test_problem_solution_schema(spark):
     assert row.text.startswith("Problem:\nWhat is 1 + 1?")
     steps = segment_regions(parsed, "id", "\n\n")
     assert steps.count() == 2
-    toks = tokenize_chars(parsed.select("id", "text"), "text", "id", max_len=4096)
-    pts = activation_points(toks, steps, "id")
-    assert len(point_mask(pts, "id").first().points) == 2
+    mask = point_masks(parsed, "text", "id", regions="regions", spans=char_spans, max_len=4096).first()
+    assert len(mask.points) == 2
 
 
 def test_unicode_blanks_are_trimmed(spark):
@@ -91,3 +89,40 @@ def test_word_tokens_and_truncation(spark):
     df = spark.createDataFrame([(1, "  ab c　d  ")], "id long, text string")
     toks = tokenize_words(df, "text", "id", max_len=2).orderBy("token_idx").collect()
     assert [(t.token, t.tok_start, t.tok_end) for t in toks] == [("ab", 2, 4), ("c", 5, 6)]
+
+
+def test_texts_of_one_id_keep_their_own_points(spark):
+    texts = ["alpha beta\n\ngamma", "x\n\ny z\n\nw", None, "", "one two three four five six seven eight nine ten"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "id long, n int, text string")
+    got = sorted((r.n, r.step_id, r.token) for r in activation_points(df, "text", "id", keep=("n",), details=True).collect())
+    assert got == [(0, 0, "beta"), (0, 1, "gamma"), (1, 0, "x"), (1, 1, "z"), (1, 2, "w"), (4, 0, "ten")]
+    masks = {r.n: r.points for r in point_masks(df, "text", "id", keep=("n",)).collect()}
+    assert masks == {0: [1, 2], 1: [0, 2, 3], 3: [], 4: [9]}
+    assert [r.n for r in keep_usable(point_masks(df, "text", "id", keep=("n",)), 10).collect()] == [4]
+    chosen = sorted((r.n, r.token_idx) for r in select_points(mark_tokens(df, "text", "id", keep=("n",))).collect())
+    assert chosen == [(n, p) for n, ps in sorted(masks.items()) for p in ps]
+    plan = activation_points(df, "text", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_empty_tokens_and_unordered_regions():
+    tokens = [(0, 0), (0, 2), (2, 3), (3, 6), (0, 0)]  # marks that are not in the text in front and behind
+    steps = [(0, 0, 2, 2, 3, ""), (1, 3, 6, None, None, "")]
+    assert list(last_overlaps(tokens, steps)) == [2, 3]
+    assert list(last_overlaps(tokens, [steps[1], steps[0]])) == [3, 2]
+    assert list(last_overlaps([], steps)) == [None, None]
+
+
+def test_reasoning_examples_with_fallback(spark):
+    rows = [(i, "Q", "one\n\ntwo", None) for i in range(3)] + [(10, None, None, "<think> \n\n </think>"), (11, None, None, "Answer: a\n\nb")]
+    rows += [(100 + i, "only a question" if i % 2 else None, None, None if i % 3 else "plain text") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, question string, solution string, text string")
+    got = {r.id: r for r in reasoning_examples(df, "id", question_sample_prob=0.25).collect()}
+    assert got[0].branch == "qa" and got[0].n_steps == 2 and 10 not in got
+    assert got[11].branch == "header" and [got[11].text[s:e] for s, e in zip(got[11].step_starts, got[11].step_ends)] == ["a", "b"]
+    drawn = [r for i, r in got.items() if i >= 100]
+    able = sum(1 for r in rows[5:] if r[1] or r[3])
+    assert 0.15 < len(drawn) / able < 0.35
+    assert all(r.branch == "question" and r.n_steps is None and r.text in ("only a question", "plain text") for r in drawn)
+    assert all((r.text == "only a question") == (r.id % 2 == 1) for r in drawn)
+    assert all(r.branch != "question" for r in reasoning_examples(df, "id", question_sample_prob=0.0).collect())

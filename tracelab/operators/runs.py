@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelab.functions.cues import cue_label, cue_rationale
-from tracelab.functions.text import answer_match, extract_final_answer, is_blank
+from tracelab.functions.text import answer_match, extract_final_answer, is_blank, py_strip, regex_quote
 
 # Persisted step-label record (15 fields).
 STEP_LABEL_SCHEMA = T.StructType(
@@ -65,28 +65,31 @@ RESPONSE_CACHE_SCHEMA = T.StructType(
 JUDGES = ("heuristic",)
 
 
+def _label_inputs() -> list[Column]:
+    """The columns of a label record that come from a step."""
+    return [
+        F.col("sample_id").cast("string"),
+        *(F.col(c) for c in ("question", "response", "full_text", "reference_answer")),
+        F.col("step_id").cast("int"),
+        F.col("step_text"),
+        F.col("step_start").cast("int").alias("step_start_char"),
+        F.col("step_end").cast("int").alias("step_end_char"),
+        F.col("delim_start").cast("int").alias("delimiter_start_char"),
+        F.col("delim_end").cast("int").alias("delimiter_end_char"),
+    ]
+
+
 def label_steps(steps: DataFrame, judge: str = "heuristic", judge_fn=None, judge_model: str | None = None) -> DataFrame:
     """Label every step.  ``heuristic`` runs the cue rule as column
     expressions; any other judge is a user function applied per Arrow batch
     (``judge_fn(pandas.DataFrame) -> pandas.DataFrame[label, rationale]``
-    over question, response, step_text, previous_step, next_step).
+    over question, response, step_text, previous_step, next_step; the
+    neighbours come from the steps if they carry them, else by a window).
 
     ``steps`` has sample_id, question, response, full_text, reference_answer,
     step_id, step_start, step_end, delim_start, delim_end, step_text.
     """
-    base = steps.select(
-        F.col("sample_id").cast("string"),
-        "question",
-        "response",
-        "full_text",
-        "reference_answer",
-        F.col("step_id").cast("int"),
-        "step_text",
-        F.col("step_start").cast("int").alias("step_start_char"),
-        F.col("step_end").cast("int").alias("step_end_char"),
-        F.col("delim_start").cast("int").alias("delimiter_start_char"),
-        F.col("delim_end").cast("int").alias("delimiter_end_char"),
-    )
+    base = steps.select(*_label_inputs())
     if judge == "heuristic":
         return base.select(
             "*",
@@ -97,8 +100,11 @@ def label_steps(steps: DataFrame, judge: str = "heuristic", judge_fn=None, judge
         )
     if judge_fn is None:
         raise ValueError(f"Unsupported judge: {judge}")
-    w = Window.partitionBy("sample_id").orderBy("step_id")
-    ctx = base.select("*", F.lag("step_text").over(w).alias("previous_step"), F.lead("step_text").over(w).alias("next_step"))
+    if "previous_step" in steps.columns:
+        ctx = steps.select(*[F.col(c) for c in ("previous_step", "next_step")], *_label_inputs())
+    else:
+        w = Window.partitionBy("sample_id").orderBy("step_id")
+        ctx = base.select("*", F.lag("step_text").over(w).alias("previous_step"), F.lead("step_text").over(w).alias("next_step"))
     out_schema = T.StructType(list(base.schema.fields) + [f for f in STEP_LABEL_SCHEMA.fields if f.name in ("label", "label_rationale", "label_source", "judge_model")])
 
     base_cols = [f.name for f in base.schema.fields]  # no DataFrame inside the task closure
@@ -202,6 +208,27 @@ def cross_conditions(samples: DataFrame, spec: str, question_col: str = "questio
     )
 
 
+STEP_COUNTS = ("reflection_steps", "backtracking_steps", "other_steps")
+
+
+def step_label_counts(df: DataFrame, text_col: str, delim: str = "\n\n", total: str | None = None) -> DataFrame:
+    """A10: the number of steps of each cue label in every row's text, beside
+    the row (``total``: a column for their sum).  Cut and labelled in the row
+    (the steps of X1), so nothing is exploded or grouped.  A null text has none."""
+    from tracelab.operators.segment import evaluate_once
+
+    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), regex_quote(delim), -1)
+    steps = F.filter(F.transform(parts, lambda x: py_strip(x)), lambda x: x != "")
+    counted = evaluate_once(df.select("*", F.transform(steps, lambda x: cue_label(x)).alias("_labels")))
+
+    def count(label: str) -> Column:
+        return F.size(F.filter("_labels", lambda x: x == label)).cast("long")
+
+    of = [count(name.removesuffix("_steps")).alias(name) for name in STEP_COUNTS]
+    every = [F.size("_labels").cast("long").alias(total)] if total else []
+    return counted.select(*df.columns, *of, *every)
+
+
 def intervention_summary(runs: DataFrame) -> DataFrame:
     """Per condition mean step counts, totals, scored runs, accuracy
     (correct / scored, null when nothing was scored)."""
@@ -236,12 +263,18 @@ def perplexity(losses: DataFrame, by=(), loss_col: str = "loss", tokens_col: str
     return losses.groupBy(*by).agg(*aggs) if by else losses.agg(*aggs)
 
 
-def perplexity_report(base: DataFrame, patched: DataFrame, key: str, limit_pct: float = 5.0) -> DataFrame:
-    """Increase % = (patched - base) / base · 100, passed when below the
-    limit; ``all_passed`` over every key (window over the report rows)."""
-    j = base.select(key, F.col("perplexity").alias("ppl_original")).join(
-        patched.select(key, F.col("perplexity").alias("ppl_with_sae")), key
-    )
+def perplexity_report(losses: DataFrame, key: str, base_col: str = "loss", patched_col: str = "patched_loss", tokens_col: str = "n_tokens", limit_pct: float = 5.0) -> DataFrame:
+    """Perplexity by both losses of the same texts in one aggregate;
+    increase % = (patched - base) / base · 100, passed when below the limit;
+    ``all_passed`` over every key (window over the report rows)."""
+    use = F.col(tokens_col) >= 2
+    n = F.when(use, F.col(tokens_col) - 1)
+    den = F.sum(n)
+
+    def ppl(loss_col: str) -> Column:
+        return F.when(F.coalesce(den, F.lit(0)) > 0, F.exp(F.sum(F.col(loss_col) * n) / den)).otherwise(F.lit(float("inf")))
+
+    j = losses.groupBy(key).agg(ppl(base_col).alias("ppl_original"), ppl(patched_col).alias("ppl_with_sae"))
     inc = (F.col("ppl_with_sae") - F.col("ppl_original")) / F.col("ppl_original") * 100
     return j.select(
         key,

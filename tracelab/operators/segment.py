@@ -14,7 +14,7 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tracelab.functions.text import (
     COMBINED_TEXT_FIELDS,
@@ -37,6 +37,10 @@ def _c(c) -> Column:
 PIECE_ROWS, PIECE_CHARS = 16_384, 1 << 25
 
 
+#: Arrow types of the columns that ``per_text`` makes.
+KINDS = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
+
+
 def per_text(df: DataFrame, inputs: list[Column], passed: list[str], fields: list[StructField], pieces: Callable) -> DataFrame:
     """Rows (a tuple of ``fields``) that ``pieces`` makes of each row's
     ``inputs``, beside the columns ``passed``.  Row-local: no shuffle, and rows
@@ -44,7 +48,7 @@ def per_text(df: DataFrame, inputs: list[Column], passed: list[str], fields: lis
     n, n_in = len(passed), len(inputs)
     staged = df.select(*passed, *[c.alias(f"_in{i}") for i, c in enumerate(inputs)])
     schema = StructType([*staged.schema.fields[:n], *fields])
-    kinds = [{"bigint": pa.int64(), "string": pa.string()}[f.dataType.simpleString()] for f in fields]
+    kinds = [KINDS[f.dataType.simpleString()] for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(b: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
@@ -74,6 +78,43 @@ def _long(name: str) -> StructField:
     return StructField(name, LongType())
 
 
+def word_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Maximal runs of anything but white space."""
+    return (m.span() for m in re.finditer(r"\S+", text))
+
+
+def char_spans(text: str) -> Iterator[tuple[int, int]]:
+    return ((i, i + 1) for i in range(len(text)))
+
+
+def cut_steps(text: str, regions: Iterable[tuple[int, int]], delim: str) -> Iterator[tuple]:
+    """(step, start, end, delimiter start, delimiter end, body) of the pieces of
+    a text's regions, numbered through."""
+    step = 0
+    for lo, hi in regions:
+        at = lo
+        parts = text[lo:hi].split(delim)
+        for i, part in enumerate(parts):
+            stop = at + len(part)
+            body = part.strip()
+            if body:
+                begin = stop - len(part.lstrip())
+                after = (stop, stop + len(delim)) if i + 1 < len(parts) else (None, None)
+                yield step, begin, begin + len(body), *after, body
+                step += 1
+            at = stop + len(delim)
+
+
+def region_inputs(text_col: str, start=None, end=None, regions=None) -> tuple[list[Column], Callable]:
+    """The columns that say where a text is cut, and a function from their
+    values to (start, end) pairs."""
+    if regions is not None:
+        return [_c(regions)], lambda spans: [(r["start"], r["end"]) for r in spans]
+    first = F.lit(0) if start is None else _c(start)
+    last = F.length(F.col(text_col)) if end is None else _c(end)
+    return [first, last], lambda lo, hi: [(lo, hi)]
+
+
 def segment_steps(
     df: DataFrame,
     text_col: str,
@@ -83,6 +124,8 @@ def segment_steps(
     end=None,
     keep=(),
     with_text: bool = True,
+    regions=None,
+    with_context: bool = False,
 ) -> DataFrame:
     """Cut the region ``[start, end)`` of every text into steps.
 
@@ -90,32 +133,30 @@ def segment_steps(
     trimmed of Python whitespace and dropped when blank; spans are half-open
     code-point offsets into the full text; the delimiter span is the one that
     *follows* the piece (null for the last piece); ``step_id`` counts kept
-    pieces from 0.  ``start``/``end`` default to the whole text.
+    pieces from 0.  ``start``/``end`` default to the whole text; ``regions``
+    (array of start, end) cuts several, step ids continuing from one to the
+    next.  ``with_context`` adds the texts of the steps before and after (W1).
     Output: ids..., keep..., step_id, step_start, step_end, delim_start,
-    delim_end (BIGINT) [, step_text].
+    delim_end (BIGINT) [, step_text] [, previous_step, next_step].
     """
     delim = delim or "\n\n"
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     passed = [*ids, *(k for k in keep if k not in ids)]
-    text = F.col(text_col)
-    first = F.lit(0) if start is None else _c(start)
-    last = F.length(text) if end is None else _c(end)
+    where, spans = region_inputs(text_col, start, end, regions)
 
-    def steps(t: str, lo: int, hi: int) -> Iterator[tuple]:
-        at, step = lo, 0
-        parts = t[lo:hi].split(delim)
-        for i, part in enumerate(parts):
-            stop = at + len(part)
-            body = part.strip()
-            if body:
-                begin = at + len(part) - len(part.lstrip())
-                after = (stop, stop + len(delim)) if i + 1 < len(parts) else (None, None)
-                yield (step, begin, begin + len(body), *after, body) if with_text else (step, begin, begin + len(body), *after)
-                step += 1
-            at = stop + len(delim)
+    def steps(t: str, *at) -> Iterator[tuple]:
+        for row in cut_steps(t, spans(*at), delim):
+            yield row if with_text else row[:-1]
 
-    fields = [_long(c) for c in STEP_COLUMNS] + [StructField("step_text", StringType())] * with_text
-    return per_text(df, [text, first, last], passed, fields, steps)
+    def in_context(t: str, *at) -> Iterator[tuple]:
+        rows = list(cut_steps(t, spans(*at), delim))
+        for i, row in enumerate(rows):
+            near = rows[i - 1][-1] if i else None, rows[i + 1][-1] if i + 1 < len(rows) else None
+            yield (*(row if with_text else row[:-1]), *near)
+
+    texts = ["step_text"] * with_text + ["previous_step", "next_step"] * with_context
+    fields = [_long(c) for c in STEP_COLUMNS] + [StructField(c, StringType()) for c in texts]
+    return per_text(df, [F.col(text_col), *where], passed, fields, in_context if with_context else steps)
 
 
 def tokenize(df: DataFrame, text_col: str, id_cols, spans: Callable[[str], Iterable[tuple[int, int]]], max_len: int | None = None, keep=()) -> DataFrame:
@@ -135,7 +176,7 @@ def tokenize(df: DataFrame, text_col: str, id_cols, spans: Callable[[str], Itera
 
 def tokenize_words(df: DataFrame, text_col: str, id_cols, max_len: int | None = None, keep=()) -> DataFrame:
     """X2 (default tokenizer): maximal non-whitespace runs with offsets."""
-    return tokenize(df, text_col, id_cols, lambda t: (m.span() for m in re.finditer(r"\S+", t)), max_len, keep)
+    return tokenize(df, text_col, id_cols, word_spans, max_len, keep)
 
 
 def tokenize_chars(df: DataFrame, text_col: str, id_cols, max_len: int | None = None, keep=()) -> DataFrame:
@@ -187,18 +228,21 @@ def evaluate_once(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
 
 
-def parse_reasoning(df: DataFrame, id_col: str, retain_query: bool = True, delim: str = "\n\n") -> DataFrame:
-    """P3 branches (a)-(c): text plus reasoning regions, one row per region.
+def parse_reasoning(df: DataFrame, id_col: str, retain_query: bool = True, delim: str = "\n\n", question_sample_prob: float | None = None, seed: int = 42) -> DataFrame:
+    """The text of each example and its reasoning regions, one row per example.
 
     (a) query & solution -> ``Problem:\\n{q}\\n\\nSolution:\\n{s}``, region = the
     solution tail; (b) combined text with think tags -> the inner spans;
-    (c) first solution header -> header end to text end.  Rows matching no
-    branch are left out here (branch (d) is :func:`question_fallback`).
+    (c) first solution header -> header end to text end; (d) with
+    ``question_sample_prob``, an example without a region keeps its query (else
+    combined) text with that probability, without regions (branch
+    ``question``).  Others are left out.  The draw of (d) is a seeded hash of
+    the id, stable across partitioning and retries (K6).
     With ``retain_query=False`` the regions are stripped, blank ones dropped,
     joined by the delimiter (P4) and the whole new text is the region.
     One pass: the branch is chosen per row with CASE; the tag and header
     regexes only run on texts that contain a tag / keyword at all.
-    Output: id, text, branch, region_idx, region_start, region_end.
+    Output: id, text, branch, regions (array of start, end; null for (d)).
     """
     sch = df.schema
     q, s, comb = first_text(sch, QUERY_FIELDS), first_text(sch, SOLUTION_FIELDS), first_text(sch, COMBINED_TEXT_FIELDS)
@@ -223,11 +267,19 @@ def parse_reasoning(df: DataFrame, id_col: str, retain_query: bool = True, delim
     hdr_end = (F.instr(c, F.col("_hdr_text")) - 1 + F.length("_hdr_text")).cast("long")
     region_a = F.array(F.struct((F.length(full_a) - F.length("_s")).cast("long").alias("start"), F.length(full_a).cast("long").alias("end")))
     region_c = F.array(F.struct(hdr_end.alias("start"), F.length(c).cast("long").alias("end")))
+    none = ~(is_a | is_b | is_c)
+    asked = F.coalesce(F.col("_q"), c)
+    if question_sample_prob is None:
+        is_d = F.lit(False)
+    else:
+        from tracelab.operators.sampling import hash_uniform
+
+        is_d = none & asked.isNotNull() & (hash_uniform([id_col], seed) < F.lit(float(question_sample_prob)))
     parsed = staged.select(
         id_col,
-        F.when(is_a, full_a).otherwise(c).alias("text"),
+        F.when(is_a, full_a).when(none, asked).otherwise(c).alias("text"),
         F.when(is_a, region_a).when(is_b, F.col("_think")).when(is_c, region_c).alias("regions"),
-        F.when(is_a, F.lit("qa")).when(is_b, F.lit("think")).when(is_c, F.lit("header")).alias("branch"),
+        F.when(is_a, F.lit("qa")).when(is_b, F.lit("think")).when(is_c, F.lit("header")).when(is_d, F.lit("question")).alias("branch"),
     ).filter(F.col("branch").isNotNull())
     if not retain_query:
         chunks = F.filter(
@@ -235,25 +287,39 @@ def parse_reasoning(df: DataFrame, id_col: str, retain_query: bool = True, delim
             lambda x: x != "",
         )
         # (two projections: the new text must not shadow the old one)
-        parsed = parsed.select(id_col, F.array_join(chunks, delim).alias("_joined"), "branch").select(
-            id_col,
-            F.col("_joined").alias("text"),
-            F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("_joined").cast("long").alias("end"))).alias("regions"),
-            "branch",
+        parsed = parsed.select(id_col, F.when(F.col("regions").isNull(), F.col("text")).otherwise(F.array_join(chunks, delim)).alias("_joined"), "regions", "branch")
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("_joined").cast("long").alias("end")))
+        parsed = parsed.select(
+            id_col, F.col("_joined").alias("text"), F.when(F.col("regions").isNotNull(), whole).alias("regions"), "branch"
         ).filter(F.length("text") > 0)
-    return parsed.select(id_col, "text", "branch", F.posexplode("regions").alias("region_idx", "r")).select(
-        id_col, "text", "branch", "region_idx", F.col("r.start").alias("region_start"), F.col("r.end").alias("region_end")
-    )
+    return parsed.select(id_col, "text", "branch", "regions")
 
 
 def segment_regions(parsed: DataFrame, id_col: str, delim: str = "\n\n") -> DataFrame:
     """X1 over the regions of :func:`parse_reasoning`, step ids continuing
     across the regions of one text (in region order)."""
-    steps = segment_steps(
-        parsed, "text", [id_col, "region_idx"], delim, start="region_start", end="region_end", keep=("branch",)
-    )
-    w = Window.partitionBy(id_col).orderBy("region_idx", "step_id")
-    return steps.withColumn("step_id", (F.row_number().over(w) - 1).cast("long"))
+    return segment_steps(parsed, "text", id_col, delim, regions="regions", keep=("branch",))
+
+
+def reasoning_examples(df: DataFrame, id_col: str, retain_query: bool = True, delim: str = "\n\n", question_sample_prob: float = 0.1, seed: int = 42) -> DataFrame:
+    """P3 whole: one row per example that is used, the steps of its text beside
+    it.  An example whose regions hold no step is dropped; one that was kept by
+    the draw has no steps (``n_steps`` null).
+    Output: id, text, branch, n_steps, step_starts, step_ends, delim_starts, delim_ends."""
+    delim = delim or "\n\n"
+    parsed = parse_reasoning(df, id_col, retain_query, delim, question_sample_prob, seed)
+    # a text without regions goes through with an empty list, marked by its branch
+    where = F.coalesce(F.col("regions"), F.array().cast("array<struct<start:bigint,end:bigint>>"))
+
+    def steps(t: str, branch: str, regions: list) -> Iterator[tuple]:
+        rows = list(cut_steps(t, [(r["start"], r["end"]) for r in regions], delim))
+        if rows:
+            yield len(rows), *([row[i] for row in rows] for i in range(1, 5))
+        elif branch == "question":
+            yield None, None, None, None, None
+
+    lists = [StructField(c, ArrayType(LongType())) for c in ("step_starts", "step_ends", "delim_starts", "delim_ends")]
+    return per_text(parsed, [F.col("text"), F.col("branch"), where], [id_col, "text", "branch"], [_long("n_steps"), *lists], steps)
 
 
 def parse_general(df: DataFrame, id_col: str) -> DataFrame:

@@ -1,105 +1,120 @@
 """Span/interval matching between steps and tokens, and activation points.
 
-``last_overlapping_token`` is an as-of lookup: inside one text the tokens
-are disjoint and sorted, so the last token overlapping ``[s, e)`` is the
-last token that starts before ``e``, provided it ends after ``s``.  It runs
-as a union of token rows and span events ordered by offset, with one
-window per text carrying the last token forward — linear in tokens + spans,
-no pairs are formed.
+A text is cut into steps and tokens in the same row-local pass, and the two
+sorted lists of spans are merged there: the last token that overlaps
+``[s, e)`` is the last one that starts before ``e``, if it ends after ``s``.
+Step ends rise along the text, so one pointer moves through the tokens.
+Nothing is exploded, shuffled or joined, and texts that share an id keep
+their own points.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField
+
+from tracelab.operators.segment import cut_steps, per_text, region_inputs, word_spans
+
+Spans = Callable[[str], Iterable[tuple[int, int]]]
+STRATEGIES = ("step_delimiter",)
+
 
+def last_overlaps(tokens: list[tuple[int, int]], steps: Iterable[tuple]) -> Iterator[int | None]:
+    """J1 + J2 for each step (in text order): the last token that overlaps its
+    delimiter, else the last that overlaps the step, else None.
 
-def activation_points(tokens: DataFrame, steps: DataFrame, id_cols, strategy: str = "step_delimiter", details: bool = False) -> DataFrame:
-    """J1 + J2: token index per step (delimiter first, else step, else null).
+    Tokens are in order of start and end; empty ones (as tokenizers give to
+    marks that are not in the text) overlap nothing."""
+    real = [i for i, (s, e) in enumerate(tokens) if e > s]
+    starts, ends = [tokens[i][0] for i in real], [tokens[i][1] for i in real]
+    at = upto = 0
 
-    tokens: ids..., token_idx, tok_start, tok_end [, token]
-    steps:  ids..., step_id, step_start, step_end, delim_start, delim_end
-    Output: ids..., step_id, token_idx (nullable); with ``details`` also
-    ``token`` (text of the chosen token) and ``n_tokens`` (tokens of the
-    text), taken from the same pass so callers need no second tokenization.
-    """
-    if strategy != "step_delimiter":
+    def last(s: int, e: int) -> int | None:
+        nonlocal at, upto
+        at, upto = bisect_left(starts, e, at if e >= upto else 0), e  # (regions may come in any order)
+        return real[at - 1] if at and ends[at - 1] > s else None
+
+    for _, begin, end, delim_begin, delim_end, _ in steps:
+        inside = last(begin, end)
+        after = None if delim_begin is None else last(delim_begin, delim_end)
+        yield inside if after is None else after
+
+
+def _pass(df: DataFrame, text_col: str, id_cols, keep, fields: list[StructField], rows: Callable, delim: str, start, end, regions, spans: Spans, max_len: int | None, strategy: str) -> DataFrame:
+    """``rows(text, tokens, steps, points)`` of every text."""
+    if strategy not in STRATEGIES:
         raise ValueError(f"Unsupported activation point strategy: {strategy}")
+    delim = delim or "\n\n"
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    has_text = details and "token" in tokens.columns
-    tok = tokens.select(
-        *ids,
-        F.col("tok_start").alias("_key"),
-        F.lit(1).alias("_kind"),
-        F.lit(None).cast("long").alias("step_id"),
-        F.lit(None).cast("string").alias("_which"),
-        F.lit(None).cast("long").alias("_span_start"),
-        F.col("token_idx").cast("long").alias("_tidx"),
-        F.col("tok_end").cast("long").alias("_tend"),
-        (F.col("token") if has_text else F.lit(None).cast("string")).alias("_ttext"),
-    )
+    where, regions_of = region_inputs(text_col, start, end, regions)
 
-    # both lookups of a step (delimiter span, step span) from one pass
-    ev = F.explode(
-        F.array(
-            F.struct(F.lit("d").alias("w"), F.col("delim_end").cast("long").alias("k"), F.col("delim_start").cast("long").alias("s")),
-            F.struct(F.lit("s").alias("w"), F.col("step_end").cast("long").alias("k"), F.col("step_start").cast("long").alias("s")),
-        )
-    )
-    events = (
-        steps.select(*ids, F.col("step_id").cast("long").alias("step_id"), ev.alias("_e"))
-        .filter(F.col("_e.k").isNotNull())
-        .select(
-            *ids,
-            F.col("_e.k").alias("_key"),
-            F.lit(0).alias("_kind"),
-            "step_id",
-            F.col("_e.w").alias("_which"),
-            F.col("_e.s").alias("_span_start"),
-            F.lit(None).cast("long").alias("_tidx"),
-            F.lit(None).cast("long").alias("_tend"),
-            F.lit(None).cast("string").alias("_ttext"),
-        )
-    )
-    allrows = tok.unionByName(events)
-    w = Window.partitionBy(*ids).orderBy("_key", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    cols = [
-        *ids,
-        "step_id",
-        "_which",
-        "_span_start",
-        "_kind",
-        F.last("_tidx", ignorenulls=True).over(w).alias("_cand"),
-        F.last("_tend", ignorenulls=True).over(w).alias("_cand_end"),
-    ]
-    if details:
-        cols += [
-            F.last("_ttext", ignorenulls=True).over(w).alias("_cand_text"),
-            F.sum(F.col("_kind")).over(Window.partitionBy(*ids)).alias("_ntok"),
-        ]
-    looked = allrows.select(*cols).filter(F.col("_kind") == 0)
-    ok = F.col("_cand_end") > F.col("_span_start")
-    if not details:
-        hit = F.when(ok, F.col("_cand"))
-        return looked.groupBy(*ids, "step_id").agg(
-            F.coalesce(F.max(F.when(F.col("_which") == "d", hit)), F.max(F.when(F.col("_which") == "s", hit))).alias("token_idx")
-        )
-    hit = F.when(ok, F.struct(F.col("_cand").alias("i"), F.col("_cand_text").alias("t")))
-    g = looked.groupBy(*ids, "step_id").agg(
-        F.coalesce(F.max(F.when(F.col("_which") == "d", hit)), F.max(F.when(F.col("_which") == "s", hit))).alias("_h"),
-        F.max("_ntok").alias("n_tokens"),
-    )
-    return g.select(*ids, "step_id", F.col("_h.i").alias("token_idx"), F.col("_h.t").alias("token"), F.col("n_tokens").cast("long"))
+    def run(t: str, *at) -> Iterator[tuple]:
+        steps = list(cut_steps(t, regions_of(*at), delim))
+        tokens = list(islice(spans(t), max_len))
+        return rows(t, tokens, steps, list(last_overlaps(tokens, steps)))
 
+    return per_text(df, [F.col(text_col), *where], [*ids, *(k for k in keep if k not in ids)], fields, run)
 
-def point_mask(points: DataFrame, id_cols) -> DataFrame:
-    """Distinct selected token indexes per text (set semantics), sorted.
 
-    Bounded by the number of steps of one text."""
-    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    return points.filter(F.col("token_idx").isNotNull()).groupBy(*ids).agg(
-        F.array_sort(F.collect_set("token_idx")).alias("points")
-    )
+def activation_points(
+    df: DataFrame, text_col: str, id_cols, delim: str = "\n\n", start=None, end=None, regions=None, spans: Spans = word_spans,
+    max_len: int | None = None, strategy: str = "step_delimiter", keep=(), details: bool = False,
+) -> DataFrame:
+    """J1 + J2: the token of every step of every text (delimiter first, else
+    step, else null).  ``spans`` is the tokenizer (X2), of whose tokens the
+    first ``max_len`` count; the regions are those of ``segment_steps``.
+    Output: ids..., keep..., step_id, token_idx; with ``details`` also ``token``
+    (text of the token) and ``n_tokens`` (tokens of the text)."""
+
+    def rows(t, tokens, steps, points) -> Iterator[tuple]:
+        for (step, *_), point in zip(steps, points, strict=True):
+            more = (None if point is None else t[slice(*tokens[point])], len(tokens)) if details else ()
+            yield step, point, *more
+
+    fields = [StructField("step_id", LongType()), StructField("token_idx", LongType())]
+    fields += [StructField("token", StringType()), StructField("n_tokens", LongType())] if details else []
+    return _pass(df, text_col, id_cols, keep, fields, rows, delim, start, end, regions, spans, max_len, strategy)
+
+
+def point_masks(
+    df: DataFrame, text_col: str, id_cols, delim: str = "\n\n", start=None, end=None, regions=None, spans: Spans = word_spans,
+    max_len: int | None = None, strategy: str = "step_delimiter", keep=(),
+) -> DataFrame:
+    """Per text the distinct selected tokens, sorted.
+    Output: ids..., keep..., n_steps, n_tokens, points (one row per text that is not null)."""
+
+    def rows(t, tokens, steps, points) -> Iterator[tuple]:
+        yield len(steps), len(tokens), sorted({p for p in points if p is not None})
+
+    fields = [StructField("n_steps", LongType()), StructField("n_tokens", LongType()), StructField("points", ArrayType(LongType()))]
+    return _pass(df, text_col, id_cols, keep, fields, rows, delim, start, end, regions, spans, max_len, strategy)
+
+
+def mark_tokens(
+    df: DataFrame, text_col: str, id_cols, delim: str = "\n\n", start=None, end=None, regions=None, spans: Spans = word_spans,
+    max_len: int | None = None, strategy: str = "step_delimiter", keep=(),
+) -> DataFrame:
+    """The tokens of every text with ``activation_mask``, whether one is selected.
+    Output: ids..., keep..., token_idx, tok_start, tok_end, activation_mask."""
+
+    def rows(t, tokens, steps, points) -> Iterator[tuple]:
+        chosen = set(points)
+        for i, (s, e) in enumerate(tokens):
+            yield i, s, e, i in chosen
+
+    fields = [StructField(c, LongType()) for c in ("token_idx", "tok_start", "tok_end")] + [StructField("activation_mask", BooleanType())]
+    return _pass(df, text_col, id_cols, keep, fields, rows, delim, start, end, regions, spans, max_len, strategy)
+
+
+def keep_usable(masks: DataFrame, min_tokens: int = 10) -> DataFrame:
+    """Of the texts of :func:`point_masks`, those with ``min_tokens`` tokens
+    and a selected one.  (A blank text has no steps, so no selected token.)"""
+    return masks.filter((F.col("n_tokens") >= min_tokens) & (F.size("points") > 0))
 
 
 def attach_activations(steps: DataFrame, activations: DataFrame, keys=("sample_id", "token_idx")) -> DataFrame:
@@ -119,28 +134,9 @@ def capture_counts(steps: DataFrame, activations: DataFrame, keys=("sample_id",
     )
 
 
-def select_points(df: DataFrame, id_cols, token_cols=("token_idx",), masks=("activation_mask", "extraction_mask", "attention_mask")) -> DataFrame:
+def select_points(df: DataFrame, masks=("activation_mask", "extraction_mask", "attention_mask")) -> DataFrame:
     """Token rows kept by the first mask column present, else all."""
     present = [m for m in masks if m in df.columns]
-    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     if not present:
         return df
-    m = present[0]
-    return df.filter(F.coalesce(F.col(m).cast("boolean"), F.lit(False)))
-
-
-def keep_usable(texts: DataFrame, points: DataFrame, id_col: str, min_tokens: int = 10) -> DataFrame:
-    """Drop blank texts, texts with fewer than ``min_tokens`` tokens and
-    texts without any selected point.  ``points`` comes from
-    :func:`activation_points` with ``details=True`` (token counts ride along).
-    Output: id, n_tokens, n_points."""
-    from tracelab.functions.text import is_blank
-
-    per = points.groupBy(id_col).agg(
-        F.max("n_tokens").alias("n_tokens"), F.countDistinct("token_idx").alias("n_points")
-    )
-    return (
-        texts.filter(~is_blank("text"))
-        .select(id_col)
-        .join(per.filter((F.col("n_tokens") >= min_tokens) & (F.col("n_points") > 0)), id_col)
-    )
+    return df.filter(F.coalesce(F.col(present[0]).cast("boolean"), F.lit(False)))

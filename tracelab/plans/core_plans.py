@@ -1,24 +1,22 @@
 """Registered plans for the single operators that the composite queries use
-(A7-A9, K1, K2, J4, X7, X10, D2, P1, P2, P4, P5, P14, E1, E3)."""
+(A7-A9, K1, K2, J4, X7, X10, D2, P1, P2, P4, P5, P14)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelab.functions.cues import sql_cue_label
-from tracelab.functions.text import COMBINED_TEXT_FIELDS, QUERY_FIELDS, SOLUTION_HEADER, first_text, normalize_text
+from tracelab.functions.text import QUERY_FIELDS, SOLUTION_HEADER, first_text, normalize_text
 from tracelab.functions.vectors import ends_with_tokens, sq_norm, unit_norm
-from tracelab.operators.inference import extract_activations, generate_responses, hash_encoder_factory
 from tracelab.operators.scoring import assign_features, feature_specificity, label_means, top_features
 from tracelab.operators.segment import parse_general, parse_reasoning
-from tracelab.operators.spans import attach_activations, select_points
+from tracelab.operators.spans import attach_activations, mark_tokens, select_points
 from tracelab.operators.stats import feature_cooccurrence
 from tracelab.plans import sqlfrag as S
 from tracelab.plans.common import r6, register, sql_fixture_features, table
-from tracelab.plans.fixtures import conversation_pairs, derived_traces
 from tracelab.plans.sae_plans import SQL_E6, fixture_features, sparse_features
-from tracelab.plans.text_plans import SQL_EXAMPLES, SQL_POINTS, SQL_TOKENS, SQL_TRACE_STEPS, derived_examples, doc_points, trace_steps
+from tracelab.plans.text_plans import SQL_EXAMPLES, SQL_POINTS, SQL_TRACE_STEPS, derived_examples, trace_steps
+from tracelab.session import spread
 
 _E6_CTES = SQL_E6.split("\nSELECT t.label::BIGINT")[0]
 
@@ -196,7 +194,7 @@ register("p2_first_text", SQL_CONV_EX + "\nSELECT conv_id, md5(coalesce(nullif(p
 
 def _p4(spark, sf_dir):
     parsed = parse_reasoning(derived_examples(spark, sf_dir), "doc_id", retain_query=False, delim="\n\n")
-    return parsed.select("doc_id", "branch", F.md5("text").alias("text_md5"), "region_start", "region_end")
+    return parsed.select("doc_id", "branch", F.md5("text").alias("text_md5"), F.inline("regions").alias("region_start", "region_end"))
 
 
 register(
@@ -225,9 +223,8 @@ register("p5_parse_general", "SELECT doc_id, md5(text) AS text_md5 FROM document
 
 
 def _p14(spark, sf_dir):
-    docs, tok, pts = doc_points(spark, sf_dir)
-    marked = tok.join(pts.filter(F.col("token_idx").isNotNull()).select("doc_id", "token_idx").distinct().withColumn("activation_mask", F.lit(True)), ["doc_id", "token_idx"], "left")
-    return select_points(marked, "doc_id").select("doc_id", "token_idx", "tok_start", "tok_end")
+    marked = mark_tokens(spread(table(spark, sf_dir, "documents")), "text", "doc_id", "\n")
+    return select_points(marked).select("doc_id", "token_idx", "tok_start", "tok_end")
 
 
 register(
@@ -236,28 +233,3 @@ register(
     + """
 SELECT DISTINCT t.doc_id, t.token_idx, t.tok_start, t.tok_end FROM tok t JOIN pts p ON p.doc_id = t.doc_id AND p.token_idx = t.token_idx""",
 )(_p14)
-
-
-# --- E1 / E3 (user model functions; rows-only) -------------------------------------------
-
-
-def _e1(spark, sf_dir):
-    _, _, pts = doc_points(spark, sf_dir)
-    sel = pts.filter(F.col("token_idx").isNotNull())
-    x = extract_activations(sel, hash_encoder_factory(64), 64, "token")
-    return x.select("doc_id", "step_id", "token_idx", r6(F.sqrt(sq_norm("x"))).alias("norm"))
-
-
-register("e1_extract_activations")(_e1)
-
-
-def _e3(spark, sf_dir):
-    pairs = conversation_pairs(table(spark, sf_dir, "conversations")).select("sample_id", "question")
-    cache = pairs.filter(F.col("sample_id") % 2 == 0).select("sample_id", "question", F.concat(F.lit("cached: "), F.col("question")).alias("response"))
-    fresh, allr = generate_responses(pairs, cache, lambda pdf: "generated: " + pdf["question"].str.strip())
-    return allr.select("sample_id", F.md5("response").alias("response_md5"), F.col("response").startswith("cached").alias("from_cache"))
-
-
-register("e3_generate_responses")(_e3)
-
-_ = (Window, COMBINED_TEXT_FIELDS, SQL_TOKENS, derived_traces)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.operators.segment import evaluate_once
+from tracelab.session import spread
 
 # Cue prefixes of the derived traces, chosen by (doc_id*7 + line) % 5.
 TRACE_PREFIXES = ("Wait, let me verify. ", "Alternatively, ", "Wait, instead ")
@@ -14,10 +15,11 @@ TRACE_PREFIXES = ("Wait, let me verify. ", "Alternatively, ", "Wait, instead ")
 DEFAULT_CONDITIONS = "negative:1.0,vanilla:0.0,positive:-1.0"
 
 
-def derived_traces(documents: DataFrame) -> DataFrame:
+def derived_traces(documents: DataFrame, keep=()) -> DataFrame:
     """One reasoning trace per document: cue-prefixed lines joined by blank
     lines plus ``Final Answer: doc_id % 10``; every seventh reference answer
-    is null.  Output: doc_id, response, reference_answer."""
+    is null; the question is the document's first line.
+    Output: doc_id, response, reference_answer, question, keep..."""
     lines = F.split(F.trim(F.col("text")), "\n", -1)
 
     def pref(x, i):
@@ -37,7 +39,10 @@ def derived_traces(documents: DataFrame) -> DataFrame:
     )
     ref = F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 10).cast("string"))
     # built once per row, whatever reads the response later
-    return evaluate_once(documents.select("doc_id", resp.alias("response"), ref.alias("reference_answer")))
+    question = F.split(F.trim(F.col("text")), "\n", 2).getItem(0)
+    return evaluate_once(
+        spread(documents).select("doc_id", resp.alias("response"), ref.alias("reference_answer"), question.alias("question"), *keep)
+    )
 
 
 def conversation_pairs(conversations: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ intervention summaries, perplexity reports."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import posixpath
+import uuid
+
 from pyspark.sql import functions as F
 
-from tracelab.functions.cues import cue_label, sql_cue_label
+from tracelab.functions.cues import sql_cue_label
 from tracelab.functions.judge import FREEFORM_LABELS, JSON_LABEL, JUDGE_USER_TEMPLATE, judge_request, judge_response_text, parse_judge_outputs
 from tracelab.functions.text import NOT_WS, is_blank, py_strip, render_prompt
 from tracelab.operators.runs import (
@@ -20,13 +22,16 @@ from tracelab.operators.runs import (
     resume_done,
     resume_pending,
     score_runs,
+    step_label_counts,
     with_cached_responses,
 )
-from tracelab.operators.segment import evaluate_once, reasoning_samples, segment_steps, tokenize_words
+from tracelab.operators.segment import evaluate_once, reasoning_samples, segment_steps
 from tracelab.plans import sqlfrag as S
 from tracelab.plans.common import r6, register, table
 from tracelab.plans.fixtures import DEFAULT_CONDITIONS, derived_traces
 from tracelab.plans.text_plans import NL2, SQL_PAIRS, SQL_TRACE_STEPS, _qr, trace_steps
+from tracelab.session import ensure_checkpoint_dir, spread
+from tracelab.sources.jsonl import read_step_labels
 
 # --- X14: judge outputs derived from the labelled trace steps ---------------
 
@@ -187,8 +192,7 @@ def _e2(spark, sf_dir):
     )
 
 
-register(
-    "e2_label_steps",
+SQL_E2 = (
     "WITH "
     + SQL_PAIRS
     + """,
@@ -205,8 +209,29 @@ SELECT sample_id::VARCHAR AS sample_id, step_id, step_start AS step_start_char,
        delim_start AS delimiter_start_char, delim_end AS delimiter_end_char, label,
        CASE WHEN label = 'other' THEN 'no heuristic cue match' ELSE 'heuristic cue match' END AS label_rationale,
        'heuristic' AS label_source, md5(full_text) AS full_text_md5, {S.final_answer('response')} AS reference_answer
-FROM lab""",
-)(_e2)
+FROM lab"""
+)
+
+register("e2_label_steps", SQL_E2)(_e2)
+
+
+def _s11(spark, sf_dir):
+    """Label records written as JSON lines and loaded by their fixed schema."""
+    out = posixpath.join(ensure_checkpoint_dir(spark), f"records-{uuid.uuid4().hex}")
+    label_steps(reasoning_samples(_qr(spark, sf_dir), "sample_id", "\n"), "heuristic").write.json(out)
+    rec = read_step_labels(spark, out)
+    return rec.select(
+        "sample_id",
+        *[F.col(c).cast("long") for c in ("step_id", "step_start_char", "step_end_char", "delimiter_start_char", "delimiter_end_char")],
+        "label",
+        "label_rationale",
+        "label_source",
+        F.md5("full_text").alias("full_text_md5"),
+        "reference_answer",
+    )
+
+
+register("s11_step_label_records", SQL_E2)(_s11)
 
 
 # --- P10 / P11 ---------------------------------------------------------------------
@@ -227,27 +252,18 @@ register(
 )(_p10)
 
 
-def trace_question(docs):
-    """Question of a derived trace: the first line of the document."""
-    return F.split(F.trim(F.col("text")), "\n", 2).getItem(0)
-
-
 def _p11(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    tr = derived_traces(docs).join(docs.select("doc_id", trace_question(docs).alias("question")), "doc_id")
-    st = segment_steps(tr, "response", "doc_id", "\n\n", keep=("question", "response"))
-    w = Window.partitionBy("doc_id").orderBy("step_id")
-    ctx = st.select("*", F.lag("step_text").over(w).alias("prev"), F.lead("step_text").over(w).alias("next"))
-    req = judge_request("question", "response", "prev", "step_text", "next")
-    return ctx.select("doc_id", "step_id", F.md5(req).alias("request_md5"), F.length(req).cast("long").alias("request_chars"))
+    tr = derived_traces(table(spark, sf_dir, "documents"))
+    st = segment_steps(tr, "response", "doc_id", "\n\n", keep=("question", "response"), with_context=True)
+    req = judge_request("question", "response", "previous_step", "step_text", "next_step")
+    return st.select("doc_id", "step_id", F.md5(req).alias("request_md5"), F.length(req).cast("long").alias("request_chars"))
 
 
 SQL_TRACE_Q = (
     "WITH "
     + S.traces_cte()
-    + """,
-tq AS (SELECT t.doc_id, t.response, split_part(trim(d.text), chr(10), 1) AS question FROM traces t JOIN documents d USING (doc_id)),"""
-    + S.segment_cte("st", "tq", ["doc_id"], "response", NL2, 2, keep=["question", "response"])
+    + ","
+    + S.segment_cte("st", "traces", ["doc_id"], "response", NL2, 2, keep=["question", "response"])
 )
 
 _tpl = JUDGE_USER_TEMPLATE.replace("'", "''").replace("\n", "' || chr(10) || '")
@@ -296,11 +312,9 @@ register(
 
 def _j7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    samples = derived_traces(docs).join(docs.select("doc_id", trace_question(docs).alias("question")), "doc_id").withColumnRenamed(
-        "doc_id", "sample_id"
-    )
+    samples = derived_traces(docs).withColumnRenamed("doc_id", "sample_id")
     lab = table(spark, sf_dir, "labels")
-    q = docs.select(F.col("doc_id").alias("sample_id"), trace_question(docs).alias("question"))
+    q = samples.select("sample_id", "question")
     v0 = lab.select(F.col("doc_id").alias("sample_id"), F.lit(0).alias("seq")).join(q, "sample_id").select(
         "sample_id", "seq", "question", F.concat(F.lit("cached v0 "), F.col("sample_id").cast("string")).alias("response"), F.lit("7").alias("reference_answer")
     )
@@ -320,8 +334,7 @@ register(
     "WITH "
     + S.traces_cte()
     + """,
-s AS (SELECT t.doc_id AS sample_id, split_part(trim(d.text), chr(10), 1) AS question, t.response, t.reference_answer
-      FROM traces t JOIN documents d USING (doc_id)),
+s AS (SELECT doc_id AS sample_id, question, response, reference_answer FROM traces),
 cache AS (
   SELECT l.doc_id AS sample_id, 0 AS seq, s.question, 'cached v0 ' || l.doc_id::VARCHAR AS response, '7' AS reference_answer
   FROM labels l JOIN s ON s.sample_id = l.doc_id
@@ -344,9 +357,7 @@ FROM s LEFT JOIN last ON last.sample_id = s.sample_id""",
 def derived_runs(spark, sf_dir):
     """Every trace under every condition; the vanilla run answers doc_id % 10,
     the steered ones doc_id % 9."""
-    docs = table(spark, sf_dir, "documents")
-    tr = derived_traces(docs).join(docs.select("doc_id", trace_question(docs).alias("question")), "doc_id")
-    runs = cross_conditions(tr, DEFAULT_CONDITIONS)
+    runs = cross_conditions(derived_traces(table(spark, sf_dir, "documents")), DEFAULT_CONDITIONS)
     body = F.regexp_replace("response", "\n\nFinal Answer: [0-9]+$", "")
     resp = F.when(F.col("condition") == "vanilla", F.col("response")).otherwise(
         F.concat(body, F.lit("\n\nFinal Answer: "), (F.col("doc_id") % 9).cast("string"))
@@ -355,16 +366,7 @@ def derived_runs(spark, sf_dir):
 
 
 def _runs_scored(spark, sf_dir):
-    raw = derived_runs(spark, sf_dir)
-    runs = score_runs(raw)
-    st = segment_steps(raw.select("doc_id", "condition", "response"), "response", ["doc_id", "condition"], "\n\n")
-    lab = st.select("doc_id", "condition", cue_label("step_text").alias("label"))
-    counts = lab.groupBy("doc_id", "condition").agg(
-        F.count_if(F.col("label") == "reflection").alias("reflection_steps"),
-        F.count_if(F.col("label") == "backtracking").alias("backtracking_steps"),
-        F.count_if(F.col("label") == "other").alias("other_steps"),
-    )
-    return runs.join(counts, ["doc_id", "condition"])
+    return step_label_counts(score_runs(derived_runs(spark, sf_dir)), "response", "\n\n")
 
 
 def _j8(spark, sf_dir):
@@ -381,8 +383,8 @@ runs AS (
   SELECT t.doc_id, c.condition, c.alpha, t.reference_answer,
          CASE WHEN c.condition = 'vanilla' THEN t.response
               ELSE regexp_replace(t.response, '\\n\\nFinal Answer: [0-9]+$', '') || chr(10) || chr(10) || 'Final Answer: ' || (t.doc_id % 9)::VARCHAR END AS response
-  FROM traces t JOIN documents d USING (doc_id) CROSS JOIN cond c
-  WHERE regexp_matches(split_part(trim(d.text), chr(10), 1), '""" + NOT_WS + """')
+  FROM traces t CROSS JOIN cond c
+  WHERE regexp_matches(t.question, '""" + NOT_WS + """')
 )"""
 )
 
@@ -421,11 +423,11 @@ FROM scored s JOIN cnt USING (doc_id, condition) GROUP BY s.condition""",
 
 
 def _losses(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    tok = tokenize_words(docs, "text", "doc_id")
-    n = tok.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    base = docs.select("doc_id", "source", (F.lit(2.0) + (F.col("doc_id") % 17) / 10.0).alias("loss"))
-    return base.join(n, "doc_id", "left").fillna(0, ["n_tokens"])
+    """A loss for every document, with the words of its text as tokens."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    n = F.coalesce(F.regexp_count("text", F.lit(NOT_WS + "+")), F.lit(0)).cast("long")
+    loss = F.lit(2.0) + (F.col("doc_id") % 17) / 10.0
+    return docs.select("source", n.alias("n_tokens"), loss.alias("loss"), (loss + (F.col("doc_id") % 5) / 100.0).alias("patched_loss"))
 
 
 SQL_LOSSES = (
@@ -456,10 +458,7 @@ register("a12_perplexity", SQL_LOSSES + "\nSELECT source, round(p0, 6) AS perple
 
 
 def _a13(spark, sf_dir):
-    ls = _losses(spark, sf_dir)
-    base = perplexity(ls, by="source")
-    patched = perplexity(ls.withColumn("loss", F.col("loss") + (F.col("doc_id") % 5) / 100.0), by="source")
-    rep = perplexity_report(base, patched, "source")
+    rep = perplexity_report(_losses(spark, sf_dir), "source")
     return rep.select(
         "source",
         r6("ppl_original").alias("ppl_original"),

@@ -85,6 +85,7 @@ def traces_cte(name: str = "traces") -> str:
              CASE (doc_id * 7 + i - 1) % 5 WHEN 0 THEN 'Wait, let me verify. ' WHEN 1 THEN 'Alternatively, '
                   WHEN 2 THEN 'Wait, instead ' ELSE '' END || x), chr(10) || chr(10))
            || chr(10) || chr(10) || 'Final Answer: ' || (doc_id % 10)::VARCHAR AS response,
-         CASE WHEN doc_id % 7 = 0 THEN NULL ELSE (doc_id % 10)::VARCHAR END AS reference_answer
+         CASE WHEN doc_id % 7 = 0 THEN NULL ELSE (doc_id % 10)::VARCHAR END AS reference_answer,
+         split_part(trim(text), chr(10), 1) AS question, text
   FROM documents
 )"""

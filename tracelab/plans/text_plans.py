@@ -3,7 +3,6 @@ tokens, activation points, cue labels, answers, reasoning parsing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelab.functions.cues import cue_label, sql_cue_label
@@ -12,15 +11,18 @@ from tracelab.operators.segment import (
     evaluate_once,
     extract_question_response,
     parse_reasoning,
+    reasoning_examples,
     reasoning_samples,
     segment_regions,
     segment_steps,
     tokenize_words,
 )
-from tracelab.operators.spans import activation_points, keep_usable, point_mask
+from tracelab.operators.runs import STEP_COUNTS, step_label_counts
+from tracelab.operators.spans import activation_points, keep_usable, point_masks
 from tracelab.plans import sqlfrag as S
-from tracelab.plans.common import register, table
+from tracelab.plans.common import ORACLE_SQL, register, table
 from tracelab.plans.fixtures import conversation_pairs, derived_traces
+from tracelab.session import spread
 
 NL = "chr(10)"
 NL2 = "chr(10) || chr(10)"
@@ -31,7 +33,7 @@ STEP_OUT = ["step_id", "step_start", "step_end", "delim_start", "delim_end"]
 
 
 def _doc_steps(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return segment_steps(docs, "text", "doc_id", "\n", with_text=False)
 
 
@@ -65,16 +67,8 @@ register(
 
 
 def _label_counts(spark, sf_dir):
-    st = trace_steps(spark, sf_dir)
-    return (
-        st.groupBy("doc_id")
-        .pivot("label", ["reflection", "backtracking", "other"])
-        .count()
-        .select(
-            "doc_id",
-            *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(f"{c}_steps") for c in ("reflection", "backtracking", "other")],
-        )
-    )
+    tr = derived_traces(table(spark, sf_dir, "documents"))
+    return step_label_counts(tr, "response", "\n\n").select("doc_id", *STEP_COUNTS)
 
 
 register(
@@ -93,12 +87,10 @@ FROM lab GROUP BY doc_id""",
 
 
 def _answers(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    tr = derived_traces(docs).withColumnRenamed("doc_id", "tid")
-    j = docs.select("doc_id", "text").join(tr, F.col("doc_id") == F.col("tid"))
+    tr = derived_traces(table(spark, sf_dir, "documents"), keep=("text",))
     # each answer is extracted once; normalising / matching read the result
     ans = evaluate_once(
-        j.select(
+        tr.select(
             "doc_id",
             "reference_answer",
             extract_final_answer("response").alias("predicted_answer"),
@@ -120,25 +112,20 @@ register(
     "WITH "
     + S.traces_cte()
     + f"""
-SELECT d.doc_id, {S.final_answer('t.response')} AS predicted_answer,
-       {S.final_answer('d.text')} AS last_line_answer,
-       {S.normalize_answer(S.final_answer('d.text'))} AS normalized_last_line,
+SELECT t.doc_id, {S.final_answer('t.response')} AS predicted_answer,
+       {S.final_answer('t.text')} AS last_line_answer,
+       {S.normalize_answer(S.final_answer('t.text'))} AS normalized_last_line,
        {S.answer_match(S.final_answer('t.response'), 't.reference_answer')} AS is_correct,
        {S.answer_match("' 5 '", 't.reference_answer')} AS is_five
-FROM documents d JOIN traces t ON d.doc_id = t.doc_id""",
+FROM traces t""",
 )(_answers)
 
 
 # --- X2 / J1-J3 / P12 ---------------------------------------------------------
 
 
-def _doc_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs, tokenize_words(docs, "text", "doc_id")
-
-
 def _token_stats(spark, sf_dir):
-    _, tok = _doc_tokens(spark, sf_dir)
+    tok = tokenize_words(spread(table(spark, sf_dir, "documents")), "text", "doc_id")
     return tok.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_tokens"),
         F.sum("tok_start").alias("sum_start"),
@@ -159,14 +146,6 @@ FROM tok GROUP BY doc_id""",
 )(_token_stats)
 
 
-def doc_points(spark, sf_dir):
-    """Documents, their tokens, and per step the chosen point with its token
-    text and the text's token count (one tokenization feeds everything)."""
-    docs, tok = _doc_tokens(spark, sf_dir)
-    steps = segment_steps(docs, "text", "doc_id", "\n", with_text=False)
-    return docs, tok, activation_points(tok, steps, "doc_id", details=True)
-
-
 SQL_POINTS = (
     SQL_TOKENS
     + ","
@@ -182,13 +161,16 @@ pts AS (SELECT s.doc_id, s.step_id, coalesce(pd.ti, ps.ti)::BIGINT AS token_idx
 )
 
 register("j2_activation_points", SQL_POINTS + "\nSELECT doc_id, step_id, token_idx FROM pts")(
-    lambda spark, sf_dir: doc_points(spark, sf_dir)[2].select("doc_id", "step_id", "token_idx")
+    lambda spark, sf_dir: activation_points(spread(table(spark, sf_dir, "documents")), "text", "doc_id", "\n")
 )
 
 
+def doc_masks(spark, sf_dir):
+    return point_masks(spread(table(spark, sf_dir, "documents")), "text", "doc_id", "\n")
+
+
 def _point_mask(spark, sf_dir):
-    _, _, pts = doc_points(spark, sf_dir)
-    m = point_mask(pts, "doc_id")
+    m = doc_masks(spark, sf_dir).filter(F.size("points") > 0)
     return m.select("doc_id", F.size("points").cast("long").alias("n_points"), F.array_join("points", ",").alias("points"))
 
 
@@ -203,10 +185,7 @@ FROM pts WHERE token_idx IS NOT NULL GROUP BY doc_id""",
 
 
 def _usable(spark, sf_dir):
-    docs, _, pts = doc_points(spark, sf_dir)
-    return keep_usable(docs.select("doc_id", "text"), pts, "doc_id", 10).select(
-        "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_points").cast("long").alias("n_points")
-    )
+    return keep_usable(doc_masks(spark, sf_dir), 10).select("doc_id", "n_tokens", F.size("points").cast("long").alias("n_points"))
 
 
 register(
@@ -224,15 +203,9 @@ WHERE regexp_matches(d.text, '{S.NOT_WS}') AND nt.n_tokens >= 10 AND np.n_points
 # --- W1 step context + P11 judge requests ----------------------------------
 
 
-def step_context(steps):
-    w = Window.partitionBy("doc_id").orderBy("step_id")
-    return steps.select(
-        "*", F.lag("step_text").over(w).alias("previous_step"), F.lead("step_text").over(w).alias("next_step")
-    )
-
-
 def _context(spark, sf_dir):
-    st = step_context(trace_steps(spark, sf_dir))
+    tr = derived_traces(table(spark, sf_dir, "documents"))
+    st = segment_steps(tr, "response", "doc_id", "\n\n", with_text=False, with_context=True)
     return st.select(
         "doc_id",
         "step_id",
@@ -400,3 +373,29 @@ regions AS (
     + """
 SELECT doc_id, branch, step_id, step_start, step_end, delim_start, delim_end FROM st""",
 )(_p3)
+
+
+def _p3_examples(spark, sf_dir):
+    ex = reasoning_examples(derived_examples(spark, sf_dir), "doc_id", question_sample_prob=0.4)
+    return ex.select(
+        "doc_id",
+        "branch",
+        F.md5("text").alias("text_md5"),
+        F.coalesce("n_steps", F.lit(-1)).cast("long").alias("n_steps"),
+        F.coalesce(F.aggregate("step_starts", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(-1)).alias("sum_starts"),
+    )
+
+
+register(
+    "p3_reasoning_examples",
+    ORACLE_SQL["p3_parse_reasoning"].rsplit("SELECT doc_id, branch, step_id", 1)[0].rstrip()
+    + """,
+drawn AS (
+  SELECT doc_id, text FROM th WHERE len(inner_) = 0 AND h = '' AND nullif(text, '') IS NOT NULL
+  AND (('0x' || substr(md5(doc_id::VARCHAR || '|42'), 1, 12))::BIGINT / 281474976710656.0) < 0.4
+),
+stepped AS (SELECT doc_id, any_value(branch) AS branch, count(*) AS n_steps, sum(step_start) AS sum_starts FROM st GROUP BY doc_id)
+SELECT s.doc_id, s.branch, md5(th.text) AS text_md5, n_steps::BIGINT AS n_steps, sum_starts::BIGINT AS sum_starts FROM stepped s JOIN th USING (doc_id)
+UNION ALL
+SELECT doc_id, 'question', md5(text), -1, -1 FROM drawn""",
+)(_p3_examples)

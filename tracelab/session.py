@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Upper bound for anything this library ships to executors as a broadcast
 # (model parameters, small lookup tables).  Bigger objects take the
@@ -36,6 +36,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+# A table of fewer bytes than this for every second core has fewer splits than cores.
+SPLIT_BYTES = 128 * 1024 * 1024
+# The least that a task should be given when rows are dealt anew.
+SPREAD_BYTES = 256 * 1024
+
+
+def spread(df: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The rows of a small table dealt round robin over the session's cores.
+
+    A scan makes no more tasks than the files have row groups, so a small file
+    is worked by one task, text functions and Python included.  A table that
+    has splits for half the cores is left as it is: nothing is shuffled there.
+    """
+    if df.isStreaming:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(cores, -(-size // SPREAD_BYTES))
+    return df if tasks < 2 or 2 * size >= cores * split_bytes else df.repartition(tasks)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
