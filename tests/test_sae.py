@@ -213,4 +213,4 @@ def test_fit_queries_use_every_row_and_layer(spark, tmp_path):
     emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     emb.union(emb.withColumn("vec_id", F.col("vec_id") + 500)).write.parquet(str(tmp_path / "embeddings.parquet"))
     assert [r.batch for r in fit_plans._e4(spark, str(tmp_path)).orderBy("step").collect()] == [0, 1, 2, 3]
-    assert sorted((r.layer, r.steps) for r in fit_plans._e5(spark, str(tmp_path)).collect()) == [(i, 2) for i in range(4)]
+    assert sorted((r.layer, r.steps, r.n_rows) for r in fit_plans._e5(spark, str(tmp_path)).collect()) == [(i, 2, 128) for i in range(4)]

@@ -1,4 +1,4 @@
-"""Data-parallel Top-K SAE fitting.
+"""Data-parallel Top-K SAE fitting of models that the driver holds.
 
 One optimisation step = two Spark passes over the step's batch:
 
@@ -19,8 +19,8 @@ once to the shared checkpoint folder sorted by batch, so each step reads
 only its own row groups (parquet min/max pruning on ``batch``).
 
 Sizing: gradients are model-sized and cross the driver once per step; use
-for d_sae up to a few thousand and hundreds to thousands of steps (per-step
-Spark jobs dominate long runs).
+for d_sae up to a few thousand.  ``table_fit`` fits a model of any size, which
+never comes to the driver, and several fits together.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelab.operators.sae import SaeParams, encode_dense, list_matrix, topk_select, unit_rows
-from tracelab.operators.sampling import assign_batches
+from tracelab.functions.vectors import unit_norm
+from tracelab.operators.sampling import assign_batches, sample_by_weight
 from tracelab.session import ensure_checkpoint_dir
 
 CHUNK = 1 << 16
@@ -249,13 +250,22 @@ def prepare_batches(
     return out, (0 if n_batches is None else int(n_batches) + 1)
 
 
+def residual_directions(rows: DataFrame, x_col: str, key_col: str, n: int, seed: int, buckets: int | None = None) -> DataFrame:
+    """X12's draws: ``n`` rows of the forward table (with ``x_hat``), drawn with
+    probability proportional to squared error, each with its unit residual.
+    ``rows`` should be written once: the draws and the join read them.
+    Output: draw (0..n-1), key, direction."""
+    draws = sample_by_weight(rows, "r_sq", key_col, n, seed, buckets)
+    residual = F.zip_with(F.col(x_col), "x_hat", lambda a, b: a.cast("double") - b)
+    return draws.join(rows.select(key_col, unit_norm(residual).alias("direction")), key_col).select("draw", key_col, "direction")
+
+
 def resample_dead(batch: DataFrame, p: SaeParams, x_col: str, key_col: str, threshold: int, seed: int, n: int | None = None) -> int:
     """Every dead latent (steps since activation > threshold), or the
     first ``n`` of them, gets the unit residual of a batch row drawn with
     probability ∝ squared error, as encoder column and decoder row; bias and
     counters reset.  Returns how many were reset (none if no row has an error)."""
     from tracelab.operators.sae import sae_forward_rows
-    from tracelab.operators.sampling import sample_by_weight
 
     spark = batch.sparkSession
     dead_ids = np.nonzero(p.steps_since > threshold)[0][:n]
@@ -266,22 +276,16 @@ def resample_dead(batch: DataFrame, p: SaeParams, x_col: str, key_col: str, thre
     rows = sae_forward_rows(batch, p, key_col, x_col, keep=(x_col,), with_x_hat=True)
     rows.write.parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path)
-    draws = sample_by_weight(rows, "r_sq", key_col, len(dead_ids), seed)
-    picked = draws.join(rows.select(key_col, x_col, "x_hat"), key_col).select(
-        "draw", F.zip_with(F.col(x_col), "x_hat", lambda a, b: a.cast("double") - b).alias("res")
-    )
-    res = {int(r["draw"]): np.asarray(r["res"], dtype=np.float64) for r in picked.collect()}
+    found = {int(r["draw"]): np.asarray(r["direction"]) for r in residual_directions(rows, x_col, key_col, len(dead_ids), seed).collect()}
     for i, lat in enumerate(dead_ids):
-        v = res.get(i)
-        if v is None:
+        if i not in found:
             continue
-        u = v / max(np.linalg.norm(v), 1e-12)
-        p.w_enc[:, lat] = u
-        p.w_dec[lat] = u
+        p.w_enc[:, lat] = found[i]
+        p.w_dec[lat] = found[i]
         p.b_enc[lat] = 0.0
         p.steps_since[lat] = 0
         p.activation_count[lat] = 0
-    return len(res)
+    return len(found)
 
 
 def fit_sae(
@@ -384,15 +388,3 @@ def metrics_frame(spark, log: list[dict]) -> DataFrame:
     )
     rows = [tuple(int(m[f.name]) if isinstance(f.dataType, T.LongType) else float(m[f.name]) for f in schema.fields) for m in log]
     return spark.createDataFrame(rows, schema)
-
-
-def fit_layers(df: DataFrame, layers: list[int], make_params, x_col: str, key_col: str, steps: int | None, layer_col: str = "layer", **kw) -> list[dict]:
-    """E5: one independent fit per layer on that layer's rows (partition
-    pruning when ``layer`` is a partition column); one result per layer."""
-    out = []
-    for layer in layers:
-        sub = df.filter(F.col(layer_col) == layer)
-        p, log, _ = fit_sae(sub, make_params(), x_col, key_col, steps, **kw)
-        last = log[-1] if log else {}
-        out.append({"layer": int(layer), "steps": p.step, "loss": last.get("loss"), "l2_ratio": last.get("l2_ratio"), "l0": last.get("l0"), "params": p})
-    return out

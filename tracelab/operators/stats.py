@@ -9,12 +9,23 @@ aggregate with map-side partial aggregation.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelab.operators.sae import SaeParams, encode_dense, list_matrix, topk_select
+from tracelab.operators.sae import SaeParams, StoredModel, list_matrix, model_kernels
+from tracelab.session import DEFAULT_BROADCAST_BUDGET
+
+
+def _variance(total: str, within: str, d_model: int) -> Column:
+    """Unbiased variance over all elements of rows of ``d_model`` elements, from
+    each row's sum and squared differences from its own mean: what the rows
+    spread inside plus what their means spread (a built-in variance, whose
+    partial results merge by their means, so a large mean costs no digits)."""
+    n = F.count(F.lit(1))
+    between = F.coalesce(F.var_pop(F.col(total) / d_model), F.lit(0.0)) * n * d_model
+    return F.try_divide(F.sum(within) + between, n * d_model - 1)
 
 
 def recon_metrics(rows: DataFrame, d_model: int, by=()) -> DataFrame:
@@ -25,16 +36,12 @@ def recon_metrics(rows: DataFrame, d_model: int, by=()) -> DataFrame:
     of its mean; without any variance the explained share is null."""
     by = [by] if isinstance(by, str) else list(by)
     n = F.count(F.lit(1))
-    N = n * d_model
-    sx, sx2, sr, sr2 = F.sum("x_sum"), F.sum("x_sq"), F.sum("r_sum"), F.sum("r_sq")
-    var_x = F.try_divide(sx2 - sx * sx / N, N - 1)
-    var_r = F.try_divide(sr2 - sr * sr / N, N - 1)
     aggs = [
         n.alias("n_rows"),
-        (sr2 / N).alias("l_recon"),
+        (F.sum("r_sq") / (n * d_model)).alias("l_recon"),
         F.avg(F.try_divide(F.col("r_sq"), F.col("x_sq"))).alias("l2_ratio"),
         F.avg("l0").alias("l0"),
-        (F.lit(1.0) - F.try_divide(var_r, var_x)).alias("explained_variance"),
+        (F.lit(1.0) - F.try_divide(_variance("r_sum", "r_m2", d_model), _variance("x_sum", "x_m2", d_model))).alias("explained_variance"),
     ]
     return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
 
@@ -124,7 +131,7 @@ def data_mean(df: DataFrame, x_col: str) -> DataFrame:
     return df.select(Summarizer.mean(array_to_vector(F.col(x_col))).alias("m")).select(vector_to_array("m").alias("mean"))
 
 
-def argmax_index(col) -> F.Column:
+def argmax_index(col) -> Column:
     """0-based index of the highest entry of an array (first on ties)."""
     c = F.col(col) if isinstance(col, str) else col
     return (F.array_position(c, F.array_max(c)) - 1).cast("long")
@@ -207,47 +214,29 @@ AUX_SCHEMA = T.StructType(
 )
 
 
-def batch_losses(df: DataFrame, params: SaeParams, batch_col: str, x_col: str, aux_weight: float = 1 / 32) -> DataFrame:
+def batch_losses(df: DataFrame, params: SaeParams | StoredModel, batch_col: str, x_col: str, aux_weight: float = 1 / 32, budget: int = DEFAULT_BROADCAST_BUDGET) -> DataFrame:
     """A3: reconstruction + auxiliary loss of every batch.
 
     Latents outside the batch's top-k set ("dead" for this batch) predict
     the residual e = x - x_hat from relu(z) without b_dec; l_aux is the MSE
     over all elements (0 when every latent was selected); loss = l_recon +
-    aux_weight·l_aux.  One group per batch (batch size bounds the group).
+    aux_weight·l_aux.  One group per batch (batch size bounds the group); the
+    model is broadcast within ``budget`` bytes, a larger one streams past.
     """
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast((params.w_enc, params.b_enc, params.w_dec, params.b_dec))
-    k, d_model = params.k, params.d_model
-
-    def per_batch(key, pdf):
-        w_enc, b_enc, w_dec, b_dec = bc.value
-        x = np.stack(pdf[x_col].map(lambda v: np.asarray(v, dtype=np.float64)).values)
-        z = encode_dense(x, w_enc, b_enc, b_dec)
-        zr = np.maximum(z, 0.0)
-        ids, vals = topk_select(zr, k)
-        x_hat = np.einsum("nk,nkd->nd", vals, w_dec[ids]) + b_dec
-        e = x - x_hat
-        active = np.zeros(w_enc.shape[1], dtype=bool)
-        active[np.unique(ids)] = True
-        dead = ~active
-        l_recon = float(np.mean((x_hat - x) ** 2))
-        if dead.any():
-            e_pred = zr[:, dead] @ w_dec[dead]
-            l_aux = float(np.mean((e_pred - e) ** 2))
-        else:
-            l_aux = 0.0
-        return pd.DataFrame(
-            {
-                "batch": [int(key[0])],
-                "n_rows": [len(pdf)],
-                "n_dead": [int(dead.sum())],
-                "l_recon": [l_recon],
-                "l_aux": [l_aux],
-                "loss": [l_recon + aux_weight * l_aux],
-            }
-        )
-
-    return df.select(F.col(batch_col).cast("long").alias(batch_col), x_col).groupBy(batch_col).applyInPandas(per_batch, AUX_SCHEMA)
+    _, top_k, decode, unused = model_kernels(df.sparkSession, params, budget)
+    d_sae, d_model = params.d_sae, params.d_model
+
+    def per_batch(key: tuple, rows: pa.Table) -> pa.Table:
+        x = list_matrix(rows[x_col], d_model)
+        ids, vals = top_k(x)
+        e = x - decode(ids, vals)
+        active = np.unique(ids)
+        l_recon = float(np.mean(e * e))
+        l_aux = float(np.mean((unused(x, active) - e) ** 2)) if len(active) < d_sae else 0.0
+        out = {"batch": [key[0].as_py()], "n_rows": [len(x)], "n_dead": [d_sae - len(active)], "l_recon": [l_recon], "l_aux": [l_aux]}
+        return pa.table(out | {"loss": [l_recon + aux_weight * l_aux]})
+
+    return df.select(F.col(batch_col).cast("long").alias(batch_col), x_col).groupBy(batch_col).applyInArrow(per_batch, AUX_SCHEMA)
 
 
 def feature_cooccurrence(features: DataFrame, id_col: str, min_support: int = 1) -> DataFrame:
