@@ -43,3 +43,6 @@ def test_bf16_matches_numpy(spark):
     want = (((bits + 0x7FFF + ((bits >> 16) & 1)) >> 16) << 16).astype(np.uint32).view(np.float32)
     assert np.array_equal(got, want)
     assert got[1] == np.float32(1.0) and got[2] == np.float32(1.0078125)
+    odd = spark.createDataFrame([(None,), ([],), ([float("nan"), None, 1.00390625],)], "x array<float>")
+    got = [r[0] for r in odd.coalesce(1).select(bf16_round("x")).collect()]
+    assert got[0] is None and got[1] == [] and np.isnan(got[2][0]) and got[2][1:] == [None, 1.0]

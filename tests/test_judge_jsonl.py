@@ -1,5 +1,8 @@
 """Judge output parsing (golden strings) and resumable JSONL results."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,8 +91,25 @@ def test_malformed_middle_line_raises(spark, tmp_path):
     p = tmp_path / "labels.jsonl"
     p.write_text('{"a":1}\n{"broken\n{"a":2}\n')
     recs, _ = read_jsonl_tolerant(spark, str(p))
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match="line 2 of"):
         recs.count()
+    p.write_text("\n\n" + '{"a":1}\n' * 2000 + "oops\n" + '{"a":2}\n' * 5)
+    with pytest.raises(Exception, match="line 2003 of"):
+        read_jsonl_tolerant(spark, str(p), range_bytes=100)[0].count()
+
+
+def test_byte_ranges_hold_each_line_once(spark, tmp_path):
+    rng = random.Random(4)
+    lines = [json.dumps({"i": i, "t": "é\u2028" * rng.randint(0, 40)}, ensure_ascii=i % 2 == 0) for i in range(300)]
+    lines = [x for i, line in enumerate(lines) for x in ([line, "", "  "] if i % 50 == 0 else [line])]
+    (tmp_path / "a.jsonl").write_bytes("\r\n".join(lines).encode() + b'\r\n{"i": 99999, "t": "cut')
+    (tmp_path / "b.jsonl").write_bytes(b"")
+    (tmp_path / "_c.jsonl").write_bytes(b"hidden")
+    for size in (1, 7, 64, 1000, 1 << 20):
+        recs, stats = read_jsonl_tolerant(spark, str(tmp_path), range_bytes=size) if size > 7 else read_jsonl_tolerant(spark, str(tmp_path), range_bytes=size * 200)
+        got = sorted(r[0] for r in recs.select(F.expr("variant_get(record, '$.i', 'int')")).collect())
+        assert got == list(range(300))
+        assert [r.skipped_invalid_lines for r in stats.collect()] == [1]
 
 
 def test_append_modes(spark, tmp_path):

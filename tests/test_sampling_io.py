@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelab.operators.sampling import assign_batches, layer_grid, mix_sources, sample_by_weight, sample_n
-from tracelab.sources.datasets import infer_split, read_dataset, select_split, write_splits
-from tracelab.sources.shards import import_tensor_shards, read_activations, shard_stats, write_activation_shards, write_safetensors
+from tracelab.sources.datasets import read_dataset, select_split, split_of, with_split, write_splits
+from tracelab.sources.shards import export_tensor_shards, import_tensor_shards, read_activations, shard_bytes, shard_stats, write_activation_shards
 
 ROWS = [(f"p{i}", i % 5, "algebra" if i % 2 else "geometry", f"s{i}") for i in range(10)]
 SCHEMA = "problem string, level long, type string, solution string"
@@ -46,12 +46,32 @@ def test_splits_survive_write_and_read(spark, tmp_path):
         select_split(back, "test")
 
 
-def test_split_from_path():
-    assert infer_split("/d/data/train-00000-of-00001.parquet", "/d") == "train"
-    assert infer_split("/d/valid/x.json", "/d") == "validation"
-    assert infer_split("/d/dev_1.csv", "/d") == "dev"
-    assert infer_split("/d/other.parquet", "/d") == "train"
-    assert infer_split("/d/data/split=test/part-0.parquet", "/d") == "test"
+def test_split_from_path(spark):
+    cases = {
+        "/d/data/train-00000-of-00001.parquet": "train",
+        "/d/valid/x.json": "validation",
+        "/d/val.json": "validation",
+        "/d/dev_1.csv": "dev",
+        "/d/other.parquet": "train",
+        "/d/data/split=test/part-0.parquet": "test",
+        "/d/test/train.parquet": "train",
+        "/d/TEST/part.parquet": "test",
+        "/d/testing/part.parquet": "train",
+        "/d/dev.x.parquet": "train",
+        "/d/test/dev.x.parquet": "test",
+        "file:///d/test/a.parquet": "test",
+    }
+    df = spark.createDataFrame([(p,) for p in cases], "path string")
+    for root in ("/d", "/d/", "file:/d", "file:///d"):
+        assert {r.path: r.s for r in df.select("path", split_of("path", root).alias("s")).collect()} == cases
+    assert df.limit(1).select(split_of(F.lit("/test/x/part.json"), "/test/x").alias("s")).first().s == "train"  # the root itself names nothing
+
+
+def test_split_column_of_rows(spark, tmp_path):
+    for name, n in (("train", 3), ("val_1", 2), ("misc", 1)):
+        spark.range(n).coalesce(1).write.json(str(tmp_path / name))
+    df = spark.read.option("recursiveFileLookup", "true").json(str(tmp_path))
+    assert {r.split: r["count"] for r in with_split(df, str(tmp_path)).groupBy("split").count().collect()} == {"train": 4, "validation": 2}
 
 
 def test_mixed_formats_are_an_error(spark, tmp_path):
@@ -115,14 +135,28 @@ def test_activation_shards_round_trip(spark, tmp_path):
 
 
 def test_safetensors_import(spark, tmp_path):
-    m = np.arange(12, dtype=np.float32).reshape(3, 4) / 8
-    write_safetensors(str(tmp_path / "a.safetensors"), m)
-    write_safetensors(str(tmp_path / "b.safetensors"), m * 2, dtype="BF16")
-    rows = import_tensor_shards(spark, str(tmp_path)).collect()
-    assert len(rows) == 6
-    got = {(os.path.basename(r.file), r.row): r.x for r in rows}
-    assert np.allclose(got[("a.safetensors", 2)], m[2])
-    assert np.allclose(got[("b.safetensors", 1)], m[1] * 2)
+    m = np.arange(120, dtype=np.float32).reshape(30, 4) / 8
+    (tmp_path / "a.safetensors").write_bytes(shard_bytes({"activations": (m, "F32"), "row_ids": (np.arange(30) + 100, "I64")}))
+    (tmp_path / "b.safetensors").write_bytes(shard_bytes({"other": (m[:1], "F32"), "activations": (m * 2, "BF16")}))
+    (tmp_path / "c.safetensors").write_bytes(shard_bytes({"activations": (m.reshape(15, 2, 4), "F16")}))
+    (tmp_path / "skip.bin").write_bytes(b"x")
+    df = import_tensor_shards(spark, str(tmp_path), range_bytes=64)  # ranges of 4 and 8 rows
+    assert df.rdd.getNumPartitions() >= 3 * 30 // 8
+    got = {(os.path.basename(r.file), r.row): (r.row_id, r.x) for r in df.collect()}
+    assert len(got) == 90
+    for i in range(30):
+        assert got["a.safetensors", i][0] == 100 + i and np.allclose(got["a.safetensors", i][1], m[i])
+        assert got["b.safetensors", i][0] is None and np.allclose(got["b.safetensors", i][1], m[i] * 2)
+        assert np.allclose(got["c.safetensors", i][1], m[i])
+
+
+def test_safetensors_export(spark, tmp_path):
+    rows = spark.range(100).select((F.col("id") * 3).alias("row_id"), F.array(*[(F.col("id") + i).cast("float") for i in range(5)]).alias("x"))
+    export_tensor_shards(rows.repartition(3), str(tmp_path / "out"), shard_rows=16)
+    files = list((tmp_path / "out").glob("*.safetensors"))
+    assert 7 <= len(files) <= 10
+    back = import_tensor_shards(spark, str(tmp_path / "out"))
+    assert sorted((r.row_id, *r.x) for r in back.collect()) == [(3 * i, *(float(i + j) for j in range(5))) for i in range(100)]
 
 
 def test_draws_do_not_depend_on_partitioning(spark):
@@ -177,11 +211,34 @@ def test_global_index_on_many_rows(spark):
     assert sizes == [600_000 % 4096, *[4096] * (600_000 // 4096)]
 
 
-def test_cumulative_weights_tile(spark):
-    from tracelab.operators.sampling import cumulative_weights
+def test_repeated_keys_spread_over_buckets(spark):
+    from tracelab.operators.sampling import partition_index, range_buckets, row_hash
 
-    rows = spark.range(5000).select("id", (F.col("id") % 7).cast("double").alias("w"))
-    out, total = cumulative_weights(rows, "w", "id")
-    got = [(r["_lo"], r["_hi"]) for r in out.orderBy("id").collect()]
-    assert got[0][0] == 0 and got[-1][1] == float("inf") and all(a[1] == b[0] for a, b in zip(got, got[1:]))
-    assert total == sum(i % 7 for i in range(5000))
+    rows = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("key"), "id")
+    tied = range_buckets(rows.withColumn("_tie", row_hash(rows)), ["key", "_tie"], "b", buckets=16)
+    sizes = sorted(r["count"] for r in tied.groupBy("b").count().collect())
+    assert len(sizes) == 16 and sizes[-1] < 2 * sizes[8]
+    one = {r.id: r.i for r in partition_index(rows, "key", "i").collect()}
+    other = {r.id: r.i for r in partition_index(rows.repartition(5), "key", "i").collect()}
+    assert one == other and sorted(one.values()) == list(range(200_000))
+
+
+def test_interleave_counts_every_source(spark):
+    from tracelab.operators.sampling import interleave
+
+    src = {n: spark.range(k).select("id") for n, k in (("b", 5), ("a", 3), ("c", 9))}
+    got = sorted((r.source, r.rn, r.id) for r in interleave(src, "id").collect())
+    assert got == [(n, i, i) for n in "abc" for i in range(3)]
+    assert interleave({**src, "d": spark.range(0).select("id")}, "id").count() == 0
+
+
+def test_weighted_draws_in_salted_buckets(spark, monkeypatch):
+    from tracelab.operators import sampling
+
+    monkeypatch.setattr(sampling, "GROUP_DRAWS", 50)
+    rows = spark.createDataFrame([(i, 1000.0 if i == 3 else float(i % 4)) for i in range(200)] + [(500, float("inf")), (501, float("nan")), (502, None)], "k long, w double")
+    got = sampling.sample_by_weight(rows, "w", "k", 3000, 1, buckets=8).collect()
+    assert sorted(r.draw for r in got) == list(range(3000))
+    assert abs(sum(r.k == 3 for r in got) / 3000 - 1000 / (1000 + 297)) < 0.03
+    assert not any(r.k % 4 == 0 or r.k >= 500 for r in got)
+    assert sampling.sample_by_weight(rows.limit(0), "w", "k", 5, 1).count() == 0

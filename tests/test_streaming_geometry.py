@@ -47,6 +47,42 @@ def test_stream_activity_in_any_order(spark, tmp_path):
     assert got == {0: (0, 10), 1: (2, 4), 2: (2, 0), 3: (1, 8), 4: (0, 10)}
 
 
+def test_activity_state_stays_flat(spark):
+    from tracelab.streaming.streams import _mark
+
+    rng = np.random.default_rng(1)
+    horizon = 64
+    bits, low, count, late = np.zeros(horizon, np.uint8), 0, 0, 0
+    seen, top = set(), 0
+    order = np.arange(1000) + rng.integers(-20, 20, 1000)  # roughly in order, with repeats
+    for part in np.array_split(np.maximum(order, 0), 300):
+        low, count, late = _mark(bits, low, count, late, part)
+        seen |= set(part.tolist())
+        top = max(top, int(part.max()))
+        assert len(np.packbits(bits)) == horizon // 8
+    assert (count, late) == (len(seen), 0)
+    low, count, late = _mark(bits, low, count, late, np.array([top - horizon, top - 1, top + 5 * horizon, 3]))
+    assert late == 2 and low == top + 4 * horizon + 1  # too far back; everything before is closed
+    low, count, late = _mark(bits, low, count, late, np.array([low, low + 1]))
+    assert bits.sum() == 3
+
+
+def test_activity_state_bytes(spark, tmp_path):
+    """The state of a latent has the same size after 1 000 batches as after 10."""
+    sizes = []
+    for n in (10, 1000):
+        at = tmp_path / f"in{n}"
+        spark.range(n).select(F.lit(5).cast("long").alias("latent_id"), F.col("id").alias("batch")).coalesce(1).write.parquet(str(at))
+        s = stream_activations(spark, str(at), spark.read.parquet(str(at)).schema)
+        seen = []
+        sink = lambda df, _: seen.append(df.collect())
+        q = stream_latent_activity(s, horizon=256).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / f"cp{n}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert [(r.activation_count, r.last_batch) for r in seen[0]] == [(n, n - 1)]
+        sizes.append(sum(p.stat().st_size for p in (tmp_path / f"cp{n}" / "state").rglob("*.delta")))
+    assert abs(sizes[1] - sizes[0]) < 100
+
+
 def test_streams_read_tables_of_several_files(spark, tmp_path):
     from tracelab.plans import stream_plans  # noqa: F401  (registers plans)
     from tracelab.plans.common import QUERIES
@@ -105,7 +141,10 @@ def test_pca_matches_numpy(spark):
             v[:, j] *= -1
     proj = c @ v
     ours = np.array([got[r.vec_id] for r in rows])
-    assert np.allclose(ours, proj, atol=1e-6)
+    assert np.allclose(ours, proj, atol=1e-9)
+    one = spark.createDataFrame([(1, [2.0]), (2, [-3.0]), (3, [5.0])], "id long, v array<double>")
+    assert sorted((r.id, round(r.x, 9), r.y) for r in pca_2d(one, "id", "v").collect()) == [(1, round(2 / 3, 9), 0.0), (2, round(-4 / 3, 9), 0.0), (3, round(2 / 3, 9), 0.0)]
+    assert pca_2d(one.limit(0), "id", "v").count() == 0
 
 
 def test_nucleus_cut(spark):
@@ -135,6 +174,23 @@ def test_label_stream_resumes_exactly_once(spark, tmp_path):
     assert got[(1, 0)] == "reflection" and got[(2, 0)] == "backtracking"
 
 
+def test_label_stream_over_earlier_output(spark, tmp_path):
+    """Keys that another run wrote count as written, and no batch reads them again from its own output."""
+    from tracelab.streaming.streams import stream_label_steps
+
+    schema = "id long, step_id long, step_text string"
+    out = str(tmp_path / "out")
+    old = spark.createDataFrame([(1, 0, "Wait.", "reflection", "x"), (None, 4, "Then.", "other", "x")], schema + ", label string, label_rationale string")
+    old.write.parquet(out + "/batch_id=0")
+    src = tmp_path / "in"
+    for i, rows in enumerate([[(1, 0, "Wait."), (2, 0, "Add."), (None, 4, "Then.")], [(2, 0, "Add."), (1, 0, "Wait."), (3, 1, "Instead, add.")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / f"p{i}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
+        stream_label_steps(stream, out, ["id", "step_id"])
+    got = spark.read.parquet(out).collect()
+    assert sorted((r.batch_id, r.id or 0, r.step_id, r.label) for r in got) == [(0, 0, 4, "other"), (0, 1, 0, "reflection"), (1, 2, 0, "other"), (2, 3, 1, "backtracking")]
+
+
 def test_segment_stream_resumes(spark, tmp_path):
     from tracelab.streaming.streams import stream_segment
 

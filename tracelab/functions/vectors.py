@@ -55,24 +55,18 @@ def ends_with_tokens(ids, suffix) -> Column:
     return F.when((n == 0) | (n > F.size(ids)), F.lit(False)).otherwise(F.slice(ids, -n, n) == suffix)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def bf16_round(v):
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def bf16_round(v: pa.Array) -> pa.Array:
     """Round float32 values to bfloat16 precision (nearest, ties to even).
 
-    Arrow-batched; the rounding works on the 32-bit pattern, keeping the upper
-    16 bits after adding the rounding bias.
+    The rounding works on the 32-bit patterns of a whole Arrow batch, keeping
+    the upper 16 bits after adding the rounding bias; NaN, null elements and
+    null arrays stay.
     """
-    import pandas as pd
-
-    arr = pa.array(v, type=pa.list_(pa.float32()))
-    if len(arr) == 0:
-        return pd.Series([], dtype=object)
-    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    inner = v.values.cast(pa.float32())
+    flat = inner.fill_null(0).to_numpy(zero_copy_only=False)
     bits = flat.view(np.uint32).astype(np.uint64)
-    lsb = (bits >> 16) & 1
-    rounded = ((bits + 0x7FFF + lsb) >> 16) << 16
-    nan = np.isnan(flat)
-    out = np.where(nan, flat, rounded.astype(np.uint32).view(np.float32))
-    offsets = arr.offsets.to_numpy()
-    res = [None if arr[i].as_py() is None else out[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]] for i in range(len(arr))]
-    return pd.Series(res)
+    up = ((bits + 0x7FFF + ((bits >> 16) & 1)) >> 16) << 16
+    rounded = np.where(np.isnan(flat), flat, up.astype(np.uint32).view(np.float32))
+    values = pa.array(rounded, pa.float32(), mask=inner.is_null().to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(v.offsets, values, mask=v.is_null() if v.null_count else None)

@@ -3,10 +3,18 @@ steering projection, softmax / nucleus cut (A15-A20, X9, X11, W5)."""
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.functions.vectors import as_double, dot, unit_norm
+from tracelab.operators.sae import list_matrix, matrix_list
+from tracelab.session import ensure_checkpoint_dir
 
 
 #: Groups whose label sums are broadcast.
@@ -55,44 +63,70 @@ def silhouette_cosine(points: DataFrame, label_col: str = "label", x: str = "x",
     return agg.select(*by, F.when((F.col("_np") >= 3) & (F.col("_nl") >= 2), F.col("silhouette")).alias("silhouette"))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder, whatever made them."""
+    spark = df.sparkSession
+    path = posixpath.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def principal_axes(units: DataFrame, vec_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, axes as columns) of the first ``k`` principal components.
+
+    One pass: each task sums the vectors and their products around a fixed one
+    of them (so that a mean far from zero costs no digits), Spark adds the sums
+    up by row of the matrix, and the driver, which sees d x d numbers, takes the
+    eigenvectors.  The largest entry of an axis is positive."""
+    start = units.select(vec_col).first()
+    shift = np.asarray(start[0], dtype=np.float64)
+    d = len(shift)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d + 1, d + 1))
+        for b in batches:
+            if b.num_rows:
+                m = np.concatenate([list_matrix(b.column(0), d) - shift, np.ones((b.num_rows, 1))], axis=1)
+                total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + 1, dtype=np.int32)), matrix_list(total)], names=["i", "s"])
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), matrix_list(list_matrix(t["s"]).sum(axis=0, keepdims=True))], names=["i", "s"])
+
+    schema = "i int, s array<double>"
+    rows = units.select(vec_col).mapInArrow(fn, schema).groupBy("i").applyInArrow(add, schema).toArrow().sort_by("i")
+    sums = list_matrix(rows["s"])
+    n = sums[d, d]
+    off = sums[d, :d] / n
+    cov = sums[:d, :d] / n - np.outer(off, off)
+    axes = np.linalg.eigh((cov + cov.T) / 2)[1][:, ::-1][:, :k]
+    return shift + off, axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+
+
 def pca_2d(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """Unit-normalize rows, centre them, project on the top 2 principal
-    components (Spark ML PCA on centred vectors; signs fixed so the largest
-    absolute loading of each component is positive).  One component -> y = 0.
-    Output: id, x, y."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    u = rows.select(id_col, unit_norm(vec_col).alias("_u"))
-    d = u.select(F.size("_u").alias("d")).first()
-    if d is None:
-        return rows.sparkSession.createDataFrame([], f"{id_col} long, x double, y double")
-    d = d["d"]
-    mean = u.select(F.posexplode("_u").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()
-    mu = F.array(*[F.lit(float(r["m"])) for r in mean])
-    centred = u.select(id_col, array_to_vector(F.zip_with("_u", mu, lambda a, b: a - b)).alias("features"))
-    k = min(2, d)
-    model = PCA(k=k, inputCol="features", outputCol="p").fit(centred)
-    pc = model.pc.toArray()  # [d, k]
-    signs = []
-    for c in range(k):
-        col = pc[:, c]
-        signs.append(1.0 if col[abs(col).argmax()] >= 0 else -1.0)
-    out = model.transform(centred).select(id_col, vector_to_array("p").alias("p"))
-    x = F.col("p")[0] * signs[0]
-    y = F.col("p")[1] * signs[1] if k > 1 else F.lit(0.0)
-    return out.select(id_col, x.alias("x"), y.alias("y"))
+    components (signs fixed so the largest absolute loading of each component
+    is positive).  The input is evaluated once: its unit rows are written, and
+    both passes read those.  One component -> y = 0.  Output: id, x, y."""
+    units = _written(rows.select(id_col, unit_norm(vec_col).alias("u")), "units")
+    if units.isEmpty():
+        return units.select(id_col, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    mean, axes = principal_axes(units, "u", 2)
+    centred = F.zip_with("u", F.lit(mean.tolist()), lambda a, b: a - b)
+    on = [dot(centred, F.lit(axes[:, i].tolist())) for i in range(axes.shape[1])]
+    return units.select(id_col, on[0].alias("x"), (on[1] if len(on) > 1 else F.lit(0.0)).alias("y"))
 
 
 def embed_features(assignments: DataFrame, latents: DataFrame, method: str = "pca") -> DataFrame:
     """Decoder rows of the assigned features projected to 2-D, one point
     per feature (feature_index, assigned_label, specificity, mean_activation,
-    x, y)."""
+    x, y).  The scoring behind the assignments runs once (they are written)."""
     if method != "pca":
         raise ValueError(f"Unsupported embedding method: {method}")
-    rows = latents.join(assignments.select(F.col("feature_index").alias("latent_id")), "latent_id").select("latent_id", "w_dec")
+    assigned = _written(assignments, "assignments")
+    rows = latents.join(assigned.select(F.col("feature_index").alias("latent_id")), "latent_id").select("latent_id", "w_dec")
     xy = pca_2d(rows, "latent_id", "w_dec")
-    return assignments.join(xy.withColumnRenamed("latent_id", "feature_index"), "feature_index").orderBy("feature_index")
+    return assigned.join(xy.withColumnRenamed("latent_id", "feature_index"), "feature_index").orderBy("feature_index")
 
 
 def behavior_vectors(top: DataFrame, latents: DataFrame, n: int = 8, label_col: str = "label") -> DataFrame:

@@ -4,13 +4,17 @@ Randomness is a seeded hash of a row key (never ``rand()``), so a row's draw
 does not depend on partitioning and survives task retries.  Global indexes
 (batches, interleaving, cumulative weights) come from range buckets with fixed
 bounds: one small aggregate (a row per bucket) fixes each bucket's offset, and
-every row adds its index inside the bucket — no single-task window.
+every row adds its index inside the bucket — no single-task window.  A hash of
+the whole row ends every order, so repeated keys spread and ties are fixed.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,19 +38,30 @@ def sample_n(df: DataFrame, n: int, seed: int, key_col: str, by: str = "split")
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
-BOUND_SAMPLE = 4096
+#: Rows whose keys give the bounds of range buckets: this many at least, and for each bucket.
+BOUND_SAMPLE, BOUND_ROWS = 4096, 64
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row (columns that can be hashed): the last order key
+    of rows that tie, so that their order is the same in every run and a key
+    that many rows share still falls into several buckets."""
+    plain = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
 
 
 def range_buckets(df: DataFrame, order_cols: list[str], name: str, buckets: int | None = None) -> DataFrame:
     """Add an int column that rises with ``order_cols``: how many of a list of
     bounds a row is not below.  The bounds are constants of the plan (quantiles
-    of at most BOUND_SAMPLE keys, chosen by hash), so every job that uses the
-    column sees the same buckets, however it partitions."""
+    of a sample of the keys, chosen by their hash, so partial samples merge and
+    every run draws the same), so every job that uses the column sees the same
+    buckets, however it partitions.  Callers end ``order_cols`` with the
+    ``row_hash`` so that a repeated key does not fill a bucket by itself."""
     types = dict(df.dtypes)
-    keys = df.select(*order_cols)
-    sample = keys.orderBy(F.xxhash64(*order_cols)).limit(BOUND_SAMPLE)
+    wanted = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = df.select(*order_cols).orderBy(F.xxhash64(*order_cols)).limit(max(BOUND_SAMPLE, BOUND_ROWS * wanted))
     rows = sample.distinct().orderBy(*order_cols).collect()
-    wanted = min(buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(rows))
+    wanted = min(wanted, len(rows))
     if wanted < 2:
         return df.withColumn(name, F.lit(0))
     cuts = [rows[len(rows) * i // wanted] for i in range(1, wanted)]
@@ -67,9 +82,11 @@ def partition_index(df: DataFrame, order_cols, name: str = "row_index") -> DataF
     Rows fall into range buckets whose bounds are constants; a small aggregate
     counts each bucket, and a row's index is its bucket's offset plus its row
     number inside the bucket.  The driver sees one count a bucket.  Rows that
-    tie in ``order_cols`` get distinct indexes in no fixed order."""
+    tie in ``order_cols`` are ordered by a hash of the whole row (equal rows
+    are interchangeable), so reruns agree."""
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    s = range_buckets(df, order_cols, "_bucket")
+    keys = [*order_cols, "_tie"]
+    s = range_buckets(df.withColumn("_tie", row_hash(df)), keys, "_bucket")
     counts = {r["_bucket"]: r["_c"] for r in s.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c")).collect()}
     if not counts:
         return df.withColumn(name, F.lit(None).cast("long"))
@@ -77,9 +94,9 @@ def partition_index(df: DataFrame, order_cols, name: str = "row_index") -> DataF
     for i in range(max(counts) + 1):
         offsets.append(acc)
         acc += counts.get(i, 0)
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order_cols)) - 1
+    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys)) - 1
     offset = F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("_bucket"))
-    return s.withColumn(name, offset + local).drop("_bucket")
+    return s.withColumn(name, offset + local).drop("_bucket", "_tie")
 
 
 def assign_batches(df: DataFrame, batch_size: int, order_cols, name: str = "batch") -> DataFrame:
@@ -91,17 +108,22 @@ def assign_batches(df: DataFrame, batch_size: int, order_cols, name: str = "batc
 
 def interleave(dfs: dict[str, DataFrame], order_col: str) -> DataFrame:
     """Round-robin over sources; every source contributes min(n_i) rows.
+    One index over all sources (ordered by source, then ``order_col``) and one
+    count by source, however many there are.
     Output: source, rn (0-based round), original columns (by name)."""
-    parts = []
-    counts = {}
+    every = None
     for name, d in dfs.items():
-        counts[name] = d.count()
-        parts.append(partition_index(d, order_col, "rn").withColumn("source", F.lit(name)))
-    m = min(counts.values()) if counts else 0
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.filter(F.col("rn") < m)
+        part = d.withColumn("source", F.lit(name))
+        every = part if every is None else every.unionByName(part, allowMissingColumns=True)
+    if every is None:
+        raise ValueError("no sources to interleave")
+    counts = dict.fromkeys(dfs, 0) | {r["source"]: r["count"] for r in every.groupBy("source").count().collect()}
+    rounds, first, before = min(counts.values()), [], 0
+    for name in sorted(counts, key=lambda n: n.encode()):  # the order of Spark's strings
+        first += [F.lit(name), F.lit(before).cast("long")]
+        before += counts[name]
+    indexed = partition_index(every, ["source", order_col], "rn")
+    return indexed.withColumn("rn", F.col("rn") - F.element_at(F.create_map(*first), F.col("source"))).filter(F.col("rn") < rounds)
 
 
 def mix_sources(reasoning: DataFrame | None, general: DataFrame | None, ratio: float, key_col: str, seed: int = 42, n: int | None = None) -> DataFrame:
@@ -157,53 +179,62 @@ def repeat_epochs(df: DataFrame, n: int, seed: int, key_cols) -> DataFrame:
     return global_shuffle(rep, seed, ["epoch", *key_cols])
 
 
-def cumulative_weights(df: DataFrame, weight_col: str, order_cols) -> tuple[DataFrame, float]:
-    """Global cumulative weights in order: every row gets ``[lo, hi)`` with
-    hi = the next row's lo (the last row's hi is +inf), so the intervals
-    tile [0, inf) without float gaps.  Per-partition sums (one row per
-    partition) give the offsets; the running sum inside a partition is a
-    window over that partition only.  Returns (df, total weight)."""
-    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    s = range_buckets(df.filter(F.col(weight_col) > 0), order_cols, "_pid")
-    sums = {r["_pid"]: float(r["_s"]) for r in s.groupBy("_pid").agg(F.sum(weight_col).alias("_s")).collect()}
-    offs, acc = [], 0.0
-    for i in range(max(sums, default=-1) + 1):
-        offs.append(acc)
-        acc += sums.get(i, 0.0)
-    # an empty bucket's end is where the next one starts, so the intervals tile
-    lows = F.array(*[F.lit(x) for x in offs or [0.0]])
-    highs = F.array(*[F.lit(x) for x in [*offs[1:], float("inf")]])
-    w = Window.partitionBy("_pid").orderBy(*order_cols)
-    run = F.coalesce(F.sum(weight_col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    last = F.lit(max(sums, default=0))
-    end = F.when(F.col("_pid") == last, F.lit(float("inf"))).otherwise(F.get(highs, F.col("_pid")))
-    out = s.withColumn("_lo", F.get(lows, F.col("_pid")) + run)
-    return out.withColumn("_hi", F.coalesce(F.lead("_lo").over(w), end)), acc
-
-
-def sample_by_weight(rows: DataFrame, weight_col: str, key_col: str, n: int, seed: int) -> DataFrame:
+#: Rows of a bucket of weighted draws, buckets at most, draws of one group.
+WEIGHT_ROWS, WEIGHT_BUCKETS, GROUP_DRAWS = 50_000, 4096, 100_000
+
+
+def sample_by_weight(rows: DataFrame, weight_col: str, key_col: str, n: int, seed: int, buckets: int | None = None) -> DataFrame:
     """N draws with replacement, probability proportional to the weight.
 
-    Draw i lands at u_i = uniform(seed, i) · total and takes the row whose
-    cumulative interval holds it.  The lookup is a bucketized range join:
-    intervals are spread over the fixed-width buckets they cover, draws go
-    to their bucket, and the equi-join on the bucket is filtered by
-    lo <= u < hi.  A heavy row covers many buckets instead of one hot key.
+    Rows are dealt to buckets by a hash of their key; the driver gets one sum
+    of weights a bucket.  Draw i lands at u_i = uniform(seed, i) · total, in the
+    bucket whose share of [0, total) holds it and at a place inside that
+    bucket's weights, laid end to end by key.  Bucket and draws meet in one
+    group, where the row is looked up; a bucket that many draws hit (one heavy
+    row) is copied to several groups, each with a part of its draws.  No weight
+    is summed over all rows in order, and rows are shuffled once, by bucket.
+    Rows without a positive finite weight are never drawn; those that share a
+    key are told apart by their weights only.
     Output: draw (0..n-1), key."""
     spark = rows.sparkSession
-    cum, total = cumulative_weights(rows, weight_col, key_col)
     ktype = dict(rows.dtypes)[key_col]
+    schema = f"draw long, {key_col} {ktype}"
+    weight = F.col(weight_col).cast("double")
+    usable = rows.filter((weight > 0) & (weight < float("inf"))).select(key_col, weight.alias("_w"))
+    if buckets is None:
+        buckets = max(1, min(WEIGHT_BUCKETS, -(-usable.count() // WEIGHT_ROWS)))
+    bucket = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key_col).cast("string"), F.lit(str(seed)), F.lit("bucket"))), 1, 8), 16, 10).cast("long") % buckets
+    dealt = usable.withColumn("_b", bucket.cast("int"))
+    share = np.zeros(buckets)
+    for r in dealt.groupBy("_b").agg(F.sum("_w").alias("w")).collect():
+        share[r["_b"]] = r["w"]
+    total = float(share.sum())
     if total <= 0 or n <= 0:
-        return spark.createDataFrame([], f"draw long, {key_col} {ktype}")
-    g = max(1, n)
-    width = total / g
-    first_b = F.floor(F.col("_lo") / width).cast("long")
-    last_b = F.least(F.floor(F.least(F.col("_hi"), F.lit(total)) / width).cast("long"), F.lit(g - 1))
-    iv = cum.select(key_col, "_lo", "_hi", F.explode(F.sequence(first_b, F.greatest(first_b, last_b))).alias("_b"))
-    draws = spark.range(n).select(F.col("id").alias("draw"), (hash_uniform([F.col("id")], seed) * total).alias("_u"))
-    draws = draws.withColumn("_b", F.least(F.floor(F.col("_u") / width).cast("long"), F.lit(g - 1)))
-    hit = draws.join(iv, "_b").filter((F.col("_lo") <= F.col("_u")) & (F.col("_u") < F.col("_hi")))
-    return hit.select("draw", key_col)
+        return spark.createDataFrame([], schema)
+    ends = np.cumsum(share)
+    copies = 1 + (n * share / total / GROUP_DRAWS).astype(np.int64)
+    filled = np.flatnonzero(share > 0)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("_u").to_numpy() * total
+            of = filled[np.minimum(np.searchsorted(ends[filled], at, side="right"), len(filled) - 1)]
+            rest = at - (ends[of] - share[of])
+            salt = b.column("draw").to_numpy() % copies[of]
+            yield pa.RecordBatch.from_arrays([b.column("draw"), pa.array(of.astype(np.int32)), pa.array(salt), pa.array(rest)], names=["draw", "_b", "_salt", "_rest"])
+
+    draws = spark.range(n).select(F.col("id").alias("draw"), hash_uniform([F.col("id")], seed).alias("_u"))
+    draws = draws.mapInArrow(place, "draw long, _b int, _salt long, _rest double")
+    of_bucket = F.get(F.lit(copies.tolist()), F.col("_b")) - 1
+    salted = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), of_bucket.cast("long"))).alias("_salt"))
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by([(key_col, "ascending"), ("_w", "ascending")])
+        upto = np.cumsum(left["_w"].to_numpy())
+        at = np.minimum(np.searchsorted(upto, right["_rest"].to_numpy(), side="right"), len(upto) - 1) if len(upto) else np.zeros(0, np.int64)
+        return pa.table({"draw": right["draw"], key_col: left[key_col].take(pa.array(at))})
+
+    return salted.groupBy("_b", "_salt").cogroup(draws.groupBy("_b", "_salt")).applyInArrow(pick, schema)
 
 
 def union_sources(dfs: list, loader=None) -> DataFrame:
@@ -281,7 +312,7 @@ def train_curve(metrics: DataFrame, step_col: str, value_cols, interval: int) ->
 def best_so_far(curve: DataFrame, order_col: str, value_col: str) -> DataFrame:
     """Running minimum of a curve: inside range buckets, then with the
     least of the buckets before (one number a bucket on the driver)."""
-    s = range_buckets(curve, [order_col], "_bucket")
+    s = range_buckets(curve, [order_col], "_bucket")  # rows that tie share their running minimum, so they stay together
     least = {r["_bucket"]: r["_m"] for r in s.groupBy("_bucket").agg(F.min(value_col).alias("_m")).collect()}
     before, so_far = [], None
     for i in range(max(least, default=-1) + 1):

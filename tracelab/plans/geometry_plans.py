@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracelab.functions.vectors import dot, remove_projection, sq_norm
 from tracelab.operators.geometry import behavior_vectors, embed_features, pca_2d, silhouette_cosine, softmax, top_mass_cut
 from tracelab.operators.sae import fixture_params, latents_frame
 from tracelab.operators.scoring import score_behavior
-from tracelab.plans.common import r6, register, table
+from tracelab.plans.common import ORACLE_SQL, r6, register, table
 from tracelab.plans.fixtures import DEFAULT_CONDITIONS
 from tracelab.plans.sae_plans import SQL_E6, fixture_features
+from tracelab.session import ensure_checkpoint_dir
+from tracelab.sources.artifacts import behavior_summary_records, read_geometry, write_geometry
 
 
 def _points(spark, sf_dir):
@@ -55,14 +60,52 @@ register(
 )
 
 
+def sql_axes(units: str) -> str:
+    """DuckDB fragment: ``axes`` (m, v1, v2), mean and first two principal axes of
+    the lists ``u`` in ``units``.  A symmetric matrix squared often enough, its
+    trace kept at one, is the projector on its first axis; taken out, the same
+    gives the second.  A projector's row of the largest diagonal entry is the
+    axis with its largest entry positive."""
+
+    def projector(name: str, of: str) -> str:
+        trace = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i][i]))"
+        scaled = "list_transform({0}, lambda r: list_transform(r, lambda x: x / {1}))"
+        return f"""
+{name}_pow AS (
+  SELECT 0 AS n, {scaled.format('c', trace.format('c'))} AS p FROM {of}
+  UNION ALL
+  SELECT n + 1, {scaled.format('q', trace.format('q'))} FROM (SELECT n, list_transform(p, lambda r: list_transform(p, lambda s: list_dot_product(r, s))) AS q FROM {name}_pow WHERE n < 24)
+),
+{name}_end AS (SELECT p, list_transform(range(1, len(p) + 1), lambda i: p[i][i]) AS diag FROM {name}_pow WHERE n = 24),
+{name} AS (SELECT p, list_transform(p[list_position(diag, list_max(diag))], lambda x: x / sqrt(list_max(diag))) AS v FROM {name}_end)"""
+
+    return f"""
+flat AS (SELECT id, unnest(u) AS x, unnest(range(len(u))) AS i FROM {units}),
+mean AS (SELECT i, avg(x) AS m FROM flat GROUP BY i),
+centred AS (SELECT id, i, x - m AS x FROM flat JOIN mean USING (i)),
+cov AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / count(*) AS c FROM centred a JOIN centred b USING (id) GROUP BY a.i, b.i),
+mat AS (SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i)),{projector('one', 'mat')},
+level AS (SELECT mat.c, one.p, list_dot_product(one.v, list_transform(mat.c, lambda r: list_dot_product(r, one.v))) AS e FROM mat, one),
+rest AS (SELECT list_transform(range(1, len(c) + 1), lambda i: list_transform(range(1, len(c) + 1), lambda j: c[i][j] - e * p[i][j])) AS c FROM level),{projector('two', 'rest')},
+axes AS (SELECT (SELECT list(m ORDER BY i) FROM mean) AS m, one.v AS v1, two.v AS v2 FROM one, two),
+placed AS (
+  SELECT id, list_dot_product(list_transform(range(1, len(u) + 1), lambda i: u[i] - m[i]), v1) AS x,
+         list_dot_product(list_transform(range(1, len(u) + 1), lambda i: u[i] - m[i]), v2) AS y FROM {units}, axes
+)"""
+
+
 def _a18(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return pca_2d(e, "vec_id", "embedding").select("vec_id", r6("x").alias("x"), r6("y").alias("y"))
 
 
-# PCA: the projection is unique only up to sign/rotation for tied variances;
-# checked against numpy in tests, rows-only here.
-register("a18_pca_2d")(_a18)
+register(
+    "a18_pca_2d",
+    """WITH RECURSIVE raw AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+units AS (SELECT id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12)) AS u FROM raw),"""
+    + sql_axes("units")
+    + "\nSELECT id AS vec_id, round(x, 6) AS x, round(y, 6) AS y FROM placed",
+)(_a18)
 
 
 def _stages(spark, sf_dir):
@@ -83,7 +126,43 @@ def _a20(spark, sf_dir):
     )
 
 
-register("a20_embed_features")(_a20)
+register(
+    "a20_embed_features",
+    SQL_E6.split("\nSELECT t.label::BIGINT")[0].replace("WITH ", "WITH RECURSIVE ", 1)
+    + """,
+chosen AS (SELECT t.latent_id, t.label, t.specificity, t.mean_activation FROM top t JOIN asg a ON a.latent_id = t.latent_id AND a.assigned = t.label),
+units AS (SELECT latent_id AS id, list_transform(wd, lambda x: x / greatest(sqrt(list_dot_product(wd, wd)), 1e-12)) AS u FROM chosen JOIN latd USING (latent_id)),"""
+    + sql_axes("units")
+    + """
+SELECT c.latent_id::BIGINT AS feature_index, c.label::BIGINT AS assigned_label, round(c.specificity, 6) AS specificity,
+       round(c.mean_activation, 6) AS mean_activation, round(p.x, 6) AS x, round(p.y, 6) AS y
+FROM chosen c JOIN placed p ON p.id = c.latent_id""",
+)(_a20)
+
+
+def _s12(spark, sf_dir):
+    """The artifacts of an analysis written and read back: the points, and how
+    many top features each label's summary lists."""
+    params, st = _stages(spark, sf_dir)
+    out = posixpath.join(ensure_checkpoint_dir(spark), f"geometry-{uuid.uuid4().hex}")
+    points = embed_features(st["assignments"], latents_frame(spark, params)).withColumn("assigned_label", F.col("assigned_label").cast("string"))
+    write_geometry(behavior_summary_records(st["top"]), points, out)
+    summary, back = read_geometry(spark, out)
+    listed = summary.select(F.col("label").cast("string").alias("assigned_label"), "num_steps", F.size("top_features").cast("long").alias("n_top"))
+    return back.join(listed, "assigned_label").select(
+        "feature_index", "assigned_label", "num_steps", "n_top", r6("specificity").alias("specificity"), r6("x").alias("x"), r6("y").alias("y")
+    )
+
+
+register(
+    "s12_geometry_artifacts",
+    ORACLE_SQL["a20_embed_features"].rsplit("SELECT c.latent_id::BIGINT", 1)[0].rstrip()
+    + """
+SELECT c.latent_id::BIGINT AS feature_index, c.label::VARCHAR AS assigned_label, t.num_steps::BIGINT AS num_steps, t.n_top::BIGINT AS n_top,
+       round(c.specificity, 6) AS specificity, round(p.x, 6) AS x, round(p.y, 6) AS y
+FROM chosen c JOIN placed p ON p.id = c.latent_id
+JOIN (SELECT label, any_value(num_steps) AS num_steps, count(*) AS n_top FROM top GROUP BY label) t ON t.label = c.label""",
+)(_s12)
 
 
 def _a19(spark, sf_dir):

@@ -83,11 +83,19 @@ register(
 )(_t4)
 
 
+T5_PARTS = 4
+
+
 def _t5(spark, sf_dir):
+    """The table in parts that arrive one after the other; the stream resumes
+    after each, which makes a micro-batch."""
     params = fixture_params()
-    # one micro-batch of the whole table, as the SQL has it
-    rows = sae_forward_rows(_stream(spark, sf_dir, "embeddings", None), params, "vec_id", "embedding")
-    out = stream_recon_metrics(rows, _out(spark, "t5"), params.d_model)
+    emb = table(spark, sf_dir, "embeddings")
+    parts, out = _out(spark, "t5-parts"), _out(spark, "t5")
+    for i in range(T5_PARTS):
+        emb.filter(F.col("vec_id") % T5_PARTS == i).write.mode("append").parquet(parts)
+        stream = stream_files(spark, parts, emb.schema, "parquet", max_files_per_trigger=None)
+        stream_recon_metrics(sae_forward_rows(stream, params, "vec_id", "embedding"), out, params.d_model)
     m = running_best(spark.read.parquet(out).drop("batch_id"), "l2_ratio")
     return m.select(
         "micro_batch",
@@ -101,11 +109,14 @@ register(
     "WITH "
     + sql_fixture_features()
     + sql_fixture_residuals()
-    + """
-SELECT 0::BIGINT AS micro_batch, (SELECT count(*) FROM rowstats)::BIGINT AS n_rows,
-       round((SELECT sum(r_sq) FROM rowstats) / ((SELECT count(*) FROM rowstats) * 64), 6) AS l_recon,
-       round((SELECT avg(r_sq / x_sq) FROM rowstats), 6) AS l2_ratio,
-       round((SELECT avg(l0) FROM l0s), 6) AS l0,
-       round((SELECT 1 - var_samp(r) / var_samp(x) FROM res), 6) AS explained_variance,
-       round((SELECT avg(r_sq / x_sq) FROM rowstats), 6) AS best_l2_ratio""",
+    + f""",
+ev AS (SELECT vec_id % {T5_PARTS} AS part, 1 - var_samp(r) / var_samp(x) AS ev FROM res GROUP BY 1),
+per AS (
+  SELECT vec_id % {T5_PARTS} AS part, count(*) AS n, sum(r_sq) / (count(*) * 64) AS l_recon, avg(r_sq / x_sq) AS l2, avg(l0s.l0) AS l0
+  FROM rowstats JOIN l0s USING (vec_id) GROUP BY 1
+)
+SELECT part::BIGINT AS micro_batch, n::BIGINT AS n_rows, round(l_recon, 6) AS l_recon, round(l2, 6) AS l2_ratio, round(l0, 6) AS l0,
+       round(ev, 6) AS explained_variance,
+       round(min(l2) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS best_l2_ratio
+FROM per JOIN ev USING (part)""",
 )(_t5)

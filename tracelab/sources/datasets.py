@@ -1,13 +1,13 @@
 """Dataset ingestion: local/remote file trees of parquet / json / jsonl / csv
-(S1-S4).  Files are listed through Hadoop's FileSystem (local, HDFS, object
-stores alike); the split of each file comes from its path, and each split is
-read by Spark's own readers."""
+(S1-S4).  One Spark job lists the files (any store Spark reads); format and
+split of a file are column expressions of its path, and each split is read by
+Spark's own readers."""
 
 from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # File suffixes, ignored metadata files, known split names.
@@ -15,110 +15,97 @@ SUPPORTED_SUFFIXES = {".parquet": "parquet", ".json": "json", ".jsonl": "json",
 IGNORED_JSON_FILES = {"dataset_infos.json", "dataset_info.json", "state.json"}
 SPLIT_NAMES = ("train", "test", "validation", "valid", "val", "dev")
 
+DEFAULT_SPLIT = "train"
+#: Names that mean another split.
+SAME_SPLIT = {"valid": "validation", "val": "validation"}
+#: The last folder or file of a path that names a split: the name alone, with
+#: something after ``-`` or ``_``, or with one suffix; ``split=`` may precede it.
+#: (Greedy up to the last slash, so the deepest part that fits is taken.)
+SPLIT_PART = r"(?i)^(?:.*/)?(?:split=)?(" + "|".join(SPLIT_NAMES) + r")(?:[-_][^/]*|\.[^./]*)?(?:/.*)?$"
 
-def list_files(spark: SparkSession, root: str) -> list[str]:
-    """Recursive listing of regular files below ``root`` (Hadoop FS)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(conf)
+
+def _plain(path: Column) -> Column:
+    """A file path without the scheme of the local file system."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def split_of(path: Column | str, root: str) -> Column:
+    """The split that a file's path below ``root`` names, else train."""
+    c = _plain(F.col(path) if isinstance(path, str) else path)
+    base = root if "://" in root and not root.startswith("file:") else "/" + root.removeprefix("file:").lstrip("/")
+    base = base.rstrip("/")
+    below = F.when(c.startswith(base + "/"), F.substring(c, len(base) + 2, 1 << 30)).otherwise(F.substring_index(c, "/", -1))
+    name = F.lower(F.regexp_extract(below, SPLIT_PART, 1))
+    same = F.create_map(*[F.lit(x) for pair in SAME_SPLIT.items() for x in pair])
+    return F.coalesce(same[name], F.nullif(name, F.lit("")), F.lit(DEFAULT_SPLIT))
+
+
+def with_split(df: DataFrame, root: str, name: str = "split") -> DataFrame:
+    """S2 on rows: the split of the file each row was read from (``df`` comes
+    straight from a reader over files below ``root``)."""
+    return df.withColumn(name, split_of(F.col("_metadata.file_path"), root))
+
+
+def qualified(spark: SparkSession, root: str) -> tuple[str, bool]:
+    """``root`` with its scheme, and whether it is one file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         raise FileNotFoundError(root)
-    if fs.getFileStatus(path).isFile():
-        return [path.toString()]
-    it = fs.listFiles(path, True)
-    out = []
-    while it.hasNext():
-        st = it.next()
-        if st.isFile():
-            out.append(st.getPath().toString())
-    return sorted(out)
-
-
-def _is_file(spark: SparkSession, root: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
-
-
-def _strip_scheme(p: str) -> str:
-    for pre in ("file://", "file:"):
-        if p.startswith(pre):
-            return p[len(pre) :]
-    return p
-
-
-def infer_split(file_path: str, root: str) -> str:
-    """Split from the path relative to ``root``: the last part first, each
-    part as stem and full name; exact split name or ``split-``/``split_``
-    prefix (and our own ``split=name`` folders); val/valid -> validation;
-    default train."""
-    fp, rp = _strip_scheme(file_path), _strip_scheme(root)
-    rel = posixpath.relpath(fp, rp) if fp != rp else posixpath.basename(fp)
-    if rel == ".":
-        rel = posixpath.basename(fp)
-    parts = [p.lower() for p in rel.split("/") if p]
-    cands = []
-    for part in parts:
-        if part.startswith("split="):
-            part = part[len("split=") :]
-        stem = part.rsplit(".", 1)[0] if "." in part else part
-        cands += [stem, part]
-    for part in reversed(cands):
-        for name in SPLIT_NAMES:
-            if part == name or part.startswith(f"{name}-") or part.startswith(f"{name}_"):
-                return "validation" if name in ("valid", "val") else name
-    return "train"
+    return fs.makeQualified(path).toString(), fs.getFileStatus(path).isFile()
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files at or below ``root`` (path, name, bytes), listed by Spark;
+    their contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return found.select("path", F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"))
 
 
 def discover(spark: SparkSession, root: str) -> tuple[str, dict[str, list[str]]]:
     """S1 listing: (format, {split: [files]}); more than one format or none
     -> error; metadata json files are skipped."""
-    files = list_files(spark, root)
-    by_fmt: dict[str, list[str]] = {}
-    for f in files:
-        name = posixpath.basename(_strip_scheme(f))
-        if name in IGNORED_JSON_FILES or name.startswith((".", "_")):
-            continue
-        for suf, fmt in SUPPORTED_SUFFIXES.items():
-            if name.endswith(suf):
-                by_fmt.setdefault(fmt, []).append(f)
-    if not by_fmt:
-        raise ValueError(f"No supported dataset files found under {root}")
-    if len(by_fmt) > 1:
-        raise ValueError(f"Found multiple data formats in {root}: {', '.join(sorted(by_fmt))}")
-    fmt, fl = next(iter(by_fmt.items()))
-    if _is_file(spark, root):
-        return fmt, {"train": fl}  # a single data file is the train split
+    base, single = qualified(spark, root)
+    fmt = F.coalesce(*[F.when(F.col("name").endswith(suffix), F.lit(kind)) for suffix, kind in SUPPORTED_SUFFIXES.items()])
+    hidden = F.col("name").startswith(".") | F.col("name").startswith("_") | F.col("name").isin(*IGNORED_JSON_FILES)
+    split = F.lit(DEFAULT_SPLIT) if single else split_of("path", base)  # a single data file is the train split
+    files = list_files(spark, root).filter(~hidden).select("path", fmt.alias("fmt"), split.alias("split")).filter("fmt IS NOT NULL")
+    rows = files.orderBy("path").collect()  # paths only: the readers take them as a list
+    formats = sorted({r.fmt for r in rows})
+    if len(formats) != 1:
+        raise ValueError(f"{root} holds {'files of several formats: ' + ', '.join(formats) if formats else 'no parquet, json, jsonl or csv files'}")
     splits: dict[str, list[str]] = {}
-    for f in fl:
-        splits.setdefault(infer_split(f, root), []).append(f)
-    return fmt, splits
+    for r in rows:
+        splits.setdefault(r.split, []).append(r.path)
+    return formats[0], splits
 
 
-def _reader(spark: SparkSession, fmt: str):
+def _reader(spark: SparkSession, fmt: str, multi_line: bool):
     r = spark.read.format(fmt)
     if fmt == "csv":
-        r = r.option("header", "true").option("inferSchema", "true").option("multiLine", "true")
+        r = r.option("header", "true").option("inferSchema", "true").option("multiLine", str(multi_line).lower())
     return r
 
 
-def read_dataset(spark: SparkSession, root: str, split: str | None = "train", with_split: bool = True) -> DataFrame:
+def _choose(splits: list[str], wanted: str) -> str:
+    if wanted in splits:
+        return wanted
+    if len(splits) == 1:
+        return splits[0]
+    raise ValueError(f"no split {wanted!r}; there are {', '.join(sorted(map(str, splits)))}")
+
+
+def read_dataset(spark: SparkSession, root: str, split: str | None = "train", with_split: bool = True, multi_line: bool = True) -> DataFrame:
     """S1 + S3: read one split of a dataset folder (or every split when
     ``split`` is None, with a ``split`` column).  Unknown split: the only
-    split when there is just one, else an error listing the splits."""
+    split when there is just one, else an error listing the splits.
+    ``multi_line=False`` reads CSV files whose quoted fields hold no line
+    breaks by many tasks each."""
     fmt, splits = discover(spark, root)
-    if split is not None:
-        if split in splits:
-            chosen = [split]
-        elif len(splits) == 1:
-            chosen = list(splits)
-        else:
-            raise ValueError(f"Split '{split}' not found. Available splits: {', '.join(sorted(splits))}")
-    else:
-        chosen = sorted(splits)
+    chosen = sorted(splits) if split is None else [_choose(list(splits), split)]
     out = None
     for s in chosen:
-        d = _reader(spark, fmt).load(splits[s])
+        d = _reader(spark, fmt, multi_line).load(splits[s])
         if with_split:
             d = d.withColumn("split", F.lit(s))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
@@ -127,12 +114,7 @@ def read_dataset(spark: SparkSession, root: str, split: str | None = "train", wi
 
 def select_split(df: DataFrame, name: str, split_col: str = "split") -> DataFrame:
     """S3 on a DataFrame with a split column (distinct splits are few)."""
-    names = [r[0] for r in df.select(split_col).distinct().collect()]
-    if name in names:
-        return df.filter(F.col(split_col) == name)
-    if len(names) == 1:
-        return df
-    raise ValueError(f"Split '{name}' not found. Available splits: {', '.join(sorted(map(str, names)))}")
+    return df.filter(F.col(split_col) == _choose([r[0] for r in df.select(split_col).distinct().collect()], name))
 
 
 def write_splits(df: DataFrame, out: str, overwrite: bool = False, split_col: str = "split") -> None:

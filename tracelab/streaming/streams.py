@@ -5,19 +5,24 @@ Stateless per-row work (SAE features) runs inside the stream; work that
 needs a window over a text or a join against already written output runs
 per micro-batch in ``foreachBatch`` and writes one folder per batch id, so a
 retried micro-batch replaces its own output (exactly-once on restart).
-State kept across micro-batches is one row per latent and one per (latent,
-batch) seen, so that files may come in any order.
+State kept across micro-batches is one row of fixed size per latent (a bitmap
+of the batches seen lately, so that files may come in any order) or one short
+key per label record written.
 """
 
 from __future__ import annotations
 
 import posixpath
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracelab.session import ensure_checkpoint_dir
 
@@ -52,15 +57,74 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
     return posixpath.join(ensure_checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
 
 
-def stream_latent_activity(features: DataFrame, batch_col: str = "batch") -> DataFrame:
+#: Batches that a latent's bitmap covers, up to the last one it was seen in.
+HORIZON = 8192
+
+
+def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct (latent_id, batch) pairs of a task's rows, so that a latent
+    that is always on sends no more rows on than it has batches."""
+    held = None
+    for b in batches:
+        part = pa.Table.from_batches([b]).group_by(["latent_id", "batch"]).aggregate([])
+        held = part if held is None else pa.concat_tables([held, part]).group_by(["latent_id", "batch"]).aggregate([])
+    if held is not None:
+        yield from held.select(["latent_id", "batch"]).combine_chunks().to_batches()
+
+
+def _mark(bits: np.ndarray, low: int, count: int, late: int, batches: np.ndarray) -> tuple[int, int, int]:
+    """Count the batches not seen before.  ``bits`` holds batch b (from ``low``
+    to ``low`` + its length) at place b modulo its length; a batch beyond moves
+    ``low`` on and clears the places it passes, one before ``low`` is late."""
+    size = len(bits)
+    for b in np.unique(batches).tolist():
+        if b < low:
+            late += 1
+            continue
+        if b >= low + size:
+            new = b - size + 1
+            passed = np.arange(low, min(new, low + size))
+            bits[passed % size] = 0
+            low = new
+        if not bits[b % size]:
+            bits[b % size] = 1
+            count += 1
+    return low, count, late
+
+
+def stream_latent_activity(features: DataFrame, batch_col: str = "batch", horizon: int = HORIZON) -> DataFrame:
     """Running A5 over a stream of top-k features: per latent, batches in
     which it was selected and the last such batch, in whatever order rows and
-    files come.  A (latent, batch) pair counts once (streaming deduplication
-    before the count, so an always-on latent sends no more rows on than it has
-    batches); ``seq`` grows with every update of a latent."""
-    pairs = features.select("latent_id", F.col(batch_col).cast("long").alias("batch")).where("batch IS NOT NULL").dropDuplicates(["latent_id", "batch"])
-    counts = pairs.groupBy("latent_id").agg(F.count("*").alias("activation_count"), F.max("batch").alias("last_batch"))
-    return counts.select(F.col("latent_id").cast("long").alias("latent_id"), "activation_count", "last_batch", F.col("activation_count").alias("seq"))
+    files come.
+
+    A latent's state is one bitmap of ``horizon`` batches (a bit each) and three
+    numbers, however long the stream runs.  A batch counts once; one that comes
+    more than ``horizon`` batches after a later one of its latent can no longer
+    be told from a repeat, so it is not counted but reported in ``late``.
+    ``seq`` grows with every update of a latent."""
+    pairs = features.select(F.col("latent_id").cast("long").alias("latent_id"), F.col(batch_col).cast("long").alias("batch")).where("batch IS NOT NULL")
+    pairs = pairs.mapInArrow(_distinct_pairs, "latent_id long, batch long")
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            packed, low, count, late, last, seq = state.get
+            bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little")[:horizon].copy()
+        else:
+            bits, low, count, late, last, seq = np.zeros(horizon, np.uint8), 0, 0, 0, -1, 0
+        for part in parts:
+            batches = part["batch"].to_numpy()
+            low, count, late = _mark(bits, low, count, late, batches)
+            last = max(last, int(batches.max()))
+        state.update((np.packbits(bits, bitorder="little").tobytes(), low, count, late, last, seq + 1))
+        yield pd.DataFrame({"latent_id": [key[0]], "activation_count": [count], "last_batch": [last], "late": [late], "seq": [seq + 1]})
+
+    return pairs.groupBy("latent_id").applyInPandasWithState(
+        update,
+        "latent_id long, activation_count long, last_batch long, late long, seq long",
+        "bits binary, low long, count long, late long, last long, seq long",
+        "update",
+        GroupStateTimeout.NoTimeout,
+    )
 
 
 def run_to_table(stream_df: DataFrame, name: str, output_mode: str = "update") -> DataFrame:
@@ -130,27 +194,55 @@ def stream_segment(examples: DataFrame, out: str, text_col: str, id_col: str, de
     return foreach_batch_to_folder(examples, out, lambda df, _bid: segment_steps(df, text_col, id_col, delim, with_text=False), "segment")
 
 
+def _entries(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it is not there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(posixpath.join(path, "*"))
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
+    return [f.getPath().getName() for f in found or ()]
+
+
 def stream_label_steps(steps: DataFrame, out: str, keys: list[str], prepare: Callable[[DataFrame], DataFrame] | None = None) -> str:
-    """T4: label steps of a stream and append them exactly once: each
-    micro-batch drops keys already written by *other* batches (anti join
-    against the output folder) and replaces its own folder on a retry.
-    ``prepare`` turns a micro-batch of inputs into steps (e.g. X1)."""
+    """T4: label steps of a stream and append them exactly once: the stream's
+    state holds a 128-bit digest of every key seen (streaming deduplication), so
+    no micro-batch reads what earlier ones wrote, and a retried one replaces its
+    own folder.  ``prepare`` turns inputs into steps row by row (e.g. X1).
+
+    Output that lies there before the stream first starts counts as written: the
+    digests of its keys are put into ``out/_earlier`` once and anti-joined."""
     from tracelab.functions.cues import cue_label, cue_rationale
 
     spark = steps.sparkSession
+    if prepare is not None:
+        steps = prepare(steps)
+    digest = F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    names = _entries(spark, out)
+    earlier = posixpath.join(out, "_earlier")
+    if "_checkpoint" not in names and any(n.startswith("batch_id=") for n in names):
+        spark.read.parquet(out).select(digest.alias("_key")).distinct().write.mode("overwrite").parquet(earlier)
+        names.append("_earlier")
+    keyed = steps.withColumn("_key", digest)
+    if "_earlier" in names:
+        keyed = keyed.join(spark.read.parquet(earlier), "_key", "left_anti")
+    fresh = keyed.dropDuplicates(["_key"]).drop("_key")
+    labelled = fresh.select("*", cue_label("step_text").alias("label"), cue_rationale("step_text").alias("label_rationale"))
+    # batches of an earlier stream keep their folders
+    taken = max((int(n.split("=")[1]) + 1 for n in names if n.startswith("batch_id=")), default=0) if "_checkpoint" not in names else 0
+    first = _first_batch(spark, out, taken)
+
+    def sink(batch_df: DataFrame, batch_id: int):
+        batch_df.write.mode("overwrite").parquet(posixpath.join(out, f"batch_id={first + batch_id}"))
+
+    q = labelled.writeStream.foreachBatch(sink).option("checkpointLocation", posixpath.join(out, "_checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return out
+
 
-    def tr(df: DataFrame, batch_id: int) -> DataFrame:
-        if prepare is not None:
-            df = prepare(df)
-        lab = df.select(*df.columns, cue_label("step_text").alias("label"), cue_rationale("step_text").alias("label_rationale"))
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(posixpath.join(out, "batch_id=*"))
-        written = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folder)
-        if not any(f.getPath().getName() != f"batch_id={batch_id}" for f in written or ()):
-            return lab.dropDuplicates(keys)
-        done = spark.read.parquet(out).filter(F.col("batch_id") != batch_id).select(*keys)
-        return lab.dropDuplicates(keys).join(done, keys, "left_anti")
-
-    return foreach_batch_to_folder(steps, out, tr, "label")
+def _first_batch(spark: SparkSession, out: str, wanted: int) -> int:
+    """The number of this output's first folder, fixed when its stream first starts."""
+    at = posixpath.join(out, "_first")
+    if "_first" not in _entries(spark, out):
+        spark.range(wanted, wanted + 1).coalesce(1).write.parquet(at)
+    return spark.read.parquet(at).first()[0]
 
 
 def stream_recon_metrics(rows: DataFrame, out: str, d_model: int) -> str:
