@@ -438,3 +438,34 @@ def test_simhash_links(spark, bucket_rows):
     ids = {f: i for i, f in enumerate(sorted(fps))}
     want = {signed(f): min(ids[g] for g in fps if comp[g] == comp[f]) for f in fps}
     assert {r.fp: r.component_id for r in simhash.classes(marked, 3, bucket_rows).collect()} == want
+
+
+def test_resampling_against_brute_force(spark, texts):
+    rows = [*texts, *[(300 + i, "clean plain prose " * (i % 9 + 1)) for i in range(30)], *[(400 + i, f"spam && junk {i} " * 5) for i in range(30)]]
+    labels = [(300 + i, 1) for i in range(20)] + [(400 + i, 0) for i in range(20)]
+    got = resampling.resample(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"), share=0.4).collect()
+    mask, top = (1 << 64) - 1, resampling.BUCKETS
+
+    def buckets(t):
+        one = [zlib.crc32(w) for w in (t or "").encode().lower().split()]
+        mixed = [x * 0x9E3779B97F4A7C15 & mask for x in one]
+        mixed += [((a * 0x9E3779B97F4A7C15 & mask) + b) * 0xC2B2AE3D27D4EB4F & mask for a, b in zip(one, one[1:])]
+        return [x >> 48 for x in mixed]
+
+    raw = Counter(b for _, t in rows for b in buckets(t))
+    target = Counter(b for i, t in rows if i in range(300, 320) for b in buckets(t))
+    n_raw, n_target = sum(raw.values()) + top, sum(target.values()) + top
+    ratio = lambda t: sum(np.log((target[b] + 1) / n_target) - np.log((raw[b] + 1) / n_raw) for b in buckets(t))
+
+    def noise(i, t):
+        h = 42
+        for x in ([] if i is None else [i.to_bytes(8, "little", signed=True)]) + ([] if t is None else [t.encode()]):
+            h = xxhash.xxh64_intdigest(x, seed=h)
+        return -np.log(-np.log(((h >> 12) + 0.5) / 2**52))
+
+    want = sorted(((i, len(buckets(t)), ratio(t), ratio(t) + noise(i, t)) for i, t in rows), key=lambda r: (repr(r[0]), r[3]))
+    have = sorted(((r.doc_id, r.n_features, r.log_ratio, r.score) for r in got), key=lambda r: (repr(r[0]), r[3]))
+    assert [r[:2] for r in have] == [r[:2] for r in want]
+    assert np.allclose([r[2:] for r in have], [r[2:] for r in want])
+    least = sorted((r[3] for r in want), reverse=True)[round(0.4 * len(rows)) - 1]
+    assert [r.sampled for r in got] == [r.score >= least - 1e-9 for r in got]

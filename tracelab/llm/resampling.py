@@ -11,7 +11,8 @@ model, the weights and the sample cover all texts.
 Defined cases: a null or empty text has no features and log ratio 0; without
 labels every text is its own target (all ratios 0) and all are sampled; rows
 equal in doc_id and text have the same noise and are taken or left together;
-ties of the noisy score go together; an empty table gives an empty result;
+ties of the noisy score go together, so a tie at the cut samples more than the
+share; an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -120,7 +121,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, max
     """
     spark = docs.sparkSession
     targets = stash(target_ids(labels, max_targets), "resample-targets")
-    marked = docs.join(F.broadcast(targets.withColumn("is_target", F.lit(True))), "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(F.broadcast(targets.withColumn("is_target", F.lit(True))), "doc_id", "left")
     counts = feature_counts(marked.select(text_bytes().alias("t"), F.coalesce("is_target", F.lit(False)).alias("is_target")))
     ratios = spark.sparkContext.broadcast(log_ratios(counts.toPandas()))
 
