@@ -116,9 +116,11 @@ def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3) ->
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3) -> DataFrame:
     """The documents as the mix takes them: each row as often as it is taken."""
     _, limits = plan(docs, weights, cap)
-    times = (F.col("mix_copies") + F.when(row_hash() < F.col("mix_threshold"), 1).otherwise(0)).cast("int")
-    taken = _joined(docs, limits).withColumn("mix_times", times).where("mix_times > 0")
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*[docs[c] for c in docs.columns])
+    # The row travels as one column, so no name of the documents' can clash.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), "source", row_hash().alias("h"))
+    times = (F.col("mix_copies") + F.when(F.col("h") < F.col("mix_threshold"), 1).otherwise(0)).cast("int")
+    copies = F.explode(F.array_repeat(F.lit(1), times)).alias("copy")
+    return _joined(rows, limits).select("whole", copies).select("whole.*")
 
 
 MIXTURE_SQL = f"""

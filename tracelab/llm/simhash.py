@@ -243,8 +243,11 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 3, radius: int = 3) -> Da
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"), "kept_rows")).alias("first")
     least = copies.groupBy("fp").agg(first).join(found, "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = stash(least.select("first.kept_id", "first.kept_h", "first.kept_rows"), "simhash-kept")
-    digest = F.unhex(F.sha2(text_bytes(), 256))
-    chosen = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (digest == kept["kept_h"])).drop("kept_id")
-    several = kept.where("kept_rows > 1").limit(1).count()
-    single = chosen.where("kept_rows = 1").drop("kept_rows", "kept_h")
-    return single.union(chosen.where("kept_rows > 1").dropDuplicates(["doc_id", "kept_h"]).drop("kept_rows", "kept_h")) if several else single
+    # The row travels as one column, so no name of the documents' can clash.
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("whole")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("id"), F.unhex(F.sha2(text_bytes(), 256)).alias("digest"))
+    chosen = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_h")))
+    single = chosen.where("kept_rows = 1").select("whole.*")
+    if not kept.where("kept_rows > 1").limit(1).count():
+        return single
+    return single.union(chosen.where("kept_rows > 1").dropDuplicates(["id", "digest"]).select("whole.*"))
