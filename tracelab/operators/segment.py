@@ -380,7 +380,7 @@ def extract_question_response(df: DataFrame, id_col: str) -> DataFrame:
     ).filter(F.col("question").isNotNull())
 
 
-def reasoning_samples(qr: DataFrame, id_col: str, delim: str = "\n\n") -> DataFrame:
+def reasoning_samples(qr: DataFrame, id_col: str, delim: str = "\n\n", with_context: bool = False) -> DataFrame:
     """``Question:\\n{q}\\n\\nResponse:\\n{r}``, region = the response tail,
     steps by X1; samples with an empty response or without steps drop out
     (the inner join with the steps does that)."""
@@ -400,6 +400,7 @@ def reasoning_samples(qr: DataFrame, id_col: str, delim: str = "\n\n") -> DataFr
         delim,
         start="response_start_char",
         keep=("question", "response", "reference_answer", "full_text", "response_start_char"),
+        with_context=with_context,
     )
 
 

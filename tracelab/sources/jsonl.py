@@ -152,6 +152,14 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, range_bytes: int = RANGE
     return records, stats
 
 
+def recovered(spark: SparkSession, path: str, keys: dict[str, str], range_bytes: int = RANGE_BYTES) -> DataFrame | None:
+    """The keys (name -> type) of the records at ``path``; None if nothing is there."""
+    if not _exists(spark, path):
+        return None
+    lines = read_lines(spark, path, range_bytes).filter("valid").select(F.try_parse_json("value").alias("record"))
+    return lines.select(*[F.try_variant_get("record", f"$.{k}", t).alias(k) for k, t in keys.items()])
+
+
 def _write_counted(df: DataFrame, path: str, mode: str) -> int:
     """Write JSON lines and count them in the same pass: the rows' functions run once."""
     seen = Observation()
