@@ -123,7 +123,8 @@ def test_topk_against_brute_force(spark):
     bad = [(400, None), (450, [float("nan")] + [0.0] * 7), (500, [None] * 8), (None, [1.0] * 8), (550, [1.0]), (50, vecs[50][1])]
     df = spark.createDataFrame(vecs + bad, "vec_id long, embedding array<float>")
     v = topk.integers(df)
-    got = rows_of(topk.search(v, v.where("vec_id % 50 = 0"), cells=16, block=3))
+    got = rows_of(topk.search(v, v.where("vec_id % 50 = 0"), cells=16, block_bytes=200))
+    assert got == rows_of(topk.search(v, v.where("vec_id % 50 = 0")))
     whole = [(i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in [*vecs, (550, [1.0]), (50, vecs[50][1])]]
     want = []
     for q, a in {i: a for i, a in whole if i % 50 == 0}.items():
@@ -133,6 +134,25 @@ def test_topk_against_brute_force(spark):
     assert topk.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_topk_reads_few_exact_vectors(spark):
+    """The bounds leave few candidates, also where a third of the rows are one vector."""
+    rng = np.random.default_rng(3)
+    data = rng.normal(0, 0.2, (3000, 16)) + rng.normal(0, 1, (10, 16))[rng.integers(0, 10, 3000)]
+    vecs = [(i, data[i].tolist() if i % 3 else [1.0] * 16) for i in range(3000)]
+    v = topk.integers(spark.createDataFrame(vecs, "vec_id long, embedding array<float>")).repartition(4)
+    distinct, cells, lo, hi = topk.va_file(v, 5)
+    assert distinct.count() == cells.count() == 2001
+    assert [len(r.ids) for r in distinct.where("size(ids) > 1").collect()] == [6]
+    q = np.floor(256 * np.array(vecs[1][1], np.float32).astype(float))[None]
+    queries = {16: (np.array([1]), q)}
+    left = cells.coalesce(1).mapInArrow(lambda b: topk._bounded(b, queries, lo, hi, topk.CELLS, 5), "query_id long, uid long, low double, high double").collect()
+    assert 5 <= len(left) < 200
+    got = rows_of(topk.search(v, v.where("vec_id % 500 = 0")))
+    whole = np.floor(256 * np.array([x for _, x in vecs], np.float32).astype(float)).astype(int)
+    want = [(i, r + 1, j, -s) for i in range(0, 3000, 500) for r, (s, j) in enumerate(sorted((-int(whole[i] @ whole[j]), j) for j in range(3000) if j != i)[:5])]
+    assert got == sorted(want, key=repr)
+
+
 def brute_dedup(rows):
     first = {}
     for d, t in rows:
