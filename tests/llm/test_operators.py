@@ -80,6 +80,18 @@ def test_url_cases(spark):
     assert ask(pages).count() == 13 and ask(pages.limit(0)).count() == 0
 
 
+def test_url_filter_in_shards(spark):
+    """A list that is too long for one filter is judged shard by shard, with the same verdicts."""
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("https://h"), F.col("id") % 90, F.lit(".site"), F.col("id") % 7, F.lit(".info/en/x")).alias("url"))
+    hosts = spark.range(60).select(F.concat(F.lit("h"), F.col("id") * 2, F.lit(".site"), F.col("id") % 7, F.lit(".info")).alias("key")).union(spark.range(1).select(F.lit("site3.info")))
+    ask = lambda **kw: rows_of(url_filter.judge(pages, url_filter.rule_rows(spark), [1, 4], hosts, **kw))
+    one = ask()
+    assert ask(max_bits=128) == one and len(one) == 400
+    listed = {r.key for r in hosts.collect()}
+    assert all((verdict == "block") == (host in listed or host.endswith(".site3.info")) for _, host, _, _, verdict in one)
+    assert 57 < sum(r[4] == "block" for r in one) < 200
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 37 == 0).alias("listed"))
     c = url_filter.Cascade(keys)

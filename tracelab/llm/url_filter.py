@@ -6,8 +6,9 @@ first filter encodes the listed keys, the second those others that pass the
 first, the third the listed ones that pass the second, and so on until no key
 passes wrongly: membership of any key of the corpus is then exact, with no
 join.  A filter's bits follow from the list's length and the logarithm of the
-corpus's; its words reach the rows as one constant of the plan.  Filters over
-``MAX_BITS`` are refused: split the list by host and filter in turn.
+corpus's; its words reach the rows as one constant of the plan.  Where a list
+needs more than ``MAX_BITS``, the keys are dealt to shards by hash and the
+pages pass the shards' cascades in turn.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path
 and only the empty key; an empty list blocks nothing; repeated rows are judged
@@ -18,7 +19,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,18 +71,21 @@ class Cascade:
         into, against = universe.where("listed").select("key"), universe.where("NOT listed").select("key")
         count, others = n.p, n.n - n.p
         while count:
-            # The first level lets about half as many others pass as there are listed keys, the later ones half.
-            wrong = min(0.5, 0.5 * count / max(1, others)) if not self.levels else 0.5
-            hashes = max(1, math.ceil(-math.log2(wrong)))
-            bits = max(64, 64 * math.ceil(count * hashes / math.log(2) / 64))
-            if bits > MAX_BITS:
-                raise ValueError(f"a filter of {bits} bits; at most {MAX_BITS} go to every task")
             level = len(self.levels)
+            bits, hashes = self.size(count, others, level)
             self.levels.append((self._filter(into, level, bits, hashes), bits, hashes))
             passing = stash(against.where(self._passes(F.col("key"), level)), "cascade-keys")
             into, against = passing, into
             count, others = passing.count(), count
 
+    @staticmethod
+    def size(count: int, others: int, level: int = 0) -> tuple[int, int]:
+        """(bits, hashes) of a filter of ``count`` keys that ``others`` are asked of:
+        the first lets about half as many pass as it has keys, the later ones half."""
+        wrong = min(0.5, 0.5 * count / max(1, others)) if not level else 0.5
+        hashes = max(1, math.ceil(-math.log2(wrong)))
+        return max(64, 64 * math.ceil(count * hashes / math.log(2) / 64)), hashes
+
     @staticmethod
     def _filter(keys: DataFrame, level: int, bits: int, hashes: int) -> Column:
         """The filter's bits as a constant array of longs (at most MAX_BITS)."""
@@ -115,7 +119,11 @@ def spam_hosts(pages: DataFrame, words: Sequence[str] = SPAM_WORDS) -> DataFrame
     return with_parts(pages).select(F.col("host").alias("key")).where(F.col("key").rlike("|".join(words))).distinct()
 
 
-def judge(pages: DataFrame, rules: DataFrame, path_lengths: Sequence[int], hosts: DataFrame) -> DataFrame:
+def _in_shard(shard_of: Callable[[Column], Column], shard: int) -> Callable[[Column], Column]:
+    return lambda k: shard_of(k["key"]) == shard
+
+
+def judge(pages: DataFrame, rules: DataFrame, path_lengths: Sequence[int], hosts: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(page_id, host, path, rule, verdict): by the longest of ``rules`` (key,
     verdict; a key is a host and a path's beginning, ``path_lengths`` their
     lengths) that fits, else blocked if the host or a parent is in ``hosts`` (key)."""
@@ -128,14 +136,27 @@ def judge(pages: DataFrame, rules: DataFrame, path_lengths: Sequence[int], hosts
     for name, listed in (("allowed", allow), ("blocked", block)):
         flagged = flagged.join(few(listed.withColumn(name, F.lit(True))), "key", "left").withColumn(name, F.coalesce(name, F.lit(False)))
     universe = stash(flagged, "cascade-universe")
-    allowed, blocked = Cascade(universe.select("key", F.col("allowed").alias("listed"))), Cascade(universe.select("key", F.col("blocked").alias("listed")))
-
-    def marked(k: Column) -> Column:
-        allows = allowed.holds(k["key"])
-        return F.struct(F.length(k["key"]).alias("size"), (F.length(k["key"]) - k["n"]).alias("host_size"), k["n"].alias("n"), allows.alias("allows"), (~allows & blocked.holds(k["key"])).alias("blocks"), k["key"].alias("key"))
-
-    hits = F.filter(F.transform(keys_of(F.col("host"), F.col("path"), lengths), marked), lambda x: x["allows"] | x["blocks"])
-    found = parts.select("page_id", "host", "path", F.inline(F.array(F.struct(hits.alias("hits")))))
+    n = universe.agg(F.count_if("allowed").alias("a"), F.count_if("blocked").alias("b"), F.count("*").alias("n")).first()
+    shards = max([1, *(-(-Cascade.size(c, n.n - c)[0] // max_bits) for c in (n.a, n.b) if c)])
+    shard_of = lambda key: F.pmod(F.xxhash64(F.lit(-1), key), F.lit(shards))
+    found = parts
+    for shard in range(shards):
+        mine = universe if shards == 1 else stash(universe.where(shard_of(F.col("key")) == shard), "cascade-shard")
+        allowed, blocked = Cascade(mine.select("key", F.col("allowed").alias("listed"))), Cascade(mine.select("key", F.col("blocked").alias("listed")))
+
+        def marked(k: Column, allowed: Cascade = allowed, blocked: Cascade = blocked) -> Column:
+            allows = allowed.holds(k["key"])
+            return F.struct(F.length(k["key"]).alias("size"), (F.length(k["key"]) - k["n"]).alias("host_size"), k["n"].alias("n"), allows.alias("allows"), (~allows & blocked.holds(k["key"])).alias("blocks"), k["key"].alias("key"))
+
+        keys = keys_of(F.col("host"), F.col("path"), lengths)
+        if shards > 1:
+            keys = F.filter(keys, _in_shard(shard_of, shard))
+        hits = F.filter(F.transform(keys, lambda k: marked(k)), lambda x: x["allows"] | x["blocks"])
+        if shard:
+            hits = F.concat(F.col("hits"), hits)
+        found = found.select("page_id", "host", "path", F.inline(F.array(F.struct(hits.alias("hits")))))
+        if shard < shards - 1:  # the next shard's filters come into a plan of their own
+            found = stash(found, "cascade-hits")
     rule = F.array_max(F.filter("hits", lambda x: x["n"] > 0))
     listed = F.exists("hits", lambda x: (x["n"] == 0) & x["blocks"])
     verdict = F.when(rule.isNotNull(), F.when(rule["allows"], "allow").otherwise("block")).when(listed, "block").otherwise("allow")
