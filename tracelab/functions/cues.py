@@ -72,4 +72,4 @@ def sql_cue_label(col: str) -> str:
         return " + ".join(f"(coalesce(regexp_matches({col}, '{portable(p).replace(chr(39), chr(39) * 2)}'), false))::INT" for p in ps)
 
     r, b = f"({hits(REFLECTION_CUES)})", f"({hits(BACKTRACKING_CUES)})"
-    return f"CASE WHEN {r} > {b} AND {r} > 0 THEN 'reflection' WHEN {b} > {r} AND {b} > 0 THEN 'backtracking' ELSE 'other' END"
+    return f"CASE WHEN {r} > {b} THEN 'reflection' WHEN {b} > {r} THEN 'backtracking' ELSE 'other' END"
