@@ -1,4 +1,13 @@
-"""A training corpus from raw documents: judge, deduplicate, redact, mix, encode."""
+"""A training corpus from raw documents: judge, deduplicate, redact, mix, encode.
+
+Defined cases, stage by stage: null, empty and short texts fail the base test
+of the quality rules and go there; a text of any length is treated whole; of
+rows that repeat an id and a text, and of near copies, one stays, whatever the
+ids are (null ids are told apart by their texts); a null source is a source of
+its own in the mix; a null text, should one get that far, is encoded to null.
+An empty table passes as an empty one.  Other columns of the documents pass
+all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
