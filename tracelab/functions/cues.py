@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,16 +50,27 @@ def portable(pattern: str) -> str:
     return "(?i)" + p
 
 
-def cue_hits(text, patterns) -> Column:
+def sure_part(pattern: str) -> str:
+    """The longest piece of text that every match of a cue pattern has, in lower case."""
+    return max(re.split(r"\\b|\(\?:[^)]*\)|\[[^\]]*\]|.\?", pattern), key=len)
+
+
+def cue_hits(text, patterns, low: Column) -> Column:
+    """How many patterns a text matches.  ``low`` is the text in lower case: a
+    pattern is only tried where its sure part is in it, a plain search."""
     text = F.col(text) if isinstance(text, str) else text
-    return sum((F.coalesce(text.rlike(portable(p)), F.lit(False))).cast("int") for p in patterns)
+    hits = [F.coalesce(low.contains(sure_part(p)) & text.rlike(portable(p)), F.lit(False)) for p in patterns]
+    return sum(hit.cast("int") for hit in hits)
 
 
-def cue_label(text) -> Column:
-    """Label by strictly more distinct cue hits; tie or none -> other."""
+def cue_label(text, low: Column | None = None) -> Column:
+    """Label by strictly more distinct cue hits; tie or none -> other.  ``low``:
+    the text in lower case, for callers that have it (inside an array lambda
+    it would be taken anew for every cue)."""
     # r > b implies r > 0 (counts are >= 0), so the sign of r - b decides;
     # the difference is referenced once, so every cue regex runs once.
-    d = cue_hits(text, REFLECTION_CUES) - cue_hits(text, BACKTRACKING_CUES)
+    low = F.lower(text) if low is None else low
+    d = cue_hits(text, REFLECTION_CUES, low) - cue_hits(text, BACKTRACKING_CUES, low)
     return F.element_at(F.array(F.lit("backtracking"), F.lit("other"), F.lit("reflection")), F.signum(d).cast("int") + 2)
 
 

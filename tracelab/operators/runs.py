@@ -219,7 +219,8 @@ def step_label_counts(df: DataFrame, text_col: str, delim: str = "\n\n", total:
 
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), regex_quote(delim), -1)
     steps = F.filter(F.transform(parts, lambda x: py_strip(x)), lambda x: x != "")
-    counted = evaluate_once(df.select("*", F.transform(steps, lambda x: cue_label(x)).alias("_labels")))
+    both = F.transform(steps, lambda x: F.struct(x.alias("text"), F.lower(x).alias("low")))
+    counted = evaluate_once(df.select("*", F.transform(both, lambda x: cue_label(x["text"], x["low"])).alias("_labels")))
 
     def count(label: str) -> Column:
         return F.size(F.filter("_labels", lambda x: x == label)).cast("long")
