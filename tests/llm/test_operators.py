@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from array import array
 from collections import Counter
 from math import log10
 
@@ -377,6 +378,23 @@ def test_pieces_best_path():
         assert abs(sum(v.scores[i] for i in parts if v.kinds[i] == "normal") - sum(v.scores[i] for i in path if v.kinds[i] == "normal")) < 1e-3
 
 
+def test_pieces_found_together():
+    """The search over many parts gives each part's own best path, with and without byte pieces."""
+    rng = random.Random(10)
+    v = pieces.Vocabulary.load(MODEL)
+    plain = pieces.Vocabulary(v.pieces, v.scores, ["control" if k == "byte" else k for k in v.kinds])
+    parts = ["".join(rng.choice(["▁", "the", "ing", "é", "日本", "\n", "x", "Ü", "\U0001f600", "12", "q", "ation"]) for _ in range(rng.randint(1, 25))).encode() for _ in range(1500)]
+    for each in (v, plain):
+        assert each.best_paths(parts) == [array("i", each.best_path(p)).tobytes() for p in parts]
+    texts = [" ".join(rng.choice(["the", "Ünder", "x" * 300, "日本", "\t", "a▁b"]) for _ in range(40)) for _ in range(30)] + [None, "", " "]
+    cache = pieces.PartCache()
+    got = v.packed(texts, cache)
+    assert got == v.packed(texts, cache) and got[-3:-1] == [None, b""]  # searched, then from the cache
+    for t, ids in zip(texts[:-3], got):
+        want = [i for p in v.part.findall(" " + t.replace("▁", " ")) for i in v.best_path(p.replace(" ", "▁").encode())]
+        assert ids == array("i", want).tobytes()
+
+
 def test_pieces_cases(spark, texts):
     v = pieces.Vocabulary.load(MODEL)
     docs = docs_of(spark, [*texts, (91, "a▁b")])

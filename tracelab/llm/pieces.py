@@ -39,7 +39,9 @@ MAX_PIECES = 1_000_000
 #: A worker's cache of parts: bytes of a generation (two are kept) as estimated by ENTRY_BYTES and lengths, longest part.
 CACHE_BYTES, ENTRY_BYTES, CACHE_PART_CHARS = 16 << 20, 200, 64
 #: Texts are encoded and handed on in slices of about this many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Parts up to PART_BYTES are searched together, TOGETHER_BYTES of them at a time.
+PART_BYTES, TOGETHER_BYTES = 256, 1 << 17
 
 
 def double_array(keys: list[bytes]) -> tuple[array, array]:
@@ -225,25 +227,111 @@ class Vocabulary:
             at = start
         return ids[::-1]
 
-    def packed(self, text: str, cache: PartCache) -> bytes:
-        """The ids of a text as int32."""
-        if not text:
-            return b""
-        text = text.replace(MARKER, " ")
-        text = " " + text if self.dummy_prefix else text
-
-        def missed(part: str) -> bytes:
-            got = cache.new.get(part) or cache.old.get(part)
-            if got is None:
-                got = array("i", self.best_path(part.replace(" ", MARKER).encode("utf-8", "replace"))).tobytes()
-            cache.put(part, got)
-            return got
-
-        seen = cache.new.get
-        return b"".join([seen(part) or missed(part) for part in (self.part.findall(text) if self.part else [text])])
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """The trie (base, check, id that ends at a node), the scores, and the id of each byte (or -1)."""
+        of_byte = np.full(256, -1, np.int32)
+        for byte, i in self.bytes_at.items():
+            of_byte[byte] = i
+        return *(np.array(x, np.int32) for x in self.walk), np.array([*self.scores, self.lowest]), of_byte
+
+    def best_paths(self, parts: list[bytes]) -> list[bytes]:
+        """``best_path`` of every part (packed as int32), searched together: the
+        trie is walked from all characters at once, then the best scores move
+        through all parts by the place of a piece's start."""
+        base, check, ends, scores, of_byte = self.tables
+        sizes = np.array([len(p) for p in parts], np.int64)
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        first = np.cumsum(sizes) - sizes  # of each part, in bytes
+        part = np.repeat(np.arange(len(parts)), sizes)
+        start = np.flatnonzero((data & 0xC0) != 0x80)
+        left = (first + sizes)[part[start]] - start
+        wide = np.where(data[start] < 0x80, 1, np.where(data[start] < 0xE0, 2, np.where(data[start] < 0xF0, 3, 4)))
+        wide = np.minimum(wide, left)
+        # Pieces at every character: place of the start, length, id.
+        at, node, depth = np.arange(len(start)), np.zeros(len(start), np.int64), 0
+        alone = np.zeros(len(start), bool)
+        found: list[tuple[np.ndarray, int, np.ndarray]] = []
+        while len(at):
+            inside = left[at] > depth
+            at, node = at[inside], node[inside]
+            child = base[node] + data[start[at] + depth].astype(np.int64) + 1
+            ok = check[child] == node
+            at, node, depth = at[ok], child[ok], depth + 1
+            i = ends[node]
+            hit = i >= 0
+            found.append((at[hit], depth, i[hit]))
+            alone[at[hit][wide[at[hit]] == depth]] = True
+        none = np.flatnonzero(~alone)
+        who = np.concatenate([*(f[0] for f in found), none])
+        length = np.concatenate([*(np.full(len(f[0]), f[1]) for f in found), wide[none]])
+        piece = np.concatenate([*(f[2] for f in found), np.full(len(none), -1)])
+        # Best score of every place of every part (one more place than bytes).
+        slot = start + part[start]
+        begin = slot[who]
+        place = start[who] - first[part[start[who]]]
+        order = np.argsort(place, kind="stable")
+        begin, length, piece, place = begin[order], length[order], piece[order], place[order]
+        gain = scores[piece]  # the last entry is an unknown character's
+        best = np.full(len(data) + len(parts), -np.inf)
+        best[first + np.arange(len(parts))] = 0.0
+        came, chosen = np.zeros(len(best), np.int64), np.zeros(len(best), np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # pieces of one start end at different places
+            value, end = best[begin[lo:hi]] + gain[lo:hi], begin[lo:hi] + length[lo:hi]
+            better = value > best[end]
+            end = end[better]
+            best[end], came[end], chosen[end] = value[better], begin[lo:hi][better], piece[lo:hi][better]
+        # Back from the ends, all parts a piece at a time.
+        now, of = first + np.arange(len(parts)) + sizes, np.arange(len(parts))
+        steps = []
+        while len(of):
+            back = came[now]
+            steps.append((of, chosen[now], back - of, now - back))  # (a place is its byte plus its part's number)
+            going = back > (first + np.arange(len(parts)))[of]
+            now, of = back[going], of[going]
+        of, ids, byte, size = (np.concatenate([s[i] for s in reversed(steps)]) for i in range(4))
+        order = np.argsort(of, kind="stable")
+        of, ids, byte, size = of[order], ids[order], byte[order], size[order]
+        spelled = (ids < 0) & bool(len(self.bytes_at) == 256)
+        count = np.where(spelled, size, 1)
+        out = np.repeat(np.where(ids < 0, self.unknown, ids), count).astype(np.int32)
+        ends_at = np.cumsum(count)
+        if spelled.any():
+            rows = np.repeat(spelled, count)
+            offset = np.arange(len(out)) - np.repeat(ends_at - count, count) + np.repeat(byte, count)
+            out[rows] = of_byte[data[offset[rows]]]
+        upto = np.concatenate([[0], np.cumsum(np.bincount(of, count, len(parts)).astype(np.int64))]) * 4
+        raw = out.tobytes()
+        return [raw[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+
+    def packed(self, texts: list[str | None], cache: PartCache) -> list[bytes | None]:
+        """The ids of each text as int32 (None for None): every distinct part is
+        looked up or searched once."""
+        marked = [None if t is None else t.replace(MARKER, " ") for t in texts]
+        marked = [" " + t if t and self.dummy_prefix else t for t in marked]
+        split = [self.part.findall(t) if t and self.part else [t] if t else [] for t in marked]
+        got = {p: cache.new.get(p) or cache.old.get(p) for p in set().union(*split)}
+        missing = [p for p, ids in got.items() if ids is None]
+        raw = {p: p.replace(" ", MARKER).encode("utf-8", "replace") for p in missing}
+        together, size = [], 0
+        for p in missing:
+            if len(raw[p]) <= PART_BYTES:
+                together.append(p)
+                size += len(raw[p])
+            if together and (size >= TOGETHER_BYTES or p is missing[-1]):
+                got.update(zip(together, self.best_paths([raw[q] for q in together]), strict=True))
+                together, size = [], 0
+        for p in missing:
+            if got[p] is None:
+                got[p] = array("i", self.best_path(raw[p])).tobytes()
+        for p, ids in got.items():
+            if p not in cache.new:
+                cache.put(p, ids)
+        return [None if t is None else b"".join([got[p] for p in parts]) for t, parts in zip(marked, split, strict=True)]
 
     def encode(self, text: str, cache: PartCache) -> array:
-        return array("i", self.packed(text, cache))
+        return array("i", self.packed([text], cache)[0])
 
     @cached_property
     def surfaces(self) -> list[bytes]:
@@ -258,7 +346,7 @@ class Vocabulary:
 
 def _ready(vocabulary: Vocabulary) -> Vocabulary:
     """With the trie built, so that tasks get it by broadcast."""
-    _ = vocabulary.key, vocabulary.walk, vocabulary.part, vocabulary.surfaces, vocabulary.bytes_at, vocabulary.lowest
+    _ = vocabulary.key, vocabulary.walk, vocabulary.tables, vocabulary.part, vocabulary.surfaces, vocabulary.bytes_at, vocabulary.lowest
     return vocabulary
 
 
@@ -292,7 +380,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         v = shared.value
         cache = _cache_of(v.key)
         for b in _slices(batches, "text"):
-            ids = [None if x is None else v.packed(x, cache) for x in b.column(b.schema.get_field_index("text")).to_pylist()]
+            ids = v.packed(b.column(b.schema.get_field_index("text")).to_pylist(), cache)
             n = pa.array([None if x is None else len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, _lists(ids), n], names=[*b.schema.names, "ids", "n_pieces"])
 
@@ -327,7 +415,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         is_byte = np.array([k == "byte" for k in v.kinds])
         for b in _slices(batches, "text"):
             texts = b.column(1).to_pylist()
-            ids = [None if x is None else v.packed(x, cache) for x in texts]
+            ids = v.packed(texts, cache)
             flat = [None if x is None else np.frombuffer(x, np.int32) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [
