@@ -297,15 +297,26 @@ def train(training: DataFrame, classes: Classes, share: np.ndarray, rounds: int
     return model, positions
 
 
-def tables(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tables(model: Model, rows: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, second, log of the normaliser): the log probability of w after
-    classes h2, h1 is first[h1, w] + second[h2, w] - normaliser[h1, h2]."""
+    classes h2, h1 is first[h1, w] + second[h2, w] - normaliser[h1, h2].  Made
+    some rows at a time, so that nothing wider than the tables is held."""
     context, position, word, bias = (x.astype(np.float64) for x in (model.context, model.position, model.word, model.bias))
-    first = (context * position[0]) @ word.T + bias
-    second = (context * position[1]) @ word.T
-    top1, top2 = first.max(1, keepdims=True), second.max(1, keepdims=True)
-    z = np.exp(first - top1) @ np.exp(second - top2).T
-    return first.astype(np.float32), second.astype(np.float32), (np.log(z) + top1 + top2.T).astype(np.float32)
+    k = len(bias)
+    scores, shares, tops = [], [], []
+    for i, add in ((0, bias), (1, 0.0)):
+        score, share, top = np.empty((k, k), np.float32), np.empty((k, k), np.float32), np.empty(k)
+        for at in range(0, k, rows):
+            part = (context[at : at + rows] * position[i]) @ word.T + add
+            top[at : at + rows] = part.max(1)
+            score[at : at + rows], share[at : at + rows] = part, np.exp(part - part.max(1, keepdims=True))
+        scores.append(score)
+        shares.append(share)
+        tops.append(top)
+    normaliser = shares[0]  # each block of it is made from the same block of shares
+    for at in range(0, k, rows):
+        normaliser[at : at + rows] = np.log(shares[0][at : at + rows] @ shares[1].T) + tops[0][at : at + rows, None] + tops[1]
+    return scores[0], scores[1], normaliser
 
 
 def classes_for(v: int) -> int:
