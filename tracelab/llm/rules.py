@@ -25,7 +25,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import WORD, few, let, stash, words_of
+from tracelab.llm.common import WORD, let, stash, words_of
 
 #: Base test (fixed values of the contract).
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -231,12 +231,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that base test and rules keep.  The rules are learned from
-    the statistics of the labelled rows alone, so those of all rows are taken once."""
-    ids = stash(labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id").distinct(), "rules-labelled")
-    labelled = docs.select("doc_id", "text").join(few(ids), "doc_id", "left_semi")
-    rules = learn(labelled_rows(stash(with_statistics(labelled, "doc_id"), "rules-stats"), labels))
+    """The documents that base test and rules keep.  Every row is written once
+    beside its statistics; the rules are learned from these and judge them, so no
+    statistic is taken twice and no text is shuffled."""
     columns = [docs[c] for c in docs.columns]
+    held = stash(docs.select(F.struct(*columns).alias("kept_row"), F.inline(F.array(statistics(docs["text"])))), "rules-rows")
+    rules = learn(labelled_rows(held.withColumn("doc_id", F.col("kept_row.doc_id")).drop("kept_row"), labels))
     rejected = F.coalesce(base_failed(), F.lit(True)) | verdict(rules).isNotNull()
-    held = docs.select(F.struct(*columns).alias("kept_row"), F.inline(F.array(statistics(docs["text"]))))
     return held.where(~rejected).select("kept_row.*")
