@@ -75,3 +75,27 @@ def test_geometry_of_label_records(spark, tmp_path):
     few = analyze_geometry(spark, records, activations.filter(F.col("token_idx") > 100), p)
     assert few.summary.first().num_captured_steps == 0 and few.points.count() == 0
     records.unpersist()
+
+
+def test_points_of_records_are_found_without_a_shuffle(spark):
+    """Texts lie beside their records: nothing is grouped, whatever the order of the records."""
+    texts = [("a", "Wait, one\n\ntwo words\n\nthree"), ("a", "other text of the id\n\nend"), ("c", "only step")]
+    samples = spark.createDataFrame([(i, "q", t, None) for i, t in texts], "sample_id string, question string, response string, reference_answer string")
+    records = label_steps(reasoning_samples(samples, "sample_id")).localCheckpoint()
+    mixed = records.unionByName(records).orderBy(F.xxhash64("step_id", "full_text")).localCheckpoint()
+    points = points_of_records(records)
+    assert "Exchange" not in points._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.sample_id, r.step_id, r.label, r.token_idx) for r in points.collect())
+    # before each response are three words ("Question:", "q", "Response:")
+    want = [("a", 0, 4), ("a", 0, 7), ("a", 1, 6), ("a", 1, 8), ("a", 2, 7), ("c", 0, 4)]
+    assert sorted((i, s, t) for i, s, _, t in got) == want
+    again = sorted((r.sample_id, r.step_id, r.label, r.token_idx) for r in points_of_records(mixed).collect())
+    assert again == sorted(got + got)
+
+
+def test_what_is_kept_beside_steps_is_left_out_where_nobody_reads_it(spark):
+    samples = spark.createDataFrame([("a", "q", "one\n\ntwo", "r")], "sample_id string, question string, response string, reference_answer string")
+    steps = reasoning_samples(samples, "sample_id")
+    assert [(r.step_id, r.step_text, r.full_text[r.step_start : r.step_end], r.question) for r in steps.collect()] == [(0, "one", "one", "q"), (1, "two", "two", "q")]
+    few = steps.select("sample_id", "step_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in few and "full_text" not in few.split("Generate inline")[0]

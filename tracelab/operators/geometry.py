@@ -63,7 +63,7 @@ def silhouette_cosine(points: DataFrame, label_col: str = "label", x: str = "x",
     return agg.select(*by, F.when((F.col("_np") >= 3) & (F.col("_nl") >= 2), F.col("silhouette")).alias("silhouette"))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder, whatever made them."""
     spark = df.sparkSession
     path = posixpath.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
@@ -108,7 +108,7 @@ def pca_2d(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     components (signs fixed so the largest absolute loading of each component
     is positive).  The input is evaluated once: its unit rows are written, and
     both passes read those.  One component -> y = 0.  Output: id, x, y."""
-    units = _written(rows.select(id_col, unit_norm(vec_col).alias("u")), "units")
+    units = written(rows.select(id_col, unit_norm(vec_col).alias("u")), "units")
     if units.isEmpty():
         return units.select(id_col, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     mean, axes = principal_axes(units, "u", 2)
@@ -123,7 +123,7 @@ def embed_features(assignments: DataFrame, latents: DataFrame, method: str = "pc
     x, y).  The scoring behind the assignments runs once (they are written)."""
     if method != "pca":
         raise ValueError(f"Unsupported embedding method: {method}")
-    assigned = _written(assignments, "assignments")
+    assigned = written(assignments, "assignments")
     rows = latents.join(assigned.select(F.col("feature_index").alias("latent_id")), "latent_id").select("latent_id", "w_dec")
     xy = pca_2d(rows, "latent_id", "w_dec")
     return assigned.join(xy.withColumnRenamed("latent_id", "feature_index"), "feature_index").orderBy("feature_index")

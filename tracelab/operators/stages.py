@@ -5,17 +5,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tracelab.operators.geometry import behavior_vectors, embed_features, silhouette_cosine
+from tracelab.operators.geometry import behavior_vectors, embed_features, silhouette_cosine, written
 from tracelab.operators.runs import label_steps, with_cached_responses
 from tracelab.operators.sae import SaeParams, StoredModel, latents_frame, sae_features
-from tracelab.operators.scoring import score_behavior
-from tracelab.operators.segment import extract_question_response, per_text, reasoning_samples, word_spans
-from tracelab.operators.spans import Spans, attach_activations, last_overlaps
+from tracelab.operators.scoring import assign_features, score_behavior
+from tracelab.operators.segment import extract_question_response, reasoning_samples, word_spans
+from tracelab.operators.spans import Spans, attach_activations, point_finder
 from tracelab.sources.artifacts import behavior_summary_records, write_geometry
 from tracelab.sources.jsonl import AppendResult, append_results, read_step_labels, recovered
 
@@ -50,20 +52,26 @@ def label_examples(
 
 
 def points_of_records(records: DataFrame, spans: Spans = word_spans, max_len: int | None = None) -> DataFrame:
-    """J1 + J2 for label records: the token of every labelled step.  The records
-    of a sample come together in the order of their steps (W2), so its text is
-    tokenized once.  Output: sample_id, step_id, label, token_idx."""
-    columns = ("step_id", "step_start_char", "step_end_char", "delimiter_start_char", "delimiter_end_char", "label")
-    listed = records.groupBy("sample_id", "full_text").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("steps"))
+    """J1 + J2 for label records: the token of every labelled step.  Every
+    record has its text beside it, so its point is found in the row and no text
+    is shuffled; records of one text that follow each other, as they are made
+    and stored, share its tokens.  Output: sample_id, step_id, label, token_idx."""
+    at = [F.col(c).cast("long") for c in ("step_start_char", "step_end_char", "delimiter_start_char", "delimiter_end_char")]
+    staged = records.filter(F.col("full_text").isNotNull()).select("sample_id", F.col("step_id").cast("long").alias("step_id"), "label", "full_text", *at)
+    schema = StructType([*staged.schema.fields[:3], StructField("token_idx", LongType())])
 
-    def rows(text: str, steps: list[dict]) -> Iterator[tuple]:
-        tokens = list(spans(text))[:max_len]
-        cut = [(*(s[c] for c in columns[:5]), None) for s in steps]
-        for s, point in zip(steps, last_overlaps(tokens, cut), strict=True):
-            yield s["step_id"], s["label"], point
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, find = None, None
+        for b in batches:
+            points = []
+            for given, *step in zip(b.column(3), *(b.column(i).to_pylist() for i in range(4, 8)), strict=True):
+                if text is None or not text.equals(given.as_buffer()):
+                    text = pa.py_buffer(given.as_buffer().to_pybytes())  # (a copy: the batch is not held)
+                    find = point_finder(list(islice(spans(given.as_py()), max_len)))
+                points.append(find(*step))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(points, pa.int64())], names=schema.names)
 
-    fields = [StructField("step_id", LongType()), StructField("label", StringType()), StructField("token_idx", LongType())]
-    return per_text(listed, [F.col("full_text"), F.col("steps")], ["sample_id"], fields, rows)
+    return staged.mapInArrow(run, schema)
 
 
 @dataclass
@@ -87,6 +95,7 @@ def analyze_geometry(
     n_vector: int = 8,
     spans: Spans = word_spans,
     out: str | None = None,
+    points: DataFrame | None = None,
 ) -> Geometry:
     """The analyze-geometry stage: label records (S11, a path or a DataFrame),
     their tokens (J1, J2), the activations there (J4: sample_id, token_idx, x),
@@ -94,22 +103,23 @@ def analyze_geometry(
     (A7-A9, K2), the assigned decoder rows in the plane (A18, A20) with their
     silhouette (A15), and behavior vectors (A19).  With ``out`` summary and
     points are written there (S12).  ``latents`` is the model's table where it
-    is not in memory."""
+    is not in memory, ``points`` are the records' tokens where they are known."""
     records = read_step_labels(spark, labels) if isinstance(labels, str) else labels
-    steps = attach_activations(points_of_records(records, spans), activations.select(F.col("sample_id").cast("string"), "token_idx", "x"))
+    places = points_of_records(records, spans) if points is None else points
+    steps = attach_activations(places, activations.select(F.col("sample_id").cast("string"), "token_idx", "x"))
     steps = steps.withColumn("step", F.concat_ws("/", "sample_id", F.col("step_id").cast("string")))
     feats = sae_features(steps, model, "step", "x", keep=("label",))
-    scored = score_behavior(feats, model.d_sae, n_top)
+    top = written(score_behavior(feats, model.d_sae, n_top)["top"], "top")  # all that follows reads these few rows
     if latents is None:
         if not isinstance(model, SaeParams):
             raise ValueError("give the latents table of a stored model")
         latents = latents_frame(spark, model)
-    points = embed_features(scored["assignments"], latents)
+    placed = embed_features(assign_features(top), latents)
     counts = records.agg(F.count(F.lit(1)).alias("num_labeled_steps"))
-    captured = scored["top"].select("label", "num_steps").distinct().agg(F.coalesce(F.sum("num_steps"), F.lit(0)).alias("num_captured_steps"))
-    silhouette = silhouette_cosine(points, "assigned_label")
+    captured = top.select("label", "num_steps").distinct().agg(F.coalesce(F.sum("num_steps"), F.lit(0)).alias("num_captured_steps"))
+    silhouette = silhouette_cosine(placed, "assigned_label")
     # three one-row tables side by side
     summary = counts.crossJoin(F.broadcast(captured)).join(F.broadcast(silhouette), F.lit(True), "left").withColumn("embedding_method", F.lit("pca"))
     if out is not None:
-        write_geometry(behavior_summary_records(scored["top"]), points, out)
-    return Geometry(summary, scored["top"], points, behavior_vectors(scored["top"], latents, n_vector))
+        write_geometry(behavior_summary_records(top), placed, out)
+    return Geometry(summary, top, placed, behavior_vectors(top, latents, n_vector))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tracelab.functions.cues import sql_cue_label
+from tracelab.operators.geometry import written
 from tracelab.operators.runs import label_steps
 from tracelab.operators.sae import fixture_params
 from tracelab.operators.segment import reasoning_samples
@@ -52,10 +53,11 @@ def _geometry_stage(spark, sf_dir):
     records = label_steps(reasoning_samples(tr.select("sample_id", "question", "response", "reference_answer"), "sample_id"))
     emb = table(spark, sf_dir, "embeddings")
     n = emb.count()
-    at = points_of_records(records).filter("token_idx IS NOT NULL").select("sample_id", "token_idx")
+    points = written(points_of_records(records), "record-points")  # read twice
+    at = points.filter("token_idx IS NOT NULL").select("sample_id", "token_idx")
     at = at.distinct().withColumn("vec_id", (F.col("sample_id").cast("long") * 7 + F.col("token_idx")) % n)
     x = at.join(emb.select("vec_id", F.col("embedding").alias("x")), "vec_id").select("sample_id", "token_idx", "x")
-    got = analyze_geometry(spark, records, x, fixture_params(), n_top=STAGE_TOP)
+    got = analyze_geometry(spark, records, x, fixture_params(), n_top=STAGE_TOP, points=points)
     one = got.summary.first()
     return got.points.select(
         "feature_index",
