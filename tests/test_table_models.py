@@ -149,3 +149,30 @@ def test_residual_directions(spark):
     rows.unpersist()
     assert sorted(r.draw for r in got) == list(range(40))
     assert all(np.allclose(r.direction, of[r.vec_id] / np.linalg.norm(of[r.vec_id])) for r in got)
+
+
+def test_a_stretch_of_steps_is_the_same_as_single_steps(spark, monkeypatch, tmp_path):
+    """Epochs of a new order, two layers of unequal length, dead latents reset, a checkpoint on the way."""
+    _, df = _batch(spark, n=90)
+    df = df.withColumn("layer", F.when(F.col("id") < 50, 3).otherwise(7))
+    p = _random_params(d_sae=64)
+    kw = {"steps": 9, "batch_size": 20, "fit_col": "layer", "lr": 5e-3, "warmup_steps": 2, "weight_decay": 0.01, "shuffle": True, "log_interval": 2}
+    kw |= {"dead_threshold": 1, "dead_check_interval": 3, "resample_trigger": 0.01, "checkpoint_interval": 4}
+    jobs, got = [], []
+    monkeypatch.setattr(table_fit, "_stretch", lambda m, steps, *a, run=table_fit._stretch: (jobs.append(steps), run(m, steps, *a))[1])
+    for least in (8, 100):
+        monkeypatch.setattr(table_fit, "STRETCH_STEPS", least)
+        model = TableModel.start(latents_frame(spark, p), {3: p.b_dec, 7: p.b_dec}, p.k)
+        log = fit_table(df, model, "x", "id", checkpoint_dir=str(tmp_path / str(least)), **kw)
+        got.append((log, model.latents().orderBy("fit", "latent_id").toArrow(), model.fits))
+    assert [sorted(x.items()) for x in jobs] == [[(3, 3), (7, 2)], [(3, 1), (7, 2)], [(3, 2), (7, 2)], [(3, 2), (7, 2)], [(3, 1), (7, 1)]]
+    (log, rows, fits), (log1, rows1, fits1) = got
+    assert [(m["fit"], m["step"]) for m in log] == [(m["fit"], m["step"]) for m in log1] and sum(m.get("resampled", 0) for m in log) > 0
+    for m, w in zip(log, log1, strict=True):
+        assert m.keys() == w.keys() and all(m[c] == pytest.approx(w[c], abs=1e-9) for c in w)
+    for c in ("w_enc", "w_dec", "m_enc", "v_dec"):
+        assert np.abs(list_matrix(rows[c]) - list_matrix(rows1[c])).max() < 1e-9
+    for c in ("latent_id", "steps_since", "activation_count"):
+        assert rows[c].to_pylist() == rows1[c].to_pylist()
+    assert all(np.abs(fits[f].b_dec - fits1[f].b_dec).max() < 1e-9 and fits[f].best_l2_ratio == pytest.approx(fits1[f].best_l2_ratio) for f in (3, 7))
+    assert open_model(spark, str(tmp_path / "8" / "checkpoint_4" / "fit_7")).d_sae == 64

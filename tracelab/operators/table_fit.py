@@ -20,14 +20,22 @@ when they next read their latents.  The driver holds a batch (at most
 model of any size is fitted.  Several fits (one a layer, E5) advance together:
 the fit is a key of the rows and of the latents, so the number of jobs does
 not depend on how many there are.
+
+A step of a small model is milliseconds of work, and steps follow each other by
+nature.  Where a fit's latents fit a task (``TASK_MODEL_BYTES``) and many steps
+are to be done, a job therefore takes every fit on by a stretch of steps: a
+task gets the latents of a fit and the stretch's batches (``STRETCH_BYTES`` of
+vectors at most, so neither grows with the rows), and runs the same functions
+as the passes above.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import posixpath
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -45,6 +53,9 @@ from tracelab.session import ensure_checkpoint_dir
 BATCH_BUDGET = 512 << 20
 #: Elements of a partial sum that travel as one row.
 SUM_ELEMENTS = 1 << 16
+#: Bytes of vectors that a stretch of steps gives a task, and of the latents (and
+#: activations) of a fit that a task may hold; fewer steps than STRETCH_STEPS are taken one by one.
+STRETCH_BYTES, TASK_MODEL_BYTES, STRETCH_STEPS = 16 << 20, 64 << 20, 8
 BETAS, EPSILON, MAX_NORM = (0.9, 0.999), 1e-8, 1.0
 
 VECTORS = ("w_enc", "w_dec", "m_enc", "v_enc", "m_dec", "v_dec", "g_enc", "g_dec")
@@ -179,13 +190,13 @@ class TableModel:
         return out
 
 
-def _written(df: DataFrame) -> str:
+def _written(df: DataFrame, *folders: str) -> str:
     """A new table in the shared folder; it goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = posixpath.join(ensure_checkpoint_dir(spark), f"fit-{uuid.uuid4().hex}")
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
+    df.write.option("parquet.block.size", BLOCK_BYTES).partitionBy(*folders).parquet(path)
     return path
 
 
@@ -246,6 +257,46 @@ class Batch:
     def unused(self, latents: np.ndarray) -> np.ndarray:
         return np.flatnonzero(~np.isin(latents, self.active))
 
+    def top(self, p: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, values) of each row's top k among the latents ``p``."""
+        order = np.argsort(p["latent_id"])
+        at, vals = topk_select(self.encode(p)[:, order], k)
+        return p["latent_id"][order][at], vals
+
+    def decoded(self, p: dict[str, np.ndarray], out: np.ndarray) -> None:
+        """Add what the latents ``p`` give to the reconstruction and the auxiliary prediction."""
+        rows, at, vals = self.picked(p["latent_id"])
+        np.add.at(out[0], rows, vals[:, None] * p["w_dec"][at])
+        if len(dead := self.unused(p["latent_id"])):
+            out[1] += self.encode({"w_enc": p["w_enc"][dead], "b_enc": p["b_enc"][dead]}) @ p["w_dec"][dead]
+
+    def residuals(self, parts: np.ndarray, d_sae: int, aux_weight: float) -> tuple[np.ndarray, np.ndarray]:
+        """Residuals of the reconstruction and of the auxiliary prediction; sets the gradients by both."""
+        r = parts[0] + self.b_dec - self.x
+        q = parts[1] + r
+        self.g_aux = 2.0 * aux_weight * q / self.x.size
+        # The auxiliary loss sees the reconstruction's residual, so it moves the winners too (nothing is detached).
+        self.g_hat = 2.0 * r / self.x.size + (self.g_aux if len(self.active) < d_sae else 0.0)
+        return r, q
+
+    def with_gradients(self, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The latents ``p`` with their gradients, counters moved on."""
+        p, latents = dict(p), p["latent_id"]
+        g_dec, dz = np.zeros_like(p["w_dec"]), np.zeros((len(self.x), len(latents)))
+        rows, at, vals = self.picked(latents)
+        np.add.at(g_dec, at, vals[:, None] * self.g_hat[rows])
+        dz[rows, at] = np.einsum("ij,ij->i", self.g_hat[rows], p["w_dec"][at]) * (vals > 0)
+        if len(dead := self.unused(latents)):
+            z = self.encode({"w_enc": p["w_enc"][dead], "b_enc": p["b_enc"][dead]})
+            g_dec[dead] += z.T @ self.g_aux
+            dz[:, dead] = (self.g_aux @ p["w_dec"][dead].T) * (z > 0)
+        p["g_dec"], p["g_enc"], p["g_b"] = g_dec, dz.T @ (self.x - self.b_dec), dz.sum(0)
+        p["g_sq"] = (p["g_dec"] ** 2).sum(1) + (p["g_enc"] ** 2).sum(1) + p["g_b"] ** 2
+        seen = np.isin(latents, self.active)
+        p["activation_count"] = p["activation_count"] + seen
+        p["steps_since"] = np.where(seen, 0, p["steps_since"] + 1)
+        return p
+
 
 def _rows_of(step: dict[int, Batch]) -> int:
     return max(1, CHUNK_BYTES // (8 * max(1, max(len(b.x) for b in step.values()))))
@@ -270,9 +321,7 @@ def find_top(model: TableModel, step: dict[int, Batch]) -> None:
     def fn(batches):
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for f, p, b in _live(batches, shared.value):
-            order = np.argsort(p["latent_id"])
-            at, vals = topk_select(b.encode(p)[:, order], k)
-            ids = p["latent_id"][order][at]
+            ids, vals = b.top(p, k)
             if f in best:
                 ids, vals = np.concatenate([best[f][0], ids], axis=1), np.concatenate([best[f][1], vals], axis=1)
                 first = np.lexsort((ids, -vals), axis=-1)[:, :k]
@@ -315,11 +364,7 @@ def decode_all(model: TableModel, step: dict[int, Batch]) -> dict[int, tuple[np.
     def fn(batches):
         total: dict[int, np.ndarray] = {}
         for f, p, b in _live(batches, shared.value):
-            out = total.setdefault(f, np.zeros((2, *b.x.shape)))
-            rows, at, vals = b.picked(p["latent_id"])
-            np.add.at(out[0], rows, vals[:, None] * p["w_dec"][at])
-            if len(dead := b.unused(p["latent_id"])):
-                out[1] += b.encode({"w_enc": p["w_enc"][dead], "b_enc": p["b_enc"][dead]}) @ p["w_dec"][dead]
+            b.decoded(p, total.setdefault(f, np.zeros((2, *b.x.shape))))
         for f, out in total.items():
             flat = out.ravel()
             for i in range(0, len(flat), SUM_ELEMENTS):
@@ -346,21 +391,7 @@ def write_gradients(model: TableModel, step: dict[int, Batch]) -> str:
             if b is None:
                 yield _state_batch(f, p)
                 continue
-            p = dict(p) if b.update is None else b.update.apply(p)
-            latents = p["latent_id"]
-            g_dec, dz = np.zeros_like(p["w_dec"]), np.zeros((len(b.x), len(latents)))
-            rows, at, vals = b.picked(latents)
-            np.add.at(g_dec, at, vals[:, None] * b.g_hat[rows])
-            dz[rows, at] = np.einsum("ij,ij->i", b.g_hat[rows], p["w_dec"][at]) * (vals > 0)
-            if len(dead := b.unused(latents)):
-                z = b.encode({"w_enc": p["w_enc"][dead], "b_enc": p["b_enc"][dead]})
-                g_dec[dead] += z.T @ b.g_aux
-                dz[:, dead] = (b.g_aux @ p["w_dec"][dead].T) * (z > 0)
-            p["g_dec"], p["g_enc"], p["g_b"] = g_dec, dz.T @ (b.x - b.b_dec), dz.sum(0)
-            p["g_sq"] = (p["g_dec"] ** 2).sum(1) + (p["g_enc"] ** 2).sum(1) + p["g_b"] ** 2
-            seen = np.isin(latents, b.active)
-            p["activation_count"] = p["activation_count"] + seen
-            p["steps_since"] = np.where(seen, 0, p["steps_since"] + 1)
+            p = b.with_gradients(p if b.update is None else b.update.apply(p))
             yield _state_batch(f, p)
 
     path = _written(model.table().mapInArrow(fn, STATE))
@@ -368,6 +399,10 @@ def write_gradients(model: TableModel, step: dict[int, Batch]) -> str:
     return path
 
 
+def _sums(p: dict[str, np.ndarray], threshold: int) -> np.ndarray:
+    return np.concatenate([[p["g_sq"].sum(), (p["steps_since"] > threshold).sum()], p["g_b"] @ p["w_enc"]])
+
+
 def gradient_sums(model: TableModel, threshold: int) -> dict[int, np.ndarray]:
     """Pass 4, by fit: squared norm of the gradient, latents unused for more than
     ``threshold`` steps, and the sum of encoder columns by bias gradient."""
@@ -375,9 +410,7 @@ def gradient_sums(model: TableModel, threshold: int) -> dict[int, np.ndarray]:
     def fn(batches):
         total: dict[int, np.ndarray] = {}
         for f, p in _parts(batches, 1 << 14):
-            dead = (p["steps_since"] > threshold).sum()
-            s = np.concatenate([[p["g_sq"].sum(), dead], p["g_b"] @ p["w_enc"]])
-            total[f] = total.get(f, 0) + s
+            total[f] = total.get(f, 0) + _sums(p, threshold)
         for f, s in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([f]), matrix_list(s[None])], names=["fit", "s"])
 
@@ -473,20 +506,32 @@ def fit_table(
     n_batches = {f: -(-n // batch_size) for f, n in counts.items()}
     wanted = {f: n_batches[f] if steps is None else steps for f in counts}
     group = max(1, BATCH_BUDGET // (8 * 4 * batch_size * d))  # fits whose batches the driver holds together
-    log: list[dict] = []
+    rule = Rule(n_batches, total_steps or max(wanted.values()), lr, warmup_steps, aux_weight, weight_decay, dead_threshold, dead_check_interval, resample_trigger, resample, seed)
+    held = 8 * max(len(VECTORS) * model.d_sae * d, batch_size * model.d_sae)
+    stretch = max(1, STRETCH_BYTES // (8 * batch_size * d)) if held <= TASK_MODEL_BYTES and max(wanted.values()) >= STRETCH_STEPS else 1
+    log: list[tuple[int, int, dict]] = []
+    done = dict.fromkeys(counts, 0)
     running: dict[int, list] = {f: [] for f in counts}
-    for turn in range(max(wanted.values())):
-        taking = sorted(f for f in counts if turn < wanted[f])
-        for i in range(0, len(taking), group):
-            for m in _step(model, taking[i : i + group], batches_of, n_batches, total_steps or max(wanted.values()), lr, warmup_steps, aux_weight, weight_decay, dead_threshold, dead_check_interval, resample_trigger, resample, seed):
-                kept = running[m["fit"]]
-                kept.append([m[name] for name in MEANS])
-                if log_interval and m["step"] % log_interval == 0:
-                    m |= {f"mean_{name}": float(x) for name, x in zip(MEANS, np.mean(kept, axis=0), strict=True)}
-                    kept.clear()
-                    fit = model.fits[m["fit"]]
-                    fit.best_l2_ratio = min(fit.best_l2_ratio, m["mean_l2_ratio"])
-                log.append(m)
+    while taking := sorted(f for f in counts if done[f] < wanted[f]):
+        found: list[dict] = []
+        if stretch > 1:  # to the end of the epoch or to the next checkpoint at most
+            ends = {f: [n_batches[f] - model.fits[f].step % n_batches[f], wanted[f] - done[f]] for f in taking}
+            if checkpoint_dir and checkpoint_interval:
+                ends = {f: [*e, checkpoint_interval - model.fits[f].step % checkpoint_interval] for f, e in ends.items()}
+            found = _stretch(model, {f: min(stretch, *e) for f, e in ends.items()}, batches_of, rule)
+        else:
+            for i in range(0, len(taking), group):
+                found += _step(model, taking[i : i + group], batches_of, rule)
+        for m in found:
+            f = m["fit"]
+            kept = running[f]
+            kept.append([m[name] for name in MEANS])
+            if log_interval and m["step"] % log_interval == 0:
+                m |= {f"mean_{name}": float(x) for name, x in zip(MEANS, np.mean(kept, axis=0), strict=True)}
+                kept.clear()
+                model.fits[f].best_l2_ratio = min(model.fits[f].best_l2_ratio, m["mean_l2_ratio"])
+            log.append((done[f], f, m))
+            done[f] += 1
         if checkpoint_dir and checkpoint_interval:
             for f in taking:
                 if model.fits[f].step % checkpoint_interval == 0:
@@ -494,7 +539,7 @@ def fit_table(
     if checkpoint_dir:
         for f in counts:
             model.save(_checkpoint(checkpoint_dir, model, f, "final"), f)
-    return log
+    return [m for *_, m in sorted(log, key=lambda x: x[:2])]
 
 
 def _checkpoint(folder: str, model: TableModel, fit: int, name: str) -> str:
@@ -502,44 +547,31 @@ def _checkpoint(folder: str, model: TableModel, fit: int, name: str) -> str:
     return at if len(model.fits) == 1 else posixpath.join(at, f"fit_{fit}")
 
 
-def _step(model, taking, batches_of, n_batches, total, lr, warmup, aux_weight, weight_decay, threshold, check_every, trigger, resample, seed) -> list[dict]:
-    """One step of the fits in ``taking``."""
-    step: dict[int, Batch] = {}
-    place = {f: divmod(model.fits[f].step, n_batches[f]) for f in taking}
-    for epoch in sorted({e for e, _ in place.values()}):
-        wanted = F.lit(False)
-        for batch in sorted({b for e, b in place.values() if e == epoch}):
-            of = [f for f, at in place.items() if at == (epoch, batch)]
-            wanted = wanted | ((F.col("batch") == batch) & F.col("fit").isin(of))
-        got = batches_of(epoch).filter(wanted).toArrow().sort_by([("fit", "ascending"), ("pos", "ascending")])
-        fits = got["fit"].to_numpy()
-        for f in np.unique(fits).tolist():
-            mine = np.flatnonzero(fits == f)
-            fit = model.fits[f]
-            step[f] = Batch(list_matrix(got["x"].slice(mine[0], len(mine))), fit.b_dec, fit.update)
-    find_top(model, step)
-    parts = decode_all(model, step)
-    found = {}
-    for f, b in step.items():
-        b.update = model.fits[f].update
-        r = parts[f][0] + b.b_dec - b.x
-        q = parts[f][1] + r
-        b.g_aux = 2.0 * aux_weight * q / b.x.size
-        # The auxiliary loss sees the reconstruction's residual, so it moves the winners too (nothing is detached).
-        b.g_hat = 2.0 * r / b.x.size + (b.g_aux if len(b.active) < model.d_sae else 0.0)
-        found[f] = r, q
-    old, model.path = model.path, write_gradients(model, step)
-    sums = gradient_sums(model, threshold)
-    _dropped(model.spark, old)
-    out = []
-    for f, b in step.items():
-        fit, (r, q), s = model.fits[f], found[f], sums[f]
-        has_dead = len(b.active) < model.d_sae
+@dataclass(frozen=True)
+class Rule:
+    """How steps move a fit on."""
+
+    n_batches: dict[int, int]
+    total: int
+    lr: float
+    warmup: int
+    aux_weight: float
+    weight_decay: float
+    threshold: int
+    check_every: int
+    trigger: float
+    resample: bool
+    seed: int
+
+    def move(self, f: int, fit: Fit, b: Batch, r: np.ndarray, q: np.ndarray, s: np.ndarray, d_sae: int, dead_ids: Callable[[], np.ndarray]) -> dict:
+        """Move the driver's side of a fit by the sums ``s`` of its latents; the
+        step's record.  ``dead_ids`` finds the latents unused for long."""
+        has_dead = len(b.active) < d_sae
         g_b_dec = b.g_hat.sum(0) - s[2:]
         norm = math.sqrt(s[0] + float((g_b_dec * g_b_dec).sum()))
-        cur_lr = lr_at(fit.step, lr, warmup, total)
+        cur_lr = lr_at(fit.step, self.lr, self.warmup, self.total)
         fit.t += 1
-        fit.update = Update(min(1.0, MAX_NORM / (norm + 1e-6)), cur_lr, fit.t, weight_decay)
+        fit.update = Update(min(1.0, MAX_NORM / (norm + 1e-6)), cur_lr, fit.t, self.weight_decay)
         fit.b_dec, fit.m, fit.v = fit.update.moved(fit.b_dec, fit.m, fit.v, g_b_dec)
         fit.step += 1
         l_recon = float((r * r).sum()) / r.size
@@ -548,10 +580,10 @@ def _step(model, taking, batches_of, n_batches, total, lr, warmup, aux_weight, w
         m = {
             "fit": f,
             "step": fit.step,
-            "batch": (fit.step - 1) % n_batches[f],
+            "batch": (fit.step - 1) % self.n_batches[f],
             "n_rows": len(r),
-            "n_dead": model.d_sae - len(b.active),
-            "loss": l_recon + aux_weight * l_aux,
+            "n_dead": d_sae - len(b.active),
+            "loss": l_recon + self.aux_weight * l_aux,
             "l_recon": l_recon,
             "l_aux": l_aux,
             "l2_ratio": float(((r * r).sum(1) / np.where(x2 > 0, x2, np.nan)).sum()) / len(r),
@@ -559,13 +591,102 @@ def _step(model, taking, batches_of, n_batches, total, lr, warmup, aux_weight, w
             "lr": cur_lr,
             "grad_norm": norm,
         }
-        if check_every and fit.step % check_every == 0:
-            m["dead_ratio"] = s[1] / model.d_sae
-            if resample and m["dead_ratio"] > trigger:
-                dead = model.table().filter((F.col("fit") == f) & (F.col("steps_since") > threshold)).select("latent_id").toArrow()["latent_id"].to_numpy()
-                rows = residual_draws(r, len(dead), [seed, f, fit.step])
+        if self.check_every and fit.step % self.check_every == 0:
+            m["dead_ratio"] = s[1] / d_sae
+            if self.resample and m["dead_ratio"] > self.trigger:
+                dead = dead_ids()
+                rows = residual_draws(r, len(dead), [self.seed, f, fit.step])
                 if len(rows):
                     fit.update.reset_ids, fit.update.reset_rows = np.sort(dead), rows
                 m["resampled"] = len(rows)
-        out.append(m)
+        return m
+
+
+def _rows_at(batches_of: Callable[[int], DataFrame], at: dict[int, tuple[int, int, int]]) -> DataFrame:
+    """The rows of each fit's (epoch, first batch, batches)."""
+    out = None
+    for epoch in sorted({e for e, *_ in at.values()}):
+        wanted = F.lit(False)
+        for first, n in sorted({x[1:] for x in at.values() if x[0] == epoch}):
+            of = [f for f, x in at.items() if x == (epoch, first, n)]
+            wanted = wanted | (F.col("batch").between(first, first + n - 1) & F.col("fit").isin(of))
+        part = batches_of(epoch).filter(wanted)
+        out = part if out is None else out.unionByName(part)
     return out
+
+
+def _stretch(model: TableModel, steps: dict[int, int], batches_of: Callable[[int], DataFrame], rule: Rule) -> list[dict]:
+    """As many steps of each fit as said, in one job: a task takes the latents
+    of a fit and its batches, and writes the latents anew beside the records
+    and the fit's new state."""
+    at = {f: (*divmod(model.fits[f].step, rule.n_batches[f]), n) for f, n in steps.items()}
+    shared = model.spark.sparkContext.broadcast({f: model.fits[f] for f in steps})
+    k, d_sae = model.k, model.d_sae
+    schema = T.StructType([*STATE.fields, T.StructField("note", T.BinaryType()), T.StructField("kind", T.StringType())])
+
+    def state(f: int, p: dict[str, np.ndarray]) -> pa.Table:
+        n = len(p["latent_id"])
+        return pa.Table.from_batches([_state_batch(f, p)]).append_column("note", pa.nulls(n, pa.binary())).append_column("kind", pa.array(["latents"] * n))
+
+    def run(key: tuple, rows: pa.Table, latents: pa.Table) -> pa.Table:
+        f = key[0].as_py()
+        p = {n: list_matrix(c) if pa.types.is_list(c.type) else c.to_numpy() for n, c in zip(latents.column_names, latents.columns, strict=True) if n != "fit"}
+        if not rows.num_rows:
+            return state(f, p)
+        fit, log = shared.value[f], []
+        rows = rows.sort_by([("batch", "ascending"), ("pos", "ascending")])
+        number, x = rows["batch"].to_numpy(), list_matrix(rows["x"])
+        cuts = np.flatnonzero(np.diff(number)) + 1
+        for part in np.split(x, cuts):
+            if fit.update is not None:
+                p = fit.update.apply(p)
+            b = Batch(part, fit.b_dec, None)
+            b.ids, b.vals = b.top(p, k)
+            b.active = np.unique(b.ids)
+            parts = np.zeros((2, *part.shape))
+            b.decoded(p, parts)
+            r, q = b.residuals(parts, d_sae, rule.aux_weight)
+            p = b.with_gradients(p)
+            log.append(rule.move(f, fit, b, r, q, _sums(p, rule.threshold), d_sae, lambda p=p: p["latent_id"][p["steps_since"] > rule.threshold]))
+        note = {"fit": pa.array([f]), "note": pa.array([pickle.dumps((fit, log))], pa.binary()), "kind": pa.array(["notes"])}
+        out = state(f, p)
+        return pa.concat_tables([out, pa.table([note.get(c.name, pa.nulls(1, c.type)) for c in out.schema], schema=out.schema)])
+
+    rows = _rows_at(batches_of, at)
+    old = model.path
+    path = _written(rows.groupBy("fit").cogroup(model.table().groupBy("fit")).applyInArrow(run, schema), "kind")
+    notes = model.spark.read.schema("fit long, note binary").parquet(posixpath.join(path, "kind=notes")).collect()
+    model.path = posixpath.join(path, "kind=latents")
+    _dropped(model.spark, old)
+    shared.destroy()
+    log = []
+    for r in notes:
+        model.fits[r.fit], found = pickle.loads(r.note)
+        log += found
+    return log
+
+
+def _step(model: TableModel, taking: list[int], batches_of: Callable[[int], DataFrame], rule: Rule) -> list[dict]:
+    """One step of the fits in ``taking``."""
+    step: dict[int, Batch] = {}
+    at = {f: (*divmod(model.fits[f].step, rule.n_batches[f]), 1) for f in taking}
+    got = _rows_at(batches_of, at).toArrow().sort_by([("fit", "ascending"), ("pos", "ascending")])
+    fits = got["fit"].to_numpy()
+    for f in np.unique(fits).tolist():
+        mine = np.flatnonzero(fits == f)
+        fit = model.fits[f]
+        step[f] = Batch(list_matrix(got["x"].slice(mine[0], len(mine))), fit.b_dec, fit.update)
+    find_top(model, step)
+    parts = decode_all(model, step)
+    found = {}
+    for f, b in step.items():
+        b.update = model.fits[f].update
+        found[f] = b.residuals(parts[f], model.d_sae, rule.aux_weight)
+    old, model.path = model.path, write_gradients(model, step)
+    sums = gradient_sums(model, rule.threshold)
+    _dropped(model.spark, old)
+
+    def dead_of(f: int) -> np.ndarray:
+        return model.table().filter((F.col("fit") == f) & (F.col("steps_since") > rule.threshold)).select("latent_id").toArrow()["latent_id"].to_numpy()
+
+    return [rule.move(f, model.fits[f], b, *found[f], sums[f], model.d_sae, lambda f=f: dead_of(f)) for f, b in step.items()]
