@@ -56,3 +56,15 @@ def test_label_means_on_a_wide_grid(spark):
     assert out.count() == 2 * 32_768
     got = {(r.label, r.latent_id): (r.mean_activation, r.num_steps) for r in out.where("mean_activation > 0").collect()}
     assert got == {(0, 3): (3.0, 2), (0, 30_000): (0.5, 2), (1, 5): (1.5, 1)}
+
+
+def test_an_answer_is_read_at_a_time():
+    """The JSON of answers is looked for on Arrow's own rows; a batch's texts are not all made Python strings."""
+    import pyarrow as pa
+
+    from tracelab.functions.judge import strict_label
+
+    got = strict_label.func(pa.array(['{"label": "Other", "rationale": 3}', None, "no", '{"label": "reflection", "rationale": "cut']))
+    assert isinstance(got, pa.StructArray)
+    assert got.to_pylist() == [{"label": "other", "rationale": "3"}, {"label": None, "rationale": None}, {"label": None, "rationale": None}, {"label": "reflection", "rationale": "cut"}]
+    assert segment.PIECE_CHARS <= 1 << 22
