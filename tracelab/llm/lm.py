@@ -186,8 +186,10 @@ class Model:
 
 
 def _summed(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The sum of the rows of each id below ``n``."""
-    return np.stack([np.bincount(ids, column, n) for column in rows.T], axis=1).astype(np.float32)
+    """The sum of the rows of each id below ``n``, counted in one go."""
+    width = rows.shape[1]
+    at = ids.astype(np.intp)[:, None] * width + np.arange(width)
+    return np.bincount(at.ravel(), rows.ravel(), n * width).astype(np.float32).reshape(n, width)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -226,13 +228,19 @@ class Trainer:
         of_word[:, :-1] = right[:, None] * guess
         of_word[:, -1] = right
         words = _summed(w, of_word, size)
-        words -= _summed(noise, np.concatenate([wrong.T @ guess, wrong.sum(0)[:, None]], axis=1), size)
+        drawn, at = np.unique(noise, return_inverse=True)  # few ids: the others get nothing from the noise
+        words[drawn] -= _summed(at, np.concatenate([wrong.T @ guess, wrong.sum(0)[:, None]], axis=1), len(drawn))
         contexts = _summed(h1, toward, size) * m.position[0] + _summed(h2, toward, size) * m.position[1]
         both = np.stack([np.einsum("ij,ij->j", toward, r) for r in (r1, r2)])
         sums = self.sums
-        for x, s, g in ((m.context, sums.context, contexts), (m.word, sums.word, words[:, :-1]), (m.position, sums.position, both), (m.bias, sums.bias, words[:, -1])):
-            s += g * g
-            x += np.float32(RATE) * g / np.sqrt(s)
+        seen = np.zeros((2, size), bool)  # classes with a gradient; the others stay as they are
+        seen[0, h1] = seen[0, h2] = seen[1, w] = seen[1, drawn] = True
+        context, word = np.flatnonzero(seen[0]), np.flatnonzero(seen[1])
+        moves = (m.context, sums.context, contexts, context), (m.word, sums.word, words[:, :-1], word), (m.position, sums.position, both, slice(None)), (m.bias, sums.bias, words[:, -1], word)
+        for x, s, g, at in moves:
+            g = g[at]
+            s[at] += g * g
+            x[at] += np.float32(RATE) * g / np.sqrt(s[at])
         self.positions += n
 
 
