@@ -34,6 +34,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from math import isqrt
 from zlib import crc32
 
@@ -42,6 +43,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracelab.llm.common import stash, text_bytes
 
@@ -56,7 +58,9 @@ BATCH, NOISE, RATE = 2048, 64, 0.2
 FREQUENT, FREQUENT_BYTES = 100_000, 64
 LEVELS, SHARES = 16, 4096
 END = 0
+IDS = np.dtype("<u2")  # class ids in a column: a block of bytes a text costs Spark less than an array
 COUNTER_WORDS = 200_000
+ROW = 16  # parameters in a row when copies are added up
 
 
 def fold(docs: DataFrame) -> DataFrame:
@@ -145,17 +149,12 @@ class Classes:
 
     def places(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The rank (-1: not known) and the class of each word."""
-        get = self.known.get
-        at = np.array([get(w, -1) for w in words], np.int64)
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         of = self.of[at] if len(self.of) else np.zeros(len(at), np.int64)
         rest = np.flatnonzero(at < 0)
         of[rest] = [self.first_hashed + crc32(words[i]) % self.hashed for i in rest.tolist()]
         return at, of
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Two ends in front, the classes of the words, and the end."""
-        return np.concatenate([[END, END], self.places(words)[1], [END]])
-
 
 @dataclass
 class Model:
@@ -185,19 +184,27 @@ class Model:
         return Model(*out)
 
 
-def _summed(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The sum of the rows of each id below ``n``, counted in one go."""
-    width = rows.shape[1]
-    at = ids.astype(np.intp)[:, None] * width + np.arange(width)
-    return np.bincount(at.ravel(), rows.ravel(), n * width).astype(np.float32).reshape(n, width)
+def _summed(at: np.ndarray, values: np.ndarray, n: int, cells: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The sum of the rows of ``values`` (doubles) of each of ``n`` places, counted
+    in one go: ``cells`` numbers the cells of the sum, ``room`` is for theirs."""
+    cells.take(at, axis=0, out=room, mode="clip")  # "raise" would make an array first
+    return np.bincount(room.ravel(), values.ravel(), n * values.shape[1]).astype(np.float32).reshape(n, -1)
+
 
+def _places(n: int, *ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of the ids below ``n``, and the place of each among them."""
+    seen = np.zeros(n, bool)
+    for x in ids:
+        seen[x] = True
+    return np.flatnonzero(seen), np.cumsum(seen) - 1
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+
+def _sigmoid(minus: np.ndarray) -> np.ndarray:
+    """In place, and of the numbers with their signs changed."""
+    np.clip(minus, -30, 30, out=minus)
+    np.exp(minus, out=minus)
+    minus += 1
+    return np.reciprocal(minus, out=minus)
 
 
 class Trainer:
@@ -209,64 +216,109 @@ class Trainer:
         self.cum = np.cumsum(share)
         self.base = np.log(NOISE * share).astype(np.float32)
         self.sums = sums or model.filled(np.full(model.flat().size, 1e-8))
+        self.cells = np.arange(model.word.size).reshape(model.word.shape)
+        self.room: tuple[np.ndarray, ...] = ()
+        self.noise_room = np.empty((NOISE, model.word.shape[1]), np.intp)
+
+    def rooms(self, n: int) -> tuple[np.ndarray, ...]:
+        """Room for the arrays of a batch, kept from step to step: arrays of this
+        size made anew are given back to the system and zeroed at every step."""
+        if not self.room or self.room[0].shape[1] != n:
+            width = self.model.context.shape[1]
+            self.room = np.empty((6, n, width), np.float32), np.empty((n, NOISE), np.float32), np.empty((n, width), np.intp), np.empty((n, width))
+        return self.room
 
     def step(self, h1: np.ndarray, h2: np.ndarray, w: np.ndarray) -> None:
         m, n, size = self.model, len(w), len(self.base)
+        (r1, r2, guess, word, toward, part), wrong, room, values = self.rooms(n)
+        h1, h2, w = (x.astype(np.intp) for x in (h1, h2, w))
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE) * self.cum[-1]), size - 1)
-        r1, r2 = m.context.take(h1, axis=0), m.context.take(h2, axis=0)
-        guess = r1 * m.position[0]
-        guess += r2 * m.position[1]
-        word, other, bias = m.word.take(w, axis=0), m.word.take(noise, axis=0), m.bias - self.base
+        for x, ids, out in (m.context, h1, r1), (m.context, h2, r2), (m.word, w, word):
+            x.take(ids, axis=0, out=out, mode="clip")
+        np.multiply(r1, m.position[0], out=guess)
+        guess += np.multiply(r2, m.position[1], out=part)
+        other, bias = m.word.take(noise, axis=0), m.bias - self.base
         right = np.einsum("ij,ij->i", guess, word) + bias.take(w)
-        right = (1 - _sigmoid(right)) / n  # towards the data
-        wrong = guess @ other.T
-        wrong += bias.take(noise)
-        wrong = _sigmoid(wrong) / np.float32(n)  # away from the noise
-        toward = right[:, None] * word
-        toward -= wrong @ other
-        of_word = np.empty((n, guess.shape[1] + 1), np.float32)
-        of_word[:, :-1] = right[:, None] * guess
-        of_word[:, -1] = right
-        words = _summed(w, of_word, size)
-        drawn, at = np.unique(noise, return_inverse=True)  # few ids: the others get nothing from the noise
-        words[drawn] -= _summed(at, np.concatenate([wrong.T @ guess, wrong.sum(0)[:, None]], axis=1), len(drawn))
-        contexts = _summed(h1, toward, size) * m.position[0] + _summed(h2, toward, size) * m.position[1]
+        right = (1 - _sigmoid(-right)) / n  # towards the data
+        np.matmul(guess, -other.T, out=wrong)
+        wrong -= bias.take(noise)
+        _sigmoid(wrong)
+        wrong /= np.float32(n)  # away from the noise
+        np.multiply(right[:, None], word, out=toward)
+        toward -= np.matmul(wrong, other, out=part)
+        # Only classes with a gradient are summed and moved; the others stay as they are.
+        context, place = _places(size, h1, h2)
+        values[...] = toward
+        first, second = (_summed(place.take(x), values, len(context), self.cells, room) for x in (h1, h2))
+        contexts = first * m.position[0] + second * m.position[1]
         both = np.stack([np.einsum("ij,ij->j", toward, r) for r in (r1, r2)])
+        words, place = _places(size, w, noise)
+        at, drawn, k = place.take(w), place.take(noise), len(words)
+        values[...] = np.multiply(right[:, None], guess, out=part)
+        vectors = _summed(at, values, k, self.cells, room)
+        vectors -= _summed(drawn, (wrong.T @ guess).astype(np.float64), k, self.cells, self.noise_room)
+        biases = np.bincount(at, right, k).astype(np.float32) - np.bincount(drawn, wrong.sum(0), k).astype(np.float32)
         sums = self.sums
-        seen = np.zeros((2, size), bool)  # classes with a gradient; the others stay as they are
-        seen[0, h1] = seen[0, h2] = seen[1, w] = seen[1, drawn] = True
-        context, word = np.flatnonzero(seen[0]), np.flatnonzero(seen[1])
-        moves = (m.context, sums.context, contexts, context), (m.word, sums.word, words[:, :-1], word), (m.position, sums.position, both, slice(None)), (m.bias, sums.bias, words[:, -1], word)
+        moves = (m.context, sums.context, contexts, context), (m.word, sums.word, vectors, words), (m.position, sums.position, both, np.arange(2)), (m.bias, sums.bias, biases, words)
         for x, s, g, at in moves:
-            g = g[at]
-            s[at] += g * g
-            x[at] += np.float32(RATE) * g / np.sqrt(s[at])
+            of = g * g
+            of += s.take(at, axis=0)
+            s[at] = of
+            g *= np.float32(RATE)
+            g /= np.sqrt(of, out=of)
+            g += x.take(at, axis=0)
+            x[at] = g
         self.positions += n
 
 
-def encoded(training: DataFrame, classes: Classes) -> DataFrame:
-    """``training`` (t) -> (ids): the class ids of every text."""
-    shared = training.sparkSession.sparkContext.broadcast(classes)
+def encoded(docs: DataFrame, classes: Classes, weights: tuple[np.ndarray, ...] = ()) -> DataFrame:
+    """``docs`` (t, other columns) -> the other columns, and for every text
+    ``uid``, ``ids`` (two ends, the classes of its words, and the end, as IDS),
+    ``n_found`` (its known words), ``sums`` (of each of ``weights``, by rank, over
+    these) and ``rare`` (w, k): its words that are not known, and how often."""
+    shared = docs.sparkSession.sparkContext.broadcast((classes, weights))
+    others = [f for f in docs.schema.fields if f.name != "t"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, weights = shared.value
+        uid = TaskContext.get().partitionId() << 33
         for b in batches:
-            ids = [shared.value.ids(words) for words in _words(b, 0)]
-            offsets = np.cumsum([0, *map(len, ids)])
-            values = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], names=["ids"])
+            ids, found, sums, rare, ends = [], [], [], [], [0]
+            for words in _words(b, b.schema.get_field_index("t")):
+                at, of = classes.places(words)
+                known = at[at >= 0]
+                ids.append(np.concatenate([[END, END], of, [END]]).astype(IDS).tobytes())
+                found.append(len(known))
+                sums.append([x[known].sum() for x in weights])
+                if len(known) < len(words):
+                    rare.extend(Counter([words[i] for i in np.flatnonzero(at < 0).tolist()]).items())
+                ends.append(len(rare))
+            pairs = pa.StructArray.from_arrays([pa.array([x for x, _ in rare], pa.binary()), pa.array([k for _, k in rare], pa.int64())], names=["w", "k"])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(b.schema.get_field_index(f.name)) for f in others), pa.array(uid + np.arange(b.num_rows)), pa.array(ids, pa.binary()), pa.array(found, pa.int64()), pa.array(sums, pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                names=[*(f.name for f in others), "uid", "ids", "n_found", "sums", "rare"],
+            )
+            uid += b.num_rows
+
+    schema = StructType(others + StructType.fromDDL("uid long, ids binary, n_found long, sums array<double>, rare array<struct<w:binary,k:long>>").fields)
+    return docs.mapInArrow(run, schema)
 
-    return training.mapInArrow(run, "ids array<int>")
+
+def _ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The class ids of all these texts, and how many each has."""
+    texts = texts.to_pylist()
+    return np.frombuffer(b"".join(texts), IDS), np.fromiter(map(len, texts), np.int64, len(texts)) // IDS.itemsize
 
 
 def train(training: DataFrame, classes: Classes, share: np.ndarray, rounds: int = ROUNDS) -> tuple[Model, int]:
     """In each round the average (of parameters and of Adagrad's sums) of the
     copies trained by each task over its texts, and the positions trained on in
-    a round."""
+    a round.  ``training`` has texts (t), or what ``encoded`` made of them."""
     spark = training.sparkSession
-    texts = stash(encoded(training, classes), "lm-classes")
+    texts = (training if "ids" in training.columns else stash(encoded(training, classes), "lm-texts")).select("ids")
     model = Model.start(share)
     sums = model.filled(np.full(model.flat().size, 1e-8))
-    positions = 0
+    positions, columns = 0, [f"x{i}" for i in range(ROW)]
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((share, model, sums))
 
@@ -276,13 +328,12 @@ def train(training: DataFrame, classes: Classes, share: np.ndarray, rounds: int
             held, size = [], 0
             for b in batches:
                 for i in range(0, b.num_rows, TEXTS_AT_ONCE):
-                    column = b.column(0).slice(i, TEXTS_AT_ONCE)
-                    ids = column.flatten().to_numpy()
+                    ids, lengths = _ids(b.column(0).slice(i, TEXTS_AT_ONCE))
                     target = np.ones(len(ids), bool)
-                    starts = np.r_[0, np.cumsum(column.value_lengths().to_numpy())[:-1]]
+                    starts = np.cumsum(lengths) - lengths
                     target[starts] = target[starts + 1] = False  # the two ends in front
                     at = np.flatnonzero(target)
-                    held.append(np.stack([ids[at - 1], ids[at - 2], ids[at]]).astype(np.uint16))
+                    held.append(np.stack([ids[at - 1], ids[at - 2], ids[at]]))
                     size += len(at)
                     if size >= BATCH:
                         every = np.concatenate(held, axis=1)
@@ -292,13 +343,15 @@ def train(training: DataFrame, classes: Classes, share: np.ndarray, rounds: int
             if size:
                 t.step(*np.concatenate(held, axis=1))
             if t.positions:
-                flat = np.r_[t.model.flat(), t.sums.flat()].astype(np.float64) * t.positions
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int32()), pa.array(np.r_[float(t.positions), flat])], names=["i", "x"])
+                flat = np.r_[float(t.positions), np.r_[t.model.flat(), t.sums.flat()].astype(np.float64) * t.positions]
+                rows = np.r_[flat, np.zeros(-len(flat) % len(columns))].reshape(-1, len(columns))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), *(pa.array(x) for x in rows.T.copy())], names=["i", *columns])
 
-        parts = texts.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")
+        copies = texts.mapInArrow(run, ", ".join(["i int", *(f"{x} double" for x in columns)]))
+        parts = copies.groupBy("i").agg(*(F.sum(x).alias(x) for x in columns)).toPandas().sort_values("i")
         if not len(parts):
             break
-        x = parts["x"].to_numpy()
+        x = parts[columns].to_numpy().ravel()[: 1 + 2 * model.flat().size]
         positions, (flat, of_sums) = int(x[0]), np.split(x[1:] / x[0], 2)
         model, sums = model.filled(flat), sums.filled(of_sums)
         shared.unpersist()
@@ -339,8 +392,10 @@ def hash_class(classes: Classes) -> Column:
 def fitted(docs: DataFrame, frequent: int = FREQUENT, classes_wanted: int | None = None) -> tuple[DataFrame, dict]:
     """The counts of all training words (w, c), and what scoring needs: ``n``,
     ``v``, ``ends``, the ``classes``, the known words' ``count``, the tokens and
-    distinct words of the hashed classes, and the ``model``."""
-    training = fold(docs).where("NOT held_out").select("t")
+    distinct words of the hashed classes, all ``texts`` as ``encoded`` once for
+    training and scoring (sums: of the base and of ``inner``), and the ``model``."""
+    folded = fold(docs)
+    training = folded.where("NOT held_out").select("t")
     counts = stash(word_counts(training), "lm-counts")
     got = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
@@ -357,8 +412,15 @@ def fitted(docs: DataFrame, frequent: int = FREQUENT, classes_wanted: int | None
     np.add.at(share, classes.of, count)
     share[END], share[classes.first_hashed :] = ends, hashed[:, 0]
     share = (share + 0.5) / (share + 0.5).sum()
-    model, _ = train(training, classes, share)
-    return counts, {"n": n, "v": v, "ends": ends, "classes": classes, "count": count, "hashed": hashed, "model": model}
+    weights = np.log10((count + 0.5) / smoothed_total(n, v)), inner(classes, count)
+    texts = stash(encoded(folded, classes, weights), "lm-texts")
+    model, _ = train(texts.where("NOT held_out"), classes, share)
+    return counts, {"n": n, "v": v, "ends": ends, "classes": classes, "count": count, "hashed": hashed, "texts": texts, "model": model}
+
+
+def smoothed_total(n: int, v: int) -> float:
+    """What a smoothed count is divided by."""
+    return float(n + 0.5 * (v + 1))
 
 
 def inner(classes: Classes, count: np.ndarray) -> np.ndarray:
@@ -372,44 +434,33 @@ def score(docs: DataFrame, classes_wanted: int | None = None, frequent: int = FR
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     counts, fit = fitted(docs, frequent, classes_wanted)
-    n, ends, classes, hashed = fit["n"], fit["ends"], fit["classes"], fit["hashed"]
-    below = float(n + 0.5 * (fit["v"] + 1))
-    base_of = lambda c: np.log10((c + 0.5) / below)
-    shared = spark.sparkContext.broadcast((classes, base_of(fit["count"]), inner(classes, fit["count"]), tables(fit["model"])))
-    base_end, known_end = float(base_of(ends)), int(ends > 0)
+    n, ends, classes, hashed, texts = fit["n"], fit["ends"], fit["classes"], fit["hashed"], fit["texts"]
+    below = smoothed_total(n, fit["v"])
+    shared = spark.sparkContext.broadcast(tables(fit["model"]))
+    base_end, known_end = float(np.log10((ends + 0.5) / below)), int(ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, base, inner, (first, second, normaliser) = shared.value
-        uid = TaskContext.get().partitionId() << 33
+        first, second, normaliser = (x.ravel() for x in shared.value)
+        k = len(shared.value[0])
         for b in batches:
-            uids, tokens, n_known, bases, scores, others, offsets = [], [], [], [], [], [], [0]
-            for words in _words(b, 1):
-                at, of = classes.places(words)
-                ids = np.concatenate([[END, END], of, [END]])
+            column, scores, tokens = b.column(b.schema.get_field_index("ids")), [], [np.zeros(0, np.int64)]
+            for i in range(0, b.num_rows, TEXTS_AT_ONCE):
+                ids, lengths = _ids(column.slice(i, TEXTS_AT_ONCE))
+                ids = ids.astype(np.int64)
                 h1, h2, w = ids[1:-1], ids[:-2], ids[2:]
-                logs = first[h1, w].astype(np.float64) + second[h2, w] - normaliser[h1, h2]
-                found = at[at >= 0]
-                uids.append(uid)
-                uid += 1
-                tokens.append(len(words) + 1)
-                n_known.append(len(found) + known_end)
-                bases.append(base[found].sum() + base_end)
-                scores.append(logs.sum() / np.log(10) + inner[found].sum())
-                if len(found) < len(words):
-                    others.extend(Counter([words[i] for i in np.flatnonzero(at < 0).tolist()]).items())
-                offsets.append(len(others))
-            rare = pa.StructArray.from_arrays([pa.array([x for x, _ in others], pa.binary()), pa.array([k for _, k in others], pa.int64())], names=["w", "k"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(uids, pa.int64()), b.column(0), b.column(2), pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare)],
-                names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "rare"],
-            )
-
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, rare array<struct<w:binary,k:long>>"
-    partial = stash(fold(docs).mapInArrow(run, schema), "lm-partial")
+                logs = first.take(h1 * k + w).astype(np.float64) + second.take(h2 * k + w) - normaliser.take(h1 * k + h2)
+                tokens.append(lengths - 2)
+                ends = np.cumsum(lengths).tolist()  # the two positions between texts are of no text
+                scores.extend(logs[at : end - 2].sum() for at, end in zip([0, *ends], ends, strict=False))
+            by_name = {x: b.column(b.schema.get_field_index(x)) for x in ("uid", "doc_id", "held_out", "n_found", "sums")}
+            yield pa.RecordBatch.from_arrays([*by_name.values(), pa.array(np.concatenate(tokens)), pa.array(np.array(scores) / np.log(10), pa.float64())], names=[*by_name, "n_tokens", "lm"])
+
+    schema = "uid long, doc_id long, held_out boolean, n_found long, sums array<double>, n_tokens long, lm double"
+    scored = texts.select("uid", "doc_id", "held_out", "n_found", "sums", "ids").mapInArrow(run, schema)
     # What the known words left: by word to its count, by row to sums.
     c = F.coalesce("c", F.lit(0))
     inside = F.element_at(F.lit((hashed[:, 0] + 0.5 * (hashed[:, 1] + 1)).tolist()), hash_class(classes) + 1)
-    rest = partial.select("uid", F.inline("rare")).join(counts, "w", "left").select(
+    rest = texts.select("uid", F.inline("rare")).join(counts, "w", "left").select(
         "uid",
         F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0).alias("k_known"),
         (F.col("k") * F.log10((c + 0.5) / below)).alias("k_base"),
@@ -417,7 +468,8 @@ def score(docs: DataFrame, classes_wanted: int | None = None, frequent: int = FR
     )
     rest = rest.groupBy("uid").agg(*[F.sum(x).alias(x) for x in ("k_known", "k_base", "k_lm")])
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return partial.drop("rare").join(rest, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("k_known")).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("k_base")).alias("base_score"), (F.col("lm") + zero("k_lm")).alias("score"),
+    found = lambda i: F.element_at("sums", i)
+    return scored.join(rest, "uid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_found") + known_end + zero("k_known")).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
+        (found(1) + base_end + zero("k_base")).alias("base_score"), (F.col("lm") + found(2) + zero("k_lm")).alias("score"),
     )
