@@ -40,6 +40,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,7 @@ LEVELS, SHARES = 16, 4096
 END = 0
 IDS = np.dtype("<u2")  # class ids in a column: a block of bytes a text costs Spark less than an array
 COUNTER_WORDS = 200_000
+ENCODED_BYTES = 1 << 22  # of texts that are encoded at once
 ROW = 16  # parameters in a row when copies are added up
 
 
@@ -74,6 +76,17 @@ def _words(batch: pa.RecordBatch, column: int) -> Iterator[list[bytes]]:
         yield x.as_buffer().to_pybytes().lower().split()
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all these texts (as ``_words`` has them), and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string())))
+    words, lengths = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+    empty = pc.binary_length(words).to_numpy() == 0  # left by white space at the ends
+    if empty.any():
+        lengths -= np.bincount(np.repeat(np.arange(len(lengths)), lengths)[empty], minlength=len(lengths))
+        words = words.filter(pa.array(~empty))
+    return words.view(texts.type), lengths
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """``training`` (t) -> (w binary, c)."""
 
@@ -155,6 +168,17 @@ class Classes:
         of[rest] = [self.first_hashed + crc32(words[i]) % self.hashed for i in rest.tolist()]
         return at, of
 
+    def found(self, words: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """``places`` of the words, with the known words in an array; and for those
+        not known: where they are, and the number of each among the distinct ones."""
+        at = pc.index_in(words, value_set=known.cast(words.type)).fill_null(-1).to_numpy().astype(np.int64)
+        of = self.of[at] if len(self.of) else np.zeros(len(at), np.int64)
+        missing = np.flatnonzero(at < 0)
+        rest = words.take(pa.array(missing)).dictionary_encode()
+        which, distinct = rest.indices.to_numpy().astype(np.int64), rest.dictionary
+        of[missing] = np.array([self.first_hashed + crc32(w) % self.hashed for w in distinct.to_pylist()], np.int64)[which]
+        return at, of, missing, which, distinct
+
 
 @dataclass
 class Model:
@@ -201,7 +225,7 @@ def _places(n: int, *ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sigmoid(minus: np.ndarray) -> np.ndarray:
     """In place, and of the numbers with their signs changed."""
-    np.clip(minus, -30, 30, out=minus)
+    np.minimum(minus, 30, out=minus)
     np.exp(minus, out=minus)
     minus += 1
     return np.reciprocal(minus, out=minus)
@@ -281,24 +305,33 @@ def encoded(docs: DataFrame, classes: Classes, weights: tuple[np.ndarray, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, weights = shared.value
+        known = pa.array(list(classes.known), pa.binary())
         uid = TaskContext.get().partitionId() << 33
-        for b in batches:
-            ids, found, sums, rare, ends = [], [], [], [], [0]
-            for words in _words(b, b.schema.get_field_index("t")):
-                at, of = classes.places(words)
-                known = at[at >= 0]
-                ids.append(np.concatenate([[END, END], of, [END]]).astype(IDS).tobytes())
-                found.append(len(known))
-                sums.append([x[known].sum() for x in weights])
-                if len(known) < len(words):
-                    rare.extend(Counter([words[i] for i in np.flatnonzero(at < 0).tolist()]).items())
-                ends.append(len(rare))
-            pairs = pa.StructArray.from_arrays([pa.array([x for x, _ in rare], pa.binary()), pa.array([k for _, k in rare], pa.int64())], names=["w", "k"])
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(b.schema.get_field_index(f.name)) for f in others), pa.array(uid + np.arange(b.num_rows)), pa.array(ids, pa.binary()), pa.array(found, pa.int64()), pa.array(sums, pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
-                names=[*(f.name for f in others), "uid", "ids", "n_found", "sums", "rare"],
-            )
-            uid += b.num_rows
+        for whole in batches:
+            column = whole.schema.get_field_index("t")
+            part = np.cumsum(pc.binary_length(whole.column(column)).to_numpy()) // ENCODED_BYTES
+            starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            for at, end in zip(starts, [*starts[1:], whole.num_rows], strict=True):
+                b = whole.slice(at, end - at)
+                words, lengths = _split(b.column(column))
+                text = np.repeat(np.arange(b.num_rows), lengths)
+                at, of, missing, which, distinct = classes.found(words, known)
+                ids = np.full(len(at) + 3 * b.num_rows, END, IDS)
+                ids[np.arange(len(at)) + 3 * text + 2] = of
+                ends = np.cumsum(lengths + 3) * IDS.itemsize
+                found = np.bincount(text[at >= 0], minlength=b.num_rows)
+                at, bounds = at[at >= 0], [0, *np.cumsum(found).tolist()]
+                sums = [[x[at[i:j]].sum() for x in weights] for i, j in zip(bounds, bounds[1:], strict=False)]
+                pair, k = np.unique(text[missing] * len(distinct) + which, return_counts=True)
+                pairs = pa.StructArray.from_arrays([distinct.take(pa.array(pair % len(distinct))).cast(pa.binary()), pa.array(k, pa.int64())], names=["w", "k"])
+                rare = np.cumsum(np.bincount(pair // len(distinct), minlength=b.num_rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(b.schema.get_field_index(f.name)) for f in others), pa.array(uid + np.arange(b.num_rows)),
+                     pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(ids)]),
+                     pa.array(found, pa.int64()), pa.array(sums, pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(np.r_[0, rare], pa.int32()), pairs)],
+                    names=[*(f.name for f in others), "uid", "ids", "n_found", "sums", "rare"],
+                )
+                uid += b.num_rows
 
     schema = StructType(others + StructType.fromDDL("uid long, ids binary, n_found long, sums array<double>, rare array<struct<w:binary,k:long>>").fields)
     return docs.mapInArrow(run, schema)
