@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from array import array
 from collections import Counter
@@ -323,6 +324,59 @@ def test_lm_learns_order():
     assert held > np.log(share[seq[w]]).mean() + 0.8
 
 
+def test_lm_step_keeps_its_arrays():
+    size, rng = 300, np.random.default_rng(5)
+    share = rng.random(size) + 0.1
+    share /= share.sum()
+    t, plain = (lm.Trainer(lm.Model.start(share), share, 7) for _ in range(2))
+    model, sums = plain.model, plain.sums
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for n in (2048, 2048, 50, 1, 700):
+        h1, h2, w = rng.integers(0, size, (3, n)).astype(np.uint16)
+        # The step as it is defined, pair by pair in doubles.
+        noise = np.minimum(np.searchsorted(plain.cum, plain.rng.random(lm.NOISE) * plain.cum[-1]), size - 1)
+        c, v, p, b = (x.astype(float) for x in (model.context, model.word, model.position, model.bias))
+        guess = c[h1] * p[0] + c[h2] * p[1]
+        right = (1 - sigmoid((guess * v[w]).sum(1) + (b - plain.base)[w])) / n
+        wrong = sigmoid(guess @ v[noise].T + (b - plain.base)[noise]) / n
+        toward = right[:, None] * v[w] - wrong @ v[noise]
+        moves = [np.zeros_like(x) for x in (c, v, p, b)]
+        np.add.at(moves[0], h1, toward * p[0])
+        np.add.at(moves[0], h2, toward * p[1])
+        np.add.at(moves[1], w, right[:, None] * guess)
+        np.subtract.at(moves[1], noise, wrong.T @ guess)
+        moves[2][:] = (toward * c[h1]).sum(0), (toward * c[h2]).sum(0)
+        np.add.at(moves[3], w, right)
+        np.subtract.at(moves[3], noise, wrong.sum(0))
+        for x, s, g in zip((model.context, model.word, model.position, model.bias), (sums.context, sums.word, sums.position, sums.bias), moves, strict=True):
+            s += g * g
+            x += lm.RATE * g / np.sqrt(s)
+        t.step(h1, h2, w)
+        assert np.allclose(t.model.flat(), model.flat(), atol=2e-3)
+    t.step(*rng.integers(0, size, (3, 2048)).astype(np.uint16))
+    batch = rng.integers(0, size, (3, 2048)).astype(np.uint16)
+    tracemalloc.start()
+    t.step(*batch)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 600_000  # arrays of a batch are not made anew: 2 MB and more before
+
+
+def test_lm_encodes_texts_once(spark):
+    texts = ["", "  The cat\x0b\x0csat on\x1cthe mat\x85 \u00c9T\u00c9 \u00e9t\u00e9 ", None, " \n", "cat cat CAT the unknown cat unknown new"]
+    docs = docs_of(spark, list(enumerate(texts * 3)))
+    counts, fit = lm.fitted(docs, frequent=3, classes_wanted=8)
+    classes, got = fit["classes"], fit["texts"].collect()
+    assert {"ids", "rare", "sums"} <= set(fit["texts"].columns) and len({r.uid for r in got}) == len(got) == 15
+    weights = np.log10((fit["count"] + 0.5) / lm.smoothed_total(fit["n"], fit["v"])), lm.inner(classes, fit["count"])
+    for r in got:
+        words = (texts[r.doc_id % 5] or "").encode().lower().split()
+        at, of = classes.places(words)
+        assert np.frombuffer(bytes(r.ids), lm.IDS).tolist() == [lm.END, lm.END, *of.tolist(), lm.END]
+        assert r.n_found == (at >= 0).sum() and np.allclose(r.sums, [x[at[at >= 0]].sum() for x in weights])
+        assert {bytes(x.w): x.k for x in r.rare} == Counter(w for w, i in zip(words, at, strict=True) if i < 0)
+
+
 def test_lm_trains_on_every_position(spark):
     rng = random.Random(3)
     chain = lambda at, n: " ".join(f"w{(at + i) % 12}" for i in range(n))

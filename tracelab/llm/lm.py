@@ -10,8 +10,9 @@ probability is its class's times its share of the class's tokens, so each word
 is scored by a class with vectors, and both levels sum to one.  The number of
 classes grows with the root of the distinct words up to ``MOST_CLASSES``.
 
-Every task trains a copy in numpy on its part of the training texts (every
-position of all of them) and the copies are averaged, weighed by positions;
+Texts are encoded once, for training and scoring: the class ids of each, and
+its words that are not among the known ones.  Every task trains a copy in numpy
+on its part of the training texts (every position of all of them) and the copies are averaged, weighed by positions;
 the next of ``ROUNDS`` rounds over all texts starts from the average.
 
 Scores are additive in the two context classes, so the normaliser of all pairs
@@ -62,6 +63,7 @@ END = 0
 IDS = np.dtype("<u2")  # class ids in a column: a block of bytes a text costs Spark less than an array
 COUNTER_WORDS = 200_000
 ENCODED_BYTES = 1 << 22  # of texts that are encoded at once
+COPY_POSITIONS = 1 << 23  # about so many train a copy at least, where there are more copies than cores
 ROW = 16  # parameters in a row when copies are added up
 
 
@@ -447,7 +449,8 @@ def fitted(docs: DataFrame, frequent: int = FREQUENT, classes_wanted: int | None
     share = (share + 0.5) / (share + 0.5).sum()
     weights = np.log10((count + 0.5) / smoothed_total(n, v)), inner(classes, count)
     texts = stash(encoded(folded, classes, weights), "lm-texts")
-    model, _ = train(texts.where("NOT held_out"), classes, share)
+    copies = max(docs.sparkSession.sparkContext.defaultParallelism, n // COPY_POSITIONS)
+    model, _ = train(texts.where("NOT held_out").coalesce(copies), classes, share)
     return counts, {"n": n, "v": v, "ends": ends, "classes": classes, "count": count, "hashed": hashed, "texts": texts, "model": model}
 
 
